@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from .suffix import repeated_windows
 
 SHARD_BYTES = 2 << 20
 HOT_RUNS = 4096
-_RUNS = "d long, e long, v long, c long, s int, n int, own boolean"
-_PIECES = "d long, e long, v long, s int, n int, piece binary"
+_RUNS = "d long, e long, v long, c long, s int, n int, own boolean"  # d at s = 0 alone
+_PIECES = "e long, v long, s int, n int, piece binary"
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -51,7 +52,7 @@ def _sketch(width: int):
                 v, s, n, c, again = (np.concatenate(x) for x in zip(*found))
                 own = np.repeat(np.arange(len(part)), sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), _i64(v), _i64(c), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
+                    [pc.if_else(pa.array(s == 0), part.column(0).take(pa.array(own)), None), part.column(1).take(pa.array(own)), _i64(v), _i64(c), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
                     names=["d", "e", "v", "c", "s", "n", "own"],
                 )
 
@@ -63,11 +64,11 @@ def _pieces(width: int):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                d, e, text, wanted = (part.column(i).to_pylist() for i in range(4))
-                rows = [(d[i], e[i], w["v"], w["s"], w["n"], text[i][w["s"] : w["s"] + w["n"] + width - 1]) for i in range(len(part)) for w in wanted[i]]
+                e, text, wanted = (part.column(i).to_pylist() for i in range(3))
+                rows = [(e[i], w["v"], w["s"], w["n"], text[i][w["s"] : w["s"] + w["n"] + width - 1]) for i in range(len(part)) for w in wanted[i]]
                 if rows:
                     cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["d", "e", "v", "s", "n", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["e", "v", "s", "n", "piece"])
 
     return run
 
@@ -82,21 +83,21 @@ def _shards(width: int):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (d, e, _, s, n, _), flags in zip(rows, repeated_windows([r[5] for r in rows], width)):
+        for (e, _, s, n, _), flags in zip(rows, repeated_windows([r[4] for r in rows], width)):
             for a, b in zip(*_spans(flags[:n])):
-                out.append((d, e, s + int(a), s + int(b) - 1 + width))
-        cols = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["d", "e", "start", "stop"])
+                out.append((e, s + int(a), s + int(b) - 1 + width))
+        cols = list(zip(*out)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["e", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if size >= SHARD_BYTES and row[2] != held[-1][2]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if size >= SHARD_BYTES and row[1] != held[-1][1]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[4])
         if held:
             yield solve(held)
 
@@ -106,10 +107,10 @@ def _shards(width: int):
 def _strings(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, e, _, s, n, piece in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for e, _, s, n, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 raw = b"".join(xxhash.xxh3_128_digest(piece[i : i + width]) for i in range(n))
                 w = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n), pa.array([e] * n), pa.array(np.arange(s, s + n, dtype=np.int32)), _i64(w[:, 0]), _i64(w[:, 1])], names=["d", "e", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array([e] * n), pa.array(np.arange(s, s + n, dtype=np.int32)), _i64(w[:, 0]), _i64(w[:, 1])], names=["e", "s", "w1", "w2"])
 
     return run
 
@@ -158,37 +159,41 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
 
     docs: text and the columns in carry, doc_id among them. Returns carry, n_bytes, n_removed,
     n_spans, kept_sha256, and kept_text if asked for."""
-    own = docs.select(*[docs[c] for c in carry], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("body"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("d"), F.xxhash64(F.lit(7), docs["doc_id"], F.coalesce(docs["text"], F.lit(""))).alias("e"))
-    sketch = kept(own.filter(F.length("body") >= width).select("d", "e", "body").mapInArrow(_sketch(width), _RUNS), "runs")
+    text = F.coalesce(docs["text"], F.lit(""))
+    # e stands for the row, by id and text; copies of a text share d
+    docs_ = docs.select(*[docs[c] for c in carry], text.cast("binary").alias("body"), F.xxhash64(text).alias("d"), F.xxhash64(F.lit(7), docs["doc_id"], text).alias("e"))
+    own = docs_.drop("d")
+    sketch = kept(docs_.filter(F.length("body") >= width).select("d", "e", "body").mapInArrow(_sketch(width), _RUNS), "runs")
 
     first = sketch.filter("s = 0").select("d", "e")
     copied = first.groupBy("d").count().filter("count > 1").select("d")
-    whole = first.join(copied, "d").select("d", "e", F.lit(True).alias("whole"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+    nowhere = F.lit(None).cast("int")
+    whole = first.join(copied, "d").select("e", F.lit(True).alias("whole"), nowhere.alias("start"), nowhere.alias("stop"))
 
     repeated = sketch.groupBy("v").agg(F.count("*").alias("count"), F.max("own").alias("own")).filter("count > 1 or own").select("v")
-    runs_ = sketch.join(repeated, "v").withColumn("x", F.xxhash64("v", "c"))
-    classes = runs_.groupBy("x").agg(
-        *[F.first(c).alias(c) for c in ("v", "d", "e", "s", "n", "own")],
-        ((F.min("d") != F.max("d")) | (F.min("s") != F.max("s"))).alias("settled"),
+    again = kept(sketch.drop("d").join(repeated, "v").withColumn("x", F.xxhash64("v", "c")).drop("c"), "repeated")
+    classes = again.groupBy("x").agg(
+        *[F.first(c).alias(c) for c in ("v", "e", "s", "n", "own")],
+        ((F.min("e") != F.max("e")) | (F.min("s") != F.max("s"))).alias("settled"),
     )
     classes = kept(classes, "classes")
-    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("own").alias("again")).filter("different > 1 or again").drop("again")
-    settled = runs_.join(classes.filter("settled").select("x"), "x").select("d", "e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + F.col("n") + (width - 1)).alias("stop"))
+    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("own").alias("self")).filter("different > 1 or self").drop("self")
+    settled = again.join(classes.filter("settled").select("x"), "x").select("e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + F.col("n") + (width - 1)).alias("stop"))
     open_ = classes.join(several, "v")
 
     def wanted(which: DataFrame) -> DataFrame:
-        per_doc = which.groupBy("d", "e").agg(F.collect_list(F.struct("v", "s", "n")).alias("wanted"))
-        return own.join(per_doc, ["d", "e"]).select("d", "e", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
+        per_doc = which.groupBy("e").agg(F.collect_list(F.struct("v", "s", "n")).alias("wanted"))
+        return own.join(per_doc, "e").select("e", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
 
     shards = wanted(open_.filter(F.col("different") <= hot_runs)).repartition("v").sortWithinPartitions("v")
-    found = shards.mapInArrow(_shards(width), "d long, e long, start int, stop int").select("d", "e", F.lit(False).alias("whole"), "start", "stop")
-    strings = wanted(open_.filter(F.col("different") > hot_runs)).mapInArrow(_strings(width), "d long, e long, s int, w1 long, w2 long")
+    found = shards.mapInArrow(_shards(width), "e long, start int, stop int").select("e", F.lit(False).alias("whole"), "start", "stop")
+    strings = wanted(open_.filter(F.col("different") > hot_runs)).mapInArrow(_strings(width), "e long, s int, w1 long, w2 long")
     twice = strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    hot = strings.join(twice, ["w1", "w2"]).select("d", "e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
+    hot = strings.join(twice, ["w1", "w2"]).select("e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
 
     spans = whole.unionByName(settled).unionByName(found).unionByName(hot)
-    spans = spans.groupBy("d", "e").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), F.struct("start", "stop"))).alias("spans"))
-    out = own.join(spans, ["d", "e"], "left").select(*carry, "body", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    spans = spans.groupBy("e").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), F.struct("start", "stop"))).alias("spans"))
+    out = own.join(spans, "e", "left").select(*carry, "body", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
     schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * keep_text])
     return out.mapInArrow(_cut(keep_text), schema)
