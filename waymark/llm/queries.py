@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup
-from .common import table
+from . import decontaminate, language_id, mixing, substring_dedup, token_counts, toxicity, url_rules, warc
+from .common import shared_dir, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=200, keep_text=False)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLE: dict[str, str] = {}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language_id.learn(docs, ~language_id.held_out())
+    return language_id.identify(docs, samples).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), decontaminate.windows(table(spark, sf_dir, "benchmark")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/waymark-warc-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    warc.write(pages, path)
+    return warc.digests(warc.read(spark, path), pages.schema["page_id"].dataType.simpleString())
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op8_url_rules, op9_decontaminate, op10_warc)}
+ORACLE = {"op4_poisson_mix": mixing.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
