@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, substring_dedup, token_counts, toxicity, url_rules, warc
+from . import decontaminate, language_id, mixing, simhash_dedup, substring_dedup, token_counts, toxicity, url_rules, warc
 from .common import shared_dir, table
 
 
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -50,5 +54,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.read(spark, path), pages.schema["page_id"].dataType.simpleString())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op8_url_rules, op9_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op6_simhash_dedup, op8_url_rules, op9_decontaminate, op10_warc)}
 ORACLE = {"op4_poisson_mix": mixing.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
