@@ -1,5 +1,73 @@
-"""The corpus pipeline: documents through the training-data stages."""
+"""The corpus pipeline: documents through five training-data stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. Nulls: a null text is an empty one; a document with a null id counts, for
+the choice of one document of a group, as having an id larger than all others.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm import decontaminate, mixing, simhash_dedup, substring_dedup, toxicity
+from waymark.llm.common import kept, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REST = tuple(c for c in COLUMNS if c != "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field scores 0.5 or more go."""
+    field = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, field, carry=COLUMNS).filter("score < 0.5").select(*COLUMNS)
+
+
+def _id(doc_id: Column, text: Column) -> Column:
+    nulls_last = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 40))
+    return F.coalesce(doc_id.cast("long"), nulls_last)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the least id stays."""
+    named = docs.select(*COLUMNS).withColumn("id", _id(F.col("doc_id"), F.col("text")))
+    prints = kept(simhash_dedup.fingerprints(named.select("text", F.col("id").alias("doc_id"))), "fingerprints")
+    stays = simhash_dedup.label(prints).select(F.col("component_id").alias("id")).distinct()
+    return named.join(stays, "id", "left_semi").dropDuplicates(["id"]).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeated 200-byte strings cover go, and documents with nothing left."""
+    cut = substring_dedup.remove_repeats(docs, width=200, carry=REST)
+    cut = cut.filter("n_removed = 0 OR length(kept_text) > 0").withColumnRenamed("kept_text", "text")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go."""
+    found = decontaminate.windows(table(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(docs, found, carry=COLUMNS).filter("NOT contaminated").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All sources to equal weight by Poisson counts, dealt out in random order."""
+    return mixing.mix(docs, carry=COLUMNS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+]
+
+#: SQL can't express the trained field or XXH64; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

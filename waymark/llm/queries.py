@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, simhash_dedup, substring_dedup, token_counts, toxicity, url_rules, warc
+import corpus_pipeline
+
+from . import decontaminate, language_id, mixing, simhash_dedup, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, warc
 from .common import shared_dir, table
 
 
@@ -39,6 +41,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -54,5 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.read(spark, path), pages.schema["page_id"].dataType.simpleString())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op6_simhash_dedup, op8_url_rules, op9_decontaminate, op10_warc)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op6_simhash_dedup, op7_vector_dedup, op8_url_rules, op9_decontaminate, op10_warc)}
 ORACLE = {"op4_poisson_mix": mixing.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
