@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,15 @@ def columns_as(df: DataFrame, *names: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def thin(rows: DataFrame, group: str, order: Column, count: int, groups: int) -> DataFrame:
+    """About 4 * count rows of each of the `groups` commonest groups (all, where there are
+    fewer), by a hash threshold set from the pre-aggregated counts. Whatever the input's size,
+    no more than that is left to rank, so the exact choice of `count` rows moves little."""
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+    if not sizes:
+        return rows.filter("false")
+    parts = 1 << 40
+    least = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(parts, parts * 4 * count // r[1] + 1))])
+    return rows.filter(F.pmod(order, F.lit(parts)) < F.coalesce(least[F.col(group)], F.lit(0)))

@@ -27,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import thin
+
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 60, 4000, 40_000
 SEGMENT = 1024
+#: The commonest labels are learned, so many at most.
+MAX_LANGS = 200
 #: Letters kept apart; rarer ones share a class.
 LETTERS = 62
 _CHUNK = 1 << 22
@@ -168,6 +172,7 @@ def learn(docs: DataFrame, by_hash_only_if=None) -> tuple[tuple[str, str], ...]:
     if by_hash_only_if is not None:
         rows = rows.filter(by_hash_only_if)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("text"))
+    rows = thin(rows, "lang", F.col("h"), SAMPLE_DOCS, MAX_LANGS)
     first = Window.partitionBy("lang").orderBy("h", "text")
     picked = rows.select("lang", "text", F.row_number().over(first).alias("k"), "h").filter(F.col("k") <= SAMPLE_DOCS).collect()
     out: dict[str, str] = {}

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _power
+from .common import thin
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000
 SEQUENCE = 128
@@ -243,11 +244,17 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Fits the field on labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    own = labels.select(labels["doc_id"], labels["toxic"]).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    own = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(docs["doc_id"], docs["text"]).filter((F.length("text") <= SAMPLE_CHARS)).join(own, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    picked = [rows.filter(F.col("toxic") == k).orderBy("h", "text").limit(SAMPLE_DOCS).collect() for k in (0, 1)]
-    return fit([r["text"] for p in picked for r in p], [r["toxic"] for p in picked for r in p])
+    # ids first, so that no texts are moved but those chosen
+    sizes = docs.select(docs["doc_id"], F.length(docs["text"]).alias("n")).filter(F.col("n") <= SAMPLE_CHARS)
+    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), SAMPLE_DOCS, 2)
+    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = ids.select("doc_id", "toxic", F.row_number().over(first).alias("k")).filter(F.col("k") <= SAMPLE_DOCS).collect()
+    label = {r["doc_id"]: r["toxic"] for r in picked}
+    rows = docs.select(docs["doc_id"], docs["text"]).filter(F.col("doc_id").isin(list(label)) & (F.length("text") <= SAMPLE_CHARS)).collect()
+    texts = sorted((r["doc_id"], r["text"]) for r in rows)
+    return fit([t for _, t in texts], [label[i] for i, _ in texts])
 
 
 def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
