@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,14 @@ def thin(rows: DataFrame, group: str, order: Column, count: int, groups: int) ->
     parts = 1 << 40
     least = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(parts, parts * 4 * count // r[1] + 1))])
     return rows.filter(F.pmod(order, F.lit(parts)) < F.coalesce(least[F.col(group)], F.lit(0)))
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of a text or binary column; a longer text goes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 N = 13
 MAX_WINDOWS = 5_000_000
 
@@ -101,8 +103,7 @@ def scan(docs: DataFrame, found: Windows, carry: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for part in by_bytes(batch, batch.num_columns - 1, 1 << 22):
                 rows, clean = [], []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     n, hit, items = own.find(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import thin
+from .common import by_bytes, thin
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 60, 4000, 40_000
 SEGMENT = 1024
@@ -35,7 +35,7 @@ SEGMENT = 1024
 MAX_LANGS = 200
 #: Letters kept apart; rarer ones share a class.
 LETTERS = 62
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 
 
 def _points(text: str) -> np.ndarray:
@@ -189,17 +189,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], carry: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches:
-            lo = 0
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            while lo < len(batch):
-                hi, size = lo, 0
-                while hi < len(batch) and (hi == lo or size + len(texts[hi] or "") <= _CHUNK):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                langs, scores = model.predict(texts[lo:hi])
-                own = batch.slice(lo, hi - lo)
+            for own in by_bytes(batch, batch.num_columns - 1, _CHUNK):
+                langs, scores = model.predict(own.column(own.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own.schema.names[:-1], "lang_pred", "score"])
-                lo = hi
 
     rows = docs.select(*[docs[c] for c in carry], docs["text"].alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])

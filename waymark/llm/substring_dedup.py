@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
-from .common import kept
+from .common import by_bytes, kept
 from .suffix import repeated_windows
 
 SHARD_BYTES = 2 << 20
@@ -45,8 +45,7 @@ def _i64(x: np.ndarray) -> pa.Array:
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for part in by_bytes(batch, 2, 1 << 21):
                 found = runs(part.column(2).to_pylist(), width)
                 sizes = [len(f[0]) for f in found]
                 v, s, n, c, again = (np.concatenate(x) for x in zip(*found))
@@ -62,8 +61,7 @@ def _sketch(width: int):
 def _pieces(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for part in by_bytes(batch, 1, 1 << 21):
                 e, text, wanted = (part.column(i).to_pylist() for i in range(3))
                 rows = [(e[i], w["v"], w["s"], w["n"], text[i][w["s"] : w["s"] + w["n"] + width - 1]) for i in range(len(part)) for w in wanted[i]]
                 if rows:
@@ -128,8 +126,7 @@ def _merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for part in by_bytes(batch, batch.schema.names.index("body"), 1 << 21):
                 rest = part.select([n for n in part.schema.names if n not in ("body", "whole", "spans")])
                 removed, found, digest, texts, sizes = [], [], [], [], []
                 for text, whole, spans in zip(*(part.column(n).to_pylist() for n in ("body", "whole", "spans"))):

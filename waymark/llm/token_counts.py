@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered in a worker; beyond it the memory starts afresh.
-MEMORY = 2_000_000
+MEMORY = 500_000
 #: Longer words aren't remembered.
 LONG_WORD = 64
 
@@ -98,8 +100,7 @@ def _count(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path or default_path())
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for part in by_bytes(batch, 1, 1 << 21):
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(count.totals(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _power
-from .common import thin
+from .common import by_bytes, thin
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000
 SEQUENCE = 128
@@ -35,7 +35,8 @@ FEATURES = 1 << 17
 STEPS = 40
 #: Evidence that labels a token: weighted share of toxic documents among those with the feature, and how many.
 SHARE, SUPPORT = 0.9, 6
-MEMORY = 1_000_000
+#: Words remembered in a worker, and characters scored at a time.
+MEMORY, CHUNK = 150_000, 1 << 20
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -264,8 +265,7 @@ def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
+            for part in by_bytes(batch, batch.num_columns - 1, CHUNK):
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 value = own.score(texts) if own else np.zeros(len(texts))
                 cols, names = [*part.columns[:-1], pa.array(value, pa.float64())], [*part.schema.names[:-1], "score"]

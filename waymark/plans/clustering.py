@@ -1 +1,57 @@
-"""Queries."""
+"""Clustering queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.operators import clustering as C
+from waymark.registry import query
+from waymark.sources import survey as S
+
+
+@query()
+def nms_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return C.nms_merge(S.detections(spark, sf))
+
+
+_EDGES = """, n AS (SELECT point_id, x, y, z FROM points), p AS (SELECT a.point_id AS a, b.point_id AS b FROM n a JOIN n b ON a.point_id <> b.point_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4 AND abs(a.x - b.x) <= 2)"""
+
+
+@query(S.with_tables("points", _EDGES + " SELECT a, count(*) AS n FROM p GROUP BY a"))
+def neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = C.near_pairs(S.points(spark, sf), 2.0, "point_id", ("x", "y"))
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy("a").agg(F.count("*").alias("n"))
+
+
+_COMPONENTS = """WITH RECURSIVE n AS (SELECT vec_id * 21 + j AS id, 200 + 500 * embedding[3 * j + 1]::DOUBLE AS x, 160 + 400 * embedding[3 * j + 2]::DOUBLE AS y FROM embeddings, range(21) t(j)),
+p AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.x - b.x) <= 0.8 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.64::DOUBLE),
+r AS (SELECT id AS a, id AS l FROM n UNION SELECT p.a, r.l FROM r JOIN p ON p.b = r.a WHERE r.l < p.a)
+SELECT a AS point_id, min(l) AS component FROM r GROUP BY a"""
+
+
+@query(_COMPONENTS)
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    p = S.points(spark, sf)
+    return C.components(p, C.near_pairs(p, 0.8, "point_id", ("x", "y")), "point_id")
+
+
+@query()
+def density_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return C.density_cluster(S.points(spark, sf), 6.0, 6)
+
+
+def _signs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.detections(spark, sf).withColumn("obs_id", F.col("order_id") * 10 + F.col("detection_index"))
+
+
+@query()
+def pole_merge(spark: SparkSession, sf: str) -> DataFrame:
+    obs = S.pole_observations(spark, sf).withColumn("obs_id", F.regexp_extract("image_name", r"(\d+)$", 1).cast("long") * 10 + F.col("detection_index"))
+    return C.pole_merge(obs.dropDuplicates(["obs_id"]), 0.15)
+
+
+@query()
+def sign_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return C.sign_dedupe(_signs(spark, sf).dropDuplicates(["obs_id"]), 0.15)
