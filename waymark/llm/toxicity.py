@@ -2,39 +2,49 @@
 
 Labels are given for documents only, so token labels are derived first: in toxic training
 documents a token is labelled toxic if one of its features (the word, its prefixes and
-suffixes) is clearly commoner there than in clean documents; all other tokens are not. The
-field (two labels, hashed features, transitions) is fitted to these sequences by gradient
-ascent on the conditional likelihood. Its forward-backward marginals give the toxic spans and,
-through a small logistic model fitted on the training documents, the document's score.
+suffixes) is found in toxic documents alone, or nearly, and in more of them than chance
+explains for any feature at all; all other tokens are not. Near copies count once there, as
+they would make their common words look like evidence. The field (two labels, hashed features,
+transitions) is fitted to these sequences by gradient ascent on the conditional likelihood. Its
+forward-backward marginals give the toxic spans and, through a small logistic model fitted on
+the training documents, the document's score.
 
 A sequence is SEQUENCE words of one document; all sequences of a batch go side by side in
 numpy. A null or empty text has no words and the score of one without toxic marginals.
 Repeated rows are scored alike, null ids are kept (never trained on), extra columns ignored.
 Without labels of both kinds the score is 0 for every text.
 
-The training sample is bounded: SAMPLE_DOCS documents of each label of at most SAMPLE_CHARS
-characters, least hash first.
+The training sample is bounded: SAMPLE_TOXIC and SAMPLE_CLEAN documents of at most SAMPLE_CHARS
+characters, least hash first. More clean ones make it less likely that a word is found in toxic
+documents alone by chance.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _power
 from .common import by_bytes, thin
 
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2400, 4_000
 SEQUENCE = 128
-FEATURES = 1 << 17
+#: So many that words which share a feature by their hash alone are few.
+FEATURES = 1 << 20
 STEPS = 40
-#: Evidence that labels a token: weighted share of toxic documents among those with the feature, and how many.
-SHARE, SUPPORT = 0.9, 6
+#: Evidence that labels a token: weighted share of toxic documents among those with the feature,
+#: and the chance that any feature has its count by luck, if toxic documents were TILT times as
+#: likely to have it.
+SHARE, CHANCE, TILT = 0.9, 1e-3, 1.5
+#: Least hashes of three words by which near copies are known, and the share of them that tells.
+SKETCH, ALIKE = 16, 0.25
 #: Words remembered in a worker, and characters scored at a time.
 MEMORY, CHUNK = 150_000, 1 << 20
 
@@ -187,11 +197,24 @@ class Field:
         return toxic_odds(self.emissions(words), _layout(np.array([len(words)])), self.trans)
 
 
+def distinct(split: list[list[bytes]]) -> list[int]:
+    """Places of the texts that are no near copies of earlier ones."""
+    seen: set[int] = set()
+    out = []
+    for i, words in enumerate(split):
+        own = sorted({xxhash.xxh3_64_intdigest(b" ".join(words[j : j + 3])) for j in range(max(1, len(words) - 2))})[:SKETCH]
+        if sum(x in seen for x in own) < ALIKE * len(own):
+            seen.update(own)
+            out.append(i)
+    return out
+
+
 def fit(texts: list[str], toxic: list[int]) -> Field | None:
-    y = np.array(toxic, bool)
+    split = [words_of(t) for t in texts]
+    own_ids = distinct(split)
+    split, y = [split[i] for i in own_ids], np.array([toxic[i] for i in own_ids], bool)
     if not y.any() or y.all():
         return None
-    split = [words_of(t) for t in texts]
     index: dict[bytes, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for s in split for w in s], np.int64)
     lengths = np.array([len(s) for s in split], np.int64)
@@ -200,10 +223,14 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
     slots_ = slots(vocabulary)
     # token labels from document frequencies of the features
     pairs = np.unique(own * len(vocabulary) + ids)
-    per_doc = np.unique((pairs // len(vocabulary))[:, None] * FEATURES + slots_[pairs % len(vocabulary)])
-    which, label = per_doc % FEATURES, y[per_doc // FEATURES]
-    bad, good = np.bincount(which[label], minlength=FEATURES), np.bincount(which[~label], minlength=FEATURES)
-    clear = (bad >= SUPPORT) & (bad >= SHARE * (bad + good * (y.sum() / max(1, (~y).sum()))))
+    bad, good = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for k in range(slots_.shape[1]):
+        per_doc = np.unique(pairs // len(vocabulary) * FEATURES + slots_[pairs % len(vocabulary), k])
+        which, label = per_doc % FEATURES, y[per_doc // FEATURES]
+        bad += np.bincount(which[label], minlength=FEATURES)
+        good += np.bincount(which[~label], minlength=FEATURES)
+    support = math.log(max(1, np.count_nonzero(bad + good)) / CHANCE) / -math.log(min(0.7, TILT * y.mean()))
+    clear = (bad >= support) & (bad >= SHARE * (bad + good * (y.sum() / (~y).sum())))
     sign = clear[slots_].any(1)
     gold = (sign[ids] & y[own]).astype(np.float64)
     # the field
@@ -249,9 +276,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # ids first, so that no texts are moved but those chosen
     sizes = docs.select(docs["doc_id"], F.length(docs["text"]).alias("n")).filter(F.col("n") <= SAMPLE_CHARS)
-    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), SAMPLE_DOCS, 2)
+    most = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
+    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), max(SAMPLE_TOXIC, SAMPLE_CLEAN), 2)
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.select("doc_id", "toxic", F.row_number().over(first).alias("k")).filter(F.col("k") <= SAMPLE_DOCS).collect()
+    picked = ids.select("doc_id", "toxic", F.row_number().over(first).alias("k")).filter(F.col("k") <= most).collect()
     label = {r["doc_id"]: r["toxic"] for r in picked}
     rows = docs.select(docs["doc_id"], docs["text"]).filter(F.col("doc_id").isin(list(label)) & (F.length("text") <= SAMPLE_CHARS)).collect()
     texts = sorted((r["doc_id"], r["text"]) for r in rows)
