@@ -172,7 +172,7 @@ def learn(docs: DataFrame, by_hash_only_if=None) -> tuple[tuple[str, str], ...]:
     if by_hash_only_if is not None:
         rows = rows.filter(by_hash_only_if)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("text"))
-    rows = thin(rows, "lang", F.col("h"), SAMPLE_DOCS, MAX_LANGS)
+    rows = thin(rows, "lang", F.col("h"), SAMPLE_DOCS, MAX_LANGS).dropDuplicates(["lang", "h"])  # copies of a text are one sample
     first = Window.partitionBy("lang").orderBy("h", "text")
     picked = rows.select("lang", "text", F.row_number().over(first).alias("k"), "h").filter(F.col("k") <= SAMPLE_DOCS).collect()
     out: dict[str, str] = {}
