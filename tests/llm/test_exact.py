@@ -238,6 +238,9 @@ def test_warc(spark, tmp_path):
     rows = [(i, None if i == 5 else f"http://h/{i}\r\nx", h, "x") for i, h in enumerate(html)] + [(None, "u", "lone", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     path = f"file://{tmp_path}/w"
+    warc.write(pages, path, per_file=3, compression="none")
+    assert warc.read(spark, path).filter("gap IS NULL").count() == len(rows)
+    path = f"file://{tmp_path}/z"
     warc.write(pages, path, per_file=3)
     got = {r.page_id: r for r in warc.digests(warc.read(spark, path)).collect()}
     import base64
@@ -268,6 +271,12 @@ def test_salvage():
     found, gaps = warc.salvage(za + bad + zc)
     assert [h["warc-record-id"] for _, h, _ in found] == ["<urn:1>", "<urn:3>"] and sum(n for _, n in gaps) == len(bad)
     assert warc.salvage(b"") == ([], [])
+    many = [rec(n, bytes(np.random.default_rng(n).integers(32, 127, 3000, np.uint8))) for n in range(40)]
+    one = gzip.compress(b"".join(many))
+    bad = one[: len(one) // 2] + b"\0" * 60 + one[len(one) // 2 + 60 :]
+    found, gaps = warc.salvage(bad + zc)
+    ids = [h["warc-record-id"] for _, h, _ in found]
+    assert 10 < len(ids) < 40 and ids[:-1] == [f"<urn:{n}>" for n in range(len(ids) - 1)] and ids[-1] == "<urn:3>" and sum(n for _, n in gaps) == len(bad)
 
 
 def test_mixing(spark):

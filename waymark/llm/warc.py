@@ -1,7 +1,7 @@
 """WARC archives: written by Spark's own text sink, read back by a salvage reader.
 
 A record is one row: headers, CRLF, block; the sink's line separator is the CRLF CRLF that
-ends a record, so each part file is a WARC file (with compression=gzip a gzipped one) on any
+ends a record, so each part file is a WARC file (gzipped, unless compression is none) on any
 file system Spark writes to. Of equal payloads of `least` bytes or more the smallest id is a
 response and the others revisit it; rows that share that id all are responses.
 
@@ -63,20 +63,21 @@ def records(pages: DataFrame, least: int = 0, date: str = DATE) -> DataFrame:
     return own.select("page_id", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"), F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("record"))
 
 
-def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 500, compression: str = "none") -> None:
+def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 500, compression: str = "gzip") -> None:
     records(pages, least).select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at `at`, or None if it is broken."""
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """(content, end) of the gzip member at `at`; a broken one has the content before its damage
+    and no end."""
     d, out, pos = zlib.decompressobj(31), [], at
     try:
         while not d.eof and pos < len(data):
-            out.append(d.decompress(data[pos : pos + (1 << 16)]))
-            pos = min(len(data), pos + (1 << 16))
+            out.append(d.decompress(data[pos : pos + (1 << 12)]))
+            pos = min(len(data), pos + (1 << 12))
     except zlib.error:
-        return None
-    return (b"".join(out), pos - len(d.unused_data)) if d.eof else None
+        return b"".join(out), None
+    return b"".join(out), pos - len(d.unused_data) if d.eof else None
 
 
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
@@ -100,7 +101,8 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
 
 def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int, int]]]:
     """Records as (offset, headers, block) and gaps as (offset, bytes). A record inside a gzip
-    member has the member's offset. Gaps and what was read cover the whole file."""
+    member has the member's offset; of a broken member the records before its damage are
+    recovered, and the member is a gap. Gaps and what was read cover the whole file."""
     found: list[tuple[int, dict, bytes]] = []
     gaps: list[list[int]] = []
 
@@ -113,12 +115,13 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int,
     at = 0
     while at < len(data):
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            if got := _member(data, at):
-                inner, lost = salvage(got[0]) if got[0][:2] != b"\x1f\x8b" else ([], [(0, 1)])
-                found += [(at, head, block) for _, head, block in inner]
+            content, end = _member(data, at)
+            inner, lost = salvage(content) if content[:2] != b"\x1f\x8b" else ([], [(0, 1)])
+            found += [(at, head, block) for _, head, block in inner]
+            if end is not None:
                 if lost and not inner:
-                    skip(at, got[1])
-                at = got[1]
+                    skip(at, end)
+                at = end
                 continue
         elif got2 := _record(data, at):
             found.append((at, got2[0], got2[1]))
