@@ -53,3 +53,110 @@ def test_layer_round_trip(spark, tmp_path):
     assert rows[0].properties == {"name": "é" * 40, "n": "7"} and rows[1].properties == {}
     df.limit(1).write.format("waymark_layer").mode("append").save(path)  # replaced as a whole
     assert layers.scan_layer(spark, path).count() == 1
+
+
+def test_results(spark, tmp_path):
+    import hashlib
+    import json
+
+    from waymark.sources import results
+
+    good = {"detection_index": 1, "x": 1.0, "y": 2.0, "z": 3.0, "class_id": 5, "confidence": 0.9, "pole": {"found": True, "x": 1.5, "y": 2.5, "z": 0.0, "occluded_bottom": True}}
+    doc = {"run_fingerprint": "f", "image_name": "i.jpg", "record_name": "r", "detections": [good, {**good, "detection_index": 2, "x": None}, {**good, "detection_index": 3, "accepted_for_shp": False}, {**good, "detection_index": 4, "pole": {"found": False}}]}
+    (tmp_path / "a.txt").write_text(json.dumps(doc))
+    (tmp_path / "b.txt").write_text(json.dumps(doc)[:-40])
+    (tmp_path / "c.txt").write_text(json.dumps({**doc, "run_fingerprint": "other"}))
+    docs = results.documents(spark, str(tmp_path), "f")
+    rows = results.scan_results(docs).orderBy("detection_index").collect()
+    assert [r.detection_index for r in rows] == [1, 4]
+    assert rows[0].detection_id == "D" + hashlib.sha256(b"r|i.jpg|1").hexdigest()[:19]
+    poles = results.scan_pole_obs(docs).collect()
+    assert [(p.detection_index, p.pole_x, p.pole_occlusion_status) for p in poles] == [(1, 1.5, "OCCLUDED")]
+    out = str(tmp_path / "out")
+    results.sink_frame_json(docs.drop("path"), out)
+    assert results.scan_results(results.documents(spark, out, None, "*.json")).count() == 2
+
+
+def test_calibration(spark, tmp_path):
+    from waymark.sources import calibration
+
+    scan = tmp_path / "Job1" / "Track1.scan"
+    scan.mkdir(parents=True)
+    db = sqlite3.connect(scan / "scan.db")
+    db.execute("CREATE TABLE [SCAN.IMAGING_SENSORS] (ID INTEGER, FRIENDLY_NAME TEXT, INNER_ORIENTATION TEXT, OUTER_ORIENTATION TEXT)")
+    inner = "<A><Camera><Name>c1</Name><SN>s1</SN><Width>10</Width><Height>20</Height><Calib><Model><f>1.5</f></Model></Calib></Camera><Camera><Name>c2</Name><SN>s2</SN></Camera></A>"
+    outer = "<A><Camera><Name>c1</Name><SN>s1</SN><Calib><BoresightExternal><rx>0.25</rx></BoresightExternal></Calib></Camera></A>"
+    db.execute("INSERT INTO [SCAN.IMAGING_SENSORS] VALUES (1, 'pano', ?, ?)", (inner, outer))
+    db.commit()
+    db.close()
+    db = sqlite3.connect(tmp_path / "Job1" / "job.db")
+    db.execute("CREATE TABLE [JOB.SENSORCALIBRATION] (SECTION TEXT, KEYNAME TEXT, KEYVALUE BLOB)")
+    db.executemany("INSERT INTO [JOB.SENSORCALIBRATION] VALUES (?, ?, ?)", [("Laser", "Angles", calibration.encode_hidden("1.5,-2,3e1")), ("Laser", "Name", b"plain"), ("Laser", "Raw", b"\x01\x02\x80")])
+    db.execute("CREATE TABLE [JOB.SETTINGS] (SECTION TEXT, KEYNAME TEXT, KEYVALUE TEXT)")
+    db.execute("INSERT INTO [JOB.SETTINGS] VALUES ('User Data', 'GPSWeek', '2357')")
+    db.commit()
+    db.close()
+    cameras = calibration.scan_cameras(spark, str(tmp_path))
+    got = {r.serial: r for r in cameras.collect()}
+    assert got["s1"].intrinsic == {"Model.f": "1.5"} and got["s1"].extrinsic == {"BoresightExternal.rx": "0.25"} and got["s2"].extrinsic is None
+    keys = calibration.scan_job_calibration(spark, str(tmp_path))
+    assert {r.key: (r.text, r.decoded) for r in keys.collect()} == {"Angles": (None, "1.5,-2,3e1"), "Name": ("plain", None), "Raw": (None, None)}
+    assert calibration.scan_job_week(spark, str(tmp_path)).first().gps_week == 2357
+    rows = calibration.calibration_rows(cameras, keys)
+    assert {(r.component, r.parameter, r.value, r.unit) for r in rows.collect()} == {("Laser", "Angles.0", 1.5, "deg"), ("Laser", "Angles.1", -2.0, "deg"), ("Laser", "Angles.2", 30.0, "deg"), ("c1", "Model.f", 1.5, "unknown"), ("c1", "BoresightExternal.rx", 0.25, "unknown")}
+    calibration.sink_calibration(rows, str(tmp_path / "out"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out" / "csv")).count() == 5
+
+
+def test_delivery(spark, tmp_path):
+    from waymark.sources import delivery
+
+    d = tmp_path / "J1" / "Track_2" / "las"
+    d.mkdir(parents=True)
+    xyz = np.array([[1.0, 2, 3], [4, 5, 6]])
+    for name in ("J9_Track7_3.las", "cloud_12.las", "odd.las"):
+        (d / name).write_bytes(pointclouds.encode_las(xyz, np.zeros((2, 3))))
+    (tmp_path / "J1" / "a.prj").write_text("WKT-A")
+    (tmp_path / "J1" / "b.prj").write_text("WKT-A\n")
+    files = delivery.discover_points(spark, str(tmp_path))
+    named = {r.path.rsplit("/", 1)[1]: r.i for r in files.select("path", delivery.las_identity(files["path"]).alias("i")).collect()}
+    assert tuple(named["J9_Track7_3.las"]) == ("J9", "Track7", 3, "J9_Track7") and tuple(named["cloud_12.las"]) == ("J1", "Track_2", 12, "cloud") and tuple(named["odd.las"]) == (None, "Track_2", None, "odd")
+    head = delivery.scan_headers(spark, str(tmp_path)).first()
+    assert (head.points, head.point_format, head.low, head.high) == (2, 2, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0])
+    texts = delivery.read_sidecars(spark, str(tmp_path)).selectExpr("regexp_replace(path, '^file:/+', 'file:/') AS path", "text")
+    points = files.selectExpr("regexp_replace(path, '^file:/+', 'file:/') AS path")
+    assert {r.crs for r in delivery.crs_sidecars(points, texts, f"file:{tmp_path}").collect()} == {"WKT-A"}
+    (tmp_path / "J1" / "Track_2" / "c.prj").write_text("X")
+    (tmp_path / "J1" / "Track_2" / "d.prj").write_text("Y")
+    texts = delivery.read_sidecars(spark, str(tmp_path)).selectExpr("regexp_replace(path, '^file:/+', 'file:/') AS path", "text")
+    assert {r.crs for r in delivery.crs_sidecars(points, texts, f"file:{tmp_path}").collect()} == {None}
+
+
+def test_previews(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.sources import previews
+
+    df = spark.createDataFrame([(1, i, i * 0.5, 1.0, 2.0, i % 256, 5, 6) for i in range(1000)] + [(2, 0, 1.0, 1.0, 1.0, 1, 2, 3)], "frame_id long, point_id long, x double, y double, z double, red int, green int, blue int")
+    rows = {r.frame_id: r for r in previews.previews(df, previews.SPACE, (F.col("x"), F.col("y"), F.col("z")), 100).collect()}
+    kind, at, rgb = previews.decode(rows[1].preview)
+    assert kind == b"MMSP" and len(at) == 100 and at[0, 0] == 0 and at[-1, 0] == 499.5 and rgb[0].tolist() == [0, 5, 6] and rows[2].points == 1
+    crop = previews.las_crops(df.filter("frame_id = 1").withColumnRenamed("frame_id", "crop_id")).first()
+    assert pointclouds.Las(bytes(crop.las)).count == 1000
+    assert len(previews.encode(previews.SCREEN, np.zeros((0, 3)), np.zeros((0, 3)))) == 40
+
+
+def test_settings():
+    import pytest
+
+    from waymark.sources import settings as T
+
+    options = {"mode": "off", "radius": 1.0, "count": 3, "debug": False}
+    got = T.load("config_version: 1\na:\n  mode: off # no boolean\n  radius: 2\nb:\n  debug: true\n", options, {"radius": (0, 5)})
+    assert got == {"mode": "off", "radius": 2.0, "count": 3, "debug": True}
+    for bad in ("x: 1", "a:\n  count: 1\nb:\n  count: 2", "debug: 1", "radius: 9", "config_version: 2"):
+        with pytest.raises(T.SettingsError):
+            T.load(bad, options, {"radius": (0, 5)})
+    assert T.overlay(options, {"Best": {"count": 9, "mode": "x"}}, "/m/best.pt", {"mode": "y"})["count"] == 9
+    assert T.select_models(["B.pt", "a.pt"], ["A.PT", "b.pt"]) == ["B.pt", "a.pt"]
+    assert T.fingerprint({"a": 1, "path": "x"}, ("path",)) == T.fingerprint({"path": "y", "a": 1}, ("path",))

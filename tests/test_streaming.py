@@ -23,3 +23,26 @@ def test_unseen(spark, tmp_path):
     q = progress.unseen(progress.results(spark, str(tmp_path / "r")), done).writeStream.format("memory").queryName("todo").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.image_name for r in spark.table("todo").collect()} == {"i1", "i2"}
+
+
+def test_states(spark, tmp_path):
+    def run(op, rows, schema, name):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "1.json").write_text("\n".join(map(json.dumps, rows)))
+        q = op(spark.readStream.schema(schema).json(str(d))).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    moves = [("a", 1, "validating"), ("a", 2, "running"), ("a", 3, "pending"), ("a", 4, "succeeded"), ("a", 5, "running"), ("b", 1, "running")]
+    got = run(progress.state_machine, [dict(zip(("job", "seq", "target"), m)) for m in moves], "job string, seq long, target string", "moves")
+    assert {(r.job, r.seq): r.accepted for r in got} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("a", 4): True, ("a", 5): False, ("b", 1): False}
+    shots = [("r", 1, "running", 1), ("r", 2, "running", 1), ("r", 3, "running", 2), ("r", 4, "succeeded", 2), ("r", 5, "succeeded", 3)]
+    got = run(progress.run_events, [dict(zip(("run_id", "seq", "status", "done"), s)) for s in shots], "run_id string, seq long, status string, done long", "events_")
+    assert sorted(r.seq for r in got) == [1, 3, 4]
+    edits = [("l", 1, 0), ("l", 2, 0), ("l", 3, 1)]
+    got = run(progress.overlay_revisions, [dict(zip(("layer", "seq", "expected"), e)) for e in edits], "layer string, seq long, expected long", "revisions")
+    assert sorted((r.seq, r.accepted, r.revision) for r in got) == [(1, True, 1), (2, False, 1), (3, True, 2)]
+    fails = [{"address": "x", "ts": "2024-01-01T00:00:00Z"}, {"address": "x", "ts": "2024-01-01T00:00:05Z"}]
+    got = run(progress.ttl_cache, fails, "address string, ts timestamp", "failures")
+    assert [(r.address, r.state) for r in got if r.state == "failed"] == [("x", "failed")]

@@ -24,7 +24,7 @@ def delimiter(sample: Column) -> Column:
 
 def read_rows(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """path, row (1-based, of lines) and cells of the non-blank lines of every matching file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
     lines = lines.withColumn("sep", delimiter(F.substring("value", 1, 8192))).select("path", "sep", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("row", "line"))
     cells = F.transform(F.split("line", F.concat(F.lit("["), F.col("sep"), F.lit("]"))), lambda c: F.trim(c))
@@ -71,7 +71,7 @@ def scan_frames(*scans: DataFrame) -> DataFrame:
 
 def scan_sidecar(spark: SparkSession, root: str) -> DataFrame:
     """path and the sphere's fields; 0..360 / 0..180 about (180, 90) is the usual sphere."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_Sphere.txt").option("wholetext", "true").text(root)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_Sphere.txt").text(root, wholetext=True)
     lines = F.filter(F.split(F.regexp_replace("value", "^﻿", ""), r"\r\n|\n|\r"), lambda x: F.instr(x, "=") > 0)
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), F.trim(F.regexp_replace(x, "^[^=]*=", ""))))
     values = text.select(F.col("_metadata.file_path").alias("path"), F.map_from_entries(entries).alias("m"))
@@ -85,7 +85,7 @@ def scan_sidecar(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_ini(spark: SparkSession, root: str, section: str) -> DataFrame:
     """path and key/value map of the INI files that hold a section."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ini").option("wholetext", "true").text(root)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ini").text(root, wholetext=True)
     body = F.regexp_extract("value", rf"(?ms)^\[{section}\]\s*$(.*?)(?=^\[|\z)", 1)
     entries = F.transform(F.filter(F.split(body, r"\r\n|\n|\r"), lambda x: F.instr(x, "=") > 0), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), F.trim(F.regexp_replace(x, "^[^=]*=", ""))))
     return text.filter(F.col("value").rlike(rf"(?m)^\[{section}\]\s*$")).select(F.col("_metadata.file_path").alias("path"), F.map_from_entries(entries).alias("values"))

@@ -51,3 +51,95 @@ def _uploads(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def chunk_upload(chunks: DataFrame) -> DataFrame:
     """chunks: file, at, size. Each file's state is its offset; a chunk elsewhere is refused."""
     return chunks.groupBy("file").applyInPandasWithState(_uploads, UPLOAD, "offset long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Which state of a job may follow which.
+MOVES = {
+    "pending": ("validating", "failed", "cancelled"),
+    "validating": ("running", "failed", "cancelled"),
+    "running": ("succeeded", "failed", "cancelled"),
+    "failed": ("retrying",),
+    "retrying": ("running", "failed", "cancelled"),
+    "succeeded": (),
+    "cancelled": (),
+}
+TERMINAL = ("succeeded", "cancelled")
+
+
+def _rows(pdfs: Iterator[pd.DataFrame], order: str) -> list:
+    found = [r for pdf in pdfs for r in pdf.itertuples(index=False)]
+    return sorted(found, key=lambda r: getattr(r, order))
+
+
+def _moves(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now, out = state.get[0] if state.exists else "pending", []
+    for r in _rows(pdfs, "seq"):
+        good = r.target == now or r.target in MOVES.get(now, ())
+        now = r.target if good else now
+        out.append((key[0], int(r.seq), r.target, good, now))
+    state.update((now,))
+    yield pd.DataFrame(out, columns=["job", "seq", "target", "accepted", "state"])
+
+
+def state_machine(requests: DataFrame) -> DataFrame:
+    """requests: job, seq, target. Each job starts pending; moves that aren't allowed are refused."""
+    return requests.groupBy("job").applyInPandasWithState(_moves, "job string, seq long, target string, accepted boolean, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last, out = state.get if state.exists else (None, None), []
+    for r in _rows(pdfs, "seq"):
+        if last[0] in TERMINAL or (r.status, r.done) == tuple(last):
+            continue
+        last = (r.status, int(r.done))
+        out.append((key[0], int(r.seq), *last))
+    if last[0] is not None:
+        state.update(tuple(last))
+    yield pd.DataFrame(out, columns=["run_id", "seq", "status", "done"])
+
+
+def run_events(snapshots: DataFrame) -> DataFrame:
+    """snapshots: run_id, seq, status, done. Only changes are passed on, up to a terminal state."""
+    return snapshots.groupBy("run_id").applyInPandasWithState(_changes, "run_id string, seq long, status string, done long", "status string, done long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _revisions(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now, out = state.get[0] if state.exists else 0, []
+    for r in _rows(pdfs, "seq"):
+        good = int(r.expected) == now
+        now += good
+        out.append((key[0], int(r.seq), good, now))
+    state.update((now,))
+    yield pd.DataFrame(out, columns=["layer", "seq", "accepted", "revision"])
+
+
+def overlay_revisions(edits: DataFrame) -> DataFrame:
+    """edits: layer, seq, expected. An edit counts if it was made on the newest revision; the
+    rows are the audit trail."""
+    return edits.groupBy("layer").applyInPandasWithState(_revisions, "layer string, seq long, accepted boolean, revision long", "revision long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _failures(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(key[0], "expired")], columns=["address", "state"])
+        return
+    last = max(r.ts for r in _rows(pdfs, "ts"))
+    known = state.exists
+    state.update((int(last.timestamp()),))
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + TTL_S * 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame([] if known else [(key[0], "failed")], columns=["address", "state"])
+
+
+TTL_S = 30
+
+
+def ttl_cache(failures: DataFrame) -> DataFrame:
+    """failures: address, ts. An address is remembered for TTL_S seconds after its last failure."""
+    late = failures.withWatermark("ts", "0 seconds")
+    return late.groupBy("address").applyInPandasWithState(_failures, "address string, state string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def heartbeat(stream: DataFrame, write, checkpoint: str, every: str = "10 seconds"):
+    """Calls write(batch, id) once an interval at most: the throttled update of a manifest."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
