@@ -3,7 +3,7 @@ Arrow-fed pandas functions; groups that could grow are cut first by grid or comp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,20 +131,40 @@ def geometric_median(xyz: np.ndarray, weights: np.ndarray, rounds: int = 40, tol
     return centre
 
 
-def pole_consensus(members: pd.DataFrame) -> pd.DataFrame:
-    """One support for the observations of a component: the best of each frame (highest
-    quality, then least index) gives a median centre; those within median + 3 MAD (0.20 m at
-    least) of it are averaged by quality."""
-    best = members.sort_values(["quality", "detection_index"], ascending=[False, True], kind="stable").drop_duplicates("image_name").sort_values("image_name")
-    xyz, w = best[["pole_x", "pole_y", "pole_z"]].to_numpy(float), best["quality"].to_numpy(float)
-    centre = geometric_median(xyz, w)
-    far = np.hypot(*(xyz[:, :2] - centre[:2]).T)
-    mid = np.median(far)
-    near = far <= max(0.20, mid + 3 * np.median(np.abs(far - mid)))
-    xyz, w = xyz[near], w[near]
+def group_arrays(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """One row a group, its columns as arrays in one order: small groups then go to numpy many
+    at a time, not one pandas call each. Groups must be small by nature."""
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("__g"))
+    return g.select(*keys, *[F.col(f"__g.{c}").alias(c) for c in columns])
+
+
+def pole_consensus(images: list[str], index: np.ndarray, xyz: np.ndarray, quality: np.ndarray) -> tuple:
+    """(x, y, z, frames, used, spread) of one support: the best observation of each frame
+    (highest quality, then least index) gives a median centre; those within median + 3 MAD
+    (0.20 m at least) of it are averaged by quality."""
+    best: dict[str, int] = {}
+    for i in np.lexsort((index, -quality)):
+        best.setdefault(images[i], i)
+    rows = [best[k] for k in sorted(best)]
+    xyz, w = xyz[rows], quality[rows]
+    if len(rows) > 1:
+        centre = geometric_median(xyz, w)
+        far = np.hypot(*(xyz[:, :2] - centre[:2]).T)
+        mid = np.median(far)
+        near = far <= max(0.20, mid + 3 * np.median(np.abs(far - mid)))
+        xyz, w = xyz[near], w[near]
     mean = np.average(xyz, axis=0, weights=w)
     spread = float(np.sqrt((w * ((xyz[:, :2] - mean[:2]) ** 2).sum(1)).sum() / w.sum()))
-    return pd.DataFrame({"record_name": [members["record_name"].iloc[0]], "component": [int(members["component"].iloc[0])], "x": [round(mean[0], 6)], "y": [round(mean[1], 6)], "z": [round(mean[2], 6)], "frames": [len(best)], "used": [int(near.sum())], "members": [len(members)], "spread": [round(spread, 6)]})
+    return (*(round(float(c), 6) for c in mean), len(rows), len(xyz), round(spread, 6))
+
+
+def _poles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        rows = []
+        for record, component, images, index, x, y, z, q in p.itertuples(index=False):
+            found = pole_consensus(list(images), np.asarray(index), np.c_[x, y, z].astype(float), np.asarray(q, float))
+            rows.append((record, component, *found[:3], *found[3:5], len(images), found[5]))
+        yield pd.DataFrame(rows, columns=["record_name", "component", "x", "y", "z", "frames", "used", "members", "spread"])
 
 
 def pole_merge(observations: DataFrame, radius: float) -> DataFrame:
@@ -153,7 +173,8 @@ def pole_merge(observations: DataFrame, radius: float) -> DataFrame:
     obs = shared_checkpoint(observations)
     named = components(obs, near_pairs(obs, radius, "obs_id", ("pole_x", "pole_y"), ("record_name",)), "obs_id")
     schema = "record_name string, component long, x double, y double, z double, frames long, used long, members long, spread double"
-    return obs.join(named, "obs_id").groupBy("component").applyInPandas(pole_consensus, schema)
+    groups = group_arrays(obs.join(named, "obs_id"), ("record_name", "component"), ("image_name", "detection_index", "pole_x", "pole_y", "pole_z", "quality"))
+    return groups.mapInPandas(_poles, schema)
 
 
 def complete_link(xy: np.ndarray, images: list[str], reach: float) -> list[list[int]]:
@@ -176,17 +197,18 @@ def complete_link(xy: np.ndarray, images: list[str], reach: float) -> list[list[
         groups[a] = sorted(groups[a] + groups.pop(b))
 
 
-def _dedupe(reach: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["image_name", "detection_index", "obs_id"], kind="stable").reset_index(drop=True)
-        xy = p[["x", "y"]].to_numpy(float)
-        rows = []
-        for group in complete_link(xy, p["image_name"].tolist(), reach):
-            centre = np.hypot(*(xy[group][:, None] - xy[group][None]).transpose(2, 0, 1)).sum(1)
-            key = [(round(c, 9), -int(p["point_count"][i]), -float(p["confidence"][i]), i) for c, i in zip(centre, group)]
-            pick = min(key)[3]
-            rows += [(int(p["obs_id"][i]), int(p["obs_id"][pick]), len(group)) for i in group]
-        return pd.DataFrame(rows, columns=["obs_id", "canonical_id", "size"])
+def _dedupe(reach: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for _, ids, images, index, x, y, count, confidence in p.itertuples(index=False):
+                order = sorted(range(len(ids)), key=lambda i: (images[i], index[i], ids[i]))
+                xy = np.c_[x, y].astype(float)[order]
+                for group in complete_link(xy, [images[i] for i in order], reach):
+                    centre = np.hypot(*(xy[group][:, None] - xy[group][None]).transpose(2, 0, 1)).sum(1)
+                    pick = min((round(float(c), 9), -int(count[order[i]]), -float(confidence[order[i]]), i) for c, i in zip(centre, group))[3]
+                    rows += [(int(ids[order[i]]), int(ids[order[pick]]), len(group)) for i in group]
+            yield pd.DataFrame(rows, columns=["obs_id", "canonical_id", "size"])
 
     return run
 
@@ -199,7 +221,6 @@ def sign_dedupe(signs: DataFrame, reach: float) -> DataFrame:
     own = shared_checkpoint(signs)
     named = components(own, near_pairs(own, reach, "obs_id", ("x", "y"), ("record_name", "class_id")), "obs_id")
     single, several = by_size(own.join(named, "obs_id"))
-    merged = several.groupBy("component").applyInPandas(_dedupe(reach), "obs_id long, canonical_id long, size long")
+    groups = group_arrays(several, ("component",), ("obs_id", "image_name", "detection_index", "x", "y", "point_count", "confidence"))
+    merged = groups.mapInPandas(_dedupe(reach), "obs_id long, canonical_id long, size long")
     return merged.unionByName(single.select("obs_id", F.col("obs_id").alias("canonical_id"), F.lit(1).cast("long").alias("size")))
-
-

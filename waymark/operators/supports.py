@@ -85,7 +85,7 @@ def medoid(df: DataFrame, keys: tuple[str, ...], xy: tuple[str, str], order: lis
     x, y = xy
     rows = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), *[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(keep).alias("keep"))).alias("r"))
     total = lambda a: F.aggregate("r", F.lit(0.0), lambda s, b: s + F.hypot(a["x"] - b["x"], a["y"] - b["y"]))
-    ranked = F.transform("r", lambda a: F.struct(F.round(total(a), 9).alias("far"), *[a[f"o{i}"].alias(f"o{i}") for i in range(len(order))], a["keep"].alias("keep")))
+    ranked = F.transform("r", lambda a: F.struct(F.round(total(a), 6).alias("far"), *[a[f"o{i}"].alias(f"o{i}") for i in range(len(order))], a["keep"].alias("keep")))
     best = F.array_min(ranked)
     return rows.select(*keys, best["keep"].alias(keep), best["far"].alias("distance_sum"), F.size("r").alias("members"))
 

@@ -118,6 +118,29 @@ def rect_fov(points: Column, pano: G.Axes, pano_size: tuple[float, float], view:
     return widest(lambda v: v[0]), widest(lambda v: v[1])
 
 
+def rect_fov_box(df: DataFrame, box: tuple, pano_size: tuple[float, float], view: G.Axes, margin: float, least: float, most: float, name: str = "__fov") -> tuple[DataFrame, tuple[Column, Column]]:
+    """As `rect_fov` for the nine pixels of a box in a panorama of `forward_axes`: sines and
+    cosines of its three columns and rows are shared, and all stays in code generation."""
+    x0, y0, x1, y1 = box
+    width, height = pano_size
+    trig = {}
+    for i, (x, y) in enumerate(((x0, y0), ((x0 + x1) * 0.5, (y0 + y1) * 0.5), (x1, y1))):
+        lon, lat = (x / width - 0.5) * TAU, (0.5 - y / height) * math.pi
+        trig |= {f"{name}_sx{i}": F.sin(lon), f"{name}_cx{i}": F.cos(lon), f"{name}_sy{i}": F.sin(lat), f"{name}_cy{i}": F.cos(lat)}
+    df = df.withColumns(trig)
+    at = lambda k: F.col(f"{name}_{k}")
+    seen = {}
+    for i in range(3):
+        for j in range(3):
+            ray = at(f"cy{j}") * at(f"sx{i}"), at(f"cy{j}") * at(f"cx{i}"), at(f"sy{j}")
+            seen |= {f"{name}_{c}{i}{j}": v for c, v in zip("rua", local(ray, view))}
+    df = df.withColumns(seen)
+    cells = [f"{i}{j}" for i in range(3) for j in range(3)]
+    widest = lambda c: F.greatest(*[F.when(at(f"a{k}") > 1e-6, F.abs(F.atan2(at(f"{c}{k}"), at(f"a{k}")))).otherwise(0.0) for k in cells])
+    field = lambda c: F.least(F.greatest(F.degrees(widest(c) * 2) + 2 * margin, F.lit(max(least, 1.0))), F.lit(most))
+    return df, (field("r"), field("u"))
+
+
 def corridor_box(x0: Column, y0: Column, x1: Column, y1: Column, width: int, height: int, side: float, top: float) -> tuple[Column, Column, Column, Column]:
     """The part of a view under a sign where its support may stand."""
     w, h = F.greatest(F.lit(1.0), x1 - x0), F.greatest(F.lit(1.0), y1 - y0)

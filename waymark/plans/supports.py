@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -146,16 +148,18 @@ def find_poles(spark: SparkSession, sf: str) -> DataFrame:
     return P.find_poles(both).select("detection_id", *[(F.round(f"base_{c}", 1) + 0.0).alias(c) for c in "xyz"], "state")
 
 
-def _median_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    m = C.geometric_median(pdf[["x", "y", "z"]].to_numpy(float), pdf["point_count"].to_numpy(float))
-    return pd.DataFrame({"image_name": [pdf["image_name"].iloc[0]], "x": [m[0]], "y": [m[1]], "z": [m[2]]})
+def _medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        found = [C.geometric_median(np.c_[x, y, z].astype(float), np.asarray(w, float)) for _, x, y, z, w in p.itertuples(index=False)]
+        m = np.array(found).reshape(-1, 3)
+        yield pd.DataFrame({"image_name": p["image_name"], "x": m[:, 0], "y": m[:, 1], "z": m[:, 2]})
 
 
 @query()
 def geo_median(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted geometric median of each image's positions."""
-    d = S.detections(spark, sf).select("image_name", "x", "y", "z", "point_count")
-    return d.groupBy("image_name").applyInPandas(_median_of, "image_name string, x double, y double, z double")
+    groups = C.group_arrays(S.detections(spark, sf), ("image_name",), ("x", "y", "z", "point_count"))
+    return groups.mapInPandas(_medians, "image_name string, x double, y double, z double")
 
 
 def covering(centres: np.ndarray, quality: np.ndarray, sign: np.ndarray, radius: float, direct: float = X.DIRECT_M) -> np.ndarray:
@@ -182,7 +186,7 @@ def seed_cover(spark: SparkSession, sf: str) -> DataFrame:
     return cells.groupBy("area").applyInPandas(_seeds, "area string, cx long, cy long, rank long")
 
 
-@query(S.with_tables("detections", ", d AS (SELECT a.image_name, a.detection_index, a.point_count, a.confidence, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 9) AS far, count(*)::INTEGER AS members FROM detections a JOIN detections b ON a.image_name = b.image_name GROUP BY ALL) SELECT image_name, detection_index, far AS distance_sum, members FROM (SELECT *, row_number() OVER (PARTITION BY image_name ORDER BY far, -point_count, -confidence, detection_index) AS k FROM d) WHERE k = 1"))
+@query(S.with_tables("detections", ", n AS (SELECT *, row_number() OVER () AS r FROM detections), d AS (SELECT a.r, a.image_name, a.detection_index, a.point_count, a.confidence, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS far, count(*)::INTEGER AS members FROM n a JOIN n b ON a.image_name = b.image_name GROUP BY ALL) SELECT image_name, detection_index, far AS distance_sum, members FROM (SELECT *, row_number() OVER (PARTITION BY image_name ORDER BY far, -point_count, -confidence, detection_index) AS k FROM d) WHERE k = 1"))
 def representative(spark: SparkSession, sf: str) -> DataFrame:
     """Medoid of each image's positions; ties by points, confidence and index."""
     order = [-F.col("point_count"), -F.col("confidence"), F.col("detection_index")]

@@ -74,7 +74,7 @@ def rect_fov(spark: SparkSession, sf: str) -> DataFrame:
     """Each detection's own rectified view: axes towards its centre and fields that hold it."""
     x0, y0, x1, y1 = box()
     d, axes = G.roll_stable_axes(S.detections(spark, sf), G.pixel_ray((x0 + x1) / 2, (y0 + y1) / 2, V.forward_axes(), *PANO), const(0, 0, 1), const(1, 0, 0))
-    h, v = V.rect_fov(V.support_pixels(*box()), V.forward_axes(), PANO, axes, 2.0, 8.0, 120.0)
+    d, (h, v) = V.rect_fov_box(d, box(), PANO, axes, 2.0, 8.0, 120.0)
     return d.select(*KEYS, F.round(h, 4).alias("hfov"), F.round(v, 4).alias("vfov"))
 
 
