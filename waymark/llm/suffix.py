@@ -166,7 +166,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int = 0
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     irreducible = np.ones(n, bool)
-    irreducible[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0)
+    # neighbours by chance, whose first symbols differ, say nothing about the next positions
+    irreducible[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (t[:-1] != t[before[:-1]])
     irreducible[0] = True
     heads = np.flatnonzero(irreducible)
     packed = np.zeros(n + 8, np.uint64)
