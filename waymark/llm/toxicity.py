@@ -42,7 +42,8 @@ STEPS = 40
 #: Evidence that labels a token: weighted share of toxic documents among those with the feature,
 #: and the chance that any feature has its count by luck, if toxic documents were TILT times as
 #: likely to have it.
-SHARE, CHANCE, TILT = 0.9, 1e-3, 1.5
+SHARE, CHANCE, TILT = 0.9, 1e-2, 1.5
+FAINT = 0.2
 #: Least hashes of three words by which near copies are known, and the share of them that tells.
 SKETCH, ALIKE = 16, 0.25
 #: Words remembered in a worker, and characters scored at a time.
@@ -56,8 +57,8 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_WORDS).split()
 
 
-def slots(words: list[bytes]) -> np.ndarray:
-    """Twelve hashed features a word: itself, its prefixes of 3 to 9 bytes and its suffixes of
+def features(words: list[bytes]) -> np.ndarray:
+    """Twelve 64-bit features a word: itself, its prefixes of 3 to 9 bytes and its suffixes of
     3 to 6; all are differences of one running polynomial hash."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -65,17 +66,22 @@ def slots(words: list[bytes]) -> np.ndarray:
     total = np.r_[np.zeros(1, np.uint64), np.add.accumulate(data * up[: len(data)])]
     begin = np.cumsum(sizes) - sizes
     end = begin + sizes
-    out = np.empty((len(words), 12), np.int64)
+    out = np.empty((len(words), 12), np.uint64)
     parts = [(begin, end), *((begin, np.minimum(begin + k, end)) for k in range(3, 10)), *((np.maximum(end - k, begin), end) for k in range(3, 7))]
     for k, (x, y) in enumerate(parts):
         kind = 0 if not k else 1 if k < 8 else 2  # equal strings of different kinds differ
         h = (total[y] - total[x]) * down[np.minimum(x, len(down) - 1)] + np.uint64(kind)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x94D049BB133111EB)
-        out[:, k] = (h >> np.uint64(40)).astype(np.int64) % FEATURES
+        out[:, k] = h
     return out
 
 
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """Places of features in the table of weights."""
+    return (hashes >> np.uint64(40)).astype(np.int64) % FEATURES
+
+
 def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, size and document of each sequence, longest first."""
     starts = np.r_[0, np.cumsum(lengths)]
@@ -141,9 +147,10 @@ def toxic_odds(emission: np.ndarray, layout: tuple, trans: np.ndarray) -> np.nda
 
 
 def _summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """By document: 1, log of the expected toxic words, the greatest marginal, their density."""
+    """By document: 1, log of the expected toxic words, the greatest marginal, their density.
+    Marginals under FAINT count nothing: in a long text they would add up to a word."""
     own = np.repeat(np.arange(len(lengths)), lengths)
-    total = np.bincount(own, p, len(lengths))
+    total = np.bincount(own, np.where(p >= FAINT, p, 0), len(lengths))
     top = np.zeros(len(lengths))
     np.maximum.at(top, own, p)
     return np.stack([np.ones(len(lengths)), np.log1p(total), top, np.log1p(100 * total / np.maximum(lengths, 1))], 1)
@@ -161,7 +168,7 @@ class Field:
         found = list(map(self.known.get, words))
         if None in found:
             new = list({w for w, x in zip(words, found) if x is None})
-            value = dict(zip(new, (self.weights[slots(new)].sum(1) + self.bias).tolist()))
+            value = dict(zip(new, (self.weights[slots(features(new))].sum(1) + self.bias).tolist()))
             if len(self.known) > MEMORY:
                 self.known.clear()
             self.known.update(value)
@@ -220,18 +227,22 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
     lengths = np.array([len(s) for s in split], np.int64)
     own = np.repeat(np.arange(len(split)), lengths)
     vocabulary = list(index)
-    slots_ = slots(vocabulary)
+    hashes = features(vocabulary)
+    slots_ = slots(hashes)
     # token labels from document frequencies of the features
     pairs = np.unique(own * len(vocabulary) + ids)
-    bad, good = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
-    for k in range(slots_.shape[1]):
-        per_doc = np.unique(pairs // len(vocabulary) * FEATURES + slots_[pairs % len(vocabulary), k])
-        which, label = per_doc % FEATURES, y[per_doc // FEATURES]
-        bad += np.bincount(which[label], minlength=FEATURES)
-        good += np.bincount(which[~label], minlength=FEATURES)
-    support = math.log(max(1, np.count_nonzero(bad + good)) / CHANCE) / -math.log(min(0.7, TILT * y.mean()))
-    clear = (bad >= support) & (bad >= SHARE * (bad + good * (y.sum() / (~y).sum())))
-    sign = clear[slots_].any(1)
+    doc, word = pairs // len(vocabulary), pairs % len(vocabulary)
+    counts = []
+    for k in range(hashes.shape[1]):  # features themselves, not their slots, which some share
+        _, which = np.unique(hashes[:, k], return_inverse=True)
+        n = int(which.max()) + 1
+        per_doc = np.unique(doc * n + which[word])
+        label = y[per_doc // n]
+        counts.append((which, np.bincount(per_doc[label] % n, minlength=n), np.bincount(per_doc[~label] % n, minlength=n)))
+    support = math.log(sum(len(bad) for _, bad, _ in counts) / CHANCE) / -math.log(min(0.7, TILT * y.mean()))
+    sign = np.zeros(len(vocabulary), bool)
+    for which, bad, good in counts:
+        sign |= ((bad >= support) & (bad >= SHARE * (bad + good * (y.sum() / (~y).sum()))))[which]
     gold = (sign[ids] & y[own]).astype(np.float64)
     # the field
     layout = _layout(lengths)
