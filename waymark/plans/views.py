@@ -96,17 +96,6 @@ def bbox_to_pano(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*KEYS, *[F.round(c, 3).alias(n) for c, n in zip(found, ("u0", "v0", "u1", "v1"))])
 
 
-@query(S.with_tables("detections", "SELECT image_name, detection_index, 4::INTEGER AS n, round(x0 / 4, 3) AS x0, round(y0 / 4, 3) AS y0 FROM detections WHERE y0 < 1000"))
-def forward_bbox_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    """Polygons of a forward view in the panorama and back."""
-    x0, y0, x1, y1 = (c / 4 for c in box())
-    view = (V.forward_axes(), (1024.0, 1024.0), F.lit(90.0), F.lit(90.0))
-    d = S.detections(spark, sf).filter("y0 < 1000").withColumn("p", V.pixels((x0, y0), (x1, y0), (x1, y1), (x0, y1)))
-    d = d.withColumn("q", V.unwrap(V.persp_to_pano(F.col("p"), *view, V.forward_axes(), PANO), PANO[0]))
-    d = d.withColumn("back", V.pano_to_persp(F.col("q"), V.forward_axes(), PANO, *view))
-    return d.select(*KEYS, F.size("back").alias("n"), F.round(F.col("back")[0]["x"], 3).alias("x0"), F.round(F.col("back")[0]["y"], 3).alias("y0"))
-
-
 @query(S.with_tables("detections", "SELECT image_name, detection_index, least(greatest(x0, 0), 2047) AS x0, least(greatest(y0, 0), 511) AS y0, greatest(least(greatest(x0, 0), 2047) + 1, least(x1, 2048)) AS x1, greatest(least(greatest(y0, 0), 511) + 1, least(y1, 512)) AS y1 FROM detections"))
 def bbox_clamp(spark: SparkSession, sf: str) -> DataFrame:
     return S.detections(spark, sf).select(*KEYS, *[c.alias(n) for c, n in zip(V.clamp_box(*box(), 2048, 512), BOX)])
