@@ -7,15 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def tiered_match(left: DataFrame, files: DataFrame, key: str, tier: Column, order: list[Column], most: int, keep: tuple[str, ...], few: int = 10_000) -> DataFrame:
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast, after a count: more than `most` rows are an error that asks for
+    a narrower scope."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows; narrow the scope first")
+    return F.broadcast(df)
+
+
+def tiered_match(left: DataFrame, files: DataFrame, key: str, tier: Column, order: list[Column], most: int, keep: tuple[str, ...], most_files: int = 10_000) -> DataFrame:
     """For each row of left the files of its best tier (0 is exact and goes uncapped), ranked.
 
     Every file is a candidate of every frame, so files must be few: they are broadcast, and
-    more than `few` of them are an error that asks for a narrower scope."""
-    n = files.limit(few + 1).count()
-    if n > few:
-        raise ValueError(f"over {few} files; narrow the scope first")
-    found = left.join(F.broadcast(files)).withColumn("tier", tier)
+    more than `most_files` of them are an error."""
+    found = left.join(few(files, most_files)).withColumn("tier", tier)
     found = found.withColumn("__best", F.min("tier").over(W.partitionBy(key))).filter("tier = __best")
     found = found.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
     return found.filter((F.col("tier") == 0) | (F.col("rank") <= most)).select(key, *keep, "tier", "rank")

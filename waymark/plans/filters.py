@@ -115,12 +115,12 @@ def crop_extent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(S.with_tables("frames files", ", d AS (SELECT frame_id, min(sqrt(greatest(min_x - ox, 0, ox - max_x) ** 2 + greatest(min_y - oy, 0, oy - max_y) ** 2)) AS d FROM frames, files GROUP BY frame_id) SELECT frame_id, round(d, 6) + 0.0 AS distance FROM d WHERE d > 25"))
 def proximity_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames whose nearest file is too far; the files are few and fixed, hence broadcast."""
+    """Frames whose nearest file is too far; the files are few and counted first."""
     from waymark.operators.geometry import bbox_distance_2d
+    from waymark.operators.matching import few
 
     d = bbox_distance_2d(F.col("ox"), F.col("oy"), tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")))  # type: ignore[arg-type]
-    files = S.files(spark, sf)
-    both = S.frames(spark, sf).join(F.broadcast(files.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
+    both = S.frames(spark, sf).join(few(S.files(spark, sf)))
     return both.groupBy("frame_id").agg(F.min(d).alias("d")).filter("d > 25").select("frame_id", (F.round("d", 6) + 0.0).alias("distance"))
 
 

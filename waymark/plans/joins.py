@@ -91,7 +91,7 @@ def match_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(S.with_tables("frames files", f", k AS (SELECT frame_id, file_id, row_number() OVER (PARTITION BY frame_id ORDER BY {_DIST}, file_id) AS rank FROM frames JOIN files ON track_id % 10 = file_id) SELECT frame_id, file_id, rank::INTEGER AS rank FROM k WHERE rank <= 6"))
 def match_files_legacy(spark: SparkSession, sf: str) -> DataFrame:
-    joined = S.frames(spark, sf).withColumn("route", F.col("track_id") % 10).join(F.broadcast(S.files(spark, sf)), F.col("route") == F.col("file_id"))
+    joined = S.frames(spark, sf).withColumn("route", F.col("track_id") % 10).join(S.files(spark, sf), F.col("route") == F.col("file_id"))
     distance = G.bbox_distance_2d(F.col("ox"), F.col("oy"), tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")))  # type: ignore[arg-type]
     rank = F.row_number().over(W.partitionBy("frame_id").orderBy(distance, "file_id"))
     return joined.select("frame_id", "file_id", rank.alias("rank")).filter("rank <= 6")

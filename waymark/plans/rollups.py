@@ -125,7 +125,7 @@ def align_estimate(spark: SparkSession, sf: str) -> DataFrame:
     d = S.detections(spark, sf)
     m = d.groupBy("record_name").agg(F.median("y0").alias("centre"))
     mad = F.median(F.abs(F.col("y0") - F.col("centre")))
-    return d.join(F.broadcast(m), "record_name").groupBy("record_name").agg(F.first("centre").alias("median"), mad.alias("mad"), ((F.count("*") >= 3) & (mad <= 200)).alias("stable"))
+    return d.join(m, "record_name").groupBy("record_name").agg(F.first("centre").alias("median"), mad.alias("mad"), ((F.count("*") >= 3) & (mad <= 200)).alias("stable"))
 
 
 @query(S.with_tables("runs", "SELECT status, count(*) AS runs, count(DISTINCT dataset_id) AS datasets, round(sum(cost), 2) AS cost FROM runs GROUP BY status"))
@@ -144,7 +144,7 @@ def weighted_spread(spark: SparkSession, sf: str) -> DataFrame:
     p, q = S.pole_observations(spark, sf), F.col("quality")
     w = p.groupBy("record_name").agg(F.sum(q).alias("s"), (F.sum(q * F.col("pole_x")) / F.sum(q)).alias("cx"), (F.sum(q * F.col("pole_y")) / F.sum(q)).alias("cy"))
     d2 = (F.col("pole_x") - F.col("cx")) ** 2 + (F.col("pole_y") - F.col("cy")) ** 2
-    return p.join(F.broadcast(w), "record_name").groupBy("record_name").agg(F.round(F.first("cx"), 4).alias("cx"), F.round(F.first("cy"), 4).alias("cy"), F.round(F.sqrt(F.sum(q * d2) / F.first("s")), 4).alias("spread"))
+    return p.join(w, "record_name").groupBy("record_name").agg(F.round(F.first("cx"), 4).alias("cx"), F.round(F.first("cy"), 4).alias("cy"), F.round(F.sqrt(F.sum(q * d2) / F.first("s")), 4).alias("spread"))
 
 
 @query(S.with_tables("frames", "SELECT record_name, track_id, count(*) AS n FROM frames GROUP BY ROLLUP (record_name, track_id)"))

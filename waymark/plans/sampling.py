@@ -80,9 +80,10 @@ def page(spark: SparkSession, sf: str) -> DataFrame:
 def topk_files(spark: SparkSession, sf: str) -> DataFrame:
     from waymark.functions.vectors import vec
     from waymark.operators.geometry import bbox_distance_3d
+    from waymark.operators.matching import few
 
     d = bbox_distance_3d(vec("ox", "oy", "oz"), vec("min_x", "min_y", "min_z"), vec("max_x", "max_y", "max_z"))
-    both = S.frames(spark, sf).join(F.broadcast(S.files(spark, sf).withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
+    both = S.frames(spark, sf).join(few(S.files(spark, sf)))
     k = F.row_number().over(W.partitionBy("frame_id").orderBy(d, "file_id"))
     return both.select("frame_id", "file_id", k.alias("k")).filter("k <= 2").drop("k")
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.tables import ordinals
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -65,7 +65,7 @@ def overlay_update(spark: SparkSession, sf: str) -> DataFrame:
 def sink_overlay_edit(spark: SparkSession, sf: str) -> DataFrame:
     """What an edited layer writes: rows not deleted, in order."""
     f = S.features(spark, sf).filter("NOT deleted").select("id", "name")
-    return f.withColumn("ordinal", F.row_number().over(W.orderBy("id")).cast("long"))
+    return ordinals(f, ("id",))
 
 
 @query(S.with_tables("runs", "SELECT dataset_id, count(*) AS total, count(*) FILTER (WHERE status = 'O') AS queued, max(finished_at) AS updated FROM runs GROUP BY dataset_id"))

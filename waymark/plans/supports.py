@@ -226,7 +226,7 @@ def align_decide(spark: SparkSession, sf: str) -> DataFrame:
     dx = (F.regexp_extract("image_name", r"(\d+)$", 1).cast("long") * 31 + F.col("detection_index")) % 5 - 2
     t = S.detections(spark, sf).select("record_name", dx.alias("dx"))
     m = t.groupBy("record_name").agg(F.count("*").alias("n"), F.median("dx").alias("centre"))
-    d = t.join(F.broadcast(m), "record_name").groupBy("record_name").agg(F.first("n").alias("n"), F.median(F.abs(F.col("dx") - F.col("centre"))).alias("mad"), F.bool_or(F.abs("dx") >= 3).alias("edge"))
+    d = t.join(m, "record_name").groupBy("record_name").agg(F.first("n").alias("n"), F.median(F.abs(F.col("dx") - F.col("centre"))).alias("mad"), F.bool_or(F.abs("dx") >= 3).alias("edge"))
     return d.select("record_name", F.when(F.col("n") < 3, "insufficient_data").when((F.col("mad") <= 1) & ~F.col("edge"), "recommendation").otherwise("ambiguous").alias("status"))
 
 

@@ -105,7 +105,7 @@ def matched_crs(spark: SparkSession, sf: str) -> DataFrame:
     """The reference system of the files a track uses, if each has one and they agree."""
     f = S.frames(spark, sf).select("track_id").distinct()
     p = S.files(spark, sf).select("file_id", F.when(F.col("file_id") == 4, "b").when(F.col("file_id") != 3, "a").alias("own"))
-    used = f.withColumn("file_id", F.explode(F.array_distinct(F.array(F.col("track_id") % 10, F.col("track_id") % 5)))).join(F.broadcast(p), "file_id")
+    used = f.withColumn("file_id", F.explode(F.array_distinct(F.array(F.col("track_id") % 10, F.col("track_id") % 5)))).join(p, "file_id")
     return used.groupBy("track_id").agg(F.when((F.count("own") == F.count("*")) & (F.countDistinct("own") == 1), F.min("own")).alias("crs"))
 
 
@@ -277,7 +277,7 @@ def sample_points(spark: SparkSession, sf: str) -> DataFrame:
     b = S.blocks(spark, sf).withColumn("d", bbox_distance_2d(lit(200), lit(160), tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")))).filter("d <= 25")  # type: ignore[arg-type]
     b = b.withColumn("k", F.row_number().over(W.partitionBy("file_id").orderBy("d", "block_id"))).filter("k <= 32")
     b = b.select("file_id", "block_id", F.ceil(40 / F.count("*").over(W.partitionBy("file_id"))).alias("quota"))
-    p = S.points(spark, sf).select("file_id", "block_id", "point_id").join(F.broadcast(b), ["file_id", "block_id"])
+    p = S.points(spark, sf).select("file_id", "block_id", "point_id").join(b, ["file_id", "block_id"])
     return even_sample(p, ("file_id", "block_id"), ["point_id"], F.col("quota")).select("file_id", "block_id", "point_id")
 
 
