@@ -68,6 +68,33 @@ def test_toxic_spans():
     assert toxicity.fit(["a"], [0]) is None and 0 <= field.score([""])[0] < 0.5
 
 
+def test_near_copies_are_no_evidence():
+    rng = np.random.default_rng(3)
+    parts = ["ta", "ko", "mi", "re", "su", "lo", "ne", "ba", "du", "fi"]
+    word = lambda: "".join(rng.choice(parts, rng.integers(2, 5)))
+    text = lambda n: [word() for _ in range(n)]
+    texts, labels = [], []
+    for k in range(160):
+        t = text(60)
+        if k % 4 == 0:
+            t[k % 60] = "vilething"
+        texts.append(" ".join(t))
+        labels.append(int(k % 4 == 0))
+    base = text(80)
+    base[5] = "vilething"
+    for _ in range(40):  # near copies of one toxic text
+        t = list(base)
+        for p in rng.choice(np.arange(6, 80), 3, replace=False):
+            t[p] = word()
+        texts.append(" ".join(t))
+        labels.append(1)
+    assert len(toxicity.distinct([toxicity.words_of(t) for t in texts])) < 170
+    field = toxicity.fit(texts, labels)
+    clean = [" ".join(text(200)) for _ in range(50)] + [" ".join(base[6:] * 20)]
+    assert (field.score(clean) < 0.5).all()
+    assert (field.score([c + " vilething" for c in clean[:50]]) >= 0.5).all()
+
+
 @needs_data
 def test_language_accuracy(spark):
     docs = table(spark, DATA, "documents")
