@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.tables import ordinals
+
 
 def islands(df: DataFrame, keys: tuple[str, ...], position: str) -> DataFrame:
     """Adds island (equal for consecutive positions of a key) and gap (to the one before)."""
@@ -47,5 +49,6 @@ def water_fill(sizes: DataFrame, key: str, size: str, budget: int, order: str) -
     quota = full.withColumn("q", F.least(F.col(size), F.col("level")))
     used = quota.agg(F.sum("q").alias("used"))
     left = quota.crossJoin(F.broadcast(used)).withColumn("more", (F.col(size) > F.col("level")).cast("int"))  # one row
-    turn = F.sum("more").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return left.withColumn("quota", F.col("q") + ((F.col("more") == 1) & (turn <= F.lit(budget) - F.col("used"))).cast("long")).select(key, F.col("quota").cast("long").alias("quota"))
+    waiting = ordinals(left.filter("more = 1").select(*dict.fromkeys((key, order))), (order,), "__turn").select(key, "__turn")
+    extra = F.coalesce(F.col("__turn") <= F.lit(budget) - F.col("used"), F.lit(False)).cast("long")
+    return left.join(waiting, key, "left").select(key, (F.col("q") + extra).cast("long").alias("quota"))
