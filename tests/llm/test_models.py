@@ -37,6 +37,29 @@ def test_cross_parsing():
     assert model.predict([None, "", "123 --", "the mat"])[0] == ["und", "und", "und", "a"]
 
 
+def test_letters_of_all_scripts(monkeypatch):
+    rng = np.random.default_rng(5)
+    latin, cyrillic = [chr(97 + i) for i in range(26)], [chr(0x430 + i) for i in range(32)]
+    han = [chr(0x4E00 + i) for i in range(300)]
+    text = lambda abc, n: " ".join("".join(rng.choice(abc, 5)) for _ in range(n))
+    greek, thai = [chr(0x3B1 + i) for i in range(17)], [chr(0xE01 + i) for i in range(30)]
+    scripts = {"latin": latin, "cyrillic": cyrillic, "greek": greek, "thai": thai, "han": han}
+    samples = {k: text(v, 900 if k in ("latin", "cyrillic") else 300) for k, v in scripts.items()}
+    texts = [text(v, 30) for v in scripts.values()]
+    model = language_id.Model(samples)
+    assert model.predict(texts)[0] == list(scripts)
+    monkeypatch.setattr(language_id, "CELLS", 1)  # no columns for letters: all are searched
+    assert (language_id.Model(samples).phrases(texts)[0] == model.phrases(texts)[0]).all()
+
+
+def test_every_language_is_learned(spark):
+    copies = [(i, "copied " + "abcdefghij"[i % 5] * 9, "copies") for i in range(20_000)]
+    others = [(i, f"text of {i}", f"l{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string")
+    samples = dict(language_id.learn(docs))
+    assert len(samples) == 231 and sorted(samples["copies"].split()[1::2]) == [c * 9 for c in "abcde"]
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     e, trans = rng.normal(size=5), rng.normal(size=(2, 2))

@@ -51,16 +51,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def thin(rows: DataFrame, group: str, order: Column, count: int, groups: int) -> DataFrame:
-    """About 4 * count rows of each of the `groups` commonest groups (all, where there are
-    fewer), by a hash threshold set from the pre-aggregated counts. Whatever the input's size,
-    no more than that is left to rank, so the exact choice of `count` rows moves little."""
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
-    if not sizes:
-        return rows.filter("false")
+def thin(rows: DataFrame, group: str, order: Column, count: int) -> DataFrame:
+    """About 4 * count rows of each group (all, where there are fewer), by a hash threshold set
+    from the pre-aggregated counts. Rows of a group must differ in `order`, as equal ones would
+    stay or go together. Whatever the input's size, no more than that is left to rank, so the
+    exact choice of `count` rows moves little."""
+    sizes = rows.groupBy(group).count().filter(F.col(group).isNotNull()).collect()
     parts = 1 << 40
-    least = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(parts, parts * 4 * count // r[1] + 1))])
-    return rows.filter(F.pmod(order, F.lit(parts)) < F.coalesce(least[F.col(group)], F.lit(0)))
+    least = [(r[0], min(parts, parts * 4 * count // r[1] + 1)) for r in sizes]
+    kind = rows.schema[group].dataType.simpleString()
+    bounds = rows.sparkSession.createDataFrame(least, f"`{group}` {kind}, __least long")  # a row a group
+    return rows.join(F.broadcast(bounds), group).filter(F.pmod(order, F.lit(parts)) < F.col("__least")).drop("__least")
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,9 @@ which is 0 for a tie; ties go to the language that sorts first. Repeated rows ar
 null ids are kept (and never trained on or held out), extra columns ignored. With no labelled
 text at all, every text is `und`.
 
-The sample is the documented bound of the training: SAMPLE_DOCS documents a language of at
-most SAMPLE_CHARS characters each, least hash first, and SAMPLE_TOTAL characters in all.
+The sample is the documented bound of the training: SAMPLE_DOCS different texts a language
+of at most SAMPLE_CHARS characters each, least hash first, and SAMPLE_TOTAL characters in all. Every label is learned, and every letter of the samples is kept apart; only
+letters that no sample holds share a class, which no phrase can contain.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, thin
+from .common import by_bytes, kept, thin
 
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 60, 4000, 40_000
 SEGMENT = 1024
-#: The commonest labels are learned, so many at most.
-MAX_LANGS = 200
-#: Letters kept apart; rarer ones share a class.
-LETTERS = 62
+#: Table columns of a language at most (its commonest letters; the others are searched), and
+#: cells of all tables together, below which many languages have fewer columns.
+COLUMNS, CELLS = 64, 1 << 26
 _CHUNK = 1 << 21
 
 
@@ -49,9 +49,10 @@ def _is_letter() -> np.ndarray:
 
 class Automaton:
     """Suffix automaton as a table: row = state, column = class of character. An entry is
-    twice the next state, plus 1 where a new phrase begins."""
+    twice the next state, plus 1 where a new phrase begins. Classes from `width` on have no
+    column: their entries are searched by state * classes + class."""
 
-    def __init__(self, codes: list[int], classes: int) -> None:
+    def __init__(self, codes: list[int], classes: int, width: int) -> None:
         link, length, nxt, last = [-1], [0], [{}], 0
         for c in codes:
             cur = len(nxt)
@@ -76,13 +77,31 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        root = np.array([nxt[0].get(c, 0) for c in range(classes)], np.int32)
-        self.table = np.tile(root * 2 + 1, (len(nxt), 1)).astype(np.int32)
+        self.states, self.width = len(nxt), min(width, classes)
+        self.root = np.array([nxt[0].get(c, 0) for c in range(classes)], np.int32) * 2 + 1
+        self.table = np.tile(self.root[: self.width], (len(nxt), 1)).astype(np.int32)
+        rare = {}
         for s, own in enumerate(nxt):
             if s:
                 for c, to in own.items():
-                    self.table[s, c] = to * 2
-        self.table = self.table.ravel()
+                    if c < self.width:
+                        self.table[s, c] = to * 2
+                    else:
+                        rare[s * classes + c] = to * 2
+        self.table, self.classes = self.table.ravel(), classes
+        self.keys = np.array(sorted(rare), np.int64)
+        self.values = np.array([rare[k] for k in self.keys.tolist()], np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.width == self.classes:
+            return self.table[state * self.width + c]
+        out = self.table[state * self.width + np.minimum(c, self.width - 1)]
+        at = np.flatnonzero(c >= self.width)
+        if len(at):
+            key = state[at] * self.classes + c[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[at] = np.where(self.keys[place] == key, self.values[place], self.root[c[at]])
+        return out
 
 
 class Model:
@@ -92,18 +111,18 @@ class Model:
         seen = Counter()
         for p in points.values():
             seen.update(p[_is_letter()[p]].tolist())
-        self.lookup = np.where(_is_letter(), 1, 0).astype(np.uint8)  # 0: space, 1: other letters
-        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+        self.lookup = np.where(_is_letter(), 1, 0).astype(np.uint32)  # 0: space, 1: letters of no sample
+        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             self.lookup[c] = i + 2
-        self.classes = LETTERS + 2
-        tables, at = [], 0
-        self.roots = []
+        width = max(2, min(COLUMNS, CELLS // max(1, 2 * sum(map(len, points.values())))))
+        self.own, self.automata = [], []
         for lang in self.langs:
-            own = Automaton(self.squeeze(self.lookup[points[lang]]).tolist(), self.classes).table
-            self.roots.append(at)
-            tables.append(own + 2 * at)
-            at += len(own) // self.classes
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            codes = self.squeeze(self.lookup[points[lang]])
+            letters = [c for c, _ in sorted(Counter(codes[codes > 1].tolist()).items(), key=lambda x: (-x[1], x[0]))]
+            own = np.ones(len(seen) + 2, np.int64)  # the language's classes: 0, 1 (not its letter), its letters
+            own[0], own[letters] = 0, np.arange(len(letters)) + 2
+            self.own.append(own)
+            self.automata.append(Automaton(own[codes].tolist(), len(letters) + 2, width))
 
     @staticmethod
     def squeeze(codes: np.ndarray) -> np.ndarray:
@@ -117,7 +136,7 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         if not self.langs or not len(texts):
             return out, letters
-        flat = np.concatenate([*codes, np.zeros(1, np.uint8)])
+        flat = np.concatenate([*codes, np.zeros(1, np.uint32)])
         starts = np.r_[0, np.cumsum([len(c) for c in codes])]
         seg, own = [], []
         for i, c in enumerate(codes):
@@ -127,14 +146,14 @@ class Model:
         size = np.minimum(SEGMENT, starts[own + 1] - seg) if len(own) else seg
         order = np.argsort(-size, kind="stable")
         seg, own, size = seg[order], own[order], size[order]
-        for k, root in enumerate(self.roots):
-            state = np.full(len(seg), root, np.int64)
+        for k, (own_class, automaton) in enumerate(zip(self.own, self.automata)):
+            state, chars = np.zeros(len(seg), np.int64), own_class[flat]
             count = np.ones(len(seg), np.int64)  # the first phrase
             live = len(seg)
             for step in range(int(size[0]) if len(size) else 0):
                 while live and size[live - 1] <= step:
                     live -= 1
-                v = self.table[state[:live] * self.classes + flat[seg[:live] + step]]
+                v = automaton.step(state[:live], chars[seg[:live] + step])
                 if step:
                     count[:live] += v & 1
                 state[:live] = v >> 1
@@ -171,10 +190,12 @@ def learn(docs: DataFrame, by_hash_only_if=None) -> tuple[tuple[str, str], ...]:
     rows = docs.select(docs["doc_id"], docs["text"], docs["lang"])
     if by_hash_only_if is not None:
         rows = rows.filter(by_hash_only_if)
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("text"))
-    rows = thin(rows, "lang", F.col("h"), SAMPLE_DOCS, MAX_LANGS).dropDuplicates(["lang", "h"])  # copies of a text are one sample
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    picked = rows.select("lang", "text", F.row_number().over(first).alias("k"), "h").filter(F.col("k") <= SAMPLE_DOCS).collect()
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = kept(rows.select("lang", "h").distinct(), "hashes")  # copies of a text are one sample
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = thin(texts, "lang", F.col("h"), SAMPLE_DOCS).select("lang", "h", F.row_number().over(first).alias("k")).filter(F.col("k") <= SAMPLE_DOCS)
+    picked = docs.sparkSession.createDataFrame(picked.collect(), "lang string, h long, k int")  # SAMPLE_DOCS a language
+    picked = rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
     out: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["k"])):
         if len(out.get(r["lang"], "")) < SAMPLE_TOTAL:

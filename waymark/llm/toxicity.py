@@ -288,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     # ids first, so that no texts are moved but those chosen
     sizes = docs.select(docs["doc_id"], F.length(docs["text"]).alias("n")).filter(F.col("n") <= SAMPLE_CHARS)
     most = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
-    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), max(SAMPLE_TOXIC, SAMPLE_CLEAN), 2)
+    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), max(SAMPLE_TOXIC, SAMPLE_CLEAN))
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = ids.select("doc_id", "toxic", F.row_number().over(first).alias("k")).filter(F.col("k") <= most).collect()
     label = {r["doc_id"]: r["toxic"] for r in picked}
