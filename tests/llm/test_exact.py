@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -254,6 +255,34 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path).filter("gap IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_damage_costs_one_record(spark, tmp_path, compression):
+    import glob
+    import gzip
+
+    rng = np.random.default_rng(8)
+    html = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").selectExpr("page_id", "'http://h/' AS url", "html").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w", compression=compression)
+    (name,) = glob.glob(f"{tmp_path}/w/part-*")
+    data = bytearray(open(name, "rb").read())
+    plain = gzip.decompress(data) if compression == "gzip" else bytes(data)
+    assert [int(h["warc-record-id"][10:-1]) for _, h, _ in warc.salvage(plain)[0]] == [int(x) for x in re.findall(rb"WARC-Record-ID: <urn:page:(\d+)>", plain)]
+    starts = [at for at, *_ in warc.salvage(bytes(data))[0]]
+    assert len(set(starts)) == 40
+    data[starts[20] + 800] ^= 1
+    found, gaps = warc.salvage(bytes(data))
+    assert [at for at, *_ in found] == starts[:20] + starts[21:]
+    assert gaps == [(starts[20], starts[21] - starts[20])]
+
+
+def test_members_of_any_size():
+    import gzip
+
+    for size in (0, 5, (1 << 24) - 1, (1 << 24) + 7):
+        assert gzip.decompress(warc._member_row(b"x" * size) + b"\0") == b"x" * size
+
+
 def test_salvage():
     import gzip
 

@@ -1,11 +1,14 @@
 """WARC archives: written by Spark's own text sink, read back by a salvage reader.
 
-A record is one row: headers, CRLF, block; the sink's line separator is the CRLF CRLF that
-ends a record, so each part file is a WARC file (gzipped, unless compression is none) on any
-file system Spark writes to. Of equal payloads of `least` bytes or more the smallest id is a
+A record is headers, CRLF, block and the CRLF CRLF that ends it. With gzip each record is a
+member of its own, as the standard asks, so damage to one never reaches the next. Tasks gzip
+the records; the text sink writes them as they are, with a line separator of one zero byte,
+which is the last byte of each member. So each part file is a WARC file on any file system
+Spark writes to. Of equal payloads of `least` bytes or more the smallest id is a
 response and the others revisit it; rows that share that id all are responses.
 
-The reader takes whole files (`binaryFile`), follows Content-Length and checks each record;
+The reader takes whole files (`binaryFile`), follows Content-Length and checks each record,
+a response's payload by its WARC-Payload-Digest (SHA-1) and WARC-Payload-Length, where given;
 where a check fails it searches the next version line or gzip member, logs the bytes between as
 quarantined and goes on, so one broken record costs itself only. Files hold at most
 `per_file` records.
@@ -17,6 +20,9 @@ are records of their own. Extra columns are ignored, an empty table gives no rec
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1\r\n"
@@ -63,8 +71,31 @@ def records(pages: DataFrame, least: int = 0, date: str = DATE) -> DataFrame:
     return own.select("page_id", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"), F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("record"))
 
 
+#: An empty gzip member; like that of a record under 16 MB, its last byte (of its size) is zero.
+_EMPTY = gzip.compress(b"", mtime=0)
+
+
+def _member_row(record: bytes) -> bytes:
+    """A gzip member less its last byte, zero; after a longer record an empty member ends it."""
+    made = gzip.compress(record, 6, mtime=0)
+    return (made if made[-1] == 0 else made + _EMPTY)[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in by_bytes(batch, 0, 1 << 22):
+            yield pa.RecordBatch.from_arrays([pa.array(map(_member_row, part.column(0).to_pylist()), pa.binary())], names=["record"])
+
+
 def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 500, compression: str = "gzip") -> None:
-    records(pages, least).select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    """compression: gzip (a member a record), or none."""
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"compression {compression}: gzip or none")
+    rows, end = records(pages, least).select("record"), "\r\n\r\n"
+    if compression == "gzip":
+        whole = rows.select(F.concat("record", F.lit(end)).cast("binary").alias("record"))
+        rows, end = whole.mapInArrow(_members, "record binary").select(F.col("record").cast("string")), "\0"
+    rows.write.option("lineSep", end).option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
@@ -96,7 +127,20 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     begin, end = stop + 4, stop + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return None
-    return head, data[begin:end], end + 4
+    return (head, data[begin:end], end + 4) if _intact(head, data[begin:end]) else None
+
+
+def _intact(head: dict, block: bytes) -> bool:
+    """Whether a response has the SHA-1 and length its headers give its payload. A payload in a
+    transfer encoding is not judged, nor another kind of digest."""
+    if head["warc-type"] != "response" or re.search(rb"(?im)^transfer-encoding:", block.partition(b"\r\n\r\n")[0]):
+        return True
+    payload = payload_of(head, block)
+    length, (kind, _, value) = head.get("warc-payload-length"), head.get("warc-payload-digest", "").partition(":")
+    if length is not None and length != str(len(payload)):
+        return False
+    own = hashlib.sha1(payload)
+    return kind.lower() != "sha1" or value.upper() in (base64.b32encode(own.digest()).decode(), own.hexdigest().upper())
 
 
 def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int, int]]]:
@@ -119,7 +163,7 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int,
             inner, lost = salvage(content) if content[:2] != b"\x1f\x8b" else ([], [(0, 1)])
             found += [(at, head, block) for _, head, block in inner]
             if end is not None:
-                if lost and not inner:
+                if lost:
                     skip(at, end)
                 at = end
                 continue
