@@ -118,6 +118,31 @@ def test_near_copies_are_no_evidence():
     assert (field.score([c + " vilething" for c in clean[:50]]) >= 0.5).all()
 
 
+def test_long_texts_are_learned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = ["ta", "ko", "mi", "re", "su", "lo", "ne", "ba", "du", "fi"]
+    text = lambda n: ["".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(n)]
+    rows = []
+    for k in range(120):
+        t = text(1000)  # over SAMPLE_CHARS characters
+        if k % 3 == 0:
+            t[int(rng.integers(1000))] = "vilething"
+        rows.append((k, " ".join(t), "long", int(k % 3 == 0)))
+    rows.append((500, "quick brown fox jumps", "short", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert min(len(r[1]) for r in rows[:-1]) > toxicity.SAMPLE_CHARS
+    samples = dict(language_id.learn(docs))
+    assert set(samples) == {"long", "short"} and len(samples["long"]) == language_id.SAMPLE_TOTAL
+    field = toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    assert (field.score([" ".join([*text(50), "vilething"]), " ".join(text(50))]) >= 0.5).tolist() == [True, False]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)))
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 3)
+    toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    toxic = [len(t) for t, y in zip(*seen[0]) if y]  # the bound is on all of them together
+    assert 2 <= len(toxic) <= 3 and max(toxic) > toxicity.SAMPLE_CHARS and sum(toxic) <= 3 * toxicity.SAMPLE_CHARS + 10
+
+
 @needs_data
 def test_language_accuracy(spark):
     docs = table(spark, DATA, "documents")

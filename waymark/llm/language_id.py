@@ -12,8 +12,9 @@ which is 0 for a tie; ties go to the language that sorts first. Repeated rows ar
 null ids are kept (and never trained on or held out), extra columns ignored. With no labelled
 text at all, every text is `und`.
 
-The sample is the documented bound of the training: SAMPLE_DOCS different texts a language
-of at most SAMPLE_CHARS characters each, least hash first, and SAMPLE_TOTAL characters in all. Every label is learned, and every letter of the samples is kept apart; only
+The sample is the documented bound of the training: SAMPLE_DOCS different texts a language,
+least hash first, of longer texts a passage of SAMPLE_CHARS characters at a hashed place, and
+SAMPLE_TOTAL characters in all. Every label is learned, and every letter of the samples is kept apart; only
 letters that no sample holds share a class, which no phrase can contain.
 """
 
@@ -190,12 +191,14 @@ def learn(docs: DataFrame, by_hash_only_if=None) -> tuple[tuple[str, str], ...]:
     rows = docs.select(docs["doc_id"], docs["text"], docs["lang"])
     if by_hash_only_if is not None:
         rows = rows.filter(by_hash_only_if)
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
     texts = kept(rows.select("lang", "h").distinct(), "hashes")  # copies of a text are one sample
     first = Window.partitionBy("lang").orderBy("h")
     picked = thin(texts, "lang", F.col("h"), SAMPLE_DOCS).select("lang", "h", F.row_number().over(first).alias("k")).filter(F.col("k") <= SAMPLE_DOCS)
     picked = docs.sparkSession.createDataFrame(picked.collect(), "lang string, h long, k int")  # SAMPLE_DOCS a language
-    picked = rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    passage = F.when(F.length("text") > SAMPLE_CHARS, F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    picked = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "k", passage.alias("text")).dropDuplicates(["lang", "h"]).collect()
     out: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["k"])):
         if len(out.get(r["lang"], "")) < SAMPLE_TOTAL:

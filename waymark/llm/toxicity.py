@@ -14,8 +14,11 @@ numpy. A null or empty text has no words and the score of one without toxic marg
 Repeated rows are scored alike, null ids are kept (never trained on), extra columns ignored.
 Without labels of both kinds the score is 0 for every text.
 
-The training sample is bounded: SAMPLE_TOXIC and SAMPLE_CLEAN documents of at most SAMPLE_CHARS
-characters, least hash first. More clean ones make it less likely that a word is found in toxic
+The training sample is bounded: SAMPLE_TOXIC and SAMPLE_CLEAN documents, least hash first, until
+they have SAMPLE_CHARS characters for each of these documents. They are taken whole, whatever
+their length, as evidence may stand anywhere; only the one that passes the bound is read in
+passages of PASSAGE characters at hashed places. Of rows with one id the longest text counts.
+More clean ones make it less likely that a word is found in toxic
 documents alone by chance.
 """
 
@@ -32,9 +35,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _power
-from .common import by_bytes, thin
+from .common import by_bytes, kept, thin
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2400, 4_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, PASSAGE = 800, 2400, 4_000, 4_000
 SEQUENCE = 128
 #: So many that words which share a feature by their hash alone are few.
 FEATURES = 1 << 20
@@ -286,17 +289,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     own = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # ids first, so that no texts are moved but those chosen
-    sizes = docs.select(docs["doc_id"], F.length(docs["text"]).alias("n")).filter(F.col("n") <= SAMPLE_CHARS)
+    sizes = docs.select(docs["doc_id"], F.length(docs["text"]).cast("long").alias("n")).filter("n IS NOT NULL")
     most = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
-    ids = thin(sizes.join(own, "doc_id"), "toxic", F.xxhash64("doc_id"), max(SAMPLE_TOXIC, SAMPLE_CLEAN))
+    ids = kept(sizes.join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n")), "labelled")
+    ids = thin(ids, "toxic", F.xxhash64("doc_id"), max(SAMPLE_TOXIC, SAMPLE_CLEAN))
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.select("doc_id", "toxic", F.row_number().over(first).alias("k")).filter(F.col("k") <= most).collect()
+    before = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1))
+    picked = ids.select("doc_id", "toxic", "n", F.row_number().over(first).alias("k"), F.least("n", most * SAMPLE_CHARS - F.coalesce(before, F.lit(0))).alias("take")).filter((F.col("k") <= most) & ((F.col("take") > 0) | (F.col("n") == 0))).collect()
     label = {r["doc_id"]: r["toxic"] for r in picked}
-    rows = docs.select(docs["doc_id"], docs["text"]).filter(F.col("doc_id").isin(list(label)) & (F.length("text") <= SAMPLE_CHARS)).collect()
+    rows = docs.select(docs["doc_id"], docs["text"]).filter(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull())
+    part = {r["doc_id"]: r["take"] for r in picked if r["take"] < r["n"]}  # one a label at most
+    text = F.col("text")
+    for doc_id, take in part.items():
+        text = F.when(F.col("doc_id") == F.lit(doc_id), _passages(F.col("text"), take)).otherwise(text)
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text")).select("doc_id", text.alias("text")).collect()
     texts = sorted((r["doc_id"], r["text"]) for r in rows)
     return fit([t for _, t in texts], [label[i] for i, _ in texts])
 
 
+def _passages(text: Column, take: int) -> Column:
+    """Passages of PASSAGE characters, about `take` in all, of places by least hash."""
+    size = min(PASSAGE, take)
+    every = F.sequence(F.lit(0), ((F.length(text) - 1) / size).cast("int"))
+    order = F.array_sort(F.transform(every, lambda i: F.struct(F.xxhash64(i).alias("h"), i.alias("i"))))
+    places = F.array_sort(F.transform(F.slice(order, 1, max(1, take // size)), lambda s: s["i"]))
+    return F.array_join(F.transform(places, lambda i: F.substring(text, i * size + 1, F.lit(size))), " ")
+
+
 def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
     """carry, score (0 to 1) and, if asked for, spans (offsets of the toxic runs)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES floats
