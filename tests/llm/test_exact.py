@@ -325,6 +325,19 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_sources_reach_their_weight(spark):
+    rows = [(i, "x" * 100, "big") for i in range(20_000)] + [(100_000 + i, "y" * 100, "tiny") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter({r.source: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()})
+    assert abs(size["tiny"] / sum(size.values()) - 0.5) < 0.03
+    assert Counter({r.source: r["count"] for r in mixing.mix(docs, most=8.0).groupBy("source").count().collect()})["tiny"] < 1000
+    u = np.linspace(0.001, 0.999, 99).tolist()
+    for rate in (0.0, 2.5, 9.0, 100.0):
+        p, want = np.cumsum([np.exp(k * np.log(rate) - rate - sum(np.log(np.arange(1, k + 1)))) if rate else float(k == 0) for k in range(400)]), []
+        got = [r.n for r in spark.createDataFrame([(rate, x) for x in u], "r double, u double").select("u", mixing.quantile("r", "u").alias("n")).orderBy("u").collect()]
+        assert got == [int((p <= x).sum()) for x in u], rate
+
+
 def test_poisson_quantile(spark):
     u = np.linspace(0.001, 0.999, 200)
     df = spark.createDataFrame([(float(x),) for x in u], "u double").withColumn("cdf", mixing.cumulative(mixing.F.lit(2.5)))

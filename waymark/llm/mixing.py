@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source gets a mean repetition rate: its weight's share of the corpus bytes over its own
-bytes, at most MAX_RATE (a feature: tiny sources aren't repeated without end). A document's
+bytes. No rate is cut unless a caller asks for it with `most`, and then misses the weights. The
+SQL beside it caps rates at MAX_RATE and differs for sources with a greater one. A document's
 count is the Poisson quantile of a number in [0, 1) hashed from the seed and its id; it is
 exploded by that count and all copies are dealt out and sorted by a second hash, which shuffles
 them globally. Sizes are pre-aggregated by source; rates are broadcast only up to FEW_SOURCES.
@@ -13,11 +14,16 @@ Extra columns named in `carry` are kept, others ignored; an empty table gives an
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 MAX_RATE = 8.0
-#: P(count > TERMS) is under 1e-16 at MAX_RATE.
+#: P(count > TERMS) is under 1e-16 at MAX_RATE; greater rates have more terms.
 TERMS = 50
 FEW_SOURCES = 10_000
 
@@ -31,7 +37,7 @@ def unit(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(_hash(seed, *parts), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def rates(docs: DataFrame, weights: DataFrame | None = None, most: float | None = None) -> DataFrame:
     """source and rate. weights: source and weight (any positive scale); None weighs all alike."""
     sizes = docs.groupBy(docs["source"].alias("source")).agg(F.sum(F.octet_length(F.coalesce(docs["text"], F.lit(""))).cast("long")).alias("size"))
     if weights is None:
@@ -41,12 +47,13 @@ def rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     row = sizes.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("weight")))).first()
     total, weight = float(row[0] or 0), float(row[1] or 1)
-    rate = F.when(F.col("size") > 0, F.least(F.lit(MAX_RATE), F.col("weight") / weight * total / F.col("size"))).otherwise(1.0)
+    share = F.col("weight") / weight * total / F.col("size")
+    rate = F.when(F.col("size") > 0, share if most is None else F.least(F.lit(most), share)).otherwise(1.0)
     return sizes.select("source", rate.alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
-    """P(count <= 0), P(count <= 1), ... as an array."""
+    """P(count <= 0), P(count <= 1), ... as an array, for rates of at most MAX_RATE."""
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.array(F.exp(-rate)),
@@ -55,14 +62,34 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(terms, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", carry: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+@F.pandas_udf(IntegerType())
+def quantile(rate: pd.Series, u: pd.Series) -> pd.Series:
+    """How many counts k have P(count <= k) <= u, for any rate: terms outward from the mode, by
+    their ratios, so that none underflows."""
+    out = np.zeros(len(rate), np.int32)
+    for value in np.unique(rate):
+        spread = int(12 * math.sqrt(value) + 60)
+        low = max(0, int(value) - spread)
+        k = np.arange(low, int(value) + spread + 1)
+        below = np.cumsum(np.exp(np.cumsum(np.r_[low * math.log(value) - value - math.lgamma(low + 1) if value > 0 else 0.0, np.log(value / k[1:]) if value > 0 else np.full(len(k) - 1, -np.inf)])))
+        at = np.flatnonzero(rate == value)
+        out[at] = low + np.searchsorted(below, u.iloc[at], side="right")
+    return pd.Series(out)
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", carry: tuple[str, ...] = ("doc_id", "text", "source"), most: float | None = None) -> DataFrame:
     """carry, copy (1 to the count) and shuffle_key, dealt out and sorted by shuffle_key."""
-    by_source = rates(docs, weights).select(F.col("source").alias("__s"), cumulative(F.col("rate")).alias("__cdf"))
+    by_source = rates(docs, weights, most).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.when(F.col("rate") <= MAX_RATE, cumulative(F.col("rate"))).alias("__cdf"))
     if by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         by_source = F.broadcast(by_source)
     own = docs.select(*[docs[c] for c in carry], docs["source"].alias("__source"), docs["doc_id"].alias("__id"))
     own = own.join(by_source, F.col("__source").eqNullSafe(F.col("__s")))
-    own = own.withColumn("__u", unit(seed, F.col("__id"))).withColumn("__n", F.expr("size(filter(__cdf, x -> x <= __u))"))
+    own = own.withColumn("__u", unit(seed, F.col("__id")))
+    few = F.expr("size(filter(__cdf, x -> x <= __u))")
+    if by_source.filter(F.col("__rate") > MAX_RATE).isEmpty():
+        own = own.withColumn("__n", few)
+    else:
+        own = own.withColumn("__n", F.when(F.col("__rate") <= MAX_RATE, few).otherwise(quantile("__rate", "__u")))
     own = own.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     own = own.withColumn("shuffle_key", _hash(seed + "-order", F.col("__id"), F.col("copy")))
     return own.select(*carry, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
