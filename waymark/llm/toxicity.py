@@ -25,8 +25,9 @@ documents alone by chance.
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -207,34 +208,36 @@ class Field:
         return toxic_odds(self.emissions(words), _layout(np.array([len(words)])), self.trans)
 
 
-def distinct(split: list[list[bytes]]) -> list[int]:
-    """Places of the texts that are no near copies of earlier ones."""
+def distinct(texts: Iterable[tuple[list[bytes], int]]) -> Iterator[tuple[list[bytes], int]]:
+    """The texts (words, label) that are no near copies of earlier ones."""
     seen: set[int] = set()
-    out = []
-    for i, words in enumerate(split):
+    for words, label in texts:
         own = sorted({xxhash.xxh3_64_intdigest(b" ".join(words[j : j + 3])) for j in range(max(1, len(words) - 2))})[:SKETCH]
         if sum(x in seen for x in own) < ALIKE * len(own):
             seen.update(own)
-            out.append(i)
-    return out
+            yield words, label
 
 
 def fit(texts: list[str], toxic: list[int]) -> Field | None:
-    split = [words_of(t) for t in texts]
-    own_ids = distinct(split)
-    split, y = [split[i] for i in own_ids], np.array([toxic[i] for i in own_ids], bool)
+    index: dict[bytes, int] = {}
+    coded, y = [], []  # a text's words are numbers as soon as it is read: they take far less room
+    for words, label in distinct((words_of(t), x) for t, x in zip(texts, toxic)):
+        coded.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+        y.append(label)
+    y = np.array(y, bool)
     if not y.any() or y.all():
         return None
-    index: dict[bytes, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for s in split for w in s], np.int64)
-    lengths = np.array([len(s) for s in split], np.int64)
-    own = np.repeat(np.arange(len(split)), lengths)
+    lengths = np.array([len(c) for c in coded], np.int64)
+    ids = np.concatenate(coded)
+    own = np.repeat(np.arange(len(coded), dtype=np.int64), lengths)
+    del coded
     vocabulary = list(index)
     hashes = features(vocabulary)
     slots_ = slots(hashes)
     # token labels from document frequencies of the features
     pairs = np.unique(own * len(vocabulary) + ids)
     doc, word = pairs // len(vocabulary), pairs % len(vocabulary)
+    del pairs
     counts = []
     for k in range(hashes.shape[1]):  # features themselves, not their slots, which some share
         _, which = np.unique(hashes[:, k], return_inverse=True)
@@ -247,6 +250,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
     for which, bad, good in counts:
         sign |= ((bad >= support) & (bad >= SHARE * (bad + good * (y.sum() / (~y).sum()))))[which]
     gold = (sign[ids] & y[own]).astype(np.float64)
+    del doc, word, counts, hashes, own
     # the field
     layout = _layout(lengths)
     begin, size, _ = layout
@@ -284,8 +288,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """Fits the field on labelled documents whose crc32(doc_id) mod 5 is not 0."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic: the bounded training sample of the labelled documents whose
+    crc32(doc_id) mod 5 is not 0."""
     own = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # ids first, so that no texts are moved but those chosen
@@ -302,9 +307,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     text = F.col("text")
     for doc_id, take in part.items():
         text = F.when(F.col("doc_id") == F.lit(doc_id), _passages(F.col("text"), take)).otherwise(text)
-    rows = rows.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text")).select("doc_id", text.alias("text")).collect()
-    texts = sorted((r["doc_id"], r["text"]) for r in rows)
-    return fit([t for _, t in texts], [label[i] for i, _ in texts])
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+    return rows.select("doc_id", text.alias("text"), F.col("doc_id").isin([i for i, y in label.items() if y]).cast("int").alias("toxic"))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
+    """Fits the field on the sample, in one task."""
+    made = sample(docs, labels).coalesce(1).mapInArrow(_fitted, "field binary").collect()
+    return pickle.loads(made[0]["field"]) if made else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the field on the whole sample, which is bounded, in one task."""
+    rows = sorted(r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3))))
+    field = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    if field:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
 
 
 def _passages(text: Column, take: int) -> Column:
