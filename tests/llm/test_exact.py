@@ -180,18 +180,41 @@ def test_token_counts(spark, texts):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 50)
 
 
-def test_prefixes_without_encoding_again():
+def test_every_prefix(spark):
     from tokenizers import Tokenizer
 
-    c, t = token_counts.counter(token_counts.default_path()), Tokenizer.from_file(token_counts.default_path())
-    text = "The quick  brownish foxés don't jump"
+    rng = np.random.default_rng(8)
+    t = Tokenizer.from_file(token_counts.default_path())
     count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
-    ends, counts = c.table(text.encode())
-    assert [count(text.encode()[:e].decode()) for e in ends] == counts
-    for budget in range(12):
-        n = c.longest_prefix(text.encode(), budget)
-        fits = [i for i in range(len(text) + 1) if count(text[:i]) <= budget]
-        assert count(text.encode()[:n].decode()) <= budget and n >= len(text[: max(fits)].rstrip().encode()) - 1
+    letters = list("abcdefghijklmnopqrstuvwxyz'' 0.!,é-'STRELV") + ["\u0301"]
+    odd = ["don't it'll 're we'rex 'r 'l 'll x'sy !'s ''s", "a<|endoftext|>b  <|startoftext|>x <|endoftext <|endoftext||>", "İX é ﬁ e\u0323\u0301x q\u0323\u0307", "١٢ 3４ 12a", "a\xa0b\u2028c\x1cd\x85e", "A\u030angstro\u0308m ΣΑΣ", "日本語한국어\u1112\u1161\u11ab", "antidisestablishmentarianism" * 6, "😀👩\u200d👧 !!!???", "'\u0301s 'S 'RE", "a" * 300, "", None]
+    texts = odd + ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(150)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    table = token_counts.prefix_table(rows).cache()
+    got = {r.doc_id: r.counts for r in table.collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == [count((x or "")[:n]) for n in range(len(x or "") + 1)], x
+    for budget in (0, 1, 4, 9):
+        for r in token_counts.longest_prefix(table, budget).collect():
+            n = token_counts.longest(got[r.doc_id], budget)
+            assert (r.n_chars, r.n_tokens) == (n, count((texts[r.doc_id] or "")[:n])) and r.n_tokens <= budget
+    assert token_counts.count_tokens(rows.limit(0)).count() == token_counts.prefix_table(rows.limit(0)).count() == 0
+
+
+def test_long_word_and_text(spark):
+    """A long text without white space, and one of many words, take linear time."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.default_path())
+    rng = np.random.default_rng(9)
+    word = "".join(rng.choice(list("aeionrst"), 200_000))
+    texts = [word, word[:9] + " " + "the brown fox, " * 40_000]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.counts for r in token_counts.prefix_table(rows).collect()}
+    for i, x in enumerate(texts):
+        for n in (1, 77, 1000, len(x)):
+            assert got[i][n] == len(t.encode(x[:n], add_special_tokens=False).ids)
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(rows).collect()) == sorted(got[i][-1] for i in got)
 
 
 def test_url_rules(spark):
