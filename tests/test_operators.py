@@ -28,6 +28,24 @@ def test_density_cluster(spark):
     assert {got[i] for i in range(30)} == {0} and {got[i] for i in range(30, 50)} == {30} and got[50] is None
 
 
+def test_components(spark):
+    from waymark.operators.components import components
+
+    rng = np.random.default_rng(12)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (None, 7)]
+    label = {x: x for p in pairs for x in p if x is not None}
+    for _ in label:
+        for a, b in pairs:
+            if a is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    linked = {x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for few in (0, 1000):
+        got = components(links, few).collect()
+        assert len(got) == len(linked) and {r.node: r.root for r in got} == {x: label[x] for x in linked}
+        assert components(links.limit(0), few).count() == 0
+
+
 def test_route_sample(spark):
     sizes = spark.createDataFrame([("a", 6), ("b", 2)], "t string, n long")
     assert {(r.t, r.quota) for r in water_fill(sizes, "t", "n", 5, "t").collect()} == {("a", 3), ("b", 2)}

@@ -10,20 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.components import components as connected
+from waymark.operators.components import shared_checkpoint
 from waymark.operators.geometry import iou_circular
 from waymark.operators.spatial import cell
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir; a temporary one only where unset."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
-    return df.checkpoint(eager=True)
-
-
 def nms(boxes: pd.DataFrame, threshold: float, width: float) -> pd.DataFrame:
     """Greedy by confidence: boxes of one image and class that overlap a kept one are dropped
     and their sources joined to it."""
@@ -75,20 +67,10 @@ def near_pairs(points: DataFrame, radius: float, key: str, dims: tuple[str, ...]
 
 
 def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """key and component (its least key), by min-label steps with pointer jumping, cut by
-    checkpoints in the shared folder."""
-    both = shared_checkpoint(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = shared_checkpoint(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")))
-    total = None
-    while True:
-        near = both.join(label, both["b"] == label["n"]).groupBy("a").agg(F.min("l").alias("m"))
-        step = label.join(near, label["n"] == near["a"], "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
-        up = step.select(F.col("n").alias("l"), F.col("l").alias("u"))
-        label = shared_checkpoint(step.join(up, "l").select("n", F.col("u").alias("l")))
-        now = label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return label.select(F.col("n").alias(key), F.col("l").alias("component"))
-        total = now
+    """key and component (its least key) of every node, those without links included."""
+    found = connected(pairs.select("a", "b"))
+    named = nodes.select(key).join(found.withColumnRenamed("node", key), key, "left")
+    return named.select(key, F.coalesce("root", F.col(key)).alias("component"))
 
 
 def density_cluster(points: DataFrame, radius: float, least: int, key: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z"), within: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.operators.clustering import shared_checkpoint
+from waymark.operators.components import shared_checkpoint
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: tuple[str, ...], kept: tuple[str, ...] = ()) -> DataFrame:
