@@ -168,6 +168,59 @@ def test_vectors(spark, cap):
     assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in got if r.vec_id >= 900)
 
 
+def planted(rng, n, size, groups):
+    """n random vectors, and `groups` tight clusters of 2 to 12 near copies."""
+    x = [rng.normal(size=(n, size))]
+    for k in range(groups):
+        x.append(rng.normal(size=(1, size)) + rng.normal(size=(2 + k % 11, size)) * 0.15)
+    return np.concatenate(x)
+
+
+@pytest.mark.parametrize("most", [vector_dedup.MAX_SHARDS, 4])
+def test_vector_recall(spark, most):
+    """Over 5,000 vectors with planted links; with few first centroids, cells are split again."""
+    rng = np.random.default_rng(10)
+    x = planted(rng, 4000, 24, 220)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert len(x) > 5000 and link.sum() > 2000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shard = 150
+    got = {r.vec_id: r for r in vector_dedup.dedup(df, shard=shard, most=most).collect()}
+    found = sum(got[i].n_links for i in range(len(x)))
+    assert 0.95 * link.sum() <= found <= link.sum()
+    assert all(got[i].n_links <= link[i].sum() for i in range(len(x)))
+    nodes = vector_dedup.kept(vector_dedup.nodes_of(df), "nodes")
+    pairs = vector_dedup.kept(vector_dedup.near_pairs(nodes, shard=shard, most=most), "pairs")
+    hit, all_ = vector_dedup.audit(df, pairs, nodes, block=30)
+    asked = [i for i in range(len(x)) if i % 50 == 0]
+    assert all_ == len({(max(i, j), min(i, j)) for i in asked for j in np.flatnonzero(link[i])}) > 0 and hit >= 0.95 * all_
+    assert abs(2 * pairs.count() - found) <= 0.02 * found
+
+
+def test_extreme_vectors(spark):
+    rows = [[1e200, 1e200], [1e200, 1.001e200], [1e-200, 1e-200], [1.0, 0.1], [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [5e-324, 0.0, 0.0, 0.0], [1e308, 1e307, 0.0, 0.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.dedup(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert vector_dedup.dedup(empty).count() == 0
+
+
+def test_search_leaves_the_shard(spark):
+    """Linked nodes that share no shard are found over the lists of a node between them."""
+    at = [0.0, 0.25, 0.55, 0.85]  # radians; 0.95 is reached up to 0.317
+    v = [[float(np.cos(t)), float(np.sin(t))] for t in at]
+    own = spark.createDataFrame([(i, x, 1, s) for i, (x, s) in enumerate(zip(v, ([1], [2], [2, 3], [3])))], "node long, v array<double>, rows long, shards array<long>")
+    sim = lambda i, j: float(np.cos(at[i] - at[j]))
+    lists = [(1, [{"shard": 2, "near": [2], "sim": [sim(1, 2)]}]), (2, [{"shard": 2, "near": [1], "sim": [sim(1, 2)]}, {"shard": 3, "near": [3], "sim": [sim(2, 3)]}])]
+    united = spark.createDataFrame(lists, "node long, lists array<struct<shard:long,near:array<long>,sim:array<double>>>")
+    found = spark.createDataFrame([(vector_dedup.BEYOND, 0, 1, 0.0), (vector_dedup.BEYOND, 0, 3, 0.0)], vector_dedup._FOUND)
+    got = vector_dedup._beyond(found, own, united, 0.95).collect()
+    assert [(r.a, r.b) for r in got if r.kind == vector_dedup.PAIR] == [(1, 0)]
+    assert sorted((r.a, r.n) for r in got if r.kind == vector_dedup.COUNT) == [(0, 1.0), (1, 1.0)]
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer
 

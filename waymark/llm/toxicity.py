@@ -125,8 +125,8 @@ def marginals(emission: np.ndarray, layout: tuple, trans: np.ndarray) -> tuple[n
         pair = ahead[at][:, :, None] * w[None] * nxt[:, None, :]
         moves += (pair / pair.sum((1, 2))[:, None, None]).sum(0)
         behind[at] = b / b.sum(1)[:, None]
-    both = ahead * behind
-    return both[:, 1] / both.sum(1), moves, norm
+    ahead *= behind
+    return ahead[:, 1] / ahead.sum(1), moves, norm
 
 
 def toxic_odds(emission: np.ndarray, layout: tuple, trans: np.ndarray) -> np.ndarray:
@@ -232,8 +232,9 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
     own = np.repeat(np.arange(len(coded), dtype=np.int64), lengths)
     del coded
     vocabulary = list(index)
+    del index
     hashes = features(vocabulary)
-    slots_ = slots(hashes)
+    slots_ = slots(hashes).astype(np.int32)
     # token labels from document frequencies of the features
     pairs = np.unique(own * len(vocabulary) + ids)
     doc, word = pairs // len(vocabulary), pairs % len(vocabulary)
@@ -265,7 +266,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
         emission = weights[slots_].sum(1) + bias
         p, moves, _ = marginals(emission[ids], layout, trans)
         by_word = np.bincount(ids, gold - p, len(vocabulary))
-        d = np.bincount(slots_.ravel(), np.repeat(by_word, slots_.shape[1]), FEATURES) - 0.1 * weights
+        d = sum(np.bincount(slots_[:, k], by_word, FEATURES) for k in range(slots_.shape[1])) - 0.1 * weights
         db, dt = float((gold - p).sum()), seen - moves - 0.1 * trans
         gw += d * d
         gb += db * db
@@ -320,7 +321,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fits the field on the whole sample, which is bounded, in one task."""
     rows = sorted(r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3))))
-    field = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    texts, toxic = [t for _, t, _ in rows], [y for _, _, y in rows]
+    del rows
+    field = fit(texts, toxic)
     if field:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
 
