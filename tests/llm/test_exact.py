@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from waymark.llm import decontaminate, mixing, simhash_dedup, substring_dedup, token_counts, url_rules, vector_dedup, warc
+from waymark.llm import suffix
 from waymark.llm.anchors import runs
 from waymark.llm.suffix import permuted_lcp, repeated_windows, suffix_array
 
@@ -50,6 +51,28 @@ def test_suffix_array():
                 assert plcp[i] == n
 
 
+def test_suffix_array_of_long_text(monkeypatch):
+    """Prose with repeats recurses on its names, whether suffixes are induced many at a time or singly."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("aehinorst"), rng.integers(2, 9))) for _ in range(3000)]
+    some = " ".join(rng.choice(words, 30_000))
+    raw = (some + some[1000:30_000] + "ab" * 3000 + some[:50_000]).encode()
+    t = np.r_[np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0].astype(np.int16)
+    n, rank, step = len(t), t.astype(np.int64), 1
+    while True:  # plain doubling
+        key = rank * (n + 1) + np.r_[rank[step:] + 1, np.zeros(min(step, n), np.int64)][:n]
+        _, rank = np.unique(key, return_inverse=True)
+        if rank.max() == n - 1:
+            break
+        step *= 2
+    depth, whole = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda x: (depth.append(int(x.max())), whole(x))[1])
+    for many in (suffix.MANY, 0, 1 << 40):
+        monkeypatch.setattr(suffix, "MANY", many)
+        assert (suffix.suffix_array(t) == np.argsort(rank)).all()
+    assert len(depth) > 9 and max(depth) > 2048
+
+
 def test_runs_meet_by_key():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.integers(97, 100, 300).astype(np.uint8)) for _ in range(6)]

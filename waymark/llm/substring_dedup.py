@@ -2,7 +2,8 @@
 
 1. Sketch: each text's starts of WIDTH-byte strings are split into runs by a content-chosen key
    (anchors.py). Equal strings have equal keys, so a key seen once clears all its starts.
-2. Runs whose bytes are all equal to another run's are settled by their hash alone.
+2. Runs whose bytes are all equal to another run's are settled by their hashes: the key's and
+   one of all their bytes, 128 bits together. Copies of whole texts have such runs alone.
 3. Keys with several different runs, or with a run that may repeat itself, are open: one text piece of each different run goes to a
    shard, where induced sorting and permuted common prefixes (suffix.py) find repeated starts.
    A shard takes whole keys, about SHARD_BYTES at a time, so memory has a bound.
@@ -10,6 +11,7 @@
    gathered in a shard: the hashes of its single strings are counted instead, pre-aggregated.
 
 Each start belongs to one run and each run to one shard, so every pair of equal strings meets.
+A row is known by 96 bits of its id and text (e, f) until spans return to it.
 
 Nulls and empty texts have no bytes: nothing is removed. Texts under the width only lose
 nothing. Repeated rows are copies of each other, even with equal ids. A null id is kept as null.
@@ -23,9 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
@@ -34,26 +35,33 @@ from .suffix import repeated_windows
 
 SHARD_BYTES = 2 << 20
 HOT_RUNS = 4096
-_RUNS = "d long, e long, v long, c long, s int, n int, own boolean"  # d at s = 0 alone
-_PIECES = "e long, v long, s int, n int, piece binary"
+#: p: start, starts in the run and whether it may repeat itself, packed (32, 31 and 1 bits).
+_RUNS = "e long, f int, v long, c long, p long"
+_PIECES = "e long, f int, v long, p long, piece binary"
+_SPANS = "e long, f int, start int, stop int"
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _start(p: Column) -> Column:
+    return F.shiftright(p, 32).cast("int")
+
+
+def _starts(p: Column) -> Column:
+    return F.shiftright(p, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, 2, 1 << 21):
                 found = runs(part.column(2).to_pylist(), width)
-                sizes = [len(f[0]) for f in found]
                 v, s, n, c, again = (np.concatenate(x) for x in zip(*found))
-                own = np.repeat(np.arange(len(part)), sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pc.if_else(pa.array(s == 0), part.column(0).take(pa.array(own)), None), part.column(1).take(pa.array(own)), _i64(v), _i64(c), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-                    names=["d", "e", "v", "c", "s", "n", "own"],
-                )
+                own = pa.array(np.repeat(np.arange(len(part)), [len(f[0]) for f in found]))
+                packed = s << 32 | n << 1 | again
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), _i64(v), _i64(c), pa.array(packed)], names=["e", "f", "v", "c", "p"])
 
     return run
 
@@ -61,12 +69,15 @@ def _sketch(width: int):
 def _pieces(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, 1, 1 << 21):
-                e, text, wanted = (part.column(i).to_pylist() for i in range(3))
-                rows = [(e[i], w["v"], w["s"], w["n"], text[i][w["s"] : w["s"] + w["n"] + width - 1]) for i in range(len(part)) for w in wanted[i]]
+            for part in by_bytes(batch, 2, 1 << 21):
+                e, f, text, wanted = (part.column(i).to_pylist() for i in range(4))
+                rows = []
+                for i in range(len(part)):
+                    for w in wanted[i]:
+                        s = w["p"] >> 32
+                        rows.append((e[i], f[i], w["v"], w["p"], text[i][s : s + (w["p"] >> 1 & 0x7FFFFFFF) + width - 1]))
                 if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["e", "v", "s", "n", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["e", "f", "v", "p", "piece"])
 
     return run
 
@@ -81,17 +92,18 @@ def _shards(width: int):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (e, _, s, n, _), flags in zip(rows, repeated_windows([r[4] for r in rows], width)):
-            for a, b in zip(*_spans(flags[:n])):
-                out.append((e, s + int(a), s + int(b) - 1 + width))
-        cols = list(zip(*out)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["e", "start", "stop"])
+        for (e, f, _, p, _), flags in zip(rows, repeated_windows([r[4] for r in rows], width)):
+            s = p >> 32
+            for a, b in zip(*_spans(flags[: p >> 1 & 0x7FFFFFFF])):
+                out.append((e, f, s + int(a), s + int(b) - 1 + width))
+        cols = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["e", "f", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size >= SHARD_BYTES and row[1] != held[-1][1]:
+                if size >= SHARD_BYTES and row[2] != held[-1][2]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
@@ -105,10 +117,11 @@ def _shards(width: int):
 def _strings(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for e, _, s, n, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for e, f, _, p, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                s, n = p >> 32, p >> 1 & 0x7FFFFFFF
                 raw = b"".join(xxhash.xxh3_128_digest(piece[i : i + width]) for i in range(n))
                 w = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([e] * n), pa.array(np.arange(s, s + n, dtype=np.int32)), _i64(w[:, 0]), _i64(w[:, 1])], names=["e", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array([e] * n, pa.int64()), pa.array([f] * n, pa.int32()), pa.array(np.arange(s, s + n, dtype=np.int32)), _i64(w[:, 0]), _i64(w[:, 1])], names=["e", "f", "s", "w1", "w2"])
 
     return run
 
@@ -127,10 +140,10 @@ def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, batch.schema.names.index("body"), 1 << 21):
-                rest = part.select([n for n in part.schema.names if n not in ("body", "whole", "spans")])
+                rest = part.select([n for n in part.schema.names if n not in ("body", "spans")])
                 removed, found, digest, texts, sizes = [], [], [], [], []
-                for text, whole, spans in zip(*(part.column(n).to_pylist() for n in ("body", "whole", "spans"))):
-                    gone = [(0, len(text))] if whole else _merged(spans, len(text))
+                for text, spans in zip(*(part.column(n).to_pylist() for n in ("body", "spans"))):
+                    gone = _merged(spans, len(text))
                     if gone:
                         ends = [0, *(x for ab in gone for x in ab), len(text)]
                         left = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
@@ -157,40 +170,30 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
     docs: text and the columns in carry, doc_id among them. Returns carry, n_bytes, n_removed,
     n_spans, kept_sha256, and kept_text if asked for."""
     text = F.coalesce(docs["text"], F.lit(""))
-    # e stands for the row, by id and text; copies of a text share d
-    docs_ = docs.select(*[docs[c] for c in carry], text.cast("binary").alias("body"), F.xxhash64(text).alias("d"), F.xxhash64(F.lit(7), docs["doc_id"], text).alias("e"))
-    own = docs_.drop("d")
-    sketch = kept(docs_.filter(F.length("body") >= width).select("d", "e", "body").mapInArrow(_sketch(width), _RUNS), "runs")
-
-    first = sketch.filter("s = 0").select("d", "e")
-    copied = first.groupBy("d").count().filter("count > 1").select("d")
-    nowhere = F.lit(None).cast("int")
-    whole = first.join(copied, "d").select("e", F.lit(True).alias("whole"), nowhere.alias("start"), nowhere.alias("stop"))
-
-    repeated = sketch.groupBy("v").agg(F.count("*").alias("count"), F.max("own").alias("own")).filter("count > 1 or own").select("v")
-    again = kept(sketch.drop("d").join(repeated, "v").withColumn("x", F.xxhash64("v", "c")).drop("c"), "repeated")
-    classes = again.groupBy("x").agg(
-        *[F.first(c).alias(c) for c in ("v", "e", "s", "n", "own")],
-        ((F.min("e") != F.max("e")) | (F.min("s") != F.max("s"))).alias("settled"),
-    )
-    classes = kept(classes, "classes")
-    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("own").alias("self")).filter("different > 1 or self").drop("self")
-    settled = again.join(classes.filter("settled").select("x"), "x").select("e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + F.col("n") + (width - 1)).alias("stop"))
+    e, f = F.xxhash64(F.lit(7), docs["doc_id"], text), F.hash(F.lit(11), text, docs["doc_id"])
+    own = docs.select(*[docs[c] for c in carry], text.cast("binary").alias("body"), e.alias("e"), f.alias("f"))
+    sketch = kept(own.filter(F.length("body") >= width).select("e", "f", "body").mapInArrow(_sketch(width), _RUNS), "runs")
+
+    itself = F.max(F.col("p").bitwiseAND(F.lit(1))).alias("itself")
+    repeated = sketch.groupBy("v").agg(F.count("*").alias("count"), itself).filter("count > 1 or itself = 1").select("v")
+    again = kept(sketch.join(repeated, "v"), "repeated")
+    # one run of each class of equal ones, and whether there are more
+    classes = kept(again.groupBy("v", "c").agg(F.first(F.struct("e", "f", "p")).alias("one"), (F.count("*") > 1).alias("settled"), itself).select("v", "c", "one.*", "settled", "itself"), "classes")
+    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("itself").alias("self")).filter("different > 1 or self = 1").drop("self")
+    settled = again.join(classes.filter("settled").select("v", "c"), ["v", "c"]).select("e", "f", _start(F.col("p")).alias("start"), (_start(F.col("p")) + _starts(F.col("p")) + (width - 1)).alias("stop"))
     open_ = classes.join(several, "v")
 
     def wanted(which: DataFrame) -> DataFrame:
-        per_doc = which.groupBy("e").agg(F.collect_list(F.struct("v", "s", "n")).alias("wanted"))
-        return own.join(per_doc, "e").select("e", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
+        per_doc = which.groupBy("e", "f").agg(F.collect_list(F.struct("v", "p")).alias("wanted"))
+        return own.join(per_doc, ["e", "f"]).select("e", "f", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
 
-    shards = wanted(open_.filter(F.col("different") <= hot_runs)).repartition("v").sortWithinPartitions("v")
-    found = shards.mapInArrow(_shards(width), "e long, start int, stop int").select("e", F.lit(False).alias("whole"), "start", "stop")
-    strings = wanted(open_.filter(F.col("different") > hot_runs)).mapInArrow(_strings(width), "e long, s int, w1 long, w2 long")
+    found = wanted(open_.filter(F.col("different") <= hot_runs)).repartition("v").sortWithinPartitions("v").mapInArrow(_shards(width), _SPANS)
+    strings = wanted(open_.filter(F.col("different") > hot_runs)).mapInArrow(_strings(width), "e long, f int, s int, w1 long, w2 long")
     twice = strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    hot = strings.join(twice, ["w1", "w2"]).select("e", F.lit(False).alias("whole"), F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
+    hot = strings.join(twice, ["w1", "w2"]).select("e", "f", F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
 
-    spans = whole.unionByName(settled).unionByName(found).unionByName(hot)
-    spans = spans.groupBy("e").agg(F.max("whole").alias("whole"), F.collect_list(F.when(~F.col("whole"), F.struct("start", "stop"))).alias("spans"))
-    out = own.join(spans, "e", "left").select(*carry, "body", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    spans = settled.unionByName(found).unionByName(hot).groupBy("e", "f").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = own.join(spans, ["e", "f"], "left").select(*carry, "body", "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
     schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * keep_text])
     return out.mapInArrow(_cut(keep_text), schema)

@@ -1,10 +1,11 @@
 """Suffix arrays of one shard by induced sorting, in numpy.
 
 `suffix_array` classifies suffixes as larger or smaller than their right neighbour, sorts
-the leftmost-smaller (LMS) substrings, recurses on their names and induces the rest, bucket
-by bucket: all suffixes of a bucket that are ready go in one vector operation, so the work
-stays linear. Reduced strings whose alphabet is too large to walk bucket by bucket are ranked
-by doubling. `permuted_lcp` follows Kärkkäinen, Manzini and Puglisi (2009): only irreducible
+the leftmost-smaller (LMS) substrings, recurses on their names, whatever their number, and
+induces the rest. Inducing goes through the array in order, but many suffixes at a time: all
+up to the first one before which one of them may still put another (`_ready`). Where buckets
+are small, as in reduced strings, such steps would be short and suffixes go one by one
+(`_induce_singly`). The work is linear in the text. `permuted_lcp` follows Kärkkäinen, Manzini and Puglisi (2009): only irreducible
 positions are compared, all others follow from their left neighbour.
 """
 
@@ -12,8 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings with more names than this are ranked by doubling.
-WALKED_ALPHABET = 2048
+#: Suffixes looked at in a step, at most.
+WINDOW = 1 << 16
+#: Suffixes a bucket, on average, from which they are induced many at a time.
+MANY = 64
+#: Longer strings are too large for the cache to go singly.
+SHORT = 1 << 18
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -44,94 +49,165 @@ def _deal(sa: np.ndarray, at: np.ndarray, js: np.ndarray, chars: np.ndarray, dow
         at[heads] += sizes
 
 
+def _ready(place: np.ndarray, target: np.ndarray) -> int:
+    """How many of the suffixes, in the order in which they induce, are surely next: place is
+    twice the bucket, plus one for those that follow what is induced into their own bucket;
+    target twice the bucket that each induces into."""
+    before = np.minimum.accumulate(target)
+    late = np.flatnonzero(place[1:] > before[:-1])
+    return int(late[0]) + 1 if len(late) else len(place)
+
+
 def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array induced from LMS suffixes in their given order."""
     n, k = len(t), len(starts) - 1
+    if n < MANY * k and n < SHORT:
+        return _induce_singly(t, small, starts, lms)
+    none = 2 * k + 2
     sa = np.full(n, -1, np.int64)
-    chars = t[lms]
-    order = np.argsort(chars, kind="stable")
-    placed = lms[order]  # by bucket, in order
-    cuts = np.searchsorted(chars[order].astype(np.int64), np.arange(k + 1))
-    head = starts[:-1].copy()
-    used = [c for c in range(k) if starts[c] < starts[c + 1]]
-    for c in used:
-        done = starts[c]
-        while done < head[c]:
-            cur = sa[done : head[c]]
-            done = head[c]
-            js = cur[cur > 0] - 1
-            js = js[~small[js]]
-            _deal(sa, head, js, t[js], False)
-        js = placed[cuts[c] : cuts[c + 1]]
-        js = js[js > 0] - 1
-        js = js[~small[js]]
-        _deal(sa, head, js, t[js], False)
-    larger = head  # where the larger ones of each bucket end
-    tail = starts[1:].copy()
-    for c in reversed(used):
-        done = starts[c + 1]
-        while done > tail[c]:
-            cur = sa[tail[c] : done][::-1]
-            done = tail[c]
-            js = cur[cur > 0] - 1
-            js = js[small[js]]
-            _deal(sa, tail, js, t[js], True)
-        cur = sa[starts[c] : larger[c]][::-1]
-        js = cur[cur > 0] - 1
-        js = js[small[js]]
-        _deal(sa, tail, js, t[js], True)
+    placed = lms[np.argsort(t[lms], kind="stable")]  # by bucket, in order
+    head, tail = starts[:-1].copy(), starts[1:].copy()
+    # larger suffixes, upwards: those induced so far and, after them in each bucket, the LMS ones
+    at = taken = 0
+    wide = 256
+    while at < n or taken < len(placed):
+        own = sa[at : at + wide]
+        slots = np.flatnonzero(own >= 0)
+        own, fixed = own[slots], placed[taken : taken + wide]
+        place, other = 2 * t[own].astype(np.int64), 2 * t[fixed].astype(np.int64) + 1
+        if at + wide < n:  # later slots may belong before these
+            other = other[other < 2 * (np.searchsorted(starts, at + wide, side="right") - 1)]
+        if len(other) < len(fixed) or taken + wide >= len(placed):
+            fixed = fixed[: len(other)]
+        if taken + wide < len(placed) and len(other) == wide:  # nor may unseen LMS ones
+            keep = int(np.searchsorted(place, other[-1], side="right"))
+            own, place, slots = own[:keep], place[:keep], slots[:keep]
+            whole = False
+        else:
+            whole = True
+        order = np.argsort(np.r_[place, other], kind="stable")
+        js, keys = np.r_[own, fixed][order], np.r_[place, other][order]
+        if not len(js):
+            at += wide
+            continue
+        left = np.maximum(js - 1, 0)
+        good = (js > 0) & ~small[left]
+        m = _ready(keys, np.where(good, 2 * t[left].astype(np.int64), none))
+        left = left[:m][good[:m]]
+        _deal(sa, head, left, t[left], False)
+        used = int((order[:m] < len(own)).sum())
+        taken += m - used
+        if m < len(js):
+            at += int(slots[used - 1]) + 1 if used else 0
+            wide = max(64, min(wide, 4 * m))
+        else:
+            if whole:  # new ones in slots just seen are seen again
+                fresh = np.flatnonzero(sa[at : at + wide] >= 0)
+                at += int(slots[-1]) + 1 if len(fresh) > len(slots) and len(slots) else int(fresh[0]) if len(fresh) > len(slots) else wide
+            elif used:
+                at += int(slots[used - 1]) + 1
+            wide = min(WINDOW, 2 * wide)
+    # smaller suffixes, downwards: they stand after the larger ones of their bucket
+    at, wide = n, 256
+    while at > 0:
+        low = max(0, at - wide)
+        own = sa[low:at][::-1]
+        slots = np.flatnonzero(own >= 0)
+        js = own[slots]
+        if not len(js):
+            at = low
+            continue
+        left = np.maximum(js - 1, 0)
+        good = (js > 0) & small[left]
+        keys = 2 * (k - t[js].astype(np.int64)) + ~small[js]
+        m = _ready(keys, np.where(good, 2 * (k - t[left].astype(np.int64)), none))
+        left = left[:m][good[:m]]
+        _deal(sa, tail, left, t[left], True)
+        if m < len(js):
+            at -= int(slots[m - 1]) + 1
+            wide = max(64, min(wide, 4 * m))
+        else:
+            fresh = np.flatnonzero(sa[low:at][::-1] >= 0)
+            at = at - (int(slots[-1]) + 1) if len(fresh) > len(slots) else low
+            wide = min(WINDOW, 2 * wide)
     sa[0] = n - 1  # the closing symbol, which nothing induces
     return sa
 
 
-def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Names of LMS substrings, in text order; order has the LMS positions sorted."""
-    length = np.empty(len(t), np.int64)
-    length[lms] = np.diff(np.r_[lms, len(t) - 1]) + 1
-    a, b = order[:-1], order[1:]
-    la, lb = length[a], length[b]
-    differ = la != lb
-    same = np.flatnonzero(~differ)
-    sizes = la[same]
-    ends = np.cumsum(sizes)
-    for lo in range(0, len(same), 1 << 16):
-        hi = min(lo + (1 << 16), len(same))
-        s = sizes[lo:hi]
-        begin = ends[lo:hi] - s - (ends[lo] - s[0])
-        step = np.arange(int(s.sum())) - np.repeat(begin, s)
-        bad = t[np.repeat(a[same[lo:hi]], s) + step] != t[np.repeat(b[same[lo:hi]], s) + step]
-        differ[same[lo:hi]] = np.add.reduceat(bad, begin) > 0
-    name = np.empty(len(t), np.int64)
-    name[order] = np.r_[0, np.cumsum(differ)]
-    return name[lms]
-
-
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling; each round sorts only what is still tied."""
+def _induce_singly(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
     n = len(t)
-    sa = np.argsort(t, kind="stable")
-    rank = np.empty(n, np.int64)  # the first place of a suffix's group
-    ordered = t[sa]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    step = 1
-    while True:
-        tied = ~(new & np.r_[new[1:], True])
-        places = np.flatnonzero(tied)
-        if not len(places):
-            return sa
-        own = sa[places]
-        after = np.full(len(own), -1, np.int64)
-        inside = own + step < n
-        after[inside] = rank[own[inside] + step]
-        key = rank[own] * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        own, key = own[order], key[order]
-        sa[places] = own
-        new[places[1:]] |= key[1:] != key[:-1]
-        start = np.maximum.accumulate(np.where(new[places], places, 0))
-        rank[own] = start
-        step *= 2
+    placed = lms[np.argsort(t[lms], kind="stable")]
+    chars = t[placed]
+    behind = np.searchsorted(chars, chars, side="right") - np.arange(len(placed))  # LMS suffixes from here to the bucket's end
+    sa = np.full(n, -1, np.int64)
+    sa[starts[chars + 1] - behind] = placed
+    sa, symbol, smaller = sa.tolist(), t.tolist(), small.tolist()
+    head = starts[:-1].tolist()
+    for j in sa:  # grows as it is walked
+        if j > 0 and not smaller[j - 1]:
+            c = symbol[j - 1]
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = starts[1:].tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i]
+        if j > 0 and smaller[j - 1]:
+            c = symbol[j - 1]
+            tail[c] -= 1
+            sa[tail[c]] = j - 1
+    return np.array(sa, np.int64)
+
+
+def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names of LMS substrings, in text order, by their rank. A symbol of a larger suffix goes
+    before the same symbol of a smaller one, so no substring begins another. Symbols are
+    compared several at a time, packed in 64 bits; those that still are alike go on."""
+    code = 2 * t.astype(np.uint64) + small.astype(np.uint64)
+    bits = int(code.max()).bit_length()
+    per = 64 // bits
+    length = np.diff(np.r_[lms, len(t) - 1]) + 1
+    name = np.zeros(len(lms), np.int64)  # how many are smaller, as far as known
+    active, done = np.arange(len(lms)), 0
+    while len(active):
+        word = np.zeros(len(active), np.uint64)
+        at, room = lms[active] + done, length[active] - done
+        for j in range(per):
+            inside = j < room
+            word <<= np.uint64(bits)
+            word[inside] |= code[at[inside] + j]
+        order = np.argsort(word, kind="stable")
+        if done:
+            order = order[np.argsort(name[active[order]], kind="stable")]
+        active, word, own = active[order], word[order], name[active[order]]
+        new = np.r_[True, own[1:] != own[:-1]]  # groups so far, then also by this word
+        begin = np.flatnonzero(new)
+        new[1:] |= word[1:] != word[:-1]
+        parts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[parts, len(active)])
+        inner = parts - begin[np.searchsorted(begin, parts, side="right") - 1]
+        name[active] = np.repeat(own[parts] + inner, sizes)
+        done += per
+        active = active[np.repeat(sizes > 1, sizes) & (length[active] > done)]
+    return np.unique(name, return_inverse=True)[1]
+
+
+def _order(names: np.ndarray) -> np.ndarray:
+    """Places of a string's suffixes in order; names has no gaps and ends in a 0 found nowhere
+    else. A suffix whose first name is unique has its place already, and no comparison goes on
+    behind it: of several unique names in a row all but the first are left out of the string
+    that is sorted recursively."""
+    total = np.bincount(names)
+    unique = total[names] == 1
+    first = np.cumsum(total) - total
+    order = np.empty(len(names), np.int64)
+    order[first[names[unique]]] = np.flatnonzero(unique)
+    if not unique.all():
+        kept = np.flatnonzero(~unique | np.r_[True, ~unique[:-1]])
+        kept = kept if kept[-1] == len(names) - 1 else np.r_[kept, len(names) - 1]
+        _, short = np.unique(names[kept], return_inverse=True)
+        found = kept[suffix_array(short)]
+        order[np.repeat(total > 1, total)] = found[~unique[found]]
+    return order
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -139,23 +215,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n <= 2:
         return np.arange(n)[::-1].copy()
-    k = int(t.max()) + 1
     small = _smaller(t)
-    starts = np.r_[0, np.cumsum(np.bincount(t, minlength=k))]
+    starts = np.r_[0, np.cumsum(np.bincount(t, minlength=int(t.max()) + 1))]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    once = _induce(t, small, starts, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    names = _names(t, lms, once[is_lms[once]])
-    top = int(names.max()) + 1
-    if top == len(names):
-        order = np.empty(len(names), np.int64)
-        order[names] = np.arange(len(names))
-    elif top > WALKED_ALPHABET:
-        order = _doubled(names)
-    else:
-        order = suffix_array(names)
-    return _induce(t, small, starts, lms[order])
+    return _induce(t, small, starts, lms[_order(_names(t, small, lms))])
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
