@@ -312,7 +312,8 @@ def test_decontamination(spark, texts):
     items = [(1, texts[10]), (2, "short one"), (3, None), (4, ""), (5, texts[12]), (10, texts[12]), (None, texts[14])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     own = [*texts, "a Short, ONE b", "zz " + " ".join((texts[10] or "").split()[:15]) + " yy" * 300]
-    got = {r.doc_id: r for r in decontaminate.scan(docs_of(spark, own), decontaminate.windows(bench)).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs_of(spark, own), bench, keep_text=True).collect()}
+    assert got == {r.doc_id: r for r in decontaminate.decontaminate(docs_of(spark, own), bench, most=10, keep_text=True).collect()}  # shuffled
     words = lambda t: decontaminate.words_of((t or "").encode())
     for i, text in enumerate(own):
         w, hit, found = words(text), set(), set()
@@ -327,8 +328,8 @@ def test_decontamination(spark, texts):
         names = sorted(str(x) for x in found if x is not None)
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
-    none = decontaminate.windows(bench.limit(0))
-    assert not any(r.contaminated for r in decontaminate.scan(docs_of(spark, own), none).collect())
+    for most in (10, -1):
+        assert not any(r.contaminated for r in decontaminate.decontaminate(docs_of(spark, own), bench.limit(0), most=most).collect())
     with pytest.raises(ValueError, match="too many"):
         decontaminate.windows(bench, most=10)
 

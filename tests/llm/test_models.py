@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +88,7 @@ def test_toxic_spans():
         labels.append(k % 2)
     field = toxicity.fit(texts, labels)
     assert field.spans("wabx vilething, wacx Vilething vilething") == [(5, 14), (21, 40)]
+    assert field.spans("é — Vilething, wabx 😀") == [(4, 13)] and field.spans("İx Vilething, b") == [(3, 12)]
     assert (field.score(texts) >= 0.5).tolist() == [bool(x) for x in labels]
     assert toxicity.fit(["a"], [0]) is None and 0 <= field.score([""])[0] < 0.5
 
@@ -150,12 +152,28 @@ def test_language_accuracy(spark):
 
 
 @needs_data
-def test_toxicity_accuracy(spark):
+def test_toxicity_query(spark):
+    """The query against a plain loop over the documents, and its recall and precision."""
+    docs = {r.doc_id: r.text or "" for r in table(spark, DATA, "documents").collect()}
     got = {r.doc_id: r for r in queries.op3_toxicity(spark, DATA).collect()}
-    rows = [(got[r.doc_id], r.toxic) for r in table(spark, DATA, "labels").collect()]
-    held = [(g.predicted, t) for g, t in rows if g.held_out]
-    assert np.mean([p == t for p, t in held]) > 0.9
-    assert all((g.predicted == 1) == (g.score >= 0.5) for g in got.values())
+    assert set(got) == set(docs)
+    field = toxicity.learn(table(spark, DATA, "documents"), table(spark, DATA, "labels"))
+    for i, text in docs.items():
+        assert abs(field.score([text])[0] - got[i].score) < 1e-9 and got[i].predicted == (got[i].score >= 0.5)
+        assert [(s.start, s.stop) for s in got[i].spans] == field.spans(text)
+    toxic = {r.doc_id: r.toxic for r in table(spark, DATA, "labels").collect()}
+    found = [i for i in toxic if got[i].predicted]
+    known = [i for i in toxic if toxic[i]]
+    # some documents with the label hold no toxic word: junk that kept it. The others have words
+    # of which ten toxic documents or more, and no clean one, have some.
+    words = {i: set(toxicity.words_of(docs[i])) for i in toxic}
+    telling = {w for w, n in Counter(w for i in known for w in words[i]).items() if n >= 10} - {w for i in toxic if not toxic[i] for w in words[i]}
+    real = [i for i in known if words[i] & telling]
+    assert len(telling) >= 5 and len(real) >= 0.6 * len(known)
+    assert sum(toxic[i] for i in found) >= 0.95 * len(found) and sum(got[i].predicted for i in real) >= 0.95 * len(real)
+    held = [i for i in real if got[i].held_out]
+    assert held and all(got[i].predicted for i in held)
+    assert all(got[i].spans for i in found)
 
 
 def test_no_labels(spark):

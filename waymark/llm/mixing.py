@@ -2,12 +2,13 @@
 
 Each source gets a mean repetition rate: its weight's share of the corpus bytes over its own
 bytes. No rate is cut unless a caller asks for it with `most`, and then misses the weights. The
-SQL beside it caps rates at MAX_RATE and differs for sources with a greater one. A document's
+SQL beside it caps rates at TABLE_RATE and differs for sources with a greater one. A document's
 count is the Poisson quantile of a number in [0, 1) hashed from the seed and its id; it is
 exploded by that count and all copies are dealt out and sorted by a second hash, which shuffles
 them globally. Sizes are pre-aggregated by source; rates are broadcast only up to FEW_SOURCES.
 
-A null source is a source of its own, a null text has no bytes, a null id hashes as `null`.
+A null source is a source of its own, a null text has no bytes; rows without an id are hashed by
+their texts.
 Repeated rows get equal counts and each its own copies. Sources without bytes get rate 1.
 Extra columns named in `carry` are kept, others ignored; an empty table gives an empty result.
 """
@@ -22,14 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-MAX_RATE = 8.0
-#: P(count > TERMS) is under 1e-16 at MAX_RATE; greater rates have more terms.
-TERMS = 50
+#: Up to this rate counts come from a table of TERMS terms, beyond which P(count) is under 1e-16.
+TABLE_RATE, TERMS = 8.0, 50
 FEW_SOURCES = 10_000
 
 
 def _hash(seed: str, *parts: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
+    return F.md5(F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts]))
+
+
+def name_of(doc_id: Column, text: Column) -> Column:
+    """What a row is hashed by: its id or, without one, its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def unit(seed: str, *parts: Column) -> Column:
@@ -53,7 +58,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, most: float | None
 
 
 def cumulative(rate: Column) -> Column:
-    """P(count <= 0), P(count <= 1), ... as an array, for rates of at most MAX_RATE."""
+    """P(count <= 0), P(count <= 1), ... as an array, for rates of at most TABLE_RATE."""
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
         F.array(F.exp(-rate)),
@@ -79,17 +84,17 @@ def quantile(rate: pd.Series, u: pd.Series) -> pd.Series:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", carry: tuple[str, ...] = ("doc_id", "text", "source"), most: float | None = None) -> DataFrame:
     """carry, copy (1 to the count) and shuffle_key, dealt out and sorted by shuffle_key."""
-    by_source = rates(docs, weights, most).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.when(F.col("rate") <= MAX_RATE, cumulative(F.col("rate"))).alias("__cdf"))
+    by_source = rates(docs, weights, most).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.when(F.col("rate") <= TABLE_RATE, cumulative(F.col("rate"))).alias("__cdf"))
     if by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         by_source = F.broadcast(by_source)
-    own = docs.select(*[docs[c] for c in carry], docs["source"].alias("__source"), docs["doc_id"].alias("__id"))
+    own = docs.select(*[docs[c] for c in carry], docs["source"].alias("__source"), name_of(docs["doc_id"], docs["text"]).alias("__id"))
     own = own.join(by_source, F.col("__source").eqNullSafe(F.col("__s")))
     own = own.withColumn("__u", unit(seed, F.col("__id")))
     few = F.expr("size(filter(__cdf, x -> x <= __u))")
-    if by_source.filter(F.col("__rate") > MAX_RATE).isEmpty():
+    if by_source.filter(F.col("__rate") > TABLE_RATE).isEmpty():
         own = own.withColumn("__n", few)
     else:
-        own = own.withColumn("__n", F.when(F.col("__rate") <= MAX_RATE, few).otherwise(quantile("__rate", "__u")))
+        own = own.withColumn("__n", F.when(F.col("__rate") <= TABLE_RATE, few).otherwise(quantile("__rate", "__u")))
     own = own.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     own = own.withColumn("shuffle_key", _hash(seed + "-order", F.col("__id"), F.col("copy")))
     return own.select(*carry, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
@@ -97,10 +102,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", ca
 
 ORACLE_SQL = f"""
 WITH s AS (SELECT source, sum(strlen(coalesce(text, ''))) AS size FROM documents GROUP BY source),
-r AS (SELECT source, CASE WHEN size > 0 THEN least({MAX_RATE}, 1.0::DOUBLE / (SELECT count(*) FROM s WHERE size > 0) * (SELECT sum(size) FROM s) / size) ELSE 1.0 END AS rate FROM s),
-k AS (SELECT source, i AS n, sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS below FROM r, range({TERMS + 1}) AS t(i)),
-u AS (SELECT doc_id, text, source, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(1 << 52)!r} AS u, row_number() OVER () AS row FROM documents),
-c AS (SELECT u.row, u.doc_id, any_value(u.text) AS text, any_value(u.source) AS source, count(*) FILTER (WHERE k.below <= u.u) AS n FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source GROUP BY u.row, u.doc_id)
-SELECT doc_id, text, source, copy::INTEGER AS copy, md5('mix-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
-FROM (SELECT doc_id, text, source, unnest(range(1, n + 1)) AS copy FROM c)
+r AS (SELECT source, CASE WHEN size > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM s WHERE size > 0) * (SELECT sum(size) FROM s) / size ELSE 1.0 END AS rate FROM s),
+t AS (SELECT source, rate, unnest(range((rate + 12 * sqrt(rate) + 60)::BIGINT)) AS i FROM r),
+k AS (SELECT source, i AS n, sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS below FROM t),
+n AS (SELECT *, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS name FROM documents),
+u AS (SELECT doc_id, text, source, name, ('0x' || substr(md5('mix:' || name), 1, 13))::BIGINT / {float(1 << 52)!r} AS u, row_number() OVER () AS row FROM n),
+c AS (SELECT u.row, u.doc_id, any_value(u.name) AS name, any_value(u.text) AS text, any_value(u.source) AS source, count(*) FILTER (WHERE k.below <= u.u) AS n FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source GROUP BY u.row, u.doc_id)
+SELECT doc_id, text, source, copy::INTEGER AS copy, md5('mix-order:' || name || ':' || copy::VARCHAR) AS shuffle_key
+FROM (SELECT doc_id, text, source, name, unnest(range(1, n + 1)) AS copy FROM c)
 """

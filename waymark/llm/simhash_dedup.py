@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.components import components
 
-from .common import kept
+from .common import by_bytes, kept
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 HOT = 1 << 16
@@ -127,8 +127,9 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _print_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+            for part in by_bytes(batch, batch.num_columns - 1, 1 << 22):
+                found = [fingerprint(t, shingle) for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*part.schema.names[:-1], "fp"])
 
     return run
 
@@ -250,12 +251,13 @@ def near_prints(prints: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> Data
 
 
 def label(prints: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """prints: doc_id and fp. Returns fp and component_id for every distinct fingerprint."""
+    """prints: doc_id and fp. Returns fp, component_id and root (the component's least
+    fingerprint) for every distinct fingerprint."""
     nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(near_prints(nodes.select("fp"), bits, hot))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "component_id", "root")
 
 
 def dedup(docs: DataFrame, bits: int = MAX_BITS, hot: int = HOT, shingle: int = SHINGLE) -> DataFrame:

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,11 +53,10 @@ SKETCH, ALIKE = 16, 0.25
 MEMORY, CHUNK = 150_000, 1 << 20
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_WORDS).split()
+    return text.lower().encode("utf-8", "replace").translate(_WORDS).split()
 
 
 def features(words: list[bytes]) -> np.ndarray:
@@ -187,25 +185,32 @@ class Field:
         return p, lengths
 
     def score(self, texts: list[str]) -> np.ndarray:
-        p, lengths = self.tag(texts)
+        return self.judged(*self.tag(texts))
+
+    def judged(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_summary(p, lengths) @ self.outer, -30, 30)))
 
     def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int]]:
         """Offsets (in characters) of runs of words whose marginal is `least` or more."""
-        found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        p = self._aligned(text, found)
-        out: list[list[int]] = []
-        for k, ((a, b), x) in enumerate(zip(found, p)):
-            if x >= least:
-                if out and k and p[k - 1] >= least:
-                    out[-1][1] = b
-                else:
-                    out.append([a, b])
-        return [(a, b) for a, b in out]
-
-    def _aligned(self, text: str, found: list[tuple[int, int]]) -> np.ndarray:
-        words = [text[a:b].lower().encode() for a, b in found]
-        return toxic_odds(self.emissions(words), _layout(np.array([len(words)])), self.trans)
+        return runs_of(text, self.tag([text])[0], least)
+
+
+def runs_of(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
+    """Offsets (in characters) of runs of words with p of `least` or more; p is by the words of
+    `words_of`."""
+    high = p >= least
+    if not high.any():
+        return []
+    plain = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_WORDS), np.uint8)
+    inside = np.r_[False, plain != 32, False]
+    begin, end = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    first, last = np.flatnonzero(high & ~np.r_[False, high[:-1]]), np.flatnonzero(high & ~np.r_[high[1:], False])
+    at = np.r_[0, np.cumsum((np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80)]  # characters before a byte
+    start, stop = at[begin[first]], at[end[last]]
+    if len(text.lower()) != len(text):  # characters that are longer in lower case
+        own = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        start, stop = own[start], own[stop - 1] + 1
+    return list(zip(start.tolist(), stop.tolist()))
 
 
 def distinct(texts: Iterable[tuple[list[bytes], int]]) -> Iterator[tuple[list[bytes], int]]:
@@ -338,7 +343,8 @@ def _passages(text: Column, take: int) -> Column:
 
 
 def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
-    """carry, score (0 to 1) and, if asked for, spans (offsets of the toxic runs)."""
+    """carry, score (0 to 1) and, if asked for, spans (offsets in characters of the runs of words
+    whose marginal is a half or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,10 +352,12 @@ def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_i
         for batch in batches:
             for part in by_bytes(batch, batch.num_columns - 1, CHUNK):
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                value = own.score(texts) if own else np.zeros(len(texts))
+                p, lengths = own.tag(texts) if own else (np.zeros(0), np.zeros(len(texts), np.int64))
+                value = own.judged(p, lengths) if own else np.zeros(len(texts))
                 cols, names = [*part.columns[:-1], pa.array(value, pa.float64())], [*part.schema.names[:-1], "score"]
                 if spans:
-                    found = [[{"start": a, "stop": b} for a, b in own.spans(t)] if own and v >= 0.5 else [] for t, v in zip(texts, value)]
+                    ends = np.cumsum(lengths)
+                    found = [[{"start": a, "stop": b} for a, b in runs_of(t, p[e - n : e])] for t, e, n in zip(texts, ends, lengths)]
                     cols, names = [*cols, pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], [*names, "spans"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -7,7 +7,7 @@ which is the last byte of each member. So each part file is a WARC file on any f
 Spark writes to. Of equal payloads of `least` bytes or more the smallest id is a
 response and the others revisit it; rows that share that id all are responses.
 
-The reader takes whole files (`binaryFile`), follows Content-Length and checks each record,
+The reader takes whole files (`binaryFile`, up to 2 GB each), follows Content-Length and checks each record,
 a response's payload by its WARC-Payload-Digest (SHA-1) and WARC-Payload-Length, where given;
 where a check fails it searches the next version line or gzip member, logs the bytes between as
 quarantined and goes on, so one broken record costs itself only. Files hold at most
@@ -54,8 +54,10 @@ def records(pages: DataFrame, least: int = 0, date: str = DATE) -> DataFrame:
     """One row a page: page_id, record_type, refers_to and the record's text."""
     html = F.coalesce(pages["html"], F.lit(""))
     own = pages.select(pages["page_id"], pages["url"], html.alias("html"), F.octet_length(html).cast("long").alias("size"), base32_sha1(html.cast("binary")).alias("digest"), F.sha2(html, 256).alias("same"))
-    first = own.filter(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first")).filter("first IS NOT NULL")
-    own = own.join(first, "same", "left")
+    # ids and digests alone tell which rows revisit; the pages themselves are dealt by id, not by payload
+    first = own.filter(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("first IS NOT NULL AND rows > 1")
+    again = own.select("page_id", "same").join(first.select("same", "first"), "same").distinct().select(F.col("page_id").alias("__id"), F.col("same").alias("__same"), "first")
+    own = own.join(again, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("same") == F.col("__same")), "left")
     revisit = F.coalesce((F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     own = own.withColumn("revisit", revisit)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -143,39 +145,49 @@ def _intact(head: dict, block: bytes) -> bool:
     return kind.lower() != "sha1" or value.upper() in (base64.b32encode(own.digest()).decode(), own.hexdigest().upper())
 
 
-def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int, int]]]:
-    """Records as (offset, headers, block) and gaps as (offset, bytes). A record inside a gzip
-    member has the member's offset; of a broken member the records before its damage are
-    recovered, and the member is a gap. Gaps and what was read cover the whole file."""
-    found: list[tuple[int, dict, bytes]] = []
-    gaps: list[list[int]] = []
-
-    def skip(a: int, b: int) -> None:
-        if gaps and sum(gaps[-1]) == a:
-            gaps[-1][1] += b - a
-        elif b > a:
-            gaps.append([a, b - a])
-
+def salvaged(data: bytes) -> Iterator[tuple[int, dict | None, bytes | int]]:
+    """Records as (offset, headers, block) and gaps as (offset, None, bytes), as they are found.
+    A record inside a gzip member has the member's offset; of a broken member the records before
+    its damage are recovered, and the member is a gap. Gaps and what was read cover the whole
+    data."""
     at = 0
     while at < len(data):
+        stop = None
         if data[at : at + 3] == b"\x1f\x8b\x08":
             content, end = _member(data, at)
-            inner, lost = salvage(content) if content[:2] != b"\x1f\x8b" else ([], [(0, 1)])
-            found += [(at, head, block) for _, head, block in inner]
-            if end is not None:
-                if lost:
-                    skip(at, end)
+            lost = end is None or not content or content[:2] == b"\x1f\x8b"
+            if content[:2] != b"\x1f\x8b":
+                for _, head, block in salvaged(content):
+                    if head is None:
+                        lost = True
+                    else:
+                        yield at, head, block
+            if not lost or end is not None:
+                if lost and end - at != len(_EMPTY):
+                    yield at, None, end - at
                 at = end
                 continue
-        elif got2 := _record(data, at):
-            found.append((at, got2[0], got2[1]))
-            at = got2[2]
+        elif own := _record(data, at):
+            yield at, own[0], own[1]
+            at = own[2]
             continue
         nxt = _START.search(data, at + 1)
         stop = nxt.start() if nxt else len(data)
-        skip(at, stop)
+        yield at, None, stop - at
         at = stop
-    return found, [(a, n) for a, n in gaps]
+
+
+def salvage(data: bytes) -> tuple[list[tuple[int, dict, bytes]], list[tuple[int, int]]]:
+    """All records, and all gaps, those that touch each other as one."""
+    found, gaps = [], []
+    for at, head, own in salvaged(data):
+        if head is not None:
+            found.append((at, head, own))
+        elif gaps and sum(gaps[-1]) == at:
+            gaps[-1] = gaps[-1][0], gaps[-1][1] + own
+        else:
+            gaps.append((at, own))
+    return found, gaps
 
 
 def payload_of(head: dict, block: bytes) -> bytes:
@@ -190,17 +202,34 @@ _READ = "path string, offset long, record_id string, record_type string, target_
 def _salvaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _READ.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+
+    def rows(path: str, data: bytes) -> Iterator[tuple]:
+        gap: tuple[int, int] | None = None
+        for at, head, own in salvaged(data):
+            if head is None:
+                if gap and sum(gap) == at:
+                    gap = gap[0], gap[1] + own
+                    continue
+                if gap:
+                    yield path, gap[0], *[None] * 7, gap[1]
+                gap = at, own
+            else:
+                digest, length = _DIGEST.fullmatch(head.get("warc-payload-digest", "")), head.get("warc-payload-length", "")
+                yield path, at, head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-refers-to"), digest and digest[1], int(length) if length.isdigit() else None, payload_of(head, own), None
+        if gap:
+            yield path, gap[0], *[None] * 7, gap[1]
+
     for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found, gaps = salvage(data)
-            rows = []
-            for at, head, block in found:
-                digest = _DIGEST.fullmatch(head.get("warc-payload-digest", ""))
-                length = head.get("warc-payload-length", "")
-                rows.append((path, at, head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-refers-to"), digest and digest[1], int(length) if length.isdigit() else None, payload_of(head, block), None))
-            rows += [(path, at, None, None, None, None, None, None, None, n) for at, n in gaps]
-            for lo in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 1000]), kinds)], names=names)
+        for k in range(len(batch)):  # records leave as they are found: a whole archive's are never held
+            held, size = [], 0
+            for row in rows(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()):
+                held.append(row)
+                size += len(row[8] or b"")
+                if size >= 1 << 22 or len(held) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
