@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. Nulls: a null text is an empty one; a document with a null id counts, for
-the choice of one document of a group, as having an id larger than all others.
+the choice of one document of a group, as having an id larger than all others. Different
+documents of one id are judged each by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, mixing, simhash_dedup, substring_dedup, toxicity
@@ -23,17 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, field, carry=COLUMNS).filter("score < 0.5").select(*COLUMNS)
 
 
-def _id(doc_id: Column, text: Column) -> Column:
-    nulls_last = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 40))
-    return F.coalesce(doc_id.cast("long"), nulls_last)
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least id stays."""
-    named = docs.select(*COLUMNS).withColumn("id", _id(F.col("doc_id"), F.col("text")))
-    prints = kept(simhash_dedup.fingerprints(named.select("text", F.col("id").alias("doc_id"))), "fingerprints")
-    stays = simhash_dedup.label(prints).select(F.col("component_id").alias("id")).distinct()
-    return named.join(stays, "id", "left_semi").dropDuplicates(["id"]).select(*COLUMNS)
+    """Of each SimHash component the row with the least id stays (of several such, and of rows
+    without an id, that with the least hash). Rows are known by 96 bits of id and text; of equal
+    rows one stays."""
+    e, f = F.xxhash64(F.lit(5), "doc_id", "text").alias("e"), F.hash(F.lit(9), "text", "doc_id").alias("f")
+    named = docs.select(*COLUMNS, e, f)
+    prints = kept(simhash_dedup.fingerprints(named.select("doc_id", "text", "e", "f"), ("doc_id", "e", "f")), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "e", "f")
+    stays = prints.join(simhash_dedup.label(prints), "fp").groupBy("root").agg(F.min(rank).alias("one")).select("one.e", "one.f")
+    return named.join(stays, ["e", "f"], "left_semi").dropDuplicates(["e", "f"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go."""
-    found = decontaminate.windows(table(spark, sf_dir, "benchmark"))
-    return decontaminate.scan(docs, found, carry=COLUMNS).filter("NOT contaminated").select(*COLUMNS)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS).filter("NOT contaminated").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
