@@ -160,3 +160,75 @@ def test_settings():
     assert T.overlay(options, {"Best": {"count": 9, "mode": "x"}}, "/m/best.pt", {"mode": "y"})["count"] == 9
     assert T.select_models(["B.pt", "a.pt"], ["A.PT", "b.pt"]) == ["B.pt", "a.pt"]
     assert T.fingerprint({"a": 1, "path": "x"}, ("path",)) == T.fingerprint({"path": "y", "a": 1}, ("path",))
+
+
+def test_delivery_poses(spark, tmp_path):
+    good = "a.jpg;180096.447723;1;2;3;0;0;0;1;0;0;0;1;0;0;0;1"
+    root = tmp_path / "20250311_0200_area"
+    for track, ini, sphere, images in (("T1", True, True, ("a.jpg", "b.jpg")), ("T2", False, True, ("a.jpg",)), ("T3", True, False, ("a.jpg",)), ("T4", True, True, ())):
+        camera = root / "Survey1" / track / "Camera01"
+        camera.mkdir(parents=True)
+        (camera / "external orientation.CSV").write_text("\n".join([good, good.replace("a.jpg", "gone.jpg"), good.replace("a.jpg", "b.jpg") + ";9"]))
+        (camera / "Internal Orientation.txt").write_text("ImageSize=8, 4\nWidthLimits=0,360\nHeightLimits=0,180\nPanoramaHotSpot=180,90\nSphereRadius=5\n" if sphere else "Focal=1\n")
+        for name in images:
+            (camera / name).write_bytes(b"jpg")
+        if ini:
+            (root / "Survey1" / track / "z.ini").write_text("[MMSIdentification]\nManufacturer = Maker\nModelName=M\nSerialNumber=7\n[Other]\nx=1\n")
+    rows = pose.scan_pose_delivery(spark, str(tmp_path)).collect()
+    assert [(r.image_name, r.row, r.job_name, r.track_name, r.gps_week, str(r.taken_at), r.manufacturer, r.serial_number) for r in rows] == [("a.jpg", 1, "Survey1", "T1", 2357, "2025-03-11 02:01:18.447723", "Maker", "7")]
+
+
+def test_legacy_poses(spark, tmp_path):
+    d = tmp_path / "Route_17" / "CAM"
+    d.mkdir(parents=True)
+    row = "1,250311_020118447723.jpg,1,2,3,0,1,0,0,0,1,.1,.2,.3,4,5,6"
+    (d / "250311_020118447723.jpg").write_bytes(b"jpg")
+    (d / "p.csv").write_text("\n".join(["n,image", row + ",extra", row.replace("250311", "250312"), row.replace("1,2,3", "1,x,3")]))
+    (tmp_path / "Route_17" / "other.csv").write_text(row)
+    rows = pose.scan_pose_legacy(spark, str(tmp_path)).collect()
+    assert [(r.image_name, r.row, r.record_name, r.route_id, str(r.taken_at), r.oy, r.fy, r.uz, r.kappa_deg) for r in rows] == [("250311_020118447723.jpg", 2, "Route_17", "17", "2025-03-11 02:01:18.447723", 2.0, 1.0, 1.0, 6.0)]
+
+
+def test_table_encoding():
+    import pytest
+
+    table = lambda raw: bytes(8) + (33).to_bytes(2, "little") + len(raw).to_bytes(2, "little") + bytes(21) + raw
+    assert layers.infer_encoding(table(" 한글".encode())) == "utf-8" and layers.infer_encoding(table(" 한글".encode("cp949"))) == "cp949"
+    for bad in (b"short", table(b"\xff\xff\xff"), table(b"")):
+        with pytest.raises(ValueError):
+            layers.infer_encoding(bad)
+
+
+def test_manifest_and_metrics(spark, tmp_path):
+    import json
+    import os
+
+    import pytest
+
+    from waymark.operators.metrics import StageMetrics
+    from waymark.sources.results import sink_manifest
+
+    path = f"{tmp_path}/out/run.json"
+    for n in (1, 2):
+        sink_manifest(spark, f"file://{path}", {"n": n, "name": "é"})
+        assert json.load(open(path)) == {"n": n, "name": "é"}
+    with pytest.raises(ValueError):
+        sink_manifest(spark, f"file://{path}", {"n": float("nan")})
+    assert json.load(open(path))["n"] == 2 and not [f for f in os.listdir(tmp_path / "out") if f.endswith(".tmp")]
+    m = StageMetrics()
+    for _ in range(2):
+        with m.timed("match"):
+            m.counted(spark.range(7), "match").write.format("noop").mode("overwrite").save()
+    (row,) = m.snapshot(spark).collect()
+    assert (row.stage, row["count"], row.rows) == ("match", 2, 14) and row.seconds > 0
+
+
+def test_required_calibration(spark):
+    import pytest
+
+    from waymark.operators.matching import require_calibration
+
+    good = spark.createDataFrame([(1, "attached"), (2, "week_replaced")], "k long, status string")
+    assert require_calibration(good).count() == 2
+    with pytest.raises(ValueError, match="1 missing"):
+        require_calibration(good.union(spark.createDataFrame([(3, "missing")], good.schema)))

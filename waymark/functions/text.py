@@ -50,3 +50,21 @@ def gps_time(week: Column, seconds: Column, leap: int = 18) -> Column:
     """GPS week and seconds of week to UTC."""
     micros = F.round((week.cast("double") * 604800 + seconds - leap) * 1e6).cast("bigint")
     return F.timestamp_micros(F.lit(315964800000000) + micros)  # 1980-01-06
+
+
+def path_job(path: Column, job: Column) -> Column:
+    """The job named, else the folder nearest to the file that begins with `job_`, without `.job`."""
+    folders = F.slice(F.reverse(F.split(path, "[/\\\\]")), 2, 1 << 20)
+    found = F.filter(folders, lambda p: F.lower(p).startswith("job_"))
+    return F.coalesce(job, F.regexp_replace(F.try_element_at(found, F.lit(1)), r"\.job$", ""))
+
+
+def path_track(path: Column, track: Column) -> Column:
+    """The track named, else the folder nearest to the file that is `Track` and a number."""
+    folders = F.slice(F.reverse(F.split(path, "[/\\\\]")), 2, 1 << 20)
+    return F.coalesce(track, F.try_element_at(F.filter(folders, lambda p: p.rlike(r"(?i)^track[_-]?\d+$")), F.lit(1)))
+
+
+def container_name(x: Column, end: str) -> Column:
+    """A job's or scan's name without its ending, in lower case; empty is null."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(x)), rf"\Q{end}\E$", ""), F.lit(""))

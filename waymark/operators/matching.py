@@ -6,24 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.functions.text import container_name, gps_time
+from waymark.operators.components import shared_checkpoint
+from waymark.operators.geometry import bbox_distance_2d
 
-def few(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """df marked for broadcast, after a count: more than `most` rows are an error that asks for
-    a narrower scope."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rows; narrow the scope first")
-    return F.broadcast(df)
 
+BOX = ("min_x", "min_y", "max_x", "max_y")
 
-def tiered_match(left: DataFrame, files: DataFrame, key: str, tier: Column, order: list[Column], most: int, keep: tuple[str, ...], most_files: int = 10_000) -> DataFrame:
-    """For each row of left the files of its best tier (0 is exact and goes uncapped), ranked.
 
-    Every file is a candidate of every frame, so files must be few: they are broadcast, and
-    more than `most_files` of them are an error."""
-    found = left.join(few(files, most_files)).withColumn("tier", tier)
-    found = found.withColumn("__best", F.min("tier").over(W.partitionBy(key))).filter("tier = __best")
-    found = found.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return found.filter((F.col("tier") == 0) | (F.col("rank") <= most)).select(key, *keep, "tier", "rank")
+def nearest_boxes(left: DataFrame, boxes: DataFrame, key: str, box_key: str, count: int, dims: str = "xy") -> DataFrame:
+    """For each row of left (key, ox, oy) its `count` nearest boxes (box_key, min_x .. max_y):
+    key, box_key, distance (over dims; the grid is of x and y). Rows meet boxes in a grid whose cells double from round to round; a
+    row is done once `count` boxes lie no farther than a cell, so that none can be nearer."""
+    boxes = shared_checkpoint(boxes.select(box_key, *[f"{m}_{d}" for m in ("min", "max") for d in dims]))
+    size = boxes.agg(F.count("*").alias("n"), F.least(F.min("min_x"), F.min("min_y")).alias("a"), F.greatest(F.max("max_x"), F.max("max_y")).alias("b")).first()
+    rest = shared_checkpoint(left.select(key, *[f"o{d}" for d in dims]))
+    out = None
+    if size["n"]:
+        reach = rest.agg(F.greatest(F.max(F.abs("ox")), F.max(F.abs("oy"))).alias("r")).first()["r"] or 0.0
+        extent = max(size["b"] - size["a"], 1e-6) + abs(size["a"]) + abs(size["b"]) + 2 * reach
+        g = max((size["b"] - size["a"]) / max(size["n"], 1) ** 0.5, 1e-6)
+        while True:
+            cell = lambda c: F.floor(F.col(c) / g)  # noqa: E731, B023
+            own = boxes.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+            around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / g) - 1, F.floor(F.col(c) / g) + 1))  # noqa: E731, B023
+            met = rest.withColumn("cx", around("ox")).withColumn("cy", around("oy")).join(own, ["cx", "cy"])
+            off = [F.greatest(F.col(f"min_{d}") - F.col(f"o{d}"), F.lit(0.0), F.col(f"o{d}") - F.col(f"max_{d}")) for d in dims]
+            met = met.select(key, box_key, F.sqrt(sum(x * x for x in off)).alias("distance")).distinct()
+            ranked = met.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("distance", box_key))).filter(F.col("k") <= count)
+            last = g > extent
+            whole = ranked.groupBy(key).agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(F.lit(last) | ((F.col("n") == min(count, size["n"])) & (F.col("far") <= g)))
+            found = shared_checkpoint(ranked.join(whole.select(key), key, "left_semi").drop("k"))
+            out = found if out is None else out.unionByName(found)
+            rest = shared_checkpoint(rest.join(found.select(key).distinct(), key, "left_anti"))
+            if last or rest.isEmpty():
+                break
+            g *= 2
+    return out if out is not None else left.sparkSession.createDataFrame([], left.select(key).schema.add(boxes.schema[box_key]).add("distance", "double"))
+
+
+def tiered_match(left: DataFrame, files: DataFrame, key: str, tiers: list[tuple[Column, Column]], file_key: str, most: int) -> DataFrame:
+    """key, file_key, tier, rank: for each row of left (key, ox, oy) the files of its best tier,
+    nearest first. Tiers before the last are equi-joins on a pair of keys (a null key never
+    matches); rows that none of them serves get their nearest files. The first tier is exact
+    and goes uncapped, the others have at most `most` files."""
+    rest = shared_checkpoint(left)
+    out = None
+    for i, (own, other) in enumerate(tiers):
+        met = rest.withColumn("__k", own).join(files.withColumn("__f", other), F.col("__k") == F.col("__f"))
+        distance = bbox_distance_2d(F.col("ox"), F.col("oy"), tuple(F.col(c) for c in BOX))  # type: ignore[arg-type]
+        ranked = met.select(key, file_key, F.lit(i).alias("tier"), F.row_number().over(W.partitionBy(key).orderBy(distance, file_key)).alias("rank"))
+        ranked = ranked if i == 0 else ranked.filter(F.col("rank") <= most)
+        out = ranked if out is None else out.unionByName(ranked)
+        rest = rest.join(ranked.select(key).distinct(), key, "left_anti")
+    near = nearest_boxes(rest, files, key, file_key, most)
+    near = near.select(key, file_key, F.lit(len(tiers)).alias("tier"), F.row_number().over(W.partitionBy(key).orderBy("distance", file_key)).alias("rank"))
+    return near if out is None else out.unionByName(near)
 
 
 def unique_lookup(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -37,3 +75,57 @@ def latest_per_key(df: DataFrame, key: str, order: tuple[str, ...], keep: tuple[
     """The row with the greatest order; a pre-aggregated maximum, no window."""
     best = df.groupBy(key).agg(F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("__m"))
     return best.select(key, *[F.col(f"__m.{c}").alias(c) for c in keep])
+
+
+def calibration_match(tasks: DataFrame, bundle: DataFrame, key: str) -> DataFrame:
+    """tasks: key, job_name, track_name (may be null); bundle: job, track, calib_id. Returns key,
+    status (matched, missing or ambiguous) and calib_id where just one entry has the task's job
+    and, if it names one, its track. Names are compared without case and container endings."""
+    own = tasks.select(key, container_name(F.col("job_name"), ".job").alias("job"), container_name(F.col("track_name"), ".scan").alias("track"))
+    have = bundle.select(container_name(F.col("job"), ".job").alias("job"), container_name(F.col("track"), ".scan").alias("track"), "calib_id")
+    by_track = have.groupBy("job", "track").agg(F.count("*").alias("n"), F.min("calib_id").alias("calib_id"))
+    by_job = have.groupBy("job").agg(F.count("*").alias("n"), F.min("calib_id").alias("calib_id"))
+    named = own.filter("track IS NOT NULL").join(by_track, ["job", "track"], "left").select(key, "n", "calib_id")
+    loose = own.filter("track IS NULL").join(by_job, "job", "left").select(key, "n", "calib_id")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "matched").otherwise("ambiguous")
+    return named.unionByName(loose).select(key, status.alias("status"), F.when(F.col("n") == 1, F.col("calib_id")).alias("calib_id"))
+
+
+def calibration_attach(tasks: DataFrame, matched: DataFrame, bundle: DataFrame, key: str, leap: int = 18) -> DataFrame:
+    """tasks: key, gps_sow, gps_week, week_inferred, image_width, image_height; bundle: calib_id,
+    calib_week, width, height. Returns the tasks with status and calib_id. An image of another
+    size than calibrated is an error (`size_mismatch`), and so is another week than one given
+    (`week_conflict`); an inferred week is replaced and the time is taken anew."""
+    j = tasks.join(matched, key, "left").join(bundle.select("calib_id", "calib_week", "width", "height"), "calib_id", "left")
+    sized = F.coalesce((F.col("image_width") == F.col("width")) & (F.col("image_height") == F.col("height")), F.lit(True))
+    differs = F.col("calib_week").isNotNull() & ~F.col("calib_week").eqNullSafe(F.col("gps_week"))
+    status = F.when(F.col("status") != "matched", F.col("status")).when(~sized, "size_mismatch").when(differs & ~F.col("week_inferred"), "week_conflict").when(differs, "week_replaced").otherwise("attached")
+    week = F.when(status == "week_replaced", F.col("calib_week")).otherwise(F.col("gps_week")).cast("long")
+    return j.select(key, status.alias("status"), F.when(status.isin("attached", "week_replaced"), F.col("calib_id")).alias("calib_id"), week.alias("gps_week"), gps_time(week, F.col("gps_sow"), leap).alias("taken_at"))
+
+
+def require_calibration(attached: DataFrame) -> DataFrame:
+    """The whole scope is validated before anything is used: any task without a calibration that
+    fits is an error that names how many there are."""
+    bad = attached.filter(~F.col("status").isin("attached", "week_replaced")).groupBy("status").count().collect()  # a row a status
+    if bad:
+        raise ValueError("calibration: " + ", ".join(f"{r['count']} {r['status']}" for r in sorted(bad)))
+    return attached
+
+
+def frame_boxes(documents: DataFrame, boxes: DataFrame, items: int) -> DataFrame:
+    """documents: image_name, run_id, finished_at, readable (one a frame and completed run);
+    boxes: image_name, run_id, model, detection_index, class_id, confidence, x0, y0, x1, y1.
+
+    The boxes of each frame from the newest completed run that has it, of every model, equal
+    boxes of a model and class once (the most confident, then the first), the `items` most
+    confident in all. `truncated` tells that boxes are left out or that the newest document
+    can't be read (then there are none: no older run takes its place)."""
+    newest = latest_per_key(documents, "image_name", ("finished_at", "run_id"), ("run_id", "readable"))
+    shape = [F.round(c, 0) for c in ("x0", "y0", "x1", "y1")]
+    own = boxes.join(newest.filter("readable"), ["image_name", "run_id"], "left_semi")
+    own = own.withColumn("__k", F.row_number().over(W.partitionBy("image_name", "model", "class_id", *shape).orderBy(F.desc("confidence"), "detection_index"))).filter("__k = 1")
+    own = own.withColumn("rank", F.row_number().over(W.partitionBy("image_name").orderBy(F.desc("confidence"), "model", "detection_index")))
+    own = own.withColumn("__n", F.count("*").over(W.partitionBy("image_name"))).filter(F.col("rank") <= items)
+    out = newest.join(own.select("image_name", "model", "detection_index", "rank", "__n"), "image_name", "left")
+    return out.select("image_name", "run_id", "model", "detection_index", "rank", (~F.col("readable") | (F.coalesce("__n", F.lit(0)) > items)).alias("truncated"))

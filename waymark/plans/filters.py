@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import canonical_name, canonical_track, natural_key
 from waymark.functions.vectors import cross, dot, vec
+from waymark.operators.matching import nearest_boxes
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -115,13 +116,9 @@ def crop_extent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(S.with_tables("frames files", ", d AS (SELECT frame_id, min(sqrt(greatest(min_x - ox, 0, ox - max_x) ** 2 + greatest(min_y - oy, 0, oy - max_y) ** 2)) AS d FROM frames, files GROUP BY frame_id) SELECT frame_id, round(d, 6) + 0.0 AS distance FROM d WHERE d > 25"))
 def proximity_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames whose nearest file is too far; the files are few and counted first."""
-    from waymark.operators.geometry import bbox_distance_2d
-    from waymark.operators.matching import few
-
-    d = bbox_distance_2d(F.col("ox"), F.col("oy"), tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")))  # type: ignore[arg-type]
-    both = S.frames(spark, sf).join(few(S.files(spark, sf)))
-    return both.groupBy("frame_id").agg(F.min(d).alias("d")).filter("d > 25").select("frame_id", (F.round("d", 6) + 0.0).alias("distance"))
+    """Frames whose nearest file is too far."""
+    near = nearest_boxes(S.frames(spark, sf), S.files(spark, sf), "frame_id", "file_id", 1)
+    return near.filter("distance > 25").select("frame_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query(S.with_tables("detections", "SELECT image_name, detection_index, CASE WHEN confidence >= 0.93::DOUBLE THEN x END AS x, x1 > x0 AND y1 > y0 AS finite_box FROM detections"))

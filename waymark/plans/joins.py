@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.functions.text import path_job, path_track
 from waymark.functions.vectors import vec
 from waymark.operators import geometry as G
-from waymark.operators.matching import latest_per_key, tiered_match, unique_lookup
+from waymark.operators.matching import calibration_attach, calibration_match, frame_boxes, tiered_match
 from waymark.operators.spatial import box_join, cone_join, radius_join
 from waymark.registry import query
 from waymark.sources import survey as S
@@ -83,10 +84,8 @@ SELECT frame_id, file_id, tier, rank::INTEGER AS rank FROM k WHERE tier = 0 OR r
 def match_files(spark: SparkSession, sf: str) -> DataFrame:
     """The most specific non-empty tier; the exact tier is never capped, the others at 3."""
     f, p = S.frames(spark, sf), S.files(spark, sf)
-    exact = (F.col("track_id") % 10 == F.col("file_id")) & (F.col("ordinal") % 3 == 0)
-    tier = F.when(exact, 0).when(F.col("track_id") % 5 == F.col("file_id"), 1).otherwise(2)
-    distance = G.bbox_distance_2d(F.col("ox"), F.col("oy"), tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")))  # type: ignore[arg-type]
-    return tiered_match(f, p, "frame_id", tier, [distance, F.col("file_id")], 3, ("file_id",))
+    exact = F.when(F.col("ordinal") % 3 == 0, F.col("track_id") % 10)
+    return tiered_match(f, p, "frame_id", [(exact, F.col("file_id")), (F.col("track_id") % 5, F.col("file_id"))], "file_id", 3)
 
 
 @query(S.with_tables("frames files", f", k AS (SELECT frame_id, file_id, row_number() OVER (PARTITION BY frame_id ORDER BY {_DIST}, file_id) AS rank FROM frames JOIN files ON track_id % 10 = file_id) SELECT frame_id, file_id, rank::INTEGER AS rank FROM k WHERE rank <= 6"))
@@ -97,12 +96,59 @@ def match_files_legacy(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("frame_id", "file_id", rank.alias("rank")).filter("rank <= 6")
 
 
-@query("""WITH n AS (SELECT n_regionkey, count(*) AS c, min(n_nationkey) AS pick FROM nation WHERE n_name LIKE '%A' GROUP BY n_regionkey)
-SELECT r.r_regionkey AS region, CASE WHEN c IS NULL THEN 'missing' WHEN c = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN c = 1 THEN pick END AS nation FROM region r LEFT JOIN n ON r.r_regionkey = n.n_regionkey""")
+_TASKS = """, t AS (SELECT frame_id, 'Job_' || (frame_id % 40) || CASE WHEN frame_id % 2 = 0 THEN '.JOB' ELSE '' END AS job_name, CASE WHEN frame_id % 3 > 0 THEN 'Track' || (track_id % 5) END AS track_name,
+    (frame_id * 37 % 604800)::DOUBLE AS gps_sow, 2290 + frame_id % 3 AS gps_week, frame_id % 4 > 0 AS week_inferred, 7040 AS image_width, 3520 AS image_height FROM frames),
+b AS (SELECT 'job_' || s_nationkey AS job, 'track' || (s_suppkey % 5) || '.scan' AS track, s_suppkey AS calib_id, CASE WHEN s_suppkey % 4 > 0 THEN 2290 + s_suppkey % 3 END AS calib_week, CASE WHEN s_suppkey % 7 = 0 THEN 8000 ELSE 7040 END AS width, 3520 AS height FROM supplier),
+m AS (SELECT frame_id, count(calib_id) AS n, min(calib_id) AS pick FROM t LEFT JOIN b ON b.job = regexp_replace(lower(t.job_name), '\\.job$', '') AND (t.track_name IS NULL OR regexp_replace(b.track, '\\.scan$', '') = lower(t.track_name)) GROUP BY frame_id)"""
+
+
+def _tasks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Frames as tasks that name a job and, most of them, a track; suppliers as calibrations."""
+    i = F.col("frame_id")
+    job = F.concat(F.lit("Job_"), i % 40, F.when(i % 2 == 0, ".JOB").otherwise(""))
+    own = {"job_name": job, "track_name": F.when(i % 3 > 0, F.concat(F.lit("Track"), F.col("track_id") % 5)), "gps_sow": (i * 37 % 604800).cast("double"), "gps_week": 2290 + i % 3, "week_inferred": i % 4 > 0, "image_width": F.lit(7040), "image_height": F.lit(3520)}
+    s = F.col("s_suppkey")
+    bundle = {"job": F.concat(F.lit("job_"), "s_nationkey"), "track": F.concat(F.lit("track"), s % 5, F.lit(".scan")), "calib_id": s, "calib_week": F.when(s % 4 > 0, 2290 + s % 3), "width": F.when(s % 7 == 0, 8000).otherwise(7040), "height": F.lit(3520)}
+    pick = lambda d: [v.alias(k) for k, v in d.items()]
+    return S.frames(spark, sf).select("frame_id", *pick(own)), S.read(spark, sf, "supplier").select(*pick(bundle))
+
+
+@query(S.with_tables("frames", _TASKS + " SELECT frame_id, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN pick END AS calib_id FROM m"))
 def calib_match(spark: SparkSession, sf: str) -> DataFrame:
-    r = S.read(spark, sf, "region").select(F.col("r_regionkey").alias("region"))
-    n = S.read(spark, sf, "nation").filter("n_name LIKE '%A'").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
-    return unique_lookup(r, n, "region", "nation")
+    """The calibration of each task by job and, where it names one, track."""
+    return calibration_match(*_tasks(spark, sf), "frame_id")
+
+
+@query(S.with_tables("frames", _TASKS + " SELECT frame_id, pick AS calib_id FROM m WHERE n = 1"))
+def calib_match_simple(spark: SparkSession, sf: str) -> DataFrame:
+    """The older look-up: the one entry that fits, or none."""
+    return calibration_match(*_tasks(spark, sf), "frame_id").filter("status = 'matched'").select("frame_id", "calib_id")
+
+
+_SHIFT = "epoch_us(TIMESTAMP '1980-01-06 00:00:00' + to_seconds(gps_week::BIGINT * 604800 + gps_sow::BIGINT - 18))"
+
+
+@query(S.with_tables("frames", _TASKS + f""", j AS (SELECT t.*, m.n, m.pick, b.calib_week, b.width, b.height FROM t JOIN m USING (frame_id) LEFT JOIN b ON m.n = 1 AND b.calib_id = m.pick),
+k AS (SELECT *, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN width <> image_width OR height <> image_height THEN 'size_mismatch' WHEN calib_week IS NOT NULL AND calib_week <> gps_week AND NOT week_inferred THEN 'week_conflict' WHEN calib_week IS NOT NULL AND calib_week <> gps_week THEN 'week_replaced' ELSE 'attached' END AS status FROM j),
+w AS (SELECT frame_id, status, CASE WHEN status IN ('attached', 'week_replaced') THEN pick END AS calib_id, (CASE WHEN status = 'week_replaced' THEN calib_week ELSE gps_week END)::BIGINT AS gps_week, gps_sow FROM k)
+SELECT frame_id, status, calib_id, gps_week, {_SHIFT} AS micros FROM w"""))
+def calib_attach(spark: SparkSession, sf: str) -> DataFrame:
+    """A calibration's week replaces one that was inferred, and the time follows; against a given
+    one it is a conflict, and another image size is an error."""
+    tasks, bundle = _tasks(spark, sf)
+    found = calibration_attach(tasks, calibration_match(tasks, bundle, "frame_id"), bundle, "frame_id")
+    return found.select("frame_id", "status", "calib_id", "gps_week", F.unix_micros("taken_at").alias("micros"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'given' WHEN p_partkey % 3 = 0 THEN 'Job_' || p_size END AS job, CASE WHEN p_partkey % 5 = 0 THEN 'T' WHEN p_partkey % 2 = 0 THEN 'track_' || (p_partkey % 7) END AS track FROM part""")
+def task_job_track(spark: SparkSession, sf: str) -> DataFrame:
+    """Job and track of an image from its path, where they aren't given; the file's own name,
+    which may look like a job, never counts."""
+    p = F.col("p_partkey")
+    folders = F.concat(F.lit("/data/job_old/"), F.when(p % 3 == 0, F.concat(F.lit("Job_"), "p_size", F.lit(".job"))).otherwise("x"), F.lit("/"), F.when(p % 2 == 0, F.concat(F.lit("track_"), p % 7)).otherwise("Track7b"), F.lit("/Job_9_a.jpg"))
+    folders = F.when(p % 3 == 0, folders).otherwise(F.replace(folders, F.lit("job_old"), F.lit("old")))
+    made = S.read(spark, sf, "part").select(p.alias("id"), folders.alias("path"), F.when(p % 4 == 0, "given").alias("j"), F.when(p % 5 == 0, "T").alias("t"))
+    return made.select("id", path_job(F.col("path"), F.col("j")).alias("job"), path_track(F.col("path"), F.col("t")).alias("track"))
 
 
 @query(S.with_tables("pole_observations detections", ", l AS (SELECT image_name, detection_index, max(quality) AS quality FROM pole_observations GROUP BY ALL) SELECT d.image_name, d.detection_index, coalesce('P' || d.class_id, '') AS class_key, CASE WHEN l.image_name IS NULL THEN '' ELSE 'P' || d.order_id END AS support_id FROM detections d LEFT JOIN l USING (image_name, detection_index)"))
@@ -128,10 +174,17 @@ def overlay_project(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("id", (F.round(d2, 6) + 0.0).alias("d2"), d2.alias("o")).orderBy("o", "id").limit(20).drop("o")
 
 
-@query(S.with_tables("runs", "SELECT dataset_id, run_id, finished_at FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY finished_at DESC, run_id DESC) AS k FROM runs WHERE status = 'F') WHERE k = 1"))
+@query(S.with_tables("detections", """, l AS (SELECT d.*, 'view' || (d.order_id % 400) AS frame, d.detection_index % 2 AS model, o_orderdate FROM detections d JOIN orders ON o_orderkey = d.order_id AND o_orderstatus = 'F'),
+n AS (SELECT frame, max(struct_pack(at := o_orderdate, run := order_id)).run AS run FROM l GROUP BY frame),
+u AS (SELECT l.*, row_number() OVER (PARTITION BY l.frame, model, class_id, round(x0), round(y0), round(x1), round(y1) ORDER BY confidence DESC, detection_index) AS k FROM l JOIN n ON n.frame = l.frame AND n.run = l.order_id WHERE n.run % 7 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, model, detection_index) AS rank, count(*) OVER (PARTITION BY frame) AS size FROM u WHERE k = 1)
+SELECT n.frame AS image_name, n.run AS run_id, model, detection_index, rank::INTEGER AS rank, run % 7 = 0 OR coalesce(size, 0) > 4 AS truncated FROM n LEFT JOIN (SELECT * FROM r WHERE rank <= 4) r ON r.frame = n.frame"""))
 def frame_detections(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest completed run of each data set."""
-    return latest_per_key(S.runs(spark, sf).filter("status = 'F'"), "dataset_id", ("finished_at", "run_id"), ("run_id", "finished_at"))
+    """Boxes of each frame from the newest completed run that has it; orders serve as runs."""
+    d = S.detections(spark, sf).join(S.runs(spark, sf).filter("status = 'F'").select("run_id", "finished_at"), F.col("order_id") == F.col("run_id"))
+    d = d.withColumns({"image_name": F.concat(F.lit("view"), F.col("run_id") % 400), "model": F.col("detection_index") % 2})
+    documents = d.select("image_name", "run_id", "finished_at", (F.col("run_id") % 7 != 0).alias("readable")).distinct()
+    return frame_boxes(documents, d, 4)
 
 
 @query(S.with_tables("frames", "SELECT frame_id, lag(frame_id) OVER w AS previous, lead(frame_id) OVER w AS next FROM frames WINDOW w AS (PARTITION BY track_id ORDER BY ordinal)"))

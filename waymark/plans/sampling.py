@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.operators.sequences import even_sample, water_fill
+from waymark.operators.matching import nearest_boxes
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -78,14 +79,8 @@ def page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(S.with_tables("frames files", "SELECT frame_id, file_id FROM (SELECT frame_id, file_id, row_number() OVER (PARTITION BY frame_id ORDER BY sqrt(greatest(min_x - ox, 0, ox - max_x) ** 2 + greatest(min_y - oy, 0, oy - max_y) ** 2 + greatest(min_z - oz, 0, oz - max_z) ** 2), file_id) AS k FROM frames, files) WHERE k <= 2"))
 def topk_files(spark: SparkSession, sf: str) -> DataFrame:
-    from waymark.functions.vectors import vec
-    from waymark.operators.geometry import bbox_distance_3d
-    from waymark.operators.matching import few
-
-    d = bbox_distance_3d(vec("ox", "oy", "oz"), vec("min_x", "min_y", "min_z"), vec("max_x", "max_y", "max_z"))
-    both = S.frames(spark, sf).join(few(S.files(spark, sf)))
-    k = F.row_number().over(W.partitionBy("frame_id").orderBy(d, "file_id"))
-    return both.select("frame_id", "file_id", k.alias("k")).filter("k <= 2").drop("k")
+    """The two files nearest to each frame."""
+    return nearest_boxes(S.frames(spark, sf), S.files(spark, sf), "frame_id", "file_id", 2, "xyz").select("frame_id", "file_id")
 
 
 @query(S.with_tables("detections", "SELECT image_name, arg_min(detection_index, struct_pack(a := (x1 - x0) * (y1 - y0), i := detection_index)) AS hit FROM detections WHERE 500 BETWEEN y0 AND y1 GROUP BY image_name"))

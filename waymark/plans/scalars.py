@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import crs, text
+from waymark.functions import crs, formats, text
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -58,3 +58,16 @@ def transverse_mercator(spark: SparkSession, sf: str) -> DataFrame:
     """Longitude and latitude to metres of a Transverse Mercator zone."""
     e, n = crs.transverse_mercator(F.col("lon"), F.col("lat"))
     return S.frames(spark, sf).select("frame_id", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+
+
+_UNIT = "least(floor(log(2, b) / 10 + 1e-12), 4)"
+_SIZE = f"CASE WHEN b = 0 THEN '0 B' ELSE (CASE WHEN b / pow(1024, {_UNIT}) >= 10 OR {_UNIT} = 0 THEN printf('%.0f', round(b / pow(1024, {_UNIT}), 0)) ELSE printf('%.1f', round(b / pow(1024, {_UNIT}), 1)) END) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][{_UNIT}::INTEGER + 1] END"
+
+
+@query(f"""SELECT o_orderkey AS id, {_SIZE} AS size, CASE WHEN d >= 1000 THEN printf('%.1f', round(d / 1000, 1)) || ' km' ELSE floor(d + 0.5::DOUBLE)::BIGINT || ' m' END AS far,
+CASE WHEN s < 60 THEN ceil(s)::BIGINT || '\ucd08' ELSE floor(s / 60)::BIGINT || '\ubd84 ' || ceil(s - floor(s / 60) * 60)::BIGINT || '\ucd08' END AS took, strftime(o_orderdate, '%m. %d. %H:%M') AS day, strftime(o_orderdate, '%H:%M:%S') AS clock
+FROM (SELECT *, (o_orderkey::DOUBLE * o_orderkey * (o_orderkey % 13))::DOUBLE AS b, o_totalprice / 50 AS d, o_totalprice / 900 AS s FROM orders)""")
+def display_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes, distances, durations and times as people read them."""
+    o, i, t = S.read(spark, sf, "orders"), F.col("o_orderkey").cast("double"), F.col("o_totalprice")
+    return o.select(F.col("o_orderkey").alias("id"), formats.bytes_text(i * i * (F.col("o_orderkey") % 13)).alias("size"), formats.distance_text(t / 50).alias("far"), formats.duration_text(t / 900).alias("took"), formats.date_text(F.col("o_orderdate")).alias("day"), formats.clock_text(F.col("o_orderdate")).alias("clock"))

@@ -147,17 +147,6 @@ def inner_outer_camera(spark: SparkSession, sf: str) -> DataFrame:
     return inner.join(outer, "serial", "left").select("serial", "camera", "rig", F.col("rig").isNotNull().alias("mounted"))
 
 
-@query(S.with_tables("frames", """, c AS (SELECT o_orderkey AS job, 2290 + o_orderkey % 5 AS week FROM orders WHERE o_orderkey % 3 <> 0), j AS (SELECT f.frame_id, f.track_id, 2292 AS own, frame_id % 2 = 0 AS explicit, c.week FROM frames f LEFT JOIN c ON c.job = f.frame_id)
-SELECT frame_id, CASE WHEN week IS NULL THEN 'missing' WHEN explicit AND week <> own THEN 'conflict' WHEN week <> own THEN 'replaced' ELSE 'matched' END AS status, CASE WHEN week IS NULL OR explicit THEN own ELSE week END::BIGINT AS gps_week FROM j"""))
-def calib_attach(spark: SparkSession, sf: str) -> DataFrame:
-    """A calibration's week replaces one that was inferred; against a given one it is a conflict."""
-    c = S.read(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("frame_id"), (2290 + F.col("o_orderkey") % 5).alias("week"))
-    j = S.frames(spark, sf).select("frame_id", (F.col("frame_id") % 2 == 0).alias("explicit")).join(c, "frame_id", "left")
-    other = F.col("week") != 2292
-    status = F.when(F.col("week").isNull(), "missing").when(F.col("explicit") & other, "conflict").when(other, "replaced").otherwise("matched")
-    return j.select("frame_id", status.alias("status"), F.when(F.col("week").isNull() | F.col("explicit"), F.lit(2292)).otherwise(F.col("week")).cast("bigint").alias("gps_week"))
-
-
 @query(S.with_tables("points detections", """, b AS (SELECT image_name, detection_index, x0 / 8 AS x0, x1 / 8 AS x1, y0 / 4 AS y0, y1 / 4 AS y1, class_id FROM detections WHERE confidence >= 0.98::DOUBLE)
 SELECT image_name, detection_index, count(*) AS n, min(point_id) AS first_point FROM b JOIN points p ON p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 AND p.class_id % 5 = b.class_id WHERE ((p.x - (b.x0 + b.x1) / 2) / ((b.x1 - b.x0) / 2)) ** 2 + ((p.y - (b.y0 + b.y1) / 2) / ((b.y1 - b.y0) / 2)) ** 2 <= 1 GROUP BY ALL"""))
 def mask_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -99,7 +99,7 @@ _FEATURES = "stem string, id string, ordinal long, x double, y double, z double,
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for stem, shp, dbf in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            rows = [(stem, f"f_{i:09d}", i, *p, list(r.items())) for i, (p, r) in enumerate(zip(decode_shp(shp), decode_dbf(dbf)[1])) if p is not None and r is not None]
+            rows = [(stem, f"f_{i:09d}", i, *p, list(r.items())) for i, (p, r) in enumerate(zip(decode_shp(shp), decode_dbf(dbf, infer_encoding(dbf))[1])) if p is not None and r is not None]
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _FEATURES.split(", ")])
@@ -114,6 +114,24 @@ def scan_layer(spark: SparkSession, root: str) -> DataFrame:
     return bundle.mapInArrow(_features, _FEATURES)
 
 
+def infer_encoding(dbf: bytes) -> str:
+    """The encoding of a table's texts: UTF-8 where its rows (8 MB of them at most) are that,
+    else CP949; neither, or a broken header, is an error."""
+    if len(dbf) < 12:
+        raise ValueError("the table's header is incomplete")
+    head, size = int.from_bytes(dbf[8:10], "little"), int.from_bytes(dbf[10:12], "little")
+    if not 33 <= head <= len(dbf) or not size:
+        raise ValueError("the table's header or row length is invalid")
+    rows = dbf[head : head + max(1, (8 << 20) // size) * size]
+    for name in ("utf-8", "cp949"):
+        try:
+            rows.decode(name)
+            return name
+        except UnicodeDecodeError:
+            continue
+    raise ValueError("neither UTF-8 nor CP949: name the encoding")
+
+
 class Staged(WriterCommitMessage):
     def __init__(self, stems: list[str]) -> None:
         self.stems = stems

@@ -5,6 +5,9 @@ been cut off while it wrote them."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,24 @@ def sink_frame_json(frames: DataFrame, path: str) -> None:
     """One document a frame (columns of DOCUMENT), a folder for each record; a rerun replaces
     the records it holds and no others."""
     frames.withColumn("record", F.col("record_name")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).partitionBy("record").json(path)
+
+
+def sink_manifest(spark: SparkSession, path: str, document: dict) -> None:
+    """Writes one JSON document as a whole or not at all: beside its place first, then renamed
+    over it by the file system that the path names. Numbers that JSON lacks are an error."""
+    text = json.dumps(document, ensure_ascii=False, indent=2, allow_nan=False) + "\n"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(text.encode()))
+        out.close()
+        replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(staged, target, replace)
+    except Exception:
+        fs.delete(staged, False)
+        raise
