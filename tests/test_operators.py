@@ -61,10 +61,98 @@ def test_nms_keeps_the_best_and_joins_sources():
     assert out[["detection_index", "sources"]].values.tolist() == [[2, "1,2,3"]]
 
 
+def plain_dedupe(rows):
+    """rows: id, record, class, image, index, x, y, z, support, points, confidence. One merge at a time."""
+    key = lambda r: (r[1], r[3].lower(), r[4], r[0])
+
+    def pair(a, b):
+        if a[1:3] != b[1:3] or (a[3].strip() and a[3].lower() == b[3].lower()) or (a[8] and b[8] and a[8] != b[8]):
+            return None
+        rx, rz = C.SUPPORTED if a[8] and b[8] else C.UNSUPPORTED
+        xy, z = float(np.hypot(a[5] - b[5], a[6] - b[6])), abs(a[7] - b[7])
+        return max(xy / rx, z / rz) if xy <= rx + 1e-12 and z <= rz + 1e-12 else None
+
+    def link(p, q):
+        scores = [pair(a, b) for a in p for b in q]
+        return None if None in scores else max(scores)
+
+    groups = [[r] for r in sorted(rows, key=key)]
+    while True:
+        found = [(s, i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if (s := link(groups[i], groups[j])) is not None]
+        if not found:
+            break
+        _, i, j = min(found)
+        merged = sorted(groups[i] + groups[j], key=key)
+        groups = sorted([g for k, g in enumerate(groups) if k not in (i, j)] + [merged], key=lambda g: [key(r) for r in g])
+    out = {}
+    for g in groups:
+        far = {r[0]: round(sum(pair(r, o) or 0 for o in g if o is not r), 9) for r in g}
+        best = min(g, key=lambda r: (not r[8], far[r[0]], -r[9], -r[10], key(r)))
+        out |= {r[0]: (best[0], len(g)) for r in g}
+    return out
+
+
+def test_sign_dedupe(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(70):
+        x, y, z = (rng.integers(0, 4, 3) * 0.4 + rng.uniform(-0.13, 0.13, 3)).tolist()
+        rows.append((i, "r", int(rng.integers(2)), f"Im{rng.integers(25)}", int(rng.integers(3)), x * (i % 9 > 0), y * 0.3, z * 0.2, ["", "A", "B", None][int(rng.integers(4))], int(rng.integers(5)), float(rng.integers(4)) / 4))
+    rows.append((99, "r", 0, "", 1, 0.0, 0.0, 0.0, None, 1, 0.5))
+    want = plain_dedupe(rows)
+    df = spark.createDataFrame([*rows, (100, "r", 0, "im", 1, None, 0.0, 0.0, None, None, None)], "obs_id long, record_name string, class_id int, image_name string, detection_index long, x double, y double, z double, support_id string, point_count int, confidence double")
+    for few in (C.FEW_MEMBERS, 0):
+        got = {r.obs_id: (r.canonical_id, r["size"]) for r in C.sign_dedupe(df, few=few).collect()}
+        assert got.pop(100) == (100, 1) and got == want
+    assert max(n for _, n in want.values()) > 2
+
+
 def test_complete_link_does_not_chain():
-    xy = np.array([[0.0, 0], [0.2, 0], [0.4, 0]])
-    assert sorted(C.complete_link(xy, ["a", "b", "c"], 0.25)) == [[0, 1], [2]]
-    assert sorted(C.complete_link(xy[:2], ["a", "a"], 0.25)) == [[0], [1]]
+    d = np.full((3, 3), np.inf)
+    d[0, 1], d[1, 2] = 0.8, 0.8
+    assert C.agglomerate(d).tolist() == [0, 0, 2]
+
+
+def test_pole_merge(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(90):
+        c = int(rng.integers(5))
+        x, y, z = (np.array([c * 3.0, c, 0.1]) + rng.normal(0, 0.08, 3) + (rng.uniform(-0.4, 0.4, 3) if i % 9 == 0 else 0)).tolist()
+        rows.append((i, f"r{i % 2}", f"im{rng.integers(30)}", i % 4, x, y, z, float(rng.integers(1, 9)) / 10, ["AUTO", "REVIEW"][i % 13 == 0], ["A", "B"][i % 17 == 0], ["VISIBLE", "OCCLUDED", "GROUND_CONFLICT"][int(rng.integers(12)) // 5]))
+    names = "obs_id record_name image_name detection_index pole_x pole_y pole_z quality pole_status pole_type occlusion".split()
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, "long string string long double double double double string string string".split())))
+    label = list(range(len(rows)))
+    near = lambda a, b: a[1] == b[1] and (a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2 <= 0.25**2
+    for _ in rows:
+        label = [min(label[j] for j, o in enumerate(rows) if near(r, o)) for r in rows]
+    want = {}
+    for c in set(label):
+        own = [r for r, k in zip(rows, label) if k == c]
+        best = {}
+        for r in sorted(own, key=lambda r: (-r[7], r[3], r[0])):
+            best.setdefault(r[2], r)
+        one = sorted(best.values())
+        xyz, w, valid = np.array([r[4:7] for r in one]), np.array([r[7] for r in one]), np.array([r[10] != "GROUND_CONFLICT" for r in one])
+        seed = valid if valid.sum() >= 2 else np.ones(len(one), bool)
+        mid = C.geometric_median(xyz[seed], w[seed])
+        fx, fz = np.linalg.norm(xyz[:, :2] - mid[:2], axis=1), np.abs(xyz[:, 2] - mid[2])
+        top = lambda f: max(0.2, np.median(f[seed]) + 3 * 1.4826 * np.median(np.abs(f[seed] - np.median(f[seed]))))  # noqa: E731, B023
+        used = valid & (fx <= top(fx)) & (fz <= top(fz))
+        used = used if used.any() else seed
+        used = np.ones(1, bool) if len(one) == 1 else used
+        centre = C.geometric_median(xyz[used], w[used])
+        spread = np.sqrt(np.average(((xyz[used, :2] - centre[:2]) ** 2).sum(1), weights=w[used]))
+        types, states = {r[9] for r in own}, {r[10] for r in one}
+        auto = all(r[8] == "AUTO" for r, u in zip(one, used) if u) and len(types) == 1 and used.all()
+        for r in own:
+            want[r[0]] = (*np.round(centre, 5), len(one), len(own), int((~used).sum()), round(spread, 5), "AUTO" if auto else "REVIEW", types.pop() if len(types) == 1 else "MIXED" if len(types) > 1 else want[own[0][0]][8], states.copy().pop() if len(states) == 1 else "MIXED")
+    for few in (C.FEW_MEMBERS, 1):
+        got = {r.obs_id: (*np.round([r.x, r.y, r.z], 5), r.frames, r.members, r.outliers, round(r.xy_spread, 5), r.status, r.pole_type, r.occlusion) for r in C.pole_merge(df, 0.25, few).collect()}
+        assert set(got) == set(want)
+        for i, w in want.items():
+            assert np.allclose([float(v) for v in got[i][:7]], [float(v) for v in w[:7]], atol=3e-5) and got[i][7:] == w[7:], (i, got[i], w)
+    assert any(w[5] for w in want.values()) and max(w[3] for w in want.values()) > 5
 
 
 def test_geometric_median_resists_an_outlier():

@@ -3,17 +3,19 @@ Arrow-fed pandas functions; groups that could grow are cut first by grid or comp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.operators.components import components as connected
 from waymark.operators.components import shared_checkpoint
 from waymark.operators.geometry import iou_circular
 from waymark.operators.spatial import cell
+from waymark.operators.tables import ordinals
 
 
 def nms(boxes: pd.DataFrame, threshold: float, width: float) -> pd.DataFrame:
@@ -90,13 +92,6 @@ def density_cluster(points: DataFrame, radius: float, least: int, key: str = "po
     return points.select(key).join(found, key, "left").withColumn("core", F.coalesce("core", F.lit(False)))
 
 
-def by_size(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows alone in their component, and the others: most are alone and need no grouping."""
-    counted = named.groupBy("component").count()
-    marked = shared_checkpoint(named.join(counted, "component"))
-    return marked.filter("count = 1").drop("count"), marked.filter("count > 1").drop("count")
-
-
 def geometric_median(xyz: np.ndarray, weights: np.ndarray, rounds: int = 40, tolerance: float = 1e-7) -> np.ndarray:
     """Weiszfeld steps from the weighted mean; on a point of the set the heaviest there wins."""
     centre = np.average(xyz, axis=0, weights=weights)
@@ -113,6 +108,26 @@ def geometric_median(xyz: np.ndarray, weights: np.ndarray, rounds: int = 40, tol
     return centre
 
 
+def geometric_medians(points: DataFrame, key: str, rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
+    """The same for groups of any size (key, x, y, z, w): each step is one weighted, pre-aggregated
+    mean. Returns key, cx, cy, cz."""
+    mean = lambda w: [(F.sum(w * F.col(d)) / F.sum(w)).alias(f"c{d}") for d in "xyz"]
+    points = shared_checkpoint(points.select(key, "x", "y", "z", "w"))
+    centre = shared_checkpoint(points.groupBy(key).agg(*mean(F.col("w")), F.count("*").alias("n")).withColumn("done", F.col("n") == 1))
+    for _ in range(rounds):
+        if centre.filter(~F.col("done")).isEmpty():
+            break
+        far = F.sqrt(sum((F.col(d) - F.col(f"c{d}")) ** 2 for d in "xyz"))
+        near = points.join(centre.filter(~F.col("done")), key).withColumn("far", far)
+        here = F.max_by(F.struct("x", "y", "z"), F.when(F.col("far") <= 1e-9, F.col("w")))
+        pull = F.when(F.col("far") > 1e-9, F.col("w") / F.col("far")).otherwise(0.0)
+        step = near.groupBy(key).agg(*[(F.sum(pull * F.col(d)) / F.sum(pull)).alias(f"s{d}") for d in "xyz"], here.alias("here"), *[F.first(f"c{d}").alias(f"o{d}") for d in "xyz"], F.first("n").alias("n"))
+        moved = F.sqrt(sum((F.col(f"s{d}") - F.col(f"o{d}")) ** 2 for d in "xyz"))
+        step = step.select(key, *[F.coalesce(F.col("here")[d], F.col(f"s{d}")).alias(f"c{d}") for d in "xyz"], "n", (F.col("here").isNotNull() | (moved <= tolerance)).alias("done"))
+        centre = shared_checkpoint(centre.filter("done").unionByName(step))
+    return centre.select(key, "cx", "cy", "cz")
+
+
 def group_arrays(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
     """One row a group, its columns as arrays in one order: small groups then go to numpy many
     at a time, not one pandas call each. Groups must be small by nature."""
@@ -120,89 +135,182 @@ def group_arrays(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...])
     return g.select(*keys, *[F.col(f"__g.{c}").alias(c) for c in columns])
 
 
-def pole_consensus(images: list[str], index: np.ndarray, xyz: np.ndarray, quality: np.ndarray) -> tuple:
-    """(x, y, z, frames, used, spread) of one support: the best observation of each frame
-    (highest quality, then least index) gives a median centre; those within median + 3 MAD
-    (0.20 m at least) of it are averaged by quality."""
-    best: dict[str, int] = {}
-    for i in np.lexsort((index, -quality)):
-        best.setdefault(images[i], i)
-    rows = [best[k] for k in sorted(best)]
-    xyz, w = xyz[rows], quality[rows]
-    if len(rows) > 1:
-        centre = geometric_median(xyz, w)
-        far = np.hypot(*(xyz[:, :2] - centre[:2]).T)
-        mid = np.median(far)
-        near = far <= max(0.20, mid + 3 * np.median(np.abs(far - mid)))
-        xyz, w = xyz[near], w[near]
-    mean = np.average(xyz, axis=0, weights=w)
-    spread = float(np.sqrt((w * ((xyz[:, :2] - mean[:2]) ** 2).sum(1)).sum() / w.sum()))
-    return (*(round(float(c), 6) for c in mean), len(rows), len(xyz), round(spread, 6))
+#: Members of one group that a task may take whole; larger groups go by aggregates and joins.
+FEW_MEMBERS = 500
+
+
+def pole_consensus(xyz: np.ndarray, weights: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, used) of one support. Seeds are the valid observations, where there are two or
+    more. What lies within median + 3 scaled MAD of their geometric median (0.20 m at least), in
+    the plane and in height, is the consensus; the centre is its geometric median."""
+    seed = valid if valid.sum() >= 2 else np.ones(len(xyz), bool)
+    middle = geometric_median(xyz[seed], weights[seed])
+    used = valid.copy()
+    for far in (np.hypot(*(xyz[:, :2] - middle[:2]).T), np.abs(xyz[:, 2] - middle[2])):
+        mid = np.median(far[seed])
+        used &= far <= max(0.20, mid + 3 * 1.4826 * np.median(np.abs(far[seed] - mid)))
+    if not used.any():
+        used = seed
+    return geometric_median(xyz[used], weights[used]), used
 
 
 def _poles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         rows = []
-        for record, component, images, index, x, y, z, q in p.itertuples(index=False):
-            found = pole_consensus(list(images), np.asarray(index), np.c_[x, y, z].astype(float), np.asarray(q, float))
-            rows.append((record, component, *found[:3], *found[3:5], len(images), found[5]))
-        yield pd.DataFrame(rows, columns=["record_name", "component", "x", "y", "z", "frames", "used", "members", "spread"])
+        for component, ids, x, y, z, w, valid in p.itertuples(index=False):
+            centre, used = pole_consensus(np.c_[x, y, z].astype(float), np.asarray(w, float), np.asarray(valid, bool))
+            rows += [(component, int(i), bool(u), *centre) for i, u in zip(ids, used)]
+        yield pd.DataFrame(rows, columns=["component", "obs_id", "used", "cx", "cy", "cz"])
+
 
+_CONSENSUS = "component long, obs_id long, used boolean, cx double, cy double, cz double"
 
-def pole_merge(observations: DataFrame, radius: float) -> DataFrame:
+
+def _large_poles(members: DataFrame) -> DataFrame:
+    """pole_consensus for groups of any size."""
+    members = shared_checkpoint(members)
+    seeded = members.groupBy("component").agg(F.sum(F.col("valid").cast("int")).alias("good"))
+    members = members.join(seeded, "component").withColumn("seed", F.col("valid") | (F.col("good") < 2))
+    off = members.join(geometric_medians(members.filter("seed"), "component"), "component")
+    off = shared_checkpoint(off.withColumns({"fx": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "fz": F.abs(F.col("z") - F.col("cz"))}).drop("cx", "cy", "cz"))
+    mid = off.filter("seed").groupBy("component").agg(F.median("fx").alias("mx"), F.median("fz").alias("mz"))
+    spread = off.filter("seed").join(mid, "component").groupBy("component", "mx", "mz").agg(F.median(F.abs(F.col("fx") - F.col("mx"))).alias("dx"), F.median(F.abs(F.col("fz") - F.col("mz"))).alias("dz"))
+    within = lambda d: F.col(f"f{d}") <= F.greatest(F.lit(0.20), F.col(f"m{d}") + 3 * 1.4826 * F.col(f"d{d}"))
+    own = off.join(spread, "component").withColumn("used", F.col("valid") & within("x") & within("z"))
+    some = own.groupBy("component").agg(F.bool_or("used").alias("any"))
+    own = shared_checkpoint(own.join(some, "component").withColumn("used", F.when(F.col("any"), F.col("used")).otherwise(F.col("seed"))))
+    return own.join(geometric_medians(own.filter("used"), "component"), "component").select("component", "obs_id", "used", "cx", "cy", "cz")
+
+
+def pole_merge(observations: DataFrame, radius: float, few: int = FEW_MEMBERS) -> DataFrame:
     """observations: obs_id, record_name, image_name, detection_index, pole_x, pole_y, pole_z,
-    quality. Returns one row a support."""
-    obs = shared_checkpoint(observations)
+    quality, and where there are such pole_status, pole_type and occlusion. Supports are
+    components of a record at `radius`; of each frame the best observation counts (highest
+    quality, then first). Returns a row an observation: obs_id, support_id, the support's x, y,
+    z, frames, members, outliers, xy_spread, z_spread, status, pole_type, occlusion."""
+    text = lambda name, other: (F.coalesce(F.col(name), F.lit(other)) if name in observations.columns else F.lit(other)).alias(name)
+    obs = shared_checkpoint(observations.select("obs_id", "record_name", "image_name", "detection_index", "pole_x", "pole_y", "pole_z", "quality", text("pole_status", ""), text("pole_type", ""), text("occlusion", "UNKNOWN")))
     named = components(obs, near_pairs(obs, radius, "obs_id", ("pole_x", "pole_y"), ("record_name",)), "obs_id")
-    schema = "record_name string, component long, x double, y double, z double, frames long, used long, members long, spread double"
-    groups = group_arrays(obs.join(named, "obs_id"), ("record_name", "component"), ("image_name", "detection_index", "pole_x", "pole_y", "pole_z", "quality"))
-    return groups.mapInPandas(_poles, schema)
+    obs = shared_checkpoint(obs.join(named, "obs_id"))
+    best = F.row_number().over(W.partitionBy("component", "image_name").orderBy(F.desc("quality"), "detection_index", "obs_id"))
+    unique = obs.withColumn("k", best).filter("k = 1")
+    unique = shared_checkpoint(unique.select("component", "obs_id", F.col("pole_x").alias("x"), F.col("pole_y").alias("y"), F.col("pole_z").alias("z"), F.greatest(F.lit(1e-6), "quality").alias("w"), (F.col("occlusion") != "GROUND_CONFLICT").alias("valid"), "pole_status", "occlusion"))
+    sizes = unique.groupBy("component").count()
+    columns = ("obs_id", "x", "y", "z", "w", "valid")
+    sized = shared_checkpoint(unique.join(sizes, "component").select("component", *columns, "count"))
+    alone = sized.filter("count = 1").select("component", "obs_id", F.lit(True).alias("used"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    found = group_arrays(sized.filter((F.col("count") > 1) & (F.col("count") <= few)), ("component",), columns).mapInPandas(_poles, _CONSENSUS)
+    large = sized.filter(F.col("count") > few).drop("count")
+    if not large.isEmpty():
+        found = found.unionByName(_large_poles(large))
+    judged = shared_checkpoint(unique.join(found.unionByName(alone), ["component", "obs_id"]))
+    used = lambda x: F.when(F.col("used"), x)
+    square = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
+    rooted = lambda x: F.round(F.sqrt(F.sum(used(F.col("w") * x)) / F.sum(used(F.col("w")))), 6)
+    support = judged.groupBy("component").agg(
+        *[F.round(F.first(f"c{d}"), 6).alias(d) for d in "xyz"], F.count("*").alias("frames"), F.sum((~F.col("used")).cast("int")).alias("outliers"), rooted(square).alias("xy_spread"), rooted((F.col("z") - F.col("cz")) ** 2).alias("z_spread"),
+        F.bool_and(used(F.col("pole_status") == "AUTO")).alias("auto"), F.min("occlusion").alias("o1"), F.max("occlusion").alias("o2"),
+    )
+    part = lambda i: F.sum(F.conv(F.substring(F.sha2(F.col("obs_id").cast("string"), 256), 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    whole = obs.groupBy("component").agg(F.count("*").alias("members"), F.min("pole_type").alias("t1"), F.max("pole_type").alias("t2"), F.concat(F.lit("P"), F.substring(F.sha2(F.concat_ws("|", F.first("record_name"), part(0), part(1)), 256), 1, 19)).alias("support_id"))
+    one_type = F.col("t1") == F.col("t2")
+    status = F.when(F.col("auto") & one_type & (F.col("outliers") == 0), "AUTO").otherwise("REVIEW")
+    per = support.join(whole, "component").select("component", "support_id", "x", "y", "z", "frames", "members", "outliers", "xy_spread", "z_spread", status.alias("status"), F.when(one_type, F.col("t1")).otherwise("MIXED").alias("pole_type"), F.when(F.col("o1") == F.col("o2"), F.col("o1")).otherwise("MIXED").alias("occlusion"))
+    return obs.select("obs_id", "component").join(per, "component").drop("component")
+
+
+def agglomerate(score: np.ndarray) -> np.ndarray:
+    """Labels (least member) of complete-link clusters: score holds the distance of each pair,
+    infinite where it may not be joined. The closest pair of clusters is merged as long as there
+    is one; ties go to the first members."""
+    n = len(score)
+    d = np.where(np.triu(np.ones((n, n), bool), 1), np.minimum(score, score.T), np.inf)
+    label = np.arange(n)
+    while n > 1:
+        i, j = divmod(int(d.argmin()), n)
+        if not np.isfinite(d[i, j]):
+            break
+        label[label == j] = i
+        row_i, row_j = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])  # one of the two is infinite
+        far = np.maximum(row_i, row_j)
+        d[j], d[:, j] = np.inf, np.inf
+        d[i, i + 1 :], d[:i, i] = far[i + 1 :], far[:i]
+        d[i, j] = np.inf
+    return label
 
 
-def complete_link(xy: np.ndarray, images: list[str], reach: float) -> list[list[int]]:
-    """Agglomeration under complete link: the closest pair of clusters is merged while every
-    cross pair is within reach and no image is shared; ties go to the first members."""
-    groups = [[i] for i in range(len(xy))]
-    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+def _agglomerated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows are components with their allowed pairs (a < b, score)."""
+    for p in batches:
+        rows = []
+        for _, a, b, score in p.itertuples(index=False):
+            nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+            d = np.full((len(nodes), len(nodes)), np.inf)
+            d[place[: len(a)], place[len(a) :]] = score
+            rows += list(zip(nodes.tolist(), nodes[agglomerate(d)].tolist()))
+        yield pd.DataFrame(rows, columns=["node", "label"])
+
+
+def agglomerate_by_rounds(pairs: DataFrame) -> DataFrame:
+    """The same for components of any size. pairs: a < b, score (those that may be joined). Each
+    round merges all pairs of clusters that are each other's closest; under complete link that
+    gives what merging one by one does. A pair of clusters may be joined if all pairs between
+    their members may, which their count tells. Returns node, label of merged nodes."""
+    between = shared_checkpoint(pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "score", F.lit(1).cast("long").alias("n")))
+    size = shared_checkpoint(between.select(F.col("lo").alias("c")).union(between.select("hi")).distinct().withColumn("size", F.lit(1).cast("long")))
+    label = size.select(F.col("c").alias("node"), F.col("c").alias("label"))
     while True:
-        best = None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                if {images[i] for i in groups[a]} & {images[i] for i in groups[b]}:
-                    continue
-                far = max(d[i, j] for i in groups[a] for j in groups[b])
-                if far <= reach + 1e-12 and (best is None or far < best[0] - 1e-12):
-                    best = (far, a, b)
-        if best is None:
-            return groups
-        _, a, b = best
-        groups[a] = sorted(groups[a] + groups.pop(b))
-
-
-def _dedupe(reach: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for _, ids, images, index, x, y, count, confidence in p.itertuples(index=False):
-                order = sorted(range(len(ids)), key=lambda i: (images[i], index[i], ids[i]))
-                xy = np.c_[x, y].astype(float)[order]
-                for group in complete_link(xy, [images[i] for i in order], reach):
-                    centre = np.hypot(*(xy[group][:, None] - xy[group][None]).transpose(2, 0, 1)).sum(1)
-                    pick = min((round(float(c), 9), -int(count[order[i]]), -float(confidence[order[i]]), i) for c, i in zip(centre, group))[3]
-                    rows += [(int(ids[order[i]]), int(ids[order[pick]]), len(group)) for i in group]
-            yield pd.DataFrame(rows, columns=["obs_id", "canonical_id", "size"])
-
-    return run
-
-
-def sign_dedupe(signs: DataFrame, reach: float) -> DataFrame:
-    """signs: obs_id, record_name, class_id, image_name, detection_index, x, y, point_count,
-    confidence. Merges repeat sightings of a record and class; components at `reach` are a safe
-    superset of complete-link clusters, so each goes to one task. Returns obs_id, canonical_id
-    (medoid, most points, best confidence) and size."""
-    own = shared_checkpoint(signs)
-    named = components(own, near_pairs(own, reach, "obs_id", ("x", "y"), ("record_name", "class_id")), "obs_id")
-    single, several = by_size(own.join(named, "obs_id"))
-    groups = group_arrays(several, ("component",), ("obs_id", "image_name", "detection_index", "x", "y", "point_count", "confidence"))
-    merged = groups.mapInPandas(_dedupe(reach), "obs_id long, canonical_id long, size long")
-    return merged.unionByName(single.select("obs_id", F.col("obs_id").alias("canonical_id"), F.lit(1).cast("long").alias("size")))
+        sized = between.join(size.select(F.col("c").alias("lo"), F.col("size").alias("sl")), "lo").join(size.select(F.col("c").alias("hi"), F.col("size").alias("sh")), "hi")
+        between = shared_checkpoint(sized.filter("n = sl * sh").drop("sl", "sh"))  # others never may again
+        if between.isEmpty():
+            return label
+        order = F.struct("score", "lo", "hi")
+        both = between.select(F.col("lo").alias("c"), order.alias("o")).unionAll(between.select("hi", order))
+        best = both.groupBy("c").agg(F.min("o").alias("o")).groupBy("o").count().filter("count = 2")
+        moved = shared_checkpoint(best.select(F.col("o.hi").alias("c"), F.col("o.lo").alias("to")))
+        new = lambda name: F.coalesce(F.col(f"to_{name}"), F.col(name))
+        for name in ("lo", "hi"):
+            between = between.join(moved.select(F.col("c").alias(name), F.col("to").alias(f"to_{name}")), name, "left")
+        between = between.select(F.least(new("lo"), new("hi")).alias("lo"), F.greatest(new("lo"), new("hi")).alias("hi"), "score", "n").filter("lo <> hi")
+        between = shared_checkpoint(between.groupBy("lo", "hi").agg(F.max("score").alias("score"), F.sum("n").alias("n")))
+        size = shared_checkpoint(size.join(moved, "c", "left").groupBy(F.coalesce("to", "c").alias("c")).agg(F.sum("size").alias("size")))
+        label = shared_checkpoint(label.join(moved.withColumnRenamed("c", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+SUPPORTED, UNSUPPORTED = (0.25, 0.25), (0.15, 0.20)
+
+
+def sign_dedupe(signs: DataFrame, supported: tuple[float, float] = SUPPORTED, unsupported: tuple[float, float] = UNSUPPORTED, few: int = FEW_MEMBERS) -> DataFrame:
+    """signs: obs_id, record_name, class_id, image_name, detection_index, x, y, z, support_id
+    (null or blank: none), point_count, confidence. Merges repeat sightings of a record and class
+    by complete link; radii are (in the plane, in height). Two sightings of one image are never
+    merged, nor those of different supports; unless both have one, the smaller radii hold.
+    Returns obs_id, canonical_id and size. The canonical sighting has a support if any has, then
+    the least distance to the others, most points, best confidence, and comes first."""
+    own = signs.select("obs_id", "record_name", "class_id", F.lower("image_name").alias("image"), "detection_index", "x", "y", "z", F.nullif(F.trim("support_id"), F.lit("")).alias("support"), "point_count", "confidence")
+    own = shared_checkpoint(ordinals(own, ("record_name", "image", "detection_index", "obs_id"), "node"))
+    keep = own.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    near = near_pairs(keep, max(supported[0], unsupported[0]) + 1e-9, "node", ("x", "y"), ("record_name", "class_id"))
+    side = lambda k: keep.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("image", "x", "y", "z", "support")])
+    pairs = near.join(side("a"), "a").join(side("b"), "b").filter("a_image IS NULL OR b_image IS NULL OR trim(a_image) = '' OR a_image <> b_image")
+    both = F.col("a_support").isNotNull() & F.col("b_support").isNotNull()
+    pairs = pairs.filter(~both | (F.col("a_support") == F.col("b_support")))
+    rx, rz = (F.when(both, supported[i]).otherwise(unsupported[i]) for i in (0, 1))
+    xy, z = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")), F.abs(F.col("a_z") - F.col("b_z"))
+    pairs = shared_checkpoint(pairs.filter((xy <= rx + 1e-12) & (z <= rz + 1e-12)).select("a", "b", F.greatest(xy / rx, z / rz).alias("score")))
+
+    named = connected(pairs.select("a", "b"))
+    sizes = named.groupBy("root").count()
+    placed = shared_checkpoint(pairs.join(named.select(F.col("node").alias("a"), "root"), "a").join(sizes, "root"))
+    merged = group_arrays(placed.filter(F.col("count") <= few), ("root",), ("a", "b", "score")).mapInPandas(_agglomerated, "node long, label long")
+    large = placed.filter(F.col("count") > few)
+    if not large.isEmpty():
+        merged = merged.unionByName(agglomerate_by_rounds(large.select("a", "b", "score")))
+    label = shared_checkpoint(own.select("node").join(merged, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+    inside = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb")
+    far = inside.select(F.col("a").alias("node"), "score").unionAll(inside.select("b", "score")).groupBy("node").agg(F.round(F.sum("score"), 9).alias("far"))
+    rank = F.struct(F.col("support").isNull().alias("none"), F.coalesce("far", F.lit(0.0)).alias("far"), (-F.coalesce("point_count", F.lit(0))).alias("points"), (-F.coalesce("confidence", F.lit(0.0))).alias("confidence"), "node")
+    full = own.select("node", "obs_id", "support", "point_count", "confidence").join(label, "node").join(far, "node", "left")
+    pick = full.groupBy("label").agg(F.min_by("obs_id", rank).alias("canonical_id"), F.count("*").alias("size"))
+    return full.select("obs_id", "label").join(pick, "label").select("obs_id", "canonical_id", "size")

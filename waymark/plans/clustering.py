@@ -49,9 +49,13 @@ def _signs(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pole_merge(spark: SparkSession, sf: str) -> DataFrame:
     obs = S.pole_observations(spark, sf).withColumn("obs_id", F.regexp_extract("image_name", r"(\d+)$", 1).cast("long") * 10 + F.col("detection_index"))
-    return C.pole_merge(obs.dropDuplicates(["obs_id"]), 0.15)
+    i = F.col("obs_id")
+    made = {"pole_status": F.when(i % 5 > 0, "AUTO").otherwise("REVIEW"), "pole_type": F.when(i % 11 > 0, "ROUND").otherwise("BOX"), "occlusion": F.when(i % 7 == 0, "GROUND_CONFLICT").when(i % 3 == 0, "OCCLUDED").otherwise("VISIBLE")}
+    return C.pole_merge(obs.dropDuplicates(["obs_id"]).withColumns(made), 0.15)
 
 
 @query()
 def sign_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return C.sign_dedupe(_signs(spark, sf).dropDuplicates(["obs_id"]), 0.15)
+    """Supports are made up by place: some sightings have one, some don't."""
+    s = _signs(spark, sf).dropDuplicates(["obs_id"])
+    return C.sign_dedupe(s.withColumn("support_id", F.when(F.col("order_id") % 3 > 0, F.concat(F.lit("P"), F.floor("x").cast("string"), F.lit("_"), F.col("order_id") % 2))))
