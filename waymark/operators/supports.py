@@ -110,3 +110,74 @@ def reconcile(targets: DataFrame, anchors: DataFrame, radius: float = 0.30, rows
     ranked = seen.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("m.off").over(w))
     clear = F.col("next").isNull() | (F.col("next") - F.col("m.off") >= min(margin, radius / 3))
     return ranked.filter((F.col("k") == 1) & clear).select(*keys, F.col("m.off").alias("off"), F.col("m.distance").alias("distance"), "frames")
+
+
+def cross_profile_key(distance: Column, completeness: Column, grounded: Column, auto: Column, coverage: Column, rmse: Column, ground_rmse: Column, multi: Column, count: Column, preferred: float = 0.75) -> Column:
+    """A struct that sorts candidates of different search profiles, best first: k0 to k3 are the
+    tier (complete, with ground, automatic, direct); no measure depends on a profile's bins."""
+    direct = distance <= DIRECT_M
+    either = lambda a, b: F.when(direct, a).otherwise(b).cast("double")
+    flags = [(completeness < preferred), ~grounded, ~auto, ~direct]
+    rest = [either(-completeness, F.round(junction_cost(distance, coverage, completeness, multi), 6)), either(rmse, -coverage), either(ground_rmse, -completeness), either(distance, rmse), either(-count, ground_rmse), either(F.lit(0.0), distance), either(F.lit(0.0), -count)]
+    return F.struct(*[f.cast("int").alias(f"k{i}") for i, f in enumerate(flags)], *[F.coalesce(r, F.lit(float("inf"))).alias(f"k{i + 4}") for i, r in enumerate(rest)])
+
+
+def pick_pole(candidates: DataFrame, keys: tuple[str, ...], preferred: float = 0.75) -> DataFrame:
+    """The best candidate of each key. candidates: keys, id, rank (a struct that sorts), distance,
+    complete, coverage, side, ridge (points a metre of the arm), arm_points, n.
+
+    A remote winner at one side of the road gives way to the strongest arm of the other side if
+    that is a near tie (0.75 m from the nearest, 0.10 in completeness and coverage) and far
+    denser: 2.5 times in its ridge, twice in all its arm, 1.5 times the points of the shaft."""
+    row = F.struct("rank", "id", "distance", "complete", "coverage", "side", "ridge", "arm_points", "n")
+    best = candidates.groupBy(*keys).agg(F.min_by(row, F.struct("rank", "id")).alias("b"))
+    c = candidates.join(best, list(keys))
+    tier = (F.col("distance") > DIRECT_M) & ((F.col("complete") >= preferred) == (F.col("b.complete") >= preferred))
+    nearest = candidates.join(best, list(keys)).filter(tier).groupBy(*keys).agg(F.min("distance").alias("nearest"))
+    near = c.join(nearest, list(keys)).filter(tier & F.col("ridge").isNotNull() & (F.col("distance") <= F.col("nearest") + 0.75))
+    near = near.filter((F.abs(F.col("complete") - F.col("b.complete")) <= 0.10 + 1e-9) & (F.abs(F.col("coverage") - F.col("b.coverage")) <= 0.10 + 1e-9))
+    other = F.when(F.col("b.side") == "LEFT_OF_TRAVEL", "RIGHT_OF_TRAVEL").when(F.col("b.side") == "RIGHT_OF_TRAVEL", "LEFT_OF_TRAVEL")
+    may = (F.col("b.distance") > DIRECT_M) & F.col("b.ridge").isNotNull() & F.col("b.arm_points").isNotNull()
+    opposite = F.when(may & (F.col("side") == other) & F.col("arm_points").isNotNull(), F.struct((-F.col("ridge")).alias("r"), "rank", "id"))
+    ties = near.groupBy(*keys).agg(F.count("*").alias("ties"), F.min_by(row, opposite).alias("o"))
+    joined = best.join(ties, list(keys), "left")
+    dense = lambda s: F.col(f"{s}.arm_points") / F.greatest(F.lit(0.25), F.col(f"{s}.distance"))
+    flips = (F.col("ties") >= 2) & (F.col("o.ridge") >= 2.5 * F.greatest(F.col("b.ridge"), F.lit(1e-9))) & (dense("o") >= 2.0 * F.greatest(dense("b"), F.lit(1e-9))) & (F.col("o.n") / F.greatest(F.lit(1.0), F.col("b.n")) >= 1.5)
+    flips = F.coalesce(flips, F.lit(False))
+    return joined.select(*keys, F.when(flips, F.col("o.id")).otherwise(F.col("b.id")).alias("id"), flips.alias("flipped"))
+
+
+def pick_cross_profile(candidates: DataFrame, keys: tuple[str, ...], preferred: float = 0.75) -> DataFrame:
+    """pick_pole among the candidates of the best tier (rank is a cross_profile_key)."""
+    tier = F.struct(*[F.col(f"rank.k{i}") for i in range(4)])
+    best = candidates.groupBy(*keys).agg(F.min(tier).alias("__tier"))
+    return pick_pole(candidates.join(best, list(keys)).filter(tier == F.col("__tier")).drop("__tier"), keys, preferred)
+
+
+def arm_coverage(arms: DataFrame, points: DataFrame, key: str, radius: float = 0.25, below: float = 0.30, above: float = 0.30, bin_m: float = 0.25, least: int = 2, cell: float = 4.0) -> DataFrame:
+    """How far points cover the way from a sign (key, sx, sy, sz) to an axis (ax, ay): expected
+    and occupied bins (of `least` points or more), coverage, points, and the points and density of
+    the inner part, without a bin at each end. Points (x, y, z) meet arms by grid cells of the
+    arm's box. An arm of no length is covered."""
+    length = F.hypot(F.col("ax") - F.col("sx"), F.col("ay") - F.col("sy"))
+    arms = arms.withColumn("length", length)
+    at = lambda c: F.floor(c / cell)
+    reach = lambda a, b: F.explode(F.sequence(at(F.least(a, b) - radius), at(F.greatest(a, b) + radius)))
+    long_ = arms.filter("length > 1e-9").withColumn("cx", reach(F.col("sx"), F.col("ax"))).withColumn("cy", reach(F.col("sy"), F.col("ay")))
+    met = long_.join(points.select("x", "y", "z", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy")), ["cx", "cy"])
+    ux, uy = (F.col("ax") - F.col("sx")) / F.col("length"), (F.col("ay") - F.col("sy")) / F.col("length")
+    dx, dy, dz = F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("z") - F.col("sz")
+    met = met.withColumns({"along": dx * ux + dy * uy, "off": F.abs(dx * uy - dy * ux), "up": dz})
+    met = met.filter((F.col("along") >= 0) & (F.col("along") <= F.col("length")) & (F.col("off") <= radius) & (F.col("up") >= -below) & (F.col("up") <= above))
+    expected = F.greatest(F.lit(1), F.ceil(F.col("length") / bin_m))
+    margin = F.least(F.lit(bin_m), 0.2 * F.col("length"))
+    met = met.withColumns({"bin": F.least(expected - 1, F.floor(F.col("along") / bin_m)), "inner": (F.col("along") >= margin) & (F.col("along") <= F.col("length") - margin)})
+    bins = met.groupBy(key, "bin").agg(F.count("*").alias("n"), F.sum(F.col("inner").cast("int")).alias("inner"))
+    found = bins.groupBy(key).agg(F.sum((F.col("n") >= least).cast("int")).alias("occupied"), F.sum("n").alias("points"), F.sum("inner").alias("inner"))
+    out = arms.join(found, key, "left").withColumn("none", F.col("length") <= 1e-9)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    has_inner = zero("inner") > 0
+    ridge = F.when(has_inner, F.col("inner")).otherwise(zero("points"))
+    span = F.when(has_inner, F.greatest(F.lit(bin_m), F.col("length") - 2 * margin)).otherwise(F.greatest(F.col("length"), F.lit(bin_m)))
+    flat = lambda a, b: F.when(F.col("none"), F.lit(a)).otherwise(b)
+    return out.select(key, flat(1, expected).cast("long").alias("expected"), flat(1, zero("occupied")).cast("long").alias("occupied"), flat(1.0, zero("occupied") / expected).alias("coverage"), flat(0, zero("points")).cast("long").alias("points"), flat(0, ridge).cast("long").alias("ridge_points"), flat(0.0, ridge / span).alias("ridge_density"))

@@ -274,3 +274,65 @@ def rgb_shift(spark: SparkSession, sf: str) -> DataFrame:
     g = g.withColumn("k", kept).withColumn("error", F.aggregate("k", F.lit(0.0), lambda a, b: a + b) / F.size("k"))
     best = F.min(F.struct(F.round("error", 9).alias("a"), (F.abs("dx") + F.abs("dy")).alias("b"), "dx", "dy", "error")).alias("b")
     return g.groupBy("image").agg(best).select("image", "b.dx", "b.dy", F.round("b.error", 6).alias("error"))
+
+
+_SIDES = """, c AS (SELECT image_name, detection_index AS id, round(0.15::DOUBLE * point_count, 6) AS distance, round(0.7::DOUBLE + confidence / 10, 6) AS complete, round(1 - l_tax, 6) AS coverage, l_tax AS rmse, 0.0::DOUBLE AS multi, point_count * (1 + 2 * (detection_index % 2)) AS n,
+CASE detection_index % 3 WHEN 0 THEN 'ALONG_TRAVEL' WHEN 1 THEN 'LEFT_OF_TRAVEL' ELSE 'RIGHT_OF_TRAVEL' END AS side, CASE WHEN point_count % 10 > 0 THEN (1.0 + 9 * (detection_index % 2)) * point_count END AS ridge, CASE WHEN point_count % 9 > 0 THEN 20 * point_count * (1 + 4 * (detection_index % 2)) END AS arm_points, class_id FROM detections),
+a AS (SELECT *, round(distance + 1 - (0.45::DOUBLE * coverage + 0.45::DOUBLE * complete + 0.1::DOUBLE), 6) AS cost, distance <= 0.75 AS direct FROM c)"""
+
+
+def _pick(keys: str) -> str:
+    """The rule in SQL, over rows r with an order o that sorts."""
+    return f""", s AS (SELECT *, row_number() OVER (PARTITION BY image_name ORDER BY {keys}, id) AS o FROM r), b AS (SELECT * FROM s WHERE o = 1),
+t AS (SELECT s.*, b.complete AS bc, b.coverage AS bv, b.side AS bs, b.direct OR b.ridge IS NULL OR b.arm_points IS NULL AS fixed, min(s.distance) OVER (PARTITION BY image_name) AS nearest FROM s JOIN b USING (image_name) WHERE NOT s.direct AND (s.complete >= 0.75) = (b.complete >= 0.75)),
+n AS (SELECT *, count(*) OVER (PARTITION BY image_name) AS ties FROM t WHERE ridge IS NOT NULL AND distance <= nearest + 0.75 AND abs(complete - bc) <= 0.10 + 1e-9 AND abs(coverage - bv) <= 0.10 + 1e-9),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_name ORDER BY -ridge, o) AS k FROM n WHERE NOT fixed AND ties >= 2 AND arm_points IS NOT NULL AND side = CASE bs WHEN 'LEFT_OF_TRAVEL' THEN 'RIGHT_OF_TRAVEL' WHEN 'RIGHT_OF_TRAVEL' THEN 'LEFT_OF_TRAVEL' END) WHERE k = 1),
+f AS (SELECT b.image_name, b.id, p.id AS other, coalesce(p.ridge >= 2.5 * b.ridge AND p.arm_points / greatest(0.25, p.distance) >= 2 * b.arm_points / greatest(0.25, b.distance) AND p.n / greatest(1.0::DOUBLE, b.n) >= 1.5, false) AS flipped FROM b LEFT JOIN p USING (image_name))
+SELECT image_name, CASE WHEN flipped THEN other ELSE id END AS id, flipped FROM f"""
+
+
+def _sided(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections as candidates at both sides of a road; every second arm is far denser."""
+    i, n = F.col("detection_index"), F.col("point_count")
+    tax = F.round((F.col("y1") - F.col("y0") - 30) / 100, 6)
+    own = {
+        "id": i, "distance": F.round(0.15 * n, 6), "complete": F.round(0.7 + F.col("confidence") / 10, 6), "coverage": F.round(1 - tax, 6), "rmse": tax, "multi": F.lit(0.0), "n": n * (1 + 2 * (i % 2)),
+        "side": F.when(i % 3 == 0, "ALONG_TRAVEL").when(i % 3 == 1, "LEFT_OF_TRAVEL").otherwise("RIGHT_OF_TRAVEL"), "ridge": F.when(n % 10 > 0, (1.0 + 9 * (i % 2)) * n), "arm_points": F.when(n % 9 > 0, 20 * n * (1 + 4 * (i % 2))),
+    }
+    return S.detections(spark, sf).select("image_name", "class_id", *[v.alias(k) for k, v in own.items()])
+
+
+@query(S.with_tables("detections", _SIDES + ", r AS (SELECT *, CASE WHEN complete < 0.75 THEN 1 ELSE 0 END AS k0, CASE WHEN direct THEN 0 ELSE 1 END AS k1, CASE WHEN direct THEN -n ELSE cost END AS k2 FROM a)" + _pick("k0, k1, k2")))
+def pick_pole(spark: SparkSession, sf: str) -> DataFrame:
+    """The best support of each image, unless the other side's arm is a much denser near tie."""
+    c = _sided(spark, sf)
+    direct = F.col("distance") <= X.DIRECT_M
+    cost = F.round(X.junction_cost(F.col("distance"), F.col("coverage"), F.col("complete"), F.col("multi")), 6)
+    return X.pick_pole(c.withColumn("rank", F.struct((F.col("complete") < 0.75).cast("int").alias("k0"), (~direct).cast("int").alias("k1"), F.when(direct, -F.col("n").cast("double")).otherwise(cost).alias("k2"))), ("image_name",))
+
+
+_TIER = "CASE WHEN complete < 0.75 THEN 1 ELSE 0 END, CASE WHEN class_id = 0 THEN 1 ELSE 0 END, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN direct THEN 0 ELSE 1 END"
+
+
+@query(S.with_tables("detections", _SIDES + f""", q AS (SELECT *, dense_rank() OVER (PARTITION BY image_name ORDER BY {_TIER}) AS tier FROM a),
+r AS (SELECT *, CASE WHEN direct THEN -complete ELSE cost END AS k4, CASE WHEN direct THEN rmse ELSE -coverage END AS k5, CASE WHEN direct THEN 'Infinity'::DOUBLE ELSE -complete END AS k6, CASE WHEN direct THEN distance ELSE rmse END AS k7, CASE WHEN direct THEN -n ELSE 'Infinity'::DOUBLE END AS k8, CASE WHEN direct THEN 0 ELSE distance END AS k9, CASE WHEN direct THEN 0 ELSE -n END AS k10 FROM q WHERE tier = 1)""" + _pick("k4, k5, k6, k7, k8, k9, k10")))
+def pick_cross_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over candidates of two search profiles, the best tier alone."""
+    c = _sided(spark, sf)
+    key = X.cross_profile_key(F.col("distance"), F.col("complete"), F.col("class_id") != 0, F.col("id") % 4 != 0, F.col("coverage"), F.col("rmse"), F.lit(None).cast("double"), F.col("multi"), F.col("n"))
+    return X.pick_cross_profile(c.withColumn("rank", key), ("image_name",))
+
+
+@query(S.with_tables("points", """, a AS (SELECT point_id AS arm, x AS sx, y AS sy, z AS sz, x + point_id % 4 AS ax, y + 0.5::DOUBLE * (point_id % 4) AS ay, sqrt(1.25::DOUBLE) * (point_id % 4) AS len FROM points WHERE point_id % 3 = 0),
+m AS (SELECT a.*, ((p.x - sx) * (ax - sx) + (p.y - sy) * (ay - sy)) / len AS along, abs((p.x - sx) * (ay - sy) - (p.y - sy) * (ax - sx)) / len AS off FROM a JOIN points p ON len > 0 AND p.x BETWEEN sx - 1 AND ax + 1 AND p.y BETWEEN sy - 1 AND ay + 1 AND p.z - sz BETWEEN -3 AND 3),
+b AS (SELECT arm, len, least(ceil(len / 0.5::DOUBLE) - 1, floor(along / 0.5::DOUBLE)) AS bin, count(*) AS n, count(*) FILTER (WHERE along >= least(0.5::DOUBLE, 0.2::DOUBLE * len) AND along <= len - least(0.5::DOUBLE, 0.2::DOUBLE * len)) AS inner_n FROM m WHERE along >= 0 AND along <= len AND off <= 1 GROUP BY ALL),
+g AS (SELECT arm, count(*) FILTER (WHERE n >= 1) AS occupied, sum(n)::BIGINT AS points, sum(inner_n)::BIGINT AS inner_n FROM b GROUP BY arm),
+j AS (SELECT a.arm, a.len, greatest(1, ceil(len / 0.5::DOUBLE))::BIGINT AS expected, coalesce(occupied, 0) AS occupied, coalesce(points, 0) AS points, coalesce(inner_n, 0) AS inner_n FROM a LEFT JOIN g USING (arm))
+SELECT arm, CASE WHEN len = 0 THEN 1 ELSE expected END AS expected, CASE WHEN len = 0 THEN 1 ELSE occupied END AS occupied, round(CASE WHEN len = 0 THEN 1 ELSE occupied / expected END, 6) AS coverage, points, CASE WHEN inner_n > 0 THEN inner_n ELSE points END AS ridge_points,
+round(CASE WHEN len = 0 THEN 0 WHEN inner_n > 0 THEN inner_n / greatest(0.5::DOUBLE, len - 2 * least(0.5::DOUBLE, 0.2::DOUBLE * len)) ELSE points / greatest(len, 0.5::DOUBLE) END, 6) AS ridge_density FROM j"""))
+def arm_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Points along the way from a sign to its support."""
+    p, i = S.points(spark, sf), F.col("point_id")
+    arms = p.filter(i % 3 == 0).select(i.alias("arm"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), (F.col("x") + i % 4).alias("ax"), (F.col("y") + 0.5 * (i % 4)).alias("ay"))
+    c = X.arm_coverage(arms, p, "arm", radius=1.0, below=3.0, above=3.0, bin_m=0.5, least=1)
+    return c.withColumns({n: F.round(n, 6) for n in ("coverage", "ridge_density")})
