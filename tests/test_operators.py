@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
-
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import clustering as C
@@ -10,6 +12,8 @@ from waymark.operators import poles as P
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_radius_join_is_exact(spark):
     rng = np.random.default_rng(1)
@@ -188,3 +192,31 @@ def test_colour_shift():
     px = np.c_[rng.integers(0, 60, 200), rng.integers(5, 35, 200)]
     rgb = image[px[:, 1] - 1, (px[:, 0] + 2) % 60]
     assert P.colour_shift(image, px, rgb.astype(float), 3, 0.8)[:2] == (2, -1)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_density_cluster_query(spark):
+    """The query against neighbours counted one by one."""
+    from waymark import registry
+    from waymark.operators.components import roots
+    from waymark.sources import survey as S
+
+    p = S.points(spark, DATA).select("point_id", "x", "y", "z").toPandas().sort_values("point_id")
+    ids, xyz = p["point_id"].to_numpy(), p[["x", "y", "z"]].to_numpy()
+    a, b = [], []
+    for lo in range(0, len(ids), 500):
+        i, j = np.nonzero(((xyz[lo : lo + 500, None] - xyz[None]) ** 2).sum(2) <= 36.0)
+        a.append(i + lo)
+        b.append(j)
+    a, b = np.concatenate(a), np.concatenate(b)
+    core = np.bincount(a, minlength=len(ids)) >= 6
+    both = core[a] & core[b]
+    node, root = roots(ids[a[both]], ids[b[both]])
+    want = dict(zip(node.tolist(), root.tolist()))
+    for i in np.flatnonzero(~core):
+        near = [j for j in b[a == i] if core[j]]
+        if near:
+            want[int(ids[i])] = want[int(ids[min(near, key=lambda j: (((xyz[i] - xyz[j]) ** 2).sum(), ids[j]))])]
+    got = registry.QUERIES["density_cluster"](spark, DATA).collect()
+    assert len(got) == len(ids) and sum(r.core for r in got) == core.sum()
+    assert {r.point_id: r.component for r in got if r.component is not None} == want

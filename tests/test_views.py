@@ -1,11 +1,21 @@
 from __future__ import annotations
 
+import math
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from waymark import registry
+from waymark.operators import geometry as G
 from waymark.operators import tables as T
 from waymark.operators import views as V
+from waymark.plans import views as plans
 from waymark.plans.supports import covering
+from waymark.sources import survey as S
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_overview_holds_its_rays():
@@ -49,3 +59,38 @@ def test_covering_seeds():
     centres = np.array([[0.0, 0], [0.2, 0], [5, 0], [5.1, 0], [9, 0]])
     picked = covering(centres, np.array([1.0, 2, 5, 4, 9]), np.zeros(2), 0.5)
     assert picked.tolist() == [1, 4, 2]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_fit_overview_query(spark):
+    """The query against one view at a time in plain Python."""
+    df = registry.QUERIES["fit_overview"](spark, DATA)
+    x0, y0, x1, y1 = (c for c in plans.box())
+    points = [(x0, y0), (x0, y1), (x1, y0), (x1, y1), ((x0 + x1) / 2, F.least(y1 + 20 * 2048 / 180.0, F.lit(2047.0)))]
+    rays = F.array(*[c for p in points for c in G.pixel_ray(*p, V.forward_axes(), *plans.PANO)])
+    given: dict = {}
+    for r in S.detections(spark, DATA).select("image_name", "detection_index", rays.alias("rays")).collect():
+        given.setdefault((r.image_name, r.detection_index), []).append(r.rays)
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    unit = lambda a: [p / math.sqrt(dot(a, a)) for p in a]
+    fits = 0
+    got = df.collect()
+    assert len(got) == sum(map(len, given.values()))
+    for r in [r for r in got if len(given[r.image_name, r.detection_index]) == 1][::7]:
+        (flat,) = given[r.image_name, r.detection_index]
+        own = [flat[k : k + 3] for k in range(0, 15, 3)]
+        f = unit([sum(v[k] for v in own) for k in range(3)])
+        for _ in range(20):
+            right = unit(cross(f, [0.0, 0.0, 1.0]))
+            above = cross(right, f)
+            h, v = [math.atan2(dot(o, right), dot(o, f)) for o in own], [math.atan2(dot(o, above), dot(o, f)) for o in own]
+            dh, dv = (min(h) + max(h)) / 2, (min(v) + max(v)) / 2
+            if max(abs(dh), abs(dv)) < 1e-11:
+                break
+            f = unit([f[k] + right[k] * math.tan(dh) + above[k] * math.tan(dv) for k in range(3)])
+        if r.fits:
+            fits += 1
+            assert max(abs(a - b) for a, b in zip(f, (r.fx, r.fy, r.fz))) < 1e-8
+            assert all(math.degrees(2 * max(abs(x) for x in a)) <= fov + 1e-6 for a, fov in ((h, r.hfov), (v, r.vfov)))
+    assert fits > 50

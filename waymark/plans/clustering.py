@@ -10,7 +10,17 @@ from waymark.registry import query
 from waymark.sources import survey as S
 
 
-@query()
+_OVER = "greatest(0, least(q.y1, n.y1) - greatest(q.y0, n.y0)) * greatest(0, least(n.x1, q.x1) - greatest(n.x0, q.x0), least(n.x1 - 4096, q.x1) - greatest(n.x0 - 4096, q.x0), least(n.x1 + 4096, q.x1) - greatest(n.x0 + 4096, q.x0))"
+_AREAS = "(q.x1 - q.x0) * (q.y1 - q.y0) + (n.x1 - n.x0) * (n.y1 - n.y0)"
+_NMS = S.with_tables("detections", f""", o AS (SELECT image_name, class_id, list(struct_pack(i := detection_index, c := confidence, x0 := x0, y0 := y0, x1 := x1, y1 := y1, s := [detection_index]) ORDER BY confidence DESC, detection_index) AS b FROM detections GROUP BY image_name, class_id),
+r AS (SELECT image_name, class_id, b, 1 AS k, [b[1]] AS kept FROM o
+UNION ALL SELECT image_name, class_id, b, k + 1, CASE WHEN hit IS NULL THEN list_append(kept, n) ELSE list_transform(kept, lambda q: CASE WHEN q.i = hit THEN struct_pack(i := q.i, c := q.c, x0 := q.x0, y0 := q.y0, x1 := q.x1, y1 := q.y1, s := list_append(q.s, n.i)) ELSE q END) END
+FROM (SELECT *, list_filter(kept, lambda q: {_OVER} >= 0.5 * ({_AREAS} - {_OVER}))[1].i AS hit FROM (SELECT *, b[k + 1] AS n FROM r WHERE k < len(b)))),
+e AS (SELECT image_name, class_id, unnest(kept) AS q FROM r WHERE k = len(b))
+SELECT image_name, class_id, q.i AS detection_index, q.c AS confidence, array_to_string(list_sort(q.s), ',') AS sources FROM e""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_NMS)
 def nms_merge(spark: SparkSession, sf: str) -> DataFrame:
     return C.nms_merge(S.detections(spark, sf))
 

@@ -13,6 +13,7 @@ from waymark.operators import clustering as C
 from waymark.operators import poles as P
 from waymark.operators import supports as X
 from waymark.operators.sequences import islands
+from waymark import registry
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -155,18 +156,29 @@ def _medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"image_name": p["image_name"], "x": m[:, 0], "y": m[:, 1], "z": m[:, 2]})
 
 
-@query()
+_FAR = "sqrt((q.x - cx) ** 2 + (q.y - cy) ** 2 + (q.z - cz) ** 2)"
+_PULLED = ", ".join(f"list_sum(list_transform(p, lambda q: q.{d} * q.w / {_FAR})) / list_sum(list_transform(p, lambda q: q.w / {_FAR})) AS s{d}" for d in "xyz")
+_MEDIAN = S.with_tables("detections", f""", g AS (SELECT image_name, list(struct_pack(x := x, y := y, z := z, w := point_count::DOUBLE)) AS p FROM detections GROUP BY image_name),
+r AS (SELECT image_name, p, 0 AS k, {", ".join(f"list_sum(list_transform(p, lambda q: q.{d} * q.w)) / list_sum(list_transform(p, lambda q: q.w)) AS c{d}" for d in "xyz")}, len(p) = 1 AS done FROM g
+UNION ALL SELECT image_name, p, k + 1, coalesce(h.x, sx), coalesce(h.y, sy), coalesce(h.z, sz), h IS NOT NULL OR sqrt((sx - cx) ** 2 + (sy - cy) ** 2 + (sz - cz) ** 2) <= 1e-7
+FROM (SELECT *, list_reverse_sort(list_transform(list_filter(p, lambda q: {_FAR} <= 1e-9), lambda q: struct_pack(w := q.w, x := q.x, y := q.y, z := q.z)))[1] AS h, {_PULLED} FROM r WHERE NOT done AND k < 40))
+SELECT image_name, round(arg_max(cx, k), 4) + 0.0 AS x, round(arg_max(cy, k), 4) + 0.0 AS y, round(arg_max(cz, k), 4) + 0.0 AS z FROM r GROUP BY image_name""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_MEDIAN)
 def geo_median(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted geometric median of each image's positions."""
     groups = C.group_arrays(S.detections(spark, sf), ("image_name",), ("x", "y", "z", "point_count"))
-    return groups.mapInPandas(_medians, "image_name string, x double, y double, z double")
+    found = groups.mapInPandas(_medians, "image_name string, x double, y double, z double")
+    return found.select("image_name", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 
 def covering(centres: np.ndarray, quality: np.ndarray, sign: np.ndarray, radius: float, direct: float = X.DIRECT_M) -> np.ndarray:
-    """Greedy seeds: direct ones first, then by quality and nearness; each covers its radius."""
-    far = np.hypot(*(centres - sign).T)
+    """Greedy seeds: direct ones first, then by quality and nearness (measures that tie at a
+    nanometre fall to the place); each covers its radius."""
+    far = np.round(np.hypot(*(centres - sign).T), 9)
     left, out = np.ones(len(centres), bool), []
-    for k in np.lexsort((far, -quality, far > direct)):
+    for k in np.lexsort((centres[:, 1], centres[:, 0], far, -np.round(quality, 9), far > direct)):
         if left[k]:
             out.append(k)
             left &= np.hypot(*(centres - centres[k]).T) > radius
@@ -179,7 +191,16 @@ def _seeds(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[picked][["area", "cx", "cy"]].assign(rank=np.arange(len(picked)))
 
 
-@query()
+_SEEDS = f"""WITH RECURSIVE a AS ({registry.ORACLE["axis_cells"]}), b AS (SELECT floor(cx / 8)::BIGINT || ':' || floor(cy / 8)::BIGINT AS area, cx, cy, round(quality, 9) AS quality FROM a),
+m AS (SELECT area, avg(cx + 0.5::DOUBLE) AS mx, avg(cy + 0.5::DOUBLE) AS my FROM b GROUP BY area), f AS (SELECT b.*, round(sqrt((cx + 0.5::DOUBLE - mx) ** 2 + (cy + 0.5::DOUBLE - my) ** 2), 9) AS far FROM b JOIN m USING (area)),
+o AS (SELECT area, list(struct_pack(cx := cx, cy := cy) ORDER BY far > 0.75, quality DESC, far, cx, cy) AS todo FROM f GROUP BY area),
+r AS (SELECT area, todo, 1 AS k, [todo[1]] AS kept FROM o
+UNION ALL SELECT area, todo, k + 1, CASE WHEN len(list_filter(kept, lambda q: (q.cx - todo[k + 1].cx) ** 2 + (q.cy - todo[k + 1].cy) ** 2 <= 2.25)) > 0 THEN kept ELSE list_append(kept, todo[k + 1]) END FROM r WHERE k < len(todo)),
+e AS (SELECT area, unnest(kept) AS c, unnest(range(len(kept))) AS rank FROM r WHERE k = len(todo))
+SELECT area, c.cx AS cx, c.cy AS cy, rank FROM e"""
+
+
+@query(_SEEDS)
 def seed_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Covering seeds among the cells of each area of 8 x 8 cells."""
     cells = axis_cells(spark, sf).withColumn("area", F.concat_ws(":", F.floor(F.col("cx") / 8), F.floor(F.col("cy") / 8)))
