@@ -444,3 +444,13 @@ def test_poisson_quantile(spark):
     got = [r.n for r in df.selectExpr("u", "size(filter(cdf, x -> x <= u)) AS n").orderBy("u").collect()]
     p = np.cumsum([np.exp(-2.5) * 2.5**k / float(np.prod(np.arange(1, k + 1))) for k in range(40)])
     assert got == [int((p <= x).sum()) for x in u]
+
+
+def test_sweep(spark):
+    from waymark.llm import common
+
+    common.sweep(spark)
+    df = common.kept(spark.range(3).toDF("x"), "swept")
+    assert df.count() == 3 and common.sweep(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND"):
+        spark.read.parquet(df.inputFiles()[0]).count()

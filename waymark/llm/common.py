@@ -39,9 +39,23 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     neither repeat the work nor depend on the executors that did it."""
     path = f"{shared_dir(df.sparkSession)}/waymark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what `kept` has written in this process; results that read it must have been
+    written or collected before. Returns how many folders went."""
+    found, _KEPT[:] = list(_KEPT), []
+    for path in found:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(found)
+
+
 def columns_as(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; extra columns of the input, whatever their names, go."""
     return df.select(*[df[n] for n in names])

@@ -20,6 +20,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Up to so many rules are broadcast.
 FEW_RULES = 100_000
 SHORT = 8
+SALT = 16
 
 
 def host_of(url: Column) -> Column:
@@ -50,7 +51,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, def
     listed = listed.withColumn("short", F.substring("rule_digest", 1, SHORT))
     hits = forms.join(F.broadcast(listed) if len(rules) <= FEW_RULES else listed, "short").filter("digest = rule_digest")
     best = hits.groupBy("near_host", "near_path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
-    return seen.join(best, ["near_host", "near_path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # a common host's pages are dealt over SALT tasks, and what was found for it goes to each
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    return seen.join(salted, ["near_host", "near_path", "salt"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 _UP = string.ascii_uppercase
