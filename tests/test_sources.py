@@ -43,6 +43,18 @@ def test_las_round_trip(spark, tmp_path):
     assert pointclouds.scan_index(spark, str(tmp_path)).first().n == 1000
 
 
+def test_las_attributes(spark, tmp_path):
+    from waymark.sources import previews
+
+    rows = [(1, 10.0 + i, 20.0, 0.5 * i, i, 2 * i, 3, 100 + i, i % 7, 1e5 + i / 8, 1 + i % 3, 3) for i in range(40)]
+    names = "crop_id x y z red green blue intensity classification gps_time return_number number_of_returns".split()
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'crop_id' else 'double' if n in ('x', 'y', 'z', 'gps_time') else 'int'}" for n in names))
+    (tmp_path / "c.las").write_bytes(previews.las_crops(df).first().las)
+    got = pointclouds.read_points(spark, str(tmp_path)).orderBy("x").select(*names[1:]).collect()
+    assert [tuple(round(v, 6) for v in r) for r in got] == [r[1:] for r in rows]
+    assert pointclouds.Las((tmp_path / "c.las").read_bytes()).format == 7
+
+
 def test_layer_round_trip(spark, tmp_path):
     layers.register(spark)
     df = spark.createDataFrame([(1.5, 2.5, 3.5, "é" * 50, 7), (4.0, 5.0, 6.0, None, None)], "x double, y double, z double, name string, n long").coalesce(1)

@@ -92,18 +92,32 @@ class Las:
         }
 
 
-def encode_las(xyz: np.ndarray, rgb: np.ndarray, scale: float = 0.001) -> bytes:
-    """LAS 1.4, point format 2: offset at the least corner, 8-bit colours times 257."""
+#: What format 7 keeps of a point besides place and colour.
+ATTRIBUTES = ("intensity", "classification", "gps_time", "return_number", "number_of_returns")
+
+
+def encode_las(xyz: np.ndarray, rgb: np.ndarray, scale: float = 0.001, attributes: dict[str, np.ndarray] | None = None) -> bytes:
+    """LAS 1.4: offset at the least corner, 8-bit colours times 257. Point format 2, or 7 with
+    attributes (those of ATTRIBUTES; missing ones and missing values are zero)."""
     offset = xyz.min(0) if len(xyz) else np.zeros(3)
-    dtype = np.dtype({"names": ["xyz", "rgb"], "formats": [("<i4", 3), ("<u2", 3)], "offsets": [0, 20], "itemsize": 26})
+    if attributes is None:
+        kind, dtype = 2, np.dtype({"names": ["xyz", "rgb"], "formats": [("<i4", 3), ("<u2", 3)], "offsets": [0, 20], "itemsize": 26})
+    else:
+        kind, dtype = 7, np.dtype({"names": ["xyz", "intensity", "returns", "cls", "time", "rgb"], "formats": [("<i4", 3), "<u2", "u1", "u1", "<f8", ("<u2", 3)], "offsets": [0, 12, 14, 16, 22, 30], "itemsize": 36})
     raw = np.zeros(len(xyz), dtype)
     raw["xyz"], raw["rgb"] = np.rint((xyz - offset) / scale), np.asarray(rgb, np.int64) * 257
+    if attributes is not None:
+        own = {n: np.nan_to_num(np.asarray(attributes.get(n, np.zeros(len(xyz))), float)) for n in ATTRIBUTES}
+        whole = {n: np.clip(own[n], 0, top).astype(np.int64) for n, top in (("intensity", 65535), ("classification", 255), ("return_number", 15), ("number_of_returns", 15))}
+        raw["intensity"], raw["cls"], raw["time"] = whole["intensity"], whole["classification"], own["gps_time"]
+        raw["returns"] = whole["return_number"] | whole["number_of_returns"] << 4
     head = bytearray(375)
-    head[0:4], head[24:26], head[104] = b"LASF", bytes((1, 4)), 2
+    head[0:4], head[24:26], head[104] = b"LASF", bytes((1, 4)), kind
     struct.pack_into("<H", head, 94, 375)
     struct.pack_into("<I", head, 96, 375)
-    struct.pack_into("<H", head, 105, 26)
-    struct.pack_into("<I", head, 107, min(len(xyz), 2**32 - 1))
+    struct.pack_into("<H", head, 105, dtype.itemsize)
+    if kind < 6:  # newer formats have the wide count alone
+        struct.pack_into("<I", head, 107, min(len(xyz), 2**32 - 1))
     struct.pack_into("<6d", head, 131, *[scale] * 3, *offset)
     high = xyz.max(0) if len(xyz) else offset
     struct.pack_into("<6d", head, 179, high[0], offset[0], high[1], offset[1], high[2], offset[2])

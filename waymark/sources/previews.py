@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.sequences import even_sample
-from waymark.sources.pointclouds import encode_las
+from waymark.sources.pointclouds import ATTRIBUTES, encode_las
 
 #: Fixed values of the preview format: a 40-byte header, then 15 bytes a point.
 HEAD = struct.Struct("<4sHHI6fI")
@@ -52,9 +52,12 @@ def previews(points: DataFrame, kind: bytes, at: tuple[Column, Column, Column],
 
 
 def las_crops(points: DataFrame) -> DataFrame:
-    """points: crop_id, x, y, z, red, green, blue (a bounded crop each). crop_id and a LAS file."""
+    """points: crop_id, x, y, z, red, green, blue and any of ATTRIBUTES (a bounded crop each).
+    crop_id and a LAS file, with attributes in point format 7."""
+    more = [n for n in ATTRIBUTES if n in points.columns]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"crop_id": [p["crop_id"].iloc[0]], "las": [encode_las(p[["x", "y", "z"]].to_numpy(float), p[["red", "green", "blue"]].to_numpy(np.int64))]})
+        extra = {n: p[n].to_numpy(float) for n in more} or None
+        return pd.DataFrame({"crop_id": [p["crop_id"].iloc[0]], "las": [encode_las(p[["x", "y", "z"]].to_numpy(float), p[["red", "green", "blue"]].to_numpy(np.int64), attributes=extra)]})
 
-    return points.select("crop_id", "x", "y", "z", "red", "green", "blue").groupBy("crop_id").applyInPandas(run, "crop_id long, las binary")
+    return points.select("crop_id", "x", "y", "z", "red", "green", "blue", *more).groupBy("crop_id").applyInPandas(run, "crop_id long, las binary")
