@@ -50,7 +50,8 @@ def nms_merge(detections: DataFrame, threshold: float = 0.5, width: float = 4096
     a = detections.select(*keys, F.col("detection_index").alias("i"), *box)
     b = detections.select(*keys, F.col("detection_index").alias("j"), *[F.col(c).alias(f"o{c}") for c in box])
     overlap = iou_circular(tuple(F.col(c) for c in box), tuple(F.col(f"o{c}") for c in box), width)
-    busy = a.join(b, keys).filter("i < j").filter(overlap >= threshold).select(*keys).distinct()
+    twice = detections.groupBy(*keys, "detection_index").count().filter("count > 1").select(*keys)  # rows that share an index
+    busy = a.join(b, keys).filter("i < j").filter(overlap >= threshold).select(*keys).union(twice).distinct()
     merged = detections.join(busy, keys, "left_semi").groupBy(*keys).applyInPandas(lambda p: nms(p, threshold, width), schema)
     alone = detections.join(busy, keys, "left_anti").select(*keys, "detection_index", "confidence", F.col("detection_index").cast("string").alias("sources"))
     return merged.unionByName(alone)
