@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, merkle, mixing, simhash_dedup, spelling, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, warc
+from . import decontaminate, language_id, merkle, mixing, order_minhash, simhash_dedup, spelling, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, warc
 from .common import shared_dir, table
 
 
@@ -69,7 +69,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.newlines_lost(docs["doc_id"], docs["text"]))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op6_simhash_dedup, op7_vector_dedup, op8_url_rules, op9_decontaminate, op10_warc, op11_spelling_variants, op12_merkle_manifest)}
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_poisson_mix, op5_token_counts, op6_simhash_dedup, op7_vector_dedup, op8_url_rules, op9_decontaminate, op10_warc, op11_spelling_variants, op12_merkle_manifest, op13_order_minhash)}
 ORACLE = {"op4_poisson_mix": mixing.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
