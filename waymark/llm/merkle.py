@@ -88,7 +88,8 @@ def climb(nodes: DataFrame) -> list[tuple[DataFrame, int]]:
     most, count = level.agg(F.max("n"), F.count("*")).first()
     levels = [(level, count)]
     while most and most > 1:
-        sent = level.filter("n > 1").rdd.map(_parent).groupByKey(_parts(spark, count), _home)
+        parts = _parts(spark, count // FAN)
+        sent = level.filter("n > 1").rdd.map(_parent).groupByKey(parts, _home).coalesce(parts)
         level = kept(spark.createDataFrame(sent.map(_complete), _NODE, verifySchema=False), "level")
         most, count = level.agg(F.max("n"), F.count("*")).first()
         levels.append((level, count))
@@ -96,8 +97,9 @@ def climb(nodes: DataFrame) -> list[tuple[DataFrame, int]]:
 
 
 def tops_of(levels: list[tuple[DataFrame, int]]) -> DataFrame:
-    """tree and digest of every tree's last node."""
-    return functools.reduce(DataFrame.unionAll, [level.filter("n = 1").select("tree", "digest") for level, _ in levels])
+    """tree, digest and level of every tree's last node."""
+    found = [level.filter("n = 1").select("tree", "digest", F.lit(k).alias("level")) for k, (level, _) in enumerate(levels)]
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def _to_parent(node: tuple) -> tuple:
@@ -118,28 +120,29 @@ def _send(met: tuple) -> Iterator[tuple]:
         yield (tree, FAN * i + place), (("".join(digests[:place]), "".join(digests[place + 1 :]), *way), own)
 
 
-def descend(levels: list[tuple[DataFrame, int]], leaves: RDD, tops: RDD) -> RDD:
+def descend(levels: list[tuple[DataFrame, int]], leaves: RDD, tops: DataFrame) -> RDD:
     """levels: as climb returns them. leaves: (tree, i, n, digest, own) for the lowest level.
-    tops: (tree, way), a row a tree. Returns (tree, i), (way, own) for every leaf."""
+    tops: tree, level and way, a row a tree. Returns ((tree, i), (way, own)) for every leaf."""
     spark = levels[0][0].sparkSession
     found = None
     for k in range(len(levels) - 1, -1, -1):
         level, count = levels[k]
         parts = _parts(spark, count)
+        begin = tops.filter(F.col("level") == k).coalesce(parts).rdd.map(lambda r: ((r.tree, 0), (tuple(r.way), None)))
         nodes = leaves if k == 0 else level.rdd.map(lambda r: (*r, None))
-        ends = nodes.filter(lambda x: x[2] == 1).map(lambda x: (x[0], x[4])).join(tops, parts).map(lambda x: ((x[0], 0), (x[1][1], x[1][0])))
+        if k == 0:  # lone leaves
+            alone = leaves.filter(lambda x: x[2] == 1).map(lambda x: ((x[0], 0), x[4]))
+            begin = _met(begin, alone, parts).flatMap(lambda met: [(met[0], (way[0], own)) for way in met[1][0] for own in met[1][1]])
         if found is None:
-            found = ends
-        else:
-            inner = nodes.filter(lambda x: x[2] > 1).map(_to_parent)
-            # a way goes once to where its node's children meet
-            found = _met(found, inner, parts).flatMap(_send).union(ends)
+            found = begin
+        else:  # a way goes once to where its node's children meet
+            found = _met(found, nodes.filter(lambda x: x[2] > 1).map(_to_parent), parts).flatMap(_send).union(begin)
     return found
 
 
 def _met(ways: RDD, children: RDD, parts: int) -> RDD:
     """Both by their node's key, as lists."""
-    both = ways.mapValues(lambda x: (0, x)).union(children.mapValues(lambda x: (1, x))).groupByKey(parts, _home)
+    both = ways.mapValues(lambda x: (0, x)).union(children.mapValues(lambda x: (1, x))).groupByKey(parts, _home).coalesce(parts)
     return both.mapValues(lambda found: ([x for side, x in found if side == 0], [x for side, x in found if side == 1]))
 
 
@@ -161,13 +164,14 @@ def manifest(docs: DataFrame, tampered: Column | None = None, columns: tuple[str
     own = [docs[c] for c in columns]
     later = [(tampered if tampered is not None else docs[c]) if c == "text" else docs[c] for c in columns]
     rows = docs.select(docs[tree].alias("tree"), docs["doc_id"].alias("doc_id"), leaf_of(*own).alias("digest"), leaf_of(*later).alias("changed"))
-    leaves = kept(place_by(rows, "tree", ("doc_id", "digest")), "leaves")
+    leaves = kept(place_by(kept(rows, "digests"), "tree", ("doc_id", "digest")), "leaves")
     levels = climb(leaves)
-    subroots = kept(place_by(tops_of(levels).select(F.lit("").alias("top"), "tree", "digest"), "top", ("tree",)), "subroots")
+    subroots = kept(place_by(tops_of(levels).select(F.lit("").alias("top"), "tree", "digest", "level"), "top", ("tree",)), "subroots")
     upper = climb(subroots.select(F.col("top").alias("tree"), "i", "n", "digest"))
-    root = tops_of(upper).rdd.map(lambda r: (r.tree, (r.digest,)))
-    ways = descend(upper, subroots.rdd.map(lambda r: (r.top, r.i, r.n, r.digest, (r.tree, r.digest))), root)
-    tops = ways.map(lambda x: (x[1][1][0], (*x[1][0][:-1], x[1][1][1], x[1][0][-1])))
+    root = tops_of(upper).select("tree", "level", F.array("digest").alias("way"))
+    ways = descend(upper, subroots.rdd.map(lambda r: (r.top, r.i, r.n, r.digest, (r.tree, r.level, r.digest))), root)
+    ways = ways.map(lambda x: (x[1][1][0], x[1][1][1], [*x[1][0][:-1], x[1][1][2], x[1][0][-1]]))
+    tops = kept(spark.createDataFrame(ways, "tree string, level int, way array<string>", verifySchema=False), "tops")
     found = descend(levels, leaves.rdd.map(lambda r: (r.tree, r.i, r.n, r.digest, (r.doc_id, r.digest, r.changed))), tops)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return spark.createDataFrame(found.map(_verified), f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", verifySchema=False)
