@@ -162,12 +162,11 @@ def plain_signatures(text, count=order_minhash.SIGNATURES, words=order_minhash.W
     seen, marked = Counter(), []
     for i in range(max(len(h) - words, 0) + 1):
         k = xx(*h[i : i + words]) >> 28
-        marked.append((xx(k, np.int32(seen[k])) >> 28, i))
+        marked.append((xx(k, np.int32(seen[k])) >> 28 if seen[k] else k, i))
         seen[k] += 1
     out = []
     for j in range(count):
-        p = [(xx(e, np.int32(j)) >> 28, i) for e, i in marked]
-        two = [min((x for x in p if x[0] % 2 == half), default=None) for half in (0, 1)]
+        two = [min(((xx(e, np.int32(j)) >> 28, i) for e, i in marked if e % 2 == half), default=None) for half in (0, 1)]
         two = sorted((x for x in two if x), key=lambda x: x[1])
         out.append((xx(*[x[0] for x in two]) >> 32) & 0xFFFFFFFF)
     return out

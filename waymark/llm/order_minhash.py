@@ -1,15 +1,15 @@
 """Order MinHash fingerprints (Marçais et al. 2019) in DataFrame functions alone.
 
 A text is its words; its k-mers are WORDS consecutive ones, each numbered by its occurrence, so
-repeats count. For each of SIGNATURES seeded permutations the least occurrence-numbered k-mer of
-each half of the hash range is taken, the two are put in text order, and their hashes are hashed
-to one signature: it stays only if both k-mers and their order do, so that it follows edit
-distance and not just shared content. The likeness of two fingerprints is their share of equal
+repeats count. Numbered k-mers are parted in two halves by their hash. For each of SIGNATURES
+seeded permutations the least one of each half is taken, the two are put in text order, and their
+hashes are hashed to one signature: it stays only if both k-mers and their order do, so that it
+follows edit distance and not just shared content. The likeness of two fingerprints is their share of equal
 signatures.
 
-Occurrences are numbered by a sort of (hash, place) in one number: runs of equal hashes count
-up. The k-mers are then exploded and each of the minima is kept by hash aggregation on the
-text's own key, by which rows already lie; nothing but texts and results is shuffled.
+Occurrences are numbered by a sort of (hash, place) in one number, where runs of equal hashes
+count up. The k-mers are then exploded, and the minima are kept by hash aggregation on the
+text's own key, by which rows already lie: only texts and results are shuffled.
 
 Words are what blanks part, and single ideographs, kana or hangul syllables. A text of fewer words than
 WORDS is one k-mer, a text without words (null is empty) one empty k-mer: all such texts have
@@ -56,39 +56,62 @@ def _place_of(packed: Column) -> Column:
 
 
 def kmers(text: Column, words: int = WORDS) -> Column:
-    """(hash, place) of every k-mer."""
+    """Hashes of the k-mers, in text order."""
     hashes = F.transform(F.array_remove(F.split(text, BLANKS), ""), lambda w: F.xxhash64(w))
-    return _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))), lambda i: _packed(F.xxhash64(*[F.get(h, i + k) for k in range(words)]), i)))
+    return _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)])))
 
 
-def numbered(ordered: Column) -> Column:
-    """(hash of k-mer and occurrence, place) from k-mers in order: the members of each run of
-    equal hashes count from 0."""
+def _sorted_by_hash(hashes: Column) -> Column:
+    """(hash, place), ascending."""
+    return F.sort_array(F.transform(hashes, _packed))
+
+
+def _sorted_by_place(ordered: Column) -> Column:
+    """(place, hash of k-mer and occurrence), ascending, from (hash, place) in order: the members
+    of each run of equal hashes count from 0, and the first keeps its hash."""
     first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda r: (r == 0) | (_hash_of(F.get(s, r)) != _hash_of(F.get(s, r - 1))))
-    member = lambda s, a: lambda r: _packed(F.xxhash64(_hash_of(F.get(s, r)), r - a), _place_of(F.get(s, r)))
-    return _let(first(ordered), lambda starts: F.flatten(F.transform(starts, lambda a, j: F.transform(F.sequence(a, F.coalesce(F.get(starts, j + 1), F.size(ordered)) - 1), member(ordered, a)))))
+
+    def member(a: Column) -> Callable[[Column], Column]:
+        def at(r: Column) -> Column:
+            packed = F.get(ordered, r)
+            h = F.when(r == a, _hash_of(packed)).otherwise(F.shiftrightunsigned(F.xxhash64(_hash_of(packed), r - a), PLACE_BITS + 1))
+            return F.shiftleft(_place_of(packed), 63 - PLACE_BITS).bitwiseOR(h)
+
+        return at
+
+    return F.sort_array(_let(first(ordered), lambda starts: F.flatten(F.transform(starts, lambda a, j: F.transform(F.sequence(a, F.coalesce(F.get(starts, j + 1), F.size(ordered)) - 1), member(a))))))
+
+
+def numbered(texts: DataFrame, keys: tuple[str, ...], words: int = WORDS) -> DataFrame:
+    """keys, place and h (36 bits of a k-mer's hash, from its second occurrence on with its
+    number), a row a k-mer. Where no k-mer repeats, nothing needs sorting. Each array is a column
+    of its own select, so that Spark makes it once and not within the next one's lambdas."""
+    rows = texts.select(*keys, kmers(F.col("text"), words).alias("hashes"))
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    rows = rows.select(*keys, "hashes", F.when(repeats, _sorted_by_hash(F.col("hashes"))).alias("ordered"))
+    rows = rows.select(*keys, "hashes", F.when(F.col("ordered").isNotNull(), _sorted_by_place(F.col("ordered"))).alias("placed"))
+    moved = lambda x: F.shiftleft(x, PLACE_BITS + 1)
+    rows = rows.select(*keys, F.coalesce(F.transform("placed", moved), "hashes").alias("all"))
+    # outer: else Spark puts a filter of size(all) > 0 before, which makes the array twice
+    return rows.select(*keys, F.posexplode_outer("all").alias("place", "h")).withColumn("h", F.shiftrightunsigned("h", PLACE_BITS + 1))
 
 
 def signatures(texts: DataFrame, keys: tuple[str, ...], count: int = SIGNATURES, words: int = WORDS) -> DataFrame:
     """texts: keys and text. Returns keys and signatures (array of int); keys must be unique."""
-    rows = texts.select(*keys, F.sort_array(kmers(F.col("text"), words)).alias("ordered"))
-    rows = rows.select(*keys, numbered(F.col("ordered")).alias("all"))
-    # outer: else Spark puts a filter of size(all) > 0 before, which makes the array twice
-    rows = rows.select(*keys, F.explode_outer("all").alias("x"))
-    x = _hash_of(F.col("x"))
-    minima = []
-    for j in range(count):
-        h = _packed(F.xxhash64(x, F.lit(j)), _place_of(F.col("x")))
-        lower = _hash_of(h) % 2 == 0
-        minima += [F.min(F.when(lower, h)).alias(f"a{j}"), F.min(F.when(~lower, h)).alias(f"b{j}")]
-    least = rows.groupBy(*keys).agg(*minima)
-
-    def signature(j: int) -> Column:
-        a, b = F.col(f"a{j}"), F.col(f"b{j}")
-        swapped = _place_of(b) < _place_of(a)
-        return F.xxhash64(F.when(swapped, _hash_of(b)).otherwise(_hash_of(a)), F.when(swapped, _hash_of(a)).otherwise(_hash_of(b)))
-
-    return least.select(*keys, F.array(*[F.shiftright(signature(j), 32).cast("int") for j in range(count)]).alias("signatures"))
+    rows = numbered(texts, keys, words)
+    minima = [F.min(_packed(F.xxhash64("h", F.lit(j)), F.col("place"))).alias(f"m{j}") for j in range(count)]
+    halves = rows.groupBy(*keys, (F.col("h") % 2).alias("half")).agg(*minima)
+    halves = halves.select(*keys, "half", F.array(*[f"m{j}" for j in range(count)]).alias("least"))
+    least = halves.groupBy(*keys).agg(*[F.max(F.when(F.col("half") == k, F.col("least"))).alias(f"least{k}") for k in (0, 1)])
+    # a half may be empty; null hashes are passed over
+    none = F.transform(F.coalesce("least0", "least1"), lambda _: F.lit(None).cast("long"))
+
+    def signature(a: Column, b: Column) -> Column:
+        swapped = F.coalesce(_place_of(b) < _place_of(a), F.lit(False))
+        h = F.xxhash64(_hash_of(F.when(swapped, b).otherwise(a)), _hash_of(F.when(swapped, a).otherwise(b)))
+        return F.shiftright(h, 32).cast("int")
+
+    return least.select(*keys, F.zip_with(F.coalesce("least0", none), F.coalesce("least1", none), signature).alias("signatures"))
 
 
 def fingerprint_of(signatures: Column) -> Column:
