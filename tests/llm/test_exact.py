@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -454,3 +455,45 @@ def test_sweep(spark):
     assert df.count() == 3 and common.sweep(spark) == 1
     with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND"):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+@pytest.mark.parametrize("raw", [b"a" * 300_000, b"ab" * 150_000, b"   \n" * 75_000, b"abc" * 1000 + b"=" * 100_000 + b"abc" * 1000 + b"=" * 100_000])
+def test_periodic_bytes(raw):
+    """Runs of a period cost a few microseconds a byte, not a numpy step each (which took over 25 s here)."""
+    began = time.time()
+    (hit,) = repeated_windows([raw], 200)
+    assert time.time() - began < 5
+    seen = Counter(raw[i : i + 200] for i in range(len(raw) - 199))
+    assert hit.tolist() == [seen[raw[i : i + 200]] > 1 for i in range(len(raw) - 199)]
+
+
+def test_long_names_of_suffixes():
+    """LMS substrings of over FAR symbols that are alike for long, compared by their rests."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        parts = [b"c" * int(n) + b"d" * int(m) + b"a" for n, m in zip(rng.integers(60, 200, 12), rng.integers(60, 75, 12))]
+        raw = b"".join(parts[i] for i in rng.integers(0, 12, 10))
+        t = np.r_[np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0].astype(np.int16)
+        plain = t.tolist()
+        assert suffix_array(t).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+
+
+def test_many_equal_rows(spark):
+    """2000 rows of one text and id take about as long as 2000 of different ids."""
+    text = "".join(np.random.default_rng(4).choice(list("abcdefgh "), 5000))
+    took = []
+    for ids in (list(range(2000)), [None] * 2000):
+        rows = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").repartition(4)
+        began = time.time()
+        got = substring_dedup.remove_repeats(rows, width=200, keep_text=False).collect()
+        took.append(time.time() - began)
+        assert len(got) == 2000 and {(r.n_removed, r.n_spans) for r in got} == {(5000, 1)}
+    assert took[1] < 2 * took[0] + 2
+
+
+def test_gathered_or_counted(spark, texts, monkeypatch):
+    """Keys over GATHER_BYTES give the same result."""
+    docs = docs_of(spark, texts)
+    want = sorted(map(tuple, substring_dedup.remove_repeats(docs, width=50, keep_text=False).collect()), key=str)
+    monkeypatch.setattr(substring_dedup, "GATHER_BYTES", 1)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs, width=50, keep_text=False).collect()), key=str) == want

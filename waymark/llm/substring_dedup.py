@@ -7,11 +7,13 @@
 3. Keys with several different runs, or with a run that may repeat itself, are open: one text piece of each different run goes to a
    shard, where induced sorting and permuted common prefixes (suffix.py) find repeated starts.
    A shard takes whole keys, about SHARD_BYTES at a time, so memory has a bound.
-4. A key with over `hot_runs` different runs (a passage that very many documents share) isn't
-   gathered in a shard: the hashes of its single strings are counted instead, pre-aggregated.
+4. A key with over `hot_runs` different runs (a passage that very many documents share) or over
+   GATHER_BYTES in them isn't gathered in a shard: the hashes of its single strings are counted
+   instead, pre-aggregated.
 
 Each start belongs to one run and each run to one shard, so every pair of equal strings meets.
-A row is known by 96 bits of its id and text (e, f) until spans return to it.
+A row is known by 96 bits of its id and text (e, f) until spans return to it; equal rows are
+one there, cut once and given its spans each.
 
 Nulls and empty texts have no bytes: nothing is removed. Texts under the width only lose
 nothing. Repeated rows are copies of each other, even with equal ids. A null id is kept as null.
@@ -35,6 +37,7 @@ from .suffix import repeated_windows
 
 SHARD_BYTES = 2 << 20
 HOT_RUNS = 4096
+GATHER_BYTES = 8 << 20
 #: p: start, starts in the run and whether it may repeat itself, packed (32, 31 and 1 bits).
 _RUNS = "e long, f int, v long, c long, p long"
 _PIECES = "e long, f int, v long, p long, piece binary"
@@ -179,20 +182,21 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
     again = kept(sketch.join(repeated, "v"), "repeated")
     # one run of each class of equal ones, and whether there are more
     classes = kept(again.groupBy("v", "c").agg(F.first(F.struct("e", "f", "p")).alias("one"), (F.count("*") > 1).alias("settled"), itself).select("v", "c", "one.*", "settled", "itself"), "classes")
-    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("itself").alias("self")).filter("different > 1 or self = 1").drop("self")
+    several = classes.groupBy("v").agg(F.count("*").alias("different"), F.max("itself").alias("self"), F.sum(_starts(F.col("p")) + width).alias("size")).filter("different > 1 or self = 1").drop("self")
     settled = again.join(classes.filter("settled").select("v", "c"), ["v", "c"]).select("e", "f", _start(F.col("p")).alias("start"), (_start(F.col("p")) + _starts(F.col("p")) + (width - 1)).alias("stop"))
-    open_ = classes.join(several, "v")
+    open_ = classes.join(several, "v").withColumn("hot", (F.col("different") > hot_runs) | (F.col("size") > GATHER_BYTES))
+    once = own.filter(F.length("body") >= width).select("e", "f", "body").dropDuplicates(["e", "f"])
 
     def wanted(which: DataFrame) -> DataFrame:
         per_doc = which.groupBy("e", "f").agg(F.collect_list(F.struct("v", "p")).alias("wanted"))
-        return own.join(per_doc, ["e", "f"]).select("e", "f", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
+        return once.join(per_doc, ["e", "f"]).select("e", "f", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
 
-    found = wanted(open_.filter(F.col("different") <= hot_runs)).repartition("v").sortWithinPartitions("v").mapInArrow(_shards(width), _SPANS)
-    strings = wanted(open_.filter(F.col("different") > hot_runs)).mapInArrow(_strings(width), "e long, f int, s int, w1 long, w2 long")
+    found = wanted(open_.filter("NOT hot")).repartition("v").sortWithinPartitions("v").mapInArrow(_shards(width), _SPANS)
+    strings = wanted(open_.filter("hot")).mapInArrow(_strings(width), "e long, f int, s int, w1 long, w2 long")
     twice = strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     hot = strings.join(twice, ["w1", "w2"]).select("e", "f", F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
 
-    spans = settled.unionByName(found).unionByName(hot).groupBy("e", "f").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = settled.unionByName(found).unionByName(hot).groupBy("e", "f").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     out = own.join(spans, ["e", "f"], "left").select(*carry, "body", "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
     schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * keep_text])

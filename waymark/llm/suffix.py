@@ -4,8 +4,9 @@
 the leftmost-smaller (LMS) substrings, recurses on their names, whatever their number, and
 induces the rest. Inducing goes through the array in order, but many suffixes at a time: all
 up to the first one before which one of them may still put another (`_ready`). Where buckets
-are small, as in reduced strings, such steps would be short and suffixes go one by one
-(`_induce_singly`). The work is linear in the text. `permuted_lcp` follows Kärkkäinen, Manzini and Puglisi (2009): only irreducible
+are small, as in reduced strings, or induce into themselves, as in periodic ones, such steps
+would be short and suffixes go one by one (`_induce_singly`, about a microsecond each). The work
+is linear in the text. `permuted_lcp` follows Kärkkäinen, Manzini and Puglisi (2009): only irreducible
 positions are compared, all others follow from their left neighbour.
 """
 
@@ -19,6 +20,12 @@ WINDOW = 1 << 16
 MANY = 64
 #: Longer strings are too large for the cache to go singly.
 SHORT = 1 << 18
+#: Every so many steps they must have moved FEW suffixes each on average, or all go singly.
+STEPS, FEW = 256, 24
+#: Symbols of LMS substrings that are compared in step; what is still alike then goes by whole rests.
+FAR = 64
+#: Common prefixes are compared in step up to here.
+LONG = 4096
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -70,6 +77,7 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarra
     # larger suffixes, upwards: those induced so far and, after them in each bucket, the LMS ones
     at = taken = 0
     wide = 256
+    steps = moved = 0
     while at < n or taken < len(placed):
         own = sa[at : at + wide]
         slots = np.flatnonzero(own >= 0)
@@ -95,6 +103,11 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarra
         m = _ready(keys, np.where(good, 2 * t[left].astype(np.int64), none))
         left = left[:m][good[:m]]
         _deal(sa, head, left, t[left], False)
+        steps, moved = steps + 1, moved + m
+        if steps == STEPS:
+            if moved < FEW * STEPS:
+                return _induce_singly(t, small, starts, lms)
+            steps = moved = 0
         used = int((order[:m] < len(own)).sum())
         taken += m - used
         if m < len(js):
@@ -109,6 +122,7 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarra
             wide = min(WINDOW, 2 * wide)
     # smaller suffixes, downwards: they stand after the larger ones of their bucket
     at, wide = n, 256
+    steps = moved = 0
     while at > 0:
         low = max(0, at - wide)
         own = sa[low:at][::-1]
@@ -123,6 +137,11 @@ def _induce(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarra
         m = _ready(keys, np.where(good, 2 * (k - t[left].astype(np.int64)), none))
         left = left[:m][good[:m]]
         _deal(sa, tail, left, t[left], True)
+        steps, moved = steps + 1, moved + m
+        if steps == STEPS:
+            if moved < FEW * STEPS:
+                return _induce_singly(t, small, starts, lms)
+            steps = moved = 0
         if m < len(js):
             at -= int(slots[m - 1]) + 1
             wide = max(64, min(wide, 4 * m))
@@ -169,6 +188,9 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     name = np.zeros(len(lms), np.int64)  # how many are smaller, as far as known
     active, done = np.arange(len(lms)), 0
     while len(active):
+        if done >= FAR:
+            _name_rests(code, lms, length, name, active, done)
+            break
         word = np.zeros(len(active), np.uint64)
         at, room = lms[active] + done, length[active] - done
         for j in range(per):
@@ -191,6 +213,20 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.unique(name, return_inverse=True)[1]
 
 
+def _name_rests(code: np.ndarray, lms: np.ndarray, length: np.ndarray, name: np.ndarray, active: np.ndarray, done: int) -> None:
+    """Parts groups of equal names by all symbols from `done` on. Rests don't overlap, so together
+    they aren't longer than the text."""
+    raw = code.astype(">u4" if code.max() < 1 << 32 else ">u8")
+    rests = sorted((name[i], raw[lms[i] + done : lms[i] + length[i]].tobytes(), i) for i in active.tolist())
+    group = first = None
+    for k, (own, rest, i) in enumerate(rests):
+        if own != group:
+            group, begin, first = own, k, None
+        if rest != first:
+            first, rank = rest, k - begin
+        name[i] = own + rank
+
+
 def _order(names: np.ndarray) -> np.ndarray:
     """Places of a string's suffixes in order; names has no gaps and ends in a 0 found nowhere
     else. A suffix whose first name is unique has its place already, and no comparison goes on
@@ -221,6 +257,19 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, starts, lms[_order(_names(t, small, lms))])
 
 
+def _common(t: np.ndarray, x: int, y: int, done: int, end: int) -> int:
+    """The common prefix of two suffixes, of which `done` symbols are known; `end` at most."""
+    size = 1024
+    while done < end:
+        size = min(2 * size, end - done)
+        differ = t[x + done : x + done + size] != t[y + done : y + done + size]
+        first = int(differ.argmax())
+        if differ[first]:
+            return done + first
+        done += size
+    return end
+
+
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(plcp, before): before[i] is the suffix sorted just before i (-1 for the first), plcp[i]
     their common prefix, at most room[i] and room[before[i]] symbols long. Values under
@@ -246,6 +295,10 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int = 0
     limit = np.minimum(n - a, n - b)
     off = np.zeros(len(live), np.int64)
     while len(live):
+        if off[0] >= LONG:  # few are that long: each by growing blocks
+            for i, x, y, done, end in zip(*(v.tolist() for v in (live, a, b, off, limit))):
+                value[i] = _common(t, x, y, done, end)
+            break
         x = packed[np.minimum(a + off, n)] ^ packed[np.minimum(b + off, n)]
         more = (x == 0) & (off + 8 < limit)
         stop = ~more
