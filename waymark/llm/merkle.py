@@ -8,7 +8,7 @@ send each node the siblings on its way to the root, from which its leaf is verif
 
 Nodes are keyed by tree and place, so no source of any size comes together; a superstep's
 table is a FAN-th of the one before, written to the shared folder, and its number of partitions
-follows its size. A node's path goes to its children's place once, not once a child.
+follows its size (PART_NODES nodes each). A node's path goes to its children's place once, not once a child.
 
 Nulls are `-` in a leaf, null sources come first. Rows of one source and id go by their leaf;
 repeated rows are leaves of their own. Null ids come first and count as not chosen for
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, shuffle_width
+from .common import kept
 
 FAN = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Nodes for which a superstep takes one more partition.
-PART_NODES = 20_000
+#: Nodes that a superstep gathers in one partition, about.
+PART_NODES = 50_000
 _NODE = "tree string, i long, n long, digest string"
 
 
@@ -76,8 +76,21 @@ def _complete(sent: tuple) -> tuple:
     return tree, i, -(-n // FAN), _h(*[c[2] for c in children])
 
 
-def _parts(spark: SparkSession, nodes: int) -> int:
-    return max(1, min(shuffle_width(spark), nodes // PART_NODES + 1))
+def _parts(nodes: int) -> int:
+    return nodes // PART_NODES + 1
+
+
+def _by_key(pairs: Iterator[tuple]) -> Iterator[tuple]:
+    found: dict = {}
+    for key, value in pairs:
+        found.setdefault(key, []).append(value)
+    return iter(found.items())
+
+
+def _gather(pairs: RDD, parts: int) -> RDD:
+    """(key, its values). A level's size sets the partitions, so that upper levels take few
+    tasks; they are merged before Python reads them."""
+    return pairs.partitionBy(parts, _home).coalesce(parts).mapPartitions(_by_key)
 
 
 def climb(nodes: DataFrame) -> list[tuple[DataFrame, int]]:
@@ -88,8 +101,7 @@ def climb(nodes: DataFrame) -> list[tuple[DataFrame, int]]:
     most, count = level.agg(F.max("n"), F.count("*")).first()
     levels = [(level, count)]
     while most and most > 1:
-        parts = _parts(spark, count // FAN)
-        sent = level.filter("n > 1").rdd.map(_parent).groupByKey(parts, _home).coalesce(parts)
+        sent = _gather(level.filter("n > 1").rdd.map(_parent), _parts(count))
         level = kept(spark.createDataFrame(sent.map(_complete), _NODE, verifySchema=False), "level")
         most, count = level.agg(F.max("n"), F.count("*")).first()
         levels.append((level, count))
@@ -123,11 +135,10 @@ def _send(met: tuple) -> Iterator[tuple]:
 def descend(levels: list[tuple[DataFrame, int]], leaves: RDD, tops: DataFrame) -> RDD:
     """levels: as climb returns them. leaves: (tree, i, n, digest, own) for the lowest level.
     tops: tree, level and way, a row a tree. Returns ((tree, i), (way, own)) for every leaf."""
-    spark = levels[0][0].sparkSession
     found = None
     for k in range(len(levels) - 1, -1, -1):
         level, count = levels[k]
-        parts = _parts(spark, count)
+        parts = _parts(count)
         begin = tops.filter(F.col("level") == k).coalesce(parts).rdd.map(lambda r: ((r.tree, 0), (tuple(r.way), None)))
         nodes = leaves if k == 0 else level.rdd.map(lambda r: (*r, None))
         if k == 0:  # lone leaves
@@ -142,7 +153,7 @@ def descend(levels: list[tuple[DataFrame, int]], leaves: RDD, tops: DataFrame) -
 
 def _met(ways: RDD, children: RDD, parts: int) -> RDD:
     """Both by their node's key, as lists."""
-    both = ways.mapValues(lambda x: (0, x)).union(children.mapValues(lambda x: (1, x))).groupByKey(parts, _home).coalesce(parts)
+    both = _gather(ways.mapValues(lambda x: (0, x)).union(children.mapValues(lambda x: (1, x))), parts)
     return both.mapValues(lambda found: ([x for side, x in found if side == 0], [x for side, x in found if side == 1]))
 
 
