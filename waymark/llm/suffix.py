@@ -21,7 +21,7 @@ MANY = 64
 #: Longer strings are too large for the cache to go singly.
 SHORT = 1 << 18
 #: Every so many steps they must have moved FEW suffixes each on average, or all go singly.
-STEPS, FEW = 256, 24
+STEPS, FEW = 256, 4
 #: Symbols of LMS substrings that are compared in step; what is still alike then goes by whole rests.
 FAR = 64
 #: Common prefixes are compared in step up to here.
