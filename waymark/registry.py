@@ -24,4 +24,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-from waymark.plans import clustering, filters, joins, projections, rollups, sampling, scalars, sequences, sets, supports, tables, views  # noqa: E402, F401
+from waymark.plans import clustering, filters, joins, projections, rollups, sampling, scalars, search, sequences, sets, supports, tables, views  # noqa: E402, F401
