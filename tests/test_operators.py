@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from waymark.operators import clustering as C
 from waymark.operators import poles as P
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
+from waymark.operators.splits import validate_splits
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,10 +61,92 @@ def test_route_sample(spark):
     assert got == [("a", 0), ("a", 2), ("a", 5), ("b", 0), ("b", 1)]
 
 
+def plain_nms(rows, threshold, width):
+    """rows: index, confidence, x0, y0, x1, y1. One pair at a time."""
+    kept = []
+    for i, c, x0, y0, x1, y1 in sorted(rows, key=lambda r: (-r[1], r[0])):
+        for k in kept:
+            h = max(0, min(y1, k[5]) - max(y0, k[3]))
+            w = max(max(0, min(x1 + s, k[4]) - max(x0 + s, k[2])) for s in (-width, 0, width))
+            union = (x1 - x0) * (y1 - y0) + (k[4] - k[2]) * (k[5] - k[3]) - w * h
+            if union > 0 and w * h / union >= threshold:
+                k[6].append(i)
+                break
+        else:
+            kept.append((i, c, x0, y0, x1, y1, [i]))
+    return [(k[0], k[1], ",".join(map(str, sorted(k[6])))) for k in kept]
+
+
 def test_nms_keeps_the_best_and_joins_sources():
-    b = pd.DataFrame({"image_name": "i", "class_id": 1, "detection_index": [1, 2, 3], "confidence": [0.5, 0.9, 0.8], "x0": [0.0, 1, 4095], "y0": [0.0, 0, 0], "x1": [10.0, 11, 4105], "y1": [10.0, 10, 10]})
-    out = C.nms(b, 0.5, 4096.0)
-    assert out[["detection_index", "sources"]].values.tolist() == [[2, "1,2,3"]]
+    boxes = np.array([[0.0, 0, 10, 10], [1, 0, 11, 10], [4095, 0, 4105, 10]])
+    assert C.nms(np.array([1, 2, 3]), np.array([0.5, 0.9, 0.8]), boxes, 0.5, 4096.0) == [(2, 0.9, "1,2,3")]
+
+
+def test_nms_merge_by_bands(spark):
+    """Tall boxes, boxes over the seam, repeated indices, boxes without area: as pair by pair."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        x, y, w, h = (float(rng.uniform(0, 4096)), *(float(rng.choice(v)) for v in ([0, 500, 511, 1500], [0, 40, 300], [0, 30, 900])))
+        rows.append((f"i{k % 5}", int(k % 2), int(rng.integers(0, 60)), float(rng.choice([0.5, 0.7, 0.9])), x, y, x + w, y + h))
+    schema = "image_name string, class_id long, detection_index long, confidence double, x0 double, y0 double, x1 double, y1 double"
+    got = C.nms_merge(spark.createDataFrame(rows, schema)).collect()
+    want = Counter()
+    for key in {r[:2] for r in rows}:
+        want.update((*key, *r) for r in plain_nms([r[2:] for r in rows if r[:2] == key], 0.5, 4096.0))
+    assert Counter(tuple(r) for r in got) == want
+    assert C.nms_merge(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_remap_relations(spark):
+    """Relations follow their signs; one of each sign stays; those without a sign stay all."""
+    merged = [(1, 1), (2, 1), (3, 1), (5, 5), (6, 7), (7, 7)]
+    rel = [(1, "b", 5, 0.5, 0.9, "own"), (2, "a", 90, 0.9, 0.9, "more"), (6, "a", 3, None, 0.1, "x"), (6, "B", 3, float("nan"), 0.5, "y"), (7, None, None, None, None, "own7"), (9, "c", 1, 0.1, 0.1, "free"), (9, "b", 1, 0.1, 0.1, "free first"), (None, "n", 1, 1.0, 1.0, "lost"), (None, "n", 1, 1.0, 1.0, "lost"), (3, "z", 1, 0.1, 0.1, "third")]
+    df = spark.createDataFrame(rel, "obs_id long, image_name string, pole_point_count long, pole_quality double, confidence double, note string")
+    ids = spark.createDataFrame(merged, "obs_id long, canonical_id long")
+    got = {(r.canonical_id, r.note, tuple(r.source_ids or ()), r.observation_count) for r in C.remap_relations(df, ids).collect()}
+    assert got == {(1, "own", (1, 2, 3), 3), (7, "own7", (6, 7), 2), (9, "free first", (9,), 1), (None, "lost", (), None)}
+    assert C.remap_relations(df, ids).count() == 5
+    without = C.remap_relations(df.filter("obs_id IS NULL OR obs_id NOT IN (1, 7)"), ids)
+    assert {(r.canonical_id, r.note) for r in without.collect()} == {(1, "more"), (7, "y"), (9, "free first"), (None, "lost")}
+    assert C.remap_relations(df.limit(0), ids).count() == 0
+
+
+def test_relations_follow_deduped_signs(spark):
+    """After sign_dedupe every relation names a sign that is left, and each sign has one at most."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "r", 1, f"im{i % 7}", i, float(rng.choice([0, 0.1, 0.2, 9])), float(rng.choice([0, 0.1])), 0.0, None, int(rng.integers(1, 9)), 0.5) for i in range(60)]
+    signs = spark.createDataFrame(rows, "obs_id long, record_name string, class_id long, image_name string, detection_index long, x double, y double, z double, support_id string, point_count long, confidence double")
+    merged = C.sign_dedupe(signs).select("obs_id", "canonical_id").collect()
+    rel = [(i, f"im{i % 7}", int(i % 5), 0.5, 0.5) for i in range(0, 60, 2)]
+    got = C.remap_relations(spark.createDataFrame(rel, "obs_id long, image_name string, pole_point_count long, pole_quality double, confidence double"), spark.createDataFrame(merged)).collect()
+    canonical = dict(map(tuple, merged))
+    best = {}
+    for r in rel:
+        key = (r[0] != canonical[r[0]], -r[2], r[1], r[0])
+        best[canonical[r[0]]] = min(best.get(canonical[r[0]], (key, r[0])), (key, r[0]))
+    assert {r.canonical_id: r.obs_id for r in got} == {c: v[1] for c, v in best.items()}
+    assert all(sorted(r.source_ids) == sorted(i for i, c in canonical.items() if c == r.canonical_id) for r in got)
+
+
+HEADER = ["points", "crs", "format", "dimensions", *[f"{n}_{a}" for n in ("scale", "offset", "min", "max") for a in "xyz"]]
+
+
+def test_validate_splits(spark):
+    """A failing base for each reason."""
+    whole = dict(points=100, crs="c", format=3, dimensions="x,y", **{f"scale_{a}": 0.01 for a in "xyz"}, **{f"offset_{a}": 100.0 for a in "xyz"}, **{f"min_{a}": 110.0 for a in "xyz"}, **{f"max_{a}": 120.0 for a in "xyz"})
+    half = [whole | {"points": 60, "max_x": 115.0}, whole | {"points": 40, "min_x": 115.01}]
+    cases = {
+        "good": half, "rebased": [half[0] | {"offset_x": 50.005, "min_x": 110.005, "max_x": 115.005}, half[1]], "gap": [half[0], half[1] | {"split_index": 3}], "twice": [half[0], half[1] | {"split_index": 1}], "from_zero": [half[0] | {"split_index": 0}, half[1] | {"split_index": 1}],
+        "off_grid": [half[0] | {"max_y": 120.005}, half[1]], "null_bound": [half[0] | {"min_z": None}, half[1]], "backwards": [half[0] | {"min_y": 121.0}, half[1]], "scale": [half[0] | {"scale_z": 0.001}, half[1]], "crs": [half[0] | {"crs": None}, half[1]],
+        "format": [half[0], half[1] | {"format": 7}], "dimensions": [half[0], half[1] | {"dimensions": "x"}], "count": [half[0], half[1] | {"points": 41}], "bounds": [half[0] | {"max_z": 119.0}, half[1] | {"max_z": 119.5}], "infinite": [half[0] | {"max_x": float("inf")}, half[1]],
+    }
+    schema = "base string, split_index long, points long, crs string, format long, dimensions string, " + ", ".join(f"{c} double" for c in HEADER[4:])
+    full = [(b, None, *[whole[c] for c in HEADER]) for b in [*cases, "alone"]]
+    splits = [(b, s.get("split_index", k + 1), *[s[c] for c in HEADER]) for b, rows in cases.items() for k, s in enumerate(rows)] + [("orphan", 1, *[whole[c] for c in HEADER])]
+    got = {r.base: r.reasons for r in validate_splits(spark.createDataFrame(full, schema).drop("split_index"), spark.createDataFrame(splits, schema)).collect()}
+    index, grid, scale, bounds = ["non_contiguous_split_indices"], ["invalid_scale_offset_grid"], ["scale_mismatch"], ["bounds_mismatch"]
+    assert got == {"good": [], "rebased": [], "gap": index, "twice": index, "from_zero": index, "off_grid": grid, "null_bound": grid, "backwards": grid, "scale": scale, "crs": ["crs_mismatch"], "format": ["point_format_mismatch"], "dimensions": ["point_format_mismatch"], "count": ["point_count_mismatch"], "bounds": bounds, "infinite": [*grid, *bounds], "alone": ["no_splits"], "orphan": ["no_full_file"]}
 
 
 def plain_dedupe(rows):

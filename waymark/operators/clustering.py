@@ -18,45 +18,55 @@ from waymark.operators.spatial import cell
 from waymark.operators.tables import ordinals
 
 
-def nms(boxes: pd.DataFrame, threshold: float, width: float) -> pd.DataFrame:
-    """Greedy by confidence: boxes of one image and class that overlap a kept one are dropped
-    and their sources joined to it."""
-    order = boxes.sort_values(["confidence", "detection_index"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    x0, y0, x1, y1 = (order[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
-    area, kept, sources = (x1 - x0) * (y1 - y0), [], {}
-    for i in range(len(order)):
-        best = None
-        for k in kept:
-            h = max(0.0, min(y1[i], y1[k]) - max(y0[i], y0[k]))
-            w = max(max(0.0, min(x1[i] + s, x1[k]) - max(x0[i] + s, x0[k])) for s in (-width, 0.0, width))
-            union = area[i] + area[k] - w * h
-            if union > 0 and w * h / union >= threshold:
-                best = k
-                break
-        if best is None:
-            kept.append(i)
-            sources[i] = [int(order["detection_index"][i])]
+def nms(index: np.ndarray, confidence: np.ndarray, boxes: np.ndarray, threshold: float, width: float) -> list[tuple[int, float, str]]:
+    """Greedy by confidence: boxes (x0, y0, x1, y1) of one image and class that overlap a kept one
+    are dropped and their sources joined to it. Returns index, confidence and sources of those kept."""
+    order = np.lexsort((index, -confidence))
+    boxes, kept, sources = boxes[order], [], []
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    shifts = np.array([-width, 0.0, width])[:, None]
+    for i, (x0, y0, x1, y1) in enumerate(boxes):
+        other = boxes[kept]
+        h = np.maximum(0.0, np.minimum(y1, other[:, 3]) - np.maximum(y0, other[:, 1]))
+        w = np.maximum(0.0, np.minimum(x1 + shifts, other[:, 2]) - np.maximum(x0 + shifts, other[:, 0])).max(0)
+        union = area[i] + area[kept] - w * h
+        hit = np.flatnonzero(np.divide(w * h, union, out=np.full(len(kept), -1.0), where=union > 0) >= threshold)
+        if len(hit):
+            sources[hit[0]].append(int(index[order[i]]))
         else:
-            sources[best].append(int(order["detection_index"][i]))
-    out = order.loc[kept, ["image_name", "class_id", "detection_index", "confidence"]].copy()
-    out["sources"] = [",".join(map(str, sorted(sources[i]))) for i in kept]
-    return out
+            kept.append(i)
+            sources.append([int(index[order[i]])])
+    return [(int(index[order[i]]), float(confidence[order[i]]), ",".join(map(str, sorted(s)))) for i, s in zip(kept, sources)]
 
 
 def nms_merge(detections: DataFrame, threshold: float = 0.5, width: float = 4096.0) -> DataFrame:
-    """Only the images and classes with an overlap are grouped; the rest stays in the JVM."""
+    """Only the images and classes with an overlap go to numpy, as arrays and many a batch; the
+    rest stays in the JVM. Boxes of an image meet by class and the bands of BAND pixels they
+    reach, not all with all. Rows that share an index count as two boxes."""
     schema = "image_name string, class_id long, detection_index long, confidence double, sources string"
     box, keys = ("x0", "y0", "x1", "y1"), ["image_name", "class_id"]
-    a = detections.select(*keys, F.col("detection_index").alias("i"), *box)
-    b = detections.select(*keys, F.col("detection_index").alias("j"), *[F.col(c).alias(f"o{c}") for c in box])
+    band = lambda c: F.floor(F.col(c) / BAND)
+    a = detections.select(*keys, F.col("detection_index").alias("i"), *box).withColumn("band", F.explode(F.sequence(band("y0"), F.greatest(band("y0"), band("y1")))))
+    b = a.select(*keys, "band", F.col("i").alias("j"), *[F.col(c).alias(f"o{c}") for c in box])
     overlap = iou_circular(tuple(F.col(c) for c in box), tuple(F.col(f"o{c}") for c in box), width)
     twice = detections.groupBy(*keys, "detection_index").count().filter("count > 1").select(*keys)  # rows that share an index
-    busy = a.join(b, keys).filter("i < j").filter(overlap >= threshold).select(*keys).union(twice).distinct()
-    merged = detections.join(busy, keys, "left_semi").groupBy(*keys).applyInPandas(lambda p: nms(p, threshold, width), schema)
+    busy = a.join(b, [*keys, "band"]).filter("i < j").filter(overlap >= threshold).select(*keys).union(twice).distinct()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(image, cls, *r) for image, cls, index, conf, *xy in batch.itertuples(index=False) for r in nms(np.asarray(index), np.asarray(conf, float), np.stack(xy, 1).astype(float), threshold, width)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    own = detections.join(busy, keys, "left_semi").select(*keys, F.col("detection_index").cast("long").alias("detection_index"), F.col("confidence").cast("double").alias("confidence"), *box)
+    merged = group_arrays(own, ("image_name", "class_id"), ("detection_index", "confidence", *box)).mapInPandas(solve, schema)
     alone = detections.join(busy, keys, "left_anti").select(*keys, "detection_index", "confidence", F.col("detection_index").cast("string").alias("sources"))
     return merged.unionByName(alone)
 
 
+#: Pixels of the bands by which boxes of an image meet.
+BAND = 512
+
+
 def near_pairs(points: DataFrame, radius: float, key: str, dims: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs a < b of points within radius, by grid cells."""
     cells = {f"__c{i}": cell(F.col(d), radius) for i, d in enumerate(dims)}
@@ -315,3 +325,20 @@ def sign_dedupe(signs: DataFrame, supported: tuple[float, float] = SUPPORTED, un
     full = own.select("node", "obs_id", "support", "point_count", "confidence").join(label, "node").join(far, "node", "left")
     pick = full.groupBy("label").agg(F.min_by("obs_id", rank).alias("canonical_id"), F.count("*").alias("size"))
     return full.select("obs_id", "label").join(pick, "label").select("obs_id", "canonical_id", "size")
+
+
+def remap_relations(relations: DataFrame, merged: DataFrame) -> DataFrame:
+    """Relations after their signs were merged (merged: obs_id, canonical_id, as sign_dedupe gives
+    them). relations: obs_id (may be null), image_name, pole_point_count, pole_quality,
+    confidence and others. Of the relations that come to one sign the sign's own stays, else that
+    with most points, best quality, best confidence, first image and first obs_id (null measures
+    count as least); it takes the sign's id as canonical_id, how many sightings it has and their
+    ids. Signs that weren't merged keep their own id; relations without one stay as they are."""
+    sources = merged.groupBy("canonical_id").agg(F.sort_array(F.collect_set("obs_id")).alias("source_ids"))  # sightings of one sign: few
+    named = relations.join(merged.select("obs_id", "canonical_id"), "obs_id", "left").withColumn("canonical_id", F.coalesce("canonical_id", "obs_id"))
+    least = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(float("inf"))).otherwise(-F.col(c).cast("double"))
+    order = W.partitionBy("canonical_id").orderBy(F.col("obs_id") != F.col("canonical_id"), least("pole_point_count"), least("pole_quality"), least("confidence"), F.lower(F.coalesce("image_name", F.lit(""))), "obs_id")
+    joined = named.filter("obs_id IS NOT NULL").withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
+    joined = joined.join(sources, "canonical_id", "left").withColumn("source_ids", F.coalesce("source_ids", F.array("canonical_id")))
+    loose = named.filter("obs_id IS NULL").withColumn("source_ids", F.lit(None).cast(joined.schema["source_ids"].dataType))
+    return joined.unionByName(loose).withColumn("observation_count", F.when(F.col("obs_id").isNotNull(), F.size("source_ids")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import geometry as G
+from waymark.operators.splits import validate_splits as validate_headers
 from waymark.registry import query
 from waymark.sources import survey as S
 
@@ -154,3 +155,31 @@ def weighted_spread(spark: SparkSession, sf: str) -> DataFrame:
 @query(S.with_tables("frames", "SELECT record_name, track_id, count(*) AS n FROM frames GROUP BY ROLLUP (record_name, track_id)"))
 def track_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return S.frames(spark, sf).rollup("record_name", "track_id").agg(F.count("*").alias("n"))
+
+
+#: Split files and the full file of each brand: most fit, and every reason to refuse has some.
+_SPLIT_SQL = """, s AS (SELECT p_brand AS base, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_size AS points, substr(p_brand, 7)::INTEGER AS b FROM part),
+h AS (SELECT base, b, i + CASE WHEN b % 9 = 1 AND i > 1 THEN 1 ELSE 0 END AS split_index, points::BIGINT AS points, CASE WHEN b % 9 = 2 AND i = 1 THEN 'other' ELSE 'tm' END AS crs, CASE WHEN b % 9 = 3 AND i = 1 THEN 7 ELSE 3 END AS format, CASE WHEN b % 9 = 4 AND i = 1 THEN 0.001::DOUBLE ELSE 0.01::DOUBLE END AS scale,
+  k::DOUBLE + CASE WHEN b % 9 = 5 AND i = 1 THEN 0.005::DOUBLE ELSE 0 END AS lo, (k + points)::DOUBLE AS hi FROM s),
+f AS (SELECT base, sum(points) + CASE WHEN any_value(b) % 9 = 6 THEN 1 ELSE 0 END AS points, min(floor(lo)) - CASE WHEN any_value(b) % 9 = 7 THEN 1 ELSE 0 END AS lo, max(hi) AS hi FROM h GROUP BY base),
+g AS (SELECT base, count(*) AS n, sum(points) AS points, min(split_index) = 1 AND max(split_index) = count(*) AS whole, bool_and(crs = 'tm') AS crs, bool_and(format = 3) AS format, bool_and(scale = 0.01) AS scales, bool_and(abs((lo - 1.0) / scale - round((lo - 1.0) / scale)) <= 1e-4) AS grid, min(lo) AS lo, max(hi) AS hi FROM h GROUP BY base)
+SELECT base, n AS split_count, g.points::BIGINT AS split_points, concat_ws(',', CASE WHEN NOT whole THEN 'non_contiguous_split_indices' END, CASE WHEN NOT grid THEN 'invalid_scale_offset_grid' END, CASE WHEN NOT scales THEN 'scale_mismatch' END, CASE WHEN NOT crs THEN 'crs_mismatch' END, CASE WHEN NOT format THEN 'point_format_mismatch' END,
+  CASE WHEN g.points <> f.points THEN 'point_count_mismatch' END, CASE WHEN abs(g.lo - f.lo) > 0.01::DOUBLE OR abs(g.hi - f.hi) > 0.01::DOUBLE THEN 'bounds_mismatch' END) AS reasons FROM g JOIN f USING (base)"""
+
+
+@query(S.with_tables("splits", _SPLIT_SQL))
+def split_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the split files of each brand may stand for its full file, from their headers."""
+    from pyspark.sql import Window as W
+
+    p = S.read(spark, sf, "part")
+    b, i = F.pmod(F.substring("p_brand", 7, 9).cast("int"), F.lit(9)), F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    own = p.select(F.col("p_brand").alias("base"), b.alias("b"), i.alias("i"), F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("points"))
+    first = lambda kind: (F.col("b") == kind) & (F.col("i") == 1)
+    lo, hi = F.col("k") + F.when(first(5), 0.005).otherwise(0.0), (F.col("k") + F.col("points")).cast("double")
+    header = lambda points, crs, form, scale, lo, hi: [points.alias("points"), crs.alias("crs"), form.alias("format"), F.lit("x,y,z").alias("dimensions"), *[scale.alias(f"scale_{a}") for a in "xyz"], *[F.lit(1.0).alias(f"offset_{a}") for a in "xyz"], *[lo.alias(f"min_{a}") for a in "xyz"], *[hi.alias(f"max_{a}") for a in "xyz"]]
+    index = F.col("i") + ((F.col("b") == 1) & (F.col("i") > 1)).cast("int")
+    splits = own.select("base", "b", index.alias("split_index"), *header(F.col("points"), F.when(first(2), "other").otherwise("tm"), F.when(first(3), 7).otherwise(3), F.when(first(4), 0.001).otherwise(0.01), lo, hi))
+    total = splits.groupBy("base", "b").agg(F.sum("points").alias("n"), F.min(F.floor("min_x")).alias("lo"), F.max("max_x").alias("hi"))
+    full = total.select("base", *header(F.col("n") + (F.col("b") == 6).cast("int"), F.lit("tm"), F.lit(3), F.lit(0.01), (F.col("lo") - (F.col("b") == 7).cast("int")).cast("double"), F.col("hi")))
+    return validate_headers(full, splits).withColumn("reasons", F.concat_ws(",", "reasons"))

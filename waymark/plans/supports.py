@@ -357,3 +357,24 @@ def arm_coverage(spark: SparkSession, sf: str) -> DataFrame:
     arms = p.filter(i % 3 == 0).select(i.alias("arm"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), (F.col("x") + i % 4).alias("ax"), (F.col("y") + 0.5 * (i % 4)).alias("ay"))
     c = X.arm_coverage(arms, p, "arm", radius=1.0, below=3.0, above=3.0, bin_m=0.5, least=1)
     return c.withColumns({n: F.round(n, 6) for n in ("coverage", "ridge_density")})
+
+
+_REMAP = """, n AS (SELECT order_id * 10 + detection_index AS obs_id, image_name, point_count AS pole_point_count, l_tax AS pole_quality, confidence, order_id, detection_index FROM detections),
+m AS (SELECT obs_id, min(obs_id) OVER (PARTITION BY order_id, detection_index % 3) AS canonical_id FROM n WHERE detection_index <= 6),
+r AS (SELECT * FROM n WHERE detection_index % 3 <> 1 OR order_id % 2 = 0),
+j AS (SELECT coalesce(canonical_id, r.obs_id) AS canonical_id, r.* FROM r LEFT JOIN m USING (obs_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY obs_id <> canonical_id, -pole_point_count, -pole_quality, -confidence, lower(image_name), obs_id) AS k FROM j),
+s AS (SELECT canonical_id, list_sort(list(DISTINCT obs_id)) AS ids FROM m GROUP BY canonical_id)
+SELECT canonical_id, obs_id, image_name, coalesce(len(ids), 1)::INTEGER AS observation_count, array_to_string(coalesce(ids, [canonical_id]), ',') AS source_ids FROM k LEFT JOIN s USING (canonical_id) WHERE k = 1"""
+
+
+@query(S.with_tables("detections", _REMAP))
+def relation_remap(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of an image's sightings after every third of these were merged into one sign."""
+    from pyspark.sql import Window as W
+
+    i = F.col("detection_index")
+    d = S.detections(spark, sf).withColumns({"obs_id": F.col("order_id") * 10 + i, "pole_quality": F.round((F.col("y1") - F.col("y0") - 30) / 100, 6)})
+    merged = d.filter(i <= 6).select("obs_id", F.min("obs_id").over(W.partitionBy("order_id", i % 3)).alias("canonical_id"))
+    relations = d.filter((i % 3 != 1) | (F.col("order_id") % 2 == 0)).select("obs_id", "image_name", F.col("point_count").alias("pole_point_count"), "pole_quality", "confidence")
+    return C.remap_relations(relations, merged).select("canonical_id", "obs_id", "image_name", "observation_count", F.concat_ws(",", F.col("source_ids").cast("array<string>")).alias("source_ids"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,35 @@ def unseen(stream: DataFrame, done: DataFrame) -> DataFrame:
     return stream.join(done.select("image_name", "run_fingerprint").distinct(), ["image_name", "run_fingerprint"], "left_anti")
 
 
-def refresh_layers(stream: DataFrame, recompute, checkpoint: str):
-    """Calls recompute(batch, id) for each batch: a full recompute of the interim layers."""
+def interim_layers(results_dir: str, layers_dir: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps each epoch's results in a folder of its own and builds the interim
+    layers anew from all of them into the epoch's layer folder. An epoch that comes again (a
+    restart replays the last one) overwrites just what it wrote before, so nothing counts twice.
+    An epoch without rows leaves the layers of the one before in place."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{results_dir}/epoch={epoch}")
+        known = spark.read.option("basePath", results_dir).schema(batch.schema.add("epoch", "long")).parquet(results_dir)
+        known = known.filter(F.col("epoch") <= epoch).drop("epoch")
+        if not known.isEmpty():
+            build(known).write.mode("overwrite").parquet(f"{layers_dir}/epoch={epoch}")
+
+    return run
+
+
+def newest_layers(spark: SparkSession, layers_dir: str) -> DataFrame:
+    """The layers of the last epoch that was built whole (a write in progress has no _SUCCESS)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(layers_dir)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [s.getPath().getParent().toString() for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{layers_dir}/epoch=*/_SUCCESS")) or []]
+    if not whole:
+        raise FileNotFoundError(f"no layers in {layers_dir}")
+    return spark.read.parquet(max(whole, key=lambda p: int(p.rsplit("=", 1)[1])))
+
+
+def refresh_layers(stream: DataFrame, recompute: Callable[[DataFrame, int], None], checkpoint: str):
+    """Calls recompute(batch, epoch) for each batch, such as `interim_layers`."""
     return stream.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)
 
 
@@ -39,17 +66,18 @@ UPLOAD = "file string, at long, size long, accepted boolean, offset long"
 def _uploads(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     offset = state.get[0] if state.exists else 0
     rows = []
-    for pdf in pdfs:
-        for at, size in sorted(zip(pdf["at"].tolist(), pdf["size"].tolist())):
-            good = at == offset  # compare and set
-            offset += size if good else 0
-            rows.append((key[0], at, size, good, offset))
+    # a trigger's chunks come in several Arrow batches; their order is that of the whole trigger
+    for at, size in sorted((int(r.at), int(r.size)) for pdf in pdfs for r in pdf.itertuples(index=False)):
+        good = at == offset  # compare and set
+        offset += size if good else 0
+        rows.append((key[0], at, size, good, offset))
     state.update((offset,))
     yield pd.DataFrame(rows, columns=["file", "at", "size", "accepted", "offset"])
 
 
 def chunk_upload(chunks: DataFrame) -> DataFrame:
-    """chunks: file, at, size. Each file's state is its offset; a chunk elsewhere is refused."""
+    """chunks: file, at, size. Each file's state is its offset; a chunk elsewhere is refused.
+    Chunks of one trigger count in the order of their places, however they arrive."""
     return chunks.groupBy("file").applyInPandasWithState(_uploads, UPLOAD, "offset long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -119,25 +147,50 @@ def overlay_revisions(edits: DataFrame) -> DataFrame:
     return edits.groupBy("layer").applyInPandasWithState(_revisions, "layer string, seq long, accepted boolean, revision long", "revision long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _failures(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], "expired")], columns=["address", "state"])
-        return
-    last = max(r.ts for r in _rows(pdfs, "ts"))
-    known = state.exists
-    state.update((int(last.timestamp()),))
-    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + TTL_S * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([] if known else [(key[0], "failed")], columns=["address", "state"])
-
-
-TTL_S = 30
-
-
-def ttl_cache(failures: DataFrame) -> DataFrame:
-    """failures: address, ts. An address is remembered for TTL_S seconds after its last failure."""
-    late = failures.withWatermark("ts", "0 seconds")
-    return late.groupBy("address").applyInPandasWithState(_failures, "address string, state string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+TTL_S, MOST, BUCKETS = 30, 1024, 16
+
+
+def _remember(ttl_s: int, most: int):
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get)) if state.exists else {}
+        # a map's order is that of the last failures, oldest first
+        out = []
+
+        def forget(now: float) -> None:
+            for address in [a for a, at in known.items() if at + ttl_s <= now]:
+                del known[address]
+                out.append((address, "expired"))
+
+        if state.hasTimedOut:
+            forget(state.getCurrentWatermarkMs() / 1000)
+        else:
+            for r in _rows(pdfs, "ts"):
+                at = r.ts.timestamp()
+                forget(at)
+                if known.pop(r.address, None) is None:
+                    out.append((r.address, "failed"))
+                known[r.address] = at
+                if len(known) > most:
+                    oldest = next(iter(known))
+                    del known[oldest]
+                    out.append((oldest, "evicted"))
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(max(int((min(known.values()) + ttl_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["address", "state"])
+
+    return run
+
+
+def ttl_cache(failures: DataFrame, ttl_s: int = TTL_S, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+    """failures: address, ts. An address is remembered for ttl_s seconds after its last failure.
+    Addresses are dealt over buckets by hash, each of which remembers `most` at most: the one
+    whose last failure is the oldest gives way. Returns address and state: failed (new),
+    expired, evicted."""
+    late = failures.withWatermark("ts", "0 seconds").withColumn("bucket", F.pmod(F.xxhash64("address"), F.lit(buckets)))
+    return late.groupBy("bucket").applyInPandasWithState(_remember(ttl_s, most), "address string, state string", "addresses array<string>, at array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def heartbeat(stream: DataFrame, write, checkpoint: str, every: str = "10 seconds"):
