@@ -6,12 +6,13 @@ import hashlib
 import re
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import xxhash
 
-from waymark.llm import decontaminate, mixing, simhash_dedup, substring_dedup, token_counts, url_rules, vector_dedup, warc
+from waymark.llm import common, decontaminate, mixing, simhash_dedup, substring_dedup, token_counts, url_rules, vector_dedup, warc
 from waymark.llm import suffix
 from waymark.llm.anchors import runs
 from waymark.llm.suffix import permuted_lcp, repeated_windows, suffix_array
@@ -497,3 +498,11 @@ def test_gathered_or_counted(spark, texts, monkeypatch):
     want = sorted(map(tuple, substring_dedup.remove_repeats(docs, width=50, keep_text=False).collect()), key=str)
     monkeypatch.setattr(substring_dedup, "GATHER_BYTES", 1)
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs, width=50, keep_text=False).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_a_cluster_needs_a_shared_folder(master):
+    """Unset, the folder would be one that executors don't share."""
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)

@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset
-    (tests in local mode), a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir or, only where that is unset in local
+    mode (tests), a temporary folder. On a cluster it must be set: executors don't share others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="waymark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -1,8 +1,7 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source gets a mean repetition rate: its weight's share of the corpus bytes over its own
-bytes. No rate is cut unless a caller asks for it with `most`, and then misses the weights. The
-SQL beside it caps rates at TABLE_RATE and differs for sources with a greater one. A document's
+bytes. No rate is cut unless a caller asks for it with `most`, and then misses the weights. A document's
 count is the Poisson quantile of a number in [0, 1) hashed from the seed and its id; it is
 exploded by that count and all copies are dealt out and sorted by a second hash, which shuffles
 them globally. Sizes are pre-aggregated by source; rates are broadcast only up to FEW_SOURCES.
@@ -23,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from .common import kept
+
 #: Up to this rate counts come from a table of TERMS terms, beyond which P(count) is under 1e-16.
 TABLE_RATE, TERMS = 8.0, 50
 FEW_SOURCES = 10_000
@@ -84,7 +85,8 @@ def quantile(rate: pd.Series, u: pd.Series) -> pd.Series:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", carry: tuple[str, ...] = ("doc_id", "text", "source"), most: float | None = None) -> DataFrame:
     """carry, copy (1 to the count) and shuffle_key, dealt out and sorted by shuffle_key."""
-    by_source = rates(docs, weights, most).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.when(F.col("rate") <= TABLE_RATE, cumulative(F.col("rate"))).alias("__cdf"))
+    # stored: else each of the two looks at it and the join would read the documents again
+    by_source = kept(rates(docs, weights, most), "rates").select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.when(F.col("rate") <= TABLE_RATE, cumulative(F.col("rate"))).alias("__cdf"))
     if by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         by_source = F.broadcast(by_source)
     own = docs.select(*[docs[c] for c in carry], docs["source"].alias("__source"), name_of(docs["doc_id"], docs["text"]).alias("__id"))
