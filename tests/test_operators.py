@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import clustering as C
 from waymark.operators import poles as P
+from waymark.operators.components import shared_checkpoint
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
 from waymark.operators.splits import validate_splits
@@ -304,3 +306,11 @@ def test_density_cluster_query(spark):
     got = registry.QUERIES["density_cluster"](spark, DATA).collect()
     assert len(got) == len(ids) and sum(r.core for r in got) == core.sum()
     assert {r.point_id: r.component for r in got if r.component is not None} == want
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_checkpoint(df)

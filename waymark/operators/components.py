@@ -21,10 +21,14 @@ FEW_LINKS = 2_000_000
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir; a temporary one only where unset."""
+    """Cuts lineage in the folder of spark.checkpoint.dir; only in local mode (tests) may it be
+    unset, which takes a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint(eager=True)
 
 
