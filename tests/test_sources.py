@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import sqlite3
+import struct
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThanOrEqual
 
-from waymark.sources import layers, pointclouds, pose
+from waymark.sources import las_chunks, layers, pointclouds, pose
 
 
 def test_pose_rows(spark, tmp_path):
@@ -244,3 +248,51 @@ def test_required_calibration(spark):
     assert require_calibration(good).count() == 2
     with pytest.raises(ValueError, match="1 missing"):
         require_calibration(good.union(spark.createDataFrame([(3, "missing")], good.schema)))
+
+
+def test_las_chunks(spark, tmp_path, monkeypatch):
+    """A partition a chunk, its columns alone, files pruned by bounds; the same points as by file."""
+    rng = np.random.default_rng(21)
+    for k in range(3):
+        (tmp_path / f"f{k}.LAS").write_bytes(pointclouds.encode_las(rng.uniform(0, 50, (700, 3)) + [100 * k, 0, 0], rng.integers(0, 256, (700, 3)), attributes={"classification": rng.integers(0, 20, 700), "gps_time": rng.uniform(0, 9, 700)}))
+    (tmp_path / "none.las").write_bytes(pointclouds.encode_las(np.empty((0, 3)), np.empty((0, 3))))
+    whole = (tmp_path / "f2.LAS").read_bytes()
+    (tmp_path / "cut.las").write_bytes(whole[: 375 + 36 * 10 + 5])  # ten points and a piece of one
+    (tmp_path / "other.txt").write_text("no points")
+    chunks = las_chunks.read_chunks(spark, str(tmp_path), points=300)
+    assert chunks.rdd.getNumPartitions() == 3 * 3 + 1
+    columns = [c for c in chunks.columns if c not in ("path", "block")]
+    plain = pointclouds.read_points(spark, str(tmp_path), "*.{las,LAS}")
+    key = lambda df: sorted(map(tuple, df.select(F.element_at(F.split("path", "/"), -1), *columns).collect()), key=str)
+    assert key(chunks) == key(plain) and chunks.count() == 2110
+    found = las_chunks.read_chunks(spark, str(tmp_path), ("x", "z"), points=300).where("x > 110 AND x <= 140 AND z >= 10")
+    want = plain.where("x > 110 AND x <= 140 AND z >= 10").select("x", "z")
+    assert sorted(found.collect()) == sorted(want.collect())
+    reader = las_chunks.LasReader(found.schema, {"path": f"file://{tmp_path}", "points": "300"})
+    tests = [GreaterThan(("x",), 110.0), LessThanOrEqual(("x",), 140.0), GreaterThanOrEqual(("z",), 10.0)]
+    assert list(reader.pushFilters(tests)) == tests and {p.path.rsplit("/", 1)[1] for p in reader.partitions()} == {"f1.LAS"}
+    assert [b.schema.names for b in reader.read(reader.partitions()[0])] == [["x", "z"]]
+    i = {(r.path.rsplit("/", 1)[1], r.block): r for r in las_chunks.index(spark, str(tmp_path)).collect()}
+    assert set(i) == {("f0.LAS", "las:0:700"), ("f1.LAS", "las:0:700"), ("f2.LAS", "las:0:700"), ("cut.las", "las:0:10")}
+    assert i["f1.LAS", "las:0:700"].n == 700 and 100 <= i["f1.LAS", "las:0:700"].min_x < 102
+    (tmp_path / "bad.las").write_bytes(b"not LAS" * 100)
+    with pytest.raises(Exception, match="bad.las"):
+        las_chunks.read_chunks(spark, str(tmp_path)).count()
+
+
+def test_las_over_two_gigabytes(spark, tmp_path):
+    """A sparse file of 3 GB: each partition seeks to its own range."""
+    n = 120_000_000
+    head = bytearray(pointclouds.encode_las(np.array([[0.0, 0, 0], [1.0, 2, 3]]), np.zeros((2, 3)))[:375])
+    struct.pack_into("<Q", head, 247, n)
+    with open(tmp_path / "huge.las", "wb") as f:
+        f.write(head)
+        f.truncate(375 + 26 * n)
+        f.seek(375 + 26 * (n - 1))
+        f.write(struct.pack("<3i", 1000, 2000, 3000))
+    assert (tmp_path / "huge.las").stat().st_size > 2 << 30
+    df = las_chunks.read_chunks(spark, str(tmp_path), ("x", "y", "z", "source_index"))
+    assert df.rdd.getNumPartitions() == 60
+    reader = las_chunks.LasReader(df.schema, {"path": str(tmp_path)})
+    *_, last = reader.read(reader.partitions()[-1])
+    assert [v[-1] for v in last.to_pydict().values()] == [1.0, 2.0, 3.0, n - 1]

@@ -56,9 +56,9 @@ def encode_block(xyz: np.ndarray, rgb: np.ndarray, intensity: np.ndarray) -> byt
 
 
 class Las:
-    """Header and points of a LAS file."""
+    """Header and points of a LAS file; `length` is the file's size where content is its head alone."""
 
-    def __init__(self, content: bytes) -> None:
+    def __init__(self, content: bytes, length: int | None = None) -> None:
         if content[:4] != b"LASF":
             raise ValueError("not a LAS file")
         self.content = content
@@ -68,7 +68,8 @@ class Las:
         self.count = struct.unpack_from("<Q", content, 247)[0] if self.minor >= 4 else struct.unpack_from("<I", content, 107)[0]
         values = struct.unpack_from("<12d", content, 131)
         self.scale, self.offset = np.array(values[:3]), np.array(values[3:6])
-        self.count = min(self.count, (len(content) - self.at) // max(1, self.size))
+        self.low, self.high = np.array(struct.unpack_from("<6d", content, 179)).reshape(3, 2).T[::-1]
+        self.count = min(self.count, max(0, (length or len(content)) - self.at) // max(1, self.size))
 
     def dtype(self) -> np.dtype:
         f, new = self.format, self.format >= 6
@@ -81,7 +82,9 @@ class Las:
         return np.dtype({"names": [x[0] for x in fields], "formats": [(x[1], x[2]) if x[2] > 1 else x[1] for x in fields], "offsets": [x[3] for x in fields], "itemsize": self.size})
 
     def read(self, start: int, count: int) -> dict[str, np.ndarray]:
-        raw = np.frombuffer(self.content, self.dtype(), max(0, min(count, self.count - start)), self.at + start * self.size)
+        return self.decode(np.frombuffer(self.content, self.dtype(), max(0, min(count, self.count - start)), self.at + start * self.size))
+
+    def decode(self, raw: np.ndarray) -> dict[str, np.ndarray]:
         n, new = len(raw), self.format >= 6
         returns = raw["returns"]
         rgb = raw["rgb"].astype(np.int64) if "rgb" in raw.dtype.names else np.full((n, 3), -1)
