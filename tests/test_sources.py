@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import sqlite3
 import struct
 
@@ -296,3 +297,76 @@ def test_las_over_two_gigabytes(spark, tmp_path):
     reader = las_chunks.LasReader(df.schema, {"path": str(tmp_path)})
     *_, last = reader.read(reader.partitions()[-1])
     assert [v[-1] for v in last.to_pydict().values()] == [1.0, 2.0, 3.0, n - 1]
+
+
+def _published(spark, root, name):
+    return sorted((dict(r.properties) for r in layers.scan_layer(spark, f"{root}/{name}").collect()), key=lambda p: p.get("det_id", ""))
+
+
+def test_publish_layers(spark, tmp_path, monkeypatch):
+    """Fixed attributes, both layers or none: a failure between the moves leaves the old state."""
+    root = str(tmp_path / "out")
+    sign = dict(class_id=59, class_name="sign" * 20, confidence=0.91234, x=1.5, y=2.5, z=3.25, detection_id="d1", support_id=None, image_name="a.jpg", timestamp_iso="2025-03-11T02:01:18", point_count=7, point_crop_path="/crops/r/a_1.las", gps_week=2357, bbox=[1.0, 2.0, 3.0, 4.5], panorama_width=7040, panorama_height=3520)
+    kinds = "class_id long, class_name string, confidence double, x double, y double, z double, detection_id string, support_id string, image_name string, timestamp_iso string, point_count long, point_crop_path string, gps_week long, bbox array<double>, panorama_width long, panorama_height long"
+    signs = lambda n: spark.createDataFrame([tuple((sign | {"detection_id": f"d{i}"}).values()) for i in range(n)] + [tuple((sign | {"x": None}).values())], kinds)
+    poles = lambda n: spark.createDataFrame([(f"d{i}", 1.0, 2.0, 0.5, None if i == 0 else i == 1, 3 if i else None, 0.0123, True) for i in range(n)], "detection_id string, pole_x double, pole_y double, pole_z double, pole_occluded boolean, obs_count long, axis_rmse_m double, arm_anchored boolean")
+    layers.publish(spark, root, signs(3), poles(3), "WKT")
+    got = _published(spark, root, "signs")
+    assert len(got) == 3 and got[0] == {"class_id": "59", "class_nm": ("sign" * 20)[:40], "conf": "0.9123", "x": "1.5000", "y": "2.5000", "z": "3.2500", "det_id": "d0", "img_name": "a.jpg", "img_time": "2025-03-11T02:01:18", "pt_count": "7", "las_file": "a_1.las", "gps_week": "2357", "bbox_l": "1.0000", "bbox_t": "2.0000", "bbox_r": "3.0000", "bbox_b": "4.5000", "pano_w": "7040", "pano_h": "3520"}
+    got = _published(spark, root, "poles")
+    assert [(p["occ_state"], p.get("occluded"), p["occl_cnt"], p["unk_occ"], p["obs_count"], p["det_count"]) for p in got] == [("UNKNOWN", None, "0", "1", "1", "1"), ("OCCLUDED", "T", "1", "0", "3", "3"), ("VISIBLE", "F", "0", "0", "3", "3")]
+    assert (got[0]["class_id"], got[0]["arm_end"], got[0]["axis_rmse"], got[0]["reconciled"]) == ("-1", "T", "0.0123", "F")
+    files = list((tmp_path / "out" / "poles").glob("*.dbf"))
+    assert {len(layers.decode_dbf(f.read_bytes())[0]) for f in files} == {49} and {len(layers.decode_dbf(f.read_bytes())[0]) for f in (tmp_path / "out" / "signs").glob("*.dbf")} == {25}
+    assert {f.read_text() for f in (tmp_path / "out" / "signs").glob("*.prj")} == {"WKT"}
+
+    before = (_published(spark, root, "signs"), _published(spark, root, "poles"))
+    real, moves = layers.swap, []
+
+    def failing(store, pairs, journal):
+        class Broken:
+            def __getattr__(self, name):
+                return getattr(store, name)
+
+            def move(self, a, b):
+                moves.append(b)
+                if len(pairs) == 2 and b.endswith("/poles") and ".publishing-" in a:
+                    raise OSError("locked")
+                store.move(a, b)
+
+        real(Broken(), pairs, journal)
+
+    monkeypatch.setattr(layers, "swap", failing)
+    with pytest.raises(OSError, match="locked"):
+        layers.publish(spark, root, signs(1), poles(1))
+    assert (_published(spark, root, "signs"), _published(spark, root, "poles")) == before and any(m.endswith("/signs") for m in moves)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["poles", "signs"]
+
+    def crashing(store, pairs, journal):  # the process ends between two moves
+        if len(pairs) == 1:
+            return real(store, pairs, journal)
+        plan = [(a, b, f"{b}.old-1", True) for a, b in pairs]
+        layers._put(store, journal, json.dumps(plan).encode())
+        store.move(plan[0][1], plan[0][2])
+        store.move(plan[0][0], plan[0][1])
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(layers, "swap", crashing)
+    with pytest.raises(KeyboardInterrupt):
+        layers.publish(spark, root, signs(1), poles(1))
+    assert len(_published(spark, root, "signs")) == 1
+    assert layers.recover(root) == 1 and layers.recover(root) == 0
+    assert (_published(spark, root, "signs"), _published(spark, root, "poles")) == before
+    monkeypatch.setattr(layers, "swap", real)
+    layers.publish(spark, root, signs(2), poles(0))
+    assert len(_published(spark, root, "signs")) == 2 and _published(spark, root, "poles") == []
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if "old" in p.name or p.name.startswith(".publish")) == []
+
+
+def test_layer_of_several_bundles_a_task(spark, tmp_path):
+    layers.register(spark)
+    df = spark.range(25).coalesce(1).selectExpr("id AS x", "0.0D AS y", "1.0D AS z", "id % 2 = 0 AS even").withColumn("x", F.col("x").cast("double"))
+    df.write.format("waymark_layer").option("rows", 10).mode("append").save(str(tmp_path / "l"))
+    assert len(list((tmp_path / "l").glob("*.shp"))) == 3
+    got = layers.scan_layer(spark, str(tmp_path / "l")).collect()
+    assert sorted((r.x, r.properties["even"]) for r in got) == [(float(i), "F" if i % 2 else "T") for i in range(25)]

@@ -1,18 +1,20 @@
 """Point layers in SHP/DBF form: a reader over binaryFile and a Python data source that writes.
 
-The writer stages one bundle a partition in the target folder (a shared POSIX folder) and
-renames all of them at commit; abort removes what was staged, so a layer appears whole or not
-at all."""
+The writer stages bundles of ROWS rows at most beside the target, in any store that pyarrow's
+file systems open (local, S3, GCS, HDFS by libhdfs), and moves all of them at commit; abort
+removes what was staged, so a layer appears whole or not at all. `publish` does the same for
+several layers at once."""
 
 from __future__ import annotations
 
-import os
-import shutil
+import itertools
+import json
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -49,7 +51,7 @@ def decode_shp(data: bytes) -> list[tuple[float, float, float] | None]:
 
 
 def encode_dbf(fields: list[tuple[str, str, int, int]], rows: list[tuple]) -> bytes:
-    """fields: name (10 characters at most), C or N, width, decimals. Texts are cut to their
+    """fields: name (10 characters at most), C, N, F or L, width, decimals. Texts are cut to their
     width (whole characters); a number that doesn't fit is an error; null is blank."""
     size = 1 + sum(f[2] for f in fields)
     out = bytearray(struct.pack("<4BI2H20x", 3, 126, 1, 1, len(rows), 33 + 32 * len(fields), size))
@@ -61,7 +63,9 @@ def encode_dbf(fields: list[tuple[str, str, int, int]], rows: list[tuple]) -> by
         for value, (name, kind, width, decimals) in zip(row, fields):
             if value is None or value != value:
                 cell = b" " * width
-            elif kind == "N":
+            elif kind == "L":
+                cell = b"T" if value else b"F"
+            elif kind in "NF":
                 cell = (f"{value:.{decimals}f}" if decimals else str(int(value))).rjust(width).encode()
                 if len(cell) > width:
                     raise ValueError(f"{name}: {value} is wider than {width}")
@@ -132,6 +136,56 @@ def infer_encoding(dbf: bytes) -> str:
     raise ValueError("neither UTF-8 nor CP949: name the encoding")
 
 
+#: Rows of a bundle, at most; a task holds no more of them.
+ROWS = 100_000
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def _there(store: fs.FileSystem, path: str) -> bool:
+    return store.get_file_info(path).type != fs.FileType.NotFound
+
+
+def _put(store: fs.FileSystem, path: str, data: bytes) -> None:
+    with store.open_output_stream(path) as f:
+        f.write(data)
+
+
+def swap(store: fs.FileSystem, pairs: list[tuple[str, str]], journal: str) -> None:
+    """Puts every staged folder in its target's place, or none. What is to be done stands in the
+    journal first; a failure undoes it at once, and `undo` undoes it after a crash. Backups go
+    once the journal is gone."""
+    plan = [(staged, target, f"{target}.old-{uuid.uuid4().hex}", _there(store, target)) for staged, target in pairs]
+    _put(store, journal, json.dumps(plan).encode())
+    try:
+        for staged, target, backup, existed in plan:
+            if existed:
+                store.move(target, backup)
+            store.move(staged, target)
+    except Exception:
+        undo(store, journal)
+        raise
+    store.delete_file(journal)
+    for _, _, backup, existed in plan:
+        if existed:
+            store.delete_dir(backup)
+
+
+def undo(store: fs.FileSystem, journal: str) -> None:
+    """Takes back what a journal's swap did, however far it came; may itself be repeated. A target
+    without its backup is still the old one, if there was one."""
+    with store.open_input_stream(journal) as f:
+        plan = json.loads(f.read())
+    for _, target, backup, existed in reversed(plan):
+        if _there(store, target) and (not existed or _there(store, backup)):
+            store.delete_dir(target)
+        if _there(store, backup):
+            store.move(backup, target)
+    store.delete_file(journal)
+
+
 class Staged(WriterCommitMessage):
     def __init__(self, stems: list[str]) -> None:
         self.stems = stems
@@ -139,42 +193,44 @@ class Staged(WriterCommitMessage):
 
 class _LayerWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], names: list[str], kinds: list[str]) -> None:
-        self.path, self.wkt = options["path"], options.get("wkt", "")
-        self.stage = f"{self.path}.staged-{uuid.uuid4().hex}"
-        self.fields = [(n[:10], "C", 80, 0) if k == "string" else (n[:10], "N", 20, 0 if k in ("integer", "long") else 9) for n, k in zip(names, kinds) if n not in ("x", "y", "z")]
-        self.names = names
+        self.path, self.wkt = options["path"].rstrip("/"), options.get("wkt", "")
+        self.rows = int(options.get("rows", ROWS))
+        self.id = uuid.uuid4().hex
+        own = [(n[:10], "C", 80, 0) if k == "string" else (n[:10], "L", 1, 0) if k == "boolean" else (n[:10], "N", 20, 0 if k in ("integer", "long") else 9) for n, k in zip(names, kinds) if n not in ("x", "y", "z")]
+        self.fields = [tuple(f) for f in json.loads(options["fields"])] if "fields" in options else own
+        self.names = [f[0] for f in self.fields] if "fields" in options else [n for n in names if n not in ("x", "y", "z")]
+
+    def _stage(self) -> tuple[fs.FileSystem, str, str]:
+        store, path = store_of(self.path)
+        folder, _, name = path.rpartition("/")
+        return store, path, f"{folder}/.staged-{self.id}-{name}"
 
     def write(self, iterator) -> Staged:
-        rows = [r.asDict() for r in iterator]
-        if not rows:
-            return Staged([])
-        os.makedirs(self.stage, exist_ok=True)
-        stem = f"layer-{uuid.uuid4().hex[:12]}"
-        shp, shx = encode_shp([(r["x"], r["y"], r["z"]) for r in rows])
-        dbf = encode_dbf(self.fields, [tuple(r[n] for n in self.names if n not in ("x", "y", "z")) for r in rows])
-        for end, data in ((".shp", shp), (".shx", shx), (".dbf", dbf), (".prj", self.wkt.encode()), (".cpg", b"UTF-8")):
-            with open(f"{self.stage}/{stem}{end}", "wb") as f:
-                f.write(data)
-        return Staged([stem])
+        store, _, stage = self._stage()
+        stems = []
+        while rows := [r.asDict() for r in itertools.islice(iterator, self.rows)]:
+            store.create_dir(stage)
+            stem = f"layer-{uuid.uuid4().hex[:12]}"
+            shp, shx = encode_shp([(r["x"], r["y"], r["z"]) for r in rows])
+            dbf = encode_dbf(self.fields, [tuple(r[n] for n in self.names) for r in rows])
+            for end, data in ((".shp", shp), (".shx", shx), (".dbf", dbf), (".prj", self.wkt.encode()), (".cpg", b"UTF-8")):
+                _put(store, f"{stage}/{stem}{end}", data)
+            stems.append(stem)
+        return Staged(stems)
 
     def commit(self, messages: list) -> None:
-        os.makedirs(self.stage, exist_ok=True)
+        store, path, stage = self._stage()
+        store.create_dir(stage)
         good = {s for m in messages if m for s in m.stems}
-        for name in os.listdir(self.stage):  # what failed attempts of a task left goes
-            if name.partition(".")[0] not in good:
-                os.remove(f"{self.stage}/{name}")
-        if os.path.isdir(self.path):
-            os.rename(self.path, f"{self.stage}.old")
-        try:
-            os.rename(self.stage, self.path)
-        except OSError:
-            if os.path.isdir(f"{self.stage}.old"):
-                os.rename(f"{self.stage}.old", self.path)
-            raise
-        shutil.rmtree(f"{self.stage}.old", ignore_errors=True)
+        for f in store.get_file_info(fs.FileSelector(stage)):  # what failed attempts of a task left goes
+            if f.base_name.partition(".")[0] not in good:
+                store.delete_file(f.path)
+        swap(store, [(stage, path)], f"{stage}.journal")
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+        store, _, stage = self._stage()
+        if _there(store, stage):
+            store.delete_dir(stage)
 
 
 class LayerSource(DataSource):
@@ -190,3 +246,164 @@ class LayerSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LayerSource)
+
+
+#: The attributes of published layers: name, type, width, decimals, and the column they come
+#: from (fixed values; class_id of a support without one is -1).
+SIGN_FIELDS = """
+class_id N 50 0 class_id
+class_nm C 40 0 class_name
+model_nm C 80 0 model_name
+obj_type C 16 0 model_object_type
+conf F 10 4 confidence
+x F 18 4 x
+y F 18 4 y
+z F 18 4 z
+det_id C 20 0 detection_id
+support_id C 20 0 support_id
+img_name C 80 0 image_name
+img_time C 26 0 timestamp_iso
+pt_count N 50 0 point_count
+las_file C 100 0 point_crop_path
+pose_fmt C 16 0 pose_format
+gps_week N 8 0 gps_week
+pc_src C 8 0 pointcloud_source
+calib_id C 12 0 calibration_sha256
+run_id C 12 0 run_fingerprint
+bbox_l F 18 4 bbox_left
+bbox_t F 18 4 bbox_top
+bbox_r F 18 4 bbox_right
+bbox_b F 18 4 bbox_bottom
+pano_w N 10 0 panorama_width
+pano_h N 10 0 panorama_height
+"""
+POLE_FIELDS = """
+class_id N 50 0 class_id
+class_nm C 40 0 class_name
+model_nm C 80 0 model_name
+obj_type C 16 0 model_object_type
+conf F 10 4 confidence
+x F 18 4 x
+y F 18 4 y
+z F 18 4 z
+det_id C 20 0 detection_id
+support_id C 20 0 support_id
+pole_type C 12 0 pole_type
+method C 28 0 pole_method
+status C 12 0 pole_status
+reconciled L 1 0 support_reconciled
+repl_rem L 1 0 support_reconciled_replaced_remote
+hyp_dist F 10 4 support_hypothesis_distance_m
+occluded L 1 0 pole_occluded
+occ_state C 16 0 pole_occlusion_status
+pole_cnt N 50 0 pole_count
+obs_count N 50 0 obs_count
+det_count N 50 0 detection_count
+occl_cnt N 50 0 occluded_count
+unk_occ N 50 0 unknown_occlusion_count
+pt_count N 50 0 pole_point_count
+axis_rmse F 10 4 axis_rmse_m
+grnd_rmse F 10 4 ground_rmse_m
+axis_stab L 1 0 axis_stabilized
+btm_gap F 10 4 bottom_gap_m
+grnd_dist F 10 4 ground_support_distance_m
+assoc_m F 10 4 association_distance_m
+arm_cov F 10 4 arm_coverage
+arm_3d F 10 4 arm_line_coverage
+arm_ratio F 10 4 arm_line_ratio
+arm_pts F 10 4 arm_line_share
+arm_end L 1 0 arm_anchored
+complete F 10 4 completeness_ratio
+dom_class N 5 0 dominant_class_id
+cls_purity F 10 4 dominant_class_fraction
+class_req C 8 0 classification_mode_requested
+class_mode C 10 0 classification_mode
+search_md C 40 0 pole_search_mode
+fallback L 1 0 pole_fallback_used
+xy_spread F 10 4 xy_spread_m
+z_spread F 10 4 z_spread_m
+outlier_n N 10 0 consensus_outlier_count
+img_name C 80 0 image_name
+img_time C 26 0 timestamp_iso
+las_file C 100 0 pole_point_crop_path
+run_id C 12 0 run_fingerprint
+"""
+_KINDS = {"C": "string", "F": "double", "L": "boolean", "N": "long"}
+
+
+def _fields(text: str) -> list[tuple[str, str, int, int, str]]:
+    return [(n, k, int(w), int(d), source) for n, k, w, d, source in (line.split() for line in text.split("\n") if line)]
+
+
+def _attributes(df: DataFrame, text: str, defaults: dict[str, F.Column] | None = None) -> DataFrame:
+    """df's columns as a layer's attributes; columns that df lacks are null. Texts are cut, null
+    texts empty; of files their names alone count."""
+    out = []
+    for name, kind, width, _, source in _fields(text):
+        value = df[source] if source in df.columns else F.lit(None)
+        value = value.cast(_KINDS[kind])
+        if source.endswith("_path"):
+            value = F.element_at(F.split(value, r"[/\\]"), -1)
+        if name in (defaults or {}):
+            value = F.coalesce(value, defaults[name])
+        out.append((F.substring(F.coalesce(value, F.lit("")), 1, width) if kind == "C" else value).alias(name))
+    return df.select(*out)
+
+
+def sign_layer(signs: DataFrame) -> DataFrame:
+    """Signs with a place as rows of the published layer; `bbox` (left, top, right, bottom) may
+    stand for its four columns."""
+    if "bbox" in signs.columns:
+        whole = F.size("bbox") == 4
+        signs = signs.withColumns({f"bbox_{side}": F.when(whole, F.get("bbox", F.lit(i))) for i, side in enumerate(("left", "top", "right", "bottom"))})
+    return _attributes(signs.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), SIGN_FIELDS)
+
+
+def pole_layer(poles: DataFrame) -> DataFrame:
+    """Supports (pole_x, pole_y, pole_z) as rows of the published layer. Counts default to one
+    observation; the state of the foot and its counts follow from pole_occluded if not given."""
+    own = poles.withColumns({a: F.col(f"pole_{a}") for a in "xyz"}).filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    hidden = F.col("pole_occluded") if "pole_occluded" in own.columns else F.lit(None).cast("boolean")
+    seen = F.coalesce(F.nullif(F.col("obs_count"), F.lit(0)), F.lit(1)) if "obs_count" in own.columns else F.lit(1)
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    defaults = {
+        "class_id": F.lit(-1).cast("long"), "conf": F.lit(0.0), "reconciled": no, "repl_rem": no, "occ_state": F.when(hidden, "OCCLUDED").when(~hidden, "VISIBLE").otherwise("UNKNOWN"), "pole_cnt": zero, "obs_count": F.lit(1).cast("long"),
+        "det_count": seen.cast("long"), "occl_cnt": F.coalesce(hidden, no).cast("long"), "unk_occ": hidden.isNull().cast("long"), "pt_count": zero, "outlier_n": zero,
+    }
+    return _attributes(own, POLE_FIELDS, defaults)
+
+
+def recover(root: str) -> int:
+    """Undoes publications that a crash cut short and removes what they had staged; returns how
+    many. One process publishes under a root at a time."""
+    store, at = store_of(root.rstrip("/"))
+    if not _there(store, at):
+        return 0
+    found = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.startswith(".publish-") and f.base_name.endswith(".journal")]
+    for journal in found:
+        undo(store, journal)
+    for f in store.get_file_info(fs.FileSelector(at)):
+        if f.base_name.startswith(".publishing-"):
+            store.delete_dir(f.path)
+    return len(found)
+
+
+def publish(spark: SparkSession, root: str, signs: DataFrame, poles: DataFrame, wkt: str = "") -> None:
+    """Both layers under root (signs and poles) as one: staged in full by Spark's tasks, then
+    moved together. If anything fails, the layers before stay as they were, and readers never
+    meet the signs of one run with the supports of another."""
+    register(spark)
+    root = root.rstrip("/")
+    store, at = store_of(root)
+    store.create_dir(at)
+    recover(root)
+    stage = f".publishing-{uuid.uuid4().hex}"
+    try:
+        for name, rows, text in (("signs", sign_layer(signs), SIGN_FIELDS), ("poles", pole_layer(poles), POLE_FIELDS)):
+            fields = json.dumps([f[:4] for f in _fields(text)])
+            rows.write.format("waymark_layer").option("fields", fields).option("wkt", wkt).mode("append").save(f"{root}/{stage}/{name}")
+        swap(store, [(f"{at}/{stage}/{n}", f"{at}/{n}") for n in ("signs", "poles")], f"{at}/.publish-{uuid.uuid4().hex}.journal")
+    except Exception:
+        recover(root)
+        raise
+    store.delete_dir(f"{at}/{stage}")
