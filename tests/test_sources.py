@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThanOrEqual
 
+from waymark.functions import crs
 from waymark.sources import las_chunks, layers, pointclouds, pose
 
 
@@ -370,3 +371,54 @@ def test_layer_of_several_bundles_a_task(spark, tmp_path):
     assert len(list((tmp_path / "l").glob("*.shp"))) == 3
     got = layers.scan_layer(spark, str(tmp_path / "l")).collect()
     assert sorted((r.x, r.properties["even"]) for r in got) == [(float(i), "F" if i % 2 else "T") for i in range(25)]
+
+
+def _shape(code, parts, deep):
+    """A record's content: lines, rings or a multipoint of (x, y, z)."""
+    points = [p for part in parts for p in part]
+    box = struct.pack("<4d", 0, 0, 0, 0)
+    starts = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    head = struct.pack("<2i", len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *starts) if code % 10 != 8 else struct.pack("<i", len(points))
+    z = struct.pack("<2d", 0, 0) + struct.pack(f"<{len(points)}d", *[p[2] for p in points]) if deep else b""
+    return struct.pack("<i", code) + box + head + b"".join(struct.pack("<2d", *p[:2]) for p in points) + z
+
+
+def test_overlay_shapes(spark, tmp_path):
+    """Lines, polygons with holes and islands, multipoints and nulls, in place or projected."""
+    square = lambda x, y, s, up=0.0: [(x, y, up), (x, y + s, up), (x + s, y + s, up), (x + s, y, up), (x, y, up)]
+    east, north = 200000.0, 600000.0
+    at = lambda ring: [(x + east, y + north, z) for x, y, z in ring]
+    hole, other = square(2, 2, 1)[::-1], square(20, 20, 5, 7.0)
+    line = [(0.0, 0.0, 1.0), (10.0, 5.0, 2.0)]
+    shapes = [_shape(5, [at(square(0, 0, 10)), at(other), at(hole)], False), _shape(15, [at(other)], True), _shape(3, [at(line)], False), _shape(13, [at(line), at(line[::-1])], True), _shape(8, [at(line)], False), struct.pack("<i", 0), struct.pack("<i2d", 1, east, north), _shape(5, [], False), _shape(5, [at(hole)], False)]
+    data = bytearray(100)
+    for i, c in enumerate(shapes, 1):
+        data += struct.pack(">2i", i, len(c) // 2) + c
+    (tmp_path / "o.shp").write_bytes(data)
+    (tmp_path / "o.dbf").write_bytes(layers.encode_dbf([("name", "C", 10, 0), ("v", "C", 5, 0)], [(f"n{i}", "NaN") for i in range(len(shapes))]))
+    assert layers.scan_overlay(spark, str(tmp_path)).count() == 0  # no .shx, no bundle
+    (tmp_path / "o.shx").write_bytes(bytes(100))
+    rows = layers.scan_overlay(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r.id for r in rows] == [f"f_{i:09d}" for i in (0, 1, 2, 3, 4, 6, 8)] and rows[0].properties == {"name": "n0"}
+    assert [r.geometry.type for r in rows] == ["MultiPolygon", "Polygon", "LineString", "MultiLineString", "MultiPoint", "Point", "Polygon"]
+    flat = lambda r: [[[tuple(p) for p in ring] for ring in polygon] for polygon in r.geometry.coordinates]
+    level = lambda ring: [(x, y, 0.0) for x, y, _ in at(ring)]
+    assert flat(rows[0]) == [[at(square(0, 0, 10)), at(hole)], [level(other)]]
+    assert flat(rows[1]) == [[at(other)]] and flat(rows[3]) == [[at(line), at(line[::-1])]] and flat(rows[4]) == [[level(line)]] and flat(rows[5]) == [[[(east, north, 0.0)]]]
+    moved = layers.scan_overlay(spark, str(tmp_path), crs.inverse_mercator)
+    back = moved.withColumn("geometry", crs.reproject(F.col("geometry"), crs.transverse_mercator)).orderBy("ordinal").collect()
+    lonlat = moved.orderBy("ordinal").collect()
+    assert abs(lonlat[5].geometry.coordinates[0][0][0].x - 127) < 1e-9 and abs(lonlat[5].geometry.coordinates[0][0][0].y - 38) < 1e-9
+    for a, b in zip(rows, back):
+        assert a.geometry.type == b.geometry.type
+        assert np.abs(np.array([p for g in flat(a) for r in g for p in r]) - np.array([p for g in flat(b) for r in g for p in r])).max() < 1e-3
+
+
+def test_projection_round_trip(spark):
+    """To a millimetre within two degrees of the central meridian."""
+    grid = spark.createDataFrame([(125 + 4 * i / 20, 33 + 6 * j / 20) for i in range(21) for j in range(21)] + [(None, 38.0)], "lon double, lat double")
+    e, n = crs.transverse_mercator(F.col("lon"), F.col("lat"))
+    lon, lat = crs.inverse_mercator(F.col("e"), F.col("n"))
+    e2, n2 = crs.transverse_mercator(F.col("lon2"), F.col("lat2"))
+    d = grid.select(e.alias("e"), n.alias("n")).select("e", "n", lon.alias("lon2"), lat.alias("lat2")).select(F.max(F.abs(e2 - F.col("e"))).alias("e"), F.max(F.abs(n2 - F.col("n"))).alias("n")).first()
+    assert d.e < 1e-3 and d.n < 1e-3

@@ -6,6 +6,7 @@ Defaults: GRS 80 ellipsoid, central meridian 127, origin latitude 38, scale 1, f
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,35 @@ def transverse_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return east, north
 
 
+#: Third flattening and the series of the footpoint latitude.
+E1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
+FOOT = (3 * E1 / 2 - 27 * E1**3 / 32, 21 * E1**2 / 16 - 55 * E1**4 / 32, 151 * E1**3 / 96, 1097 * E1**4 / 512)
+
+
+def inverse_mercator(east: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in metres: the series for the footpoint's latitude."""
+    mu = (M0 + (north - NORTH0) / K0) / (A * ARC[0])
+    p = mu + FOOT[0] * F.sin(2 * mu) + FOOT[1] * F.sin(4 * mu) + FOOT[2] * F.sin(6 * mu) + FOOT[3] * F.sin(8 * mu)
+    s, c, t = F.sin(p), F.cos(p), F.tan(p) ** 2
+    g, n, r = EP2 * c * c, A / F.sqrt(1 - E2 * s * s), A * (1 - E2) / (1 - E2 * s * s) ** 1.5
+    d = (east - EAST0) / (n * K0)
+    lat = p - n * F.tan(p) / r * (d**2 / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * EP2) * d**4 / 24 + (61 + 90 * t + 298 * g + 45 * t * t - 252 * EP2 - 3 * g * g) * d**6 / 720)
+    lon = (d - (1 + 2 * t + g) * d**3 / 6 + (5 - 2 * g + 28 * t - 3 * g * g + 8 * EP2 + 24 * t * t) * d**5 / 120) / c
+    return LON0 + F.degrees(lon), F.degrees(lat)
+
+
+def reproject(geometry: Column, project: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A geometry (type and coordinates: polygons of rings, or lines, of points x, y, z) with
+    every point projected; heights stay, null geometries and empty parts, too."""
+
+    def point(p: Column) -> Column:
+        x, y = project(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"), p["z"].alias("z"))
+
+    moved = F.transform(geometry["coordinates"], lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+    return F.when(geometry.isNotNull(), F.struct(geometry["type"].alias("type"), moved.alias("coordinates")))
+
+
 #: The same series for the oracle: east, north and the columns they use.
 TM_SQL = (
     f"{EAST0}::DOUBLE + {K0} * tn * (ta + (1 - tt + tg) * ta ** 3 / 6 + (5 - 18 * tt + tt * tt + 72 * tg - 58 * {EP2!r}::DOUBLE) * ta ** 5 / 120)",

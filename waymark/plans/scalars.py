@@ -60,6 +60,27 @@ def transverse_mercator(spark: SparkSession, sf: str) -> DataFrame:
     return S.frames(spark, sf).select("frame_id", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
 
 
+@query(S.with_tables("frames", "SELECT frame_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM frames"))
+def inverse_mercator(spark: SparkSession, sf: str) -> DataFrame:
+    """Longitude and latitude to metres and back."""
+    lon, lat = crs.inverse_mercator(F.col("e"), F.col("n"))
+    e, n = crs.transverse_mercator(F.col("lon"), F.col("lat"))
+    return S.frames(spark, sf).select("frame_id", e.alias("e"), n.alias("n")).select("frame_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+_RING = f"""SELECT frame_id, list(round(e, 3) ORDER BY k) AS east, list(round(n, 3) ORDER BY k) AS north, list(z ORDER BY k) AS z FROM (SELECT frame_id, k, z, {crs.TM_SQL[0]} AS e, {crs.TM_SQL[1]} AS n FROM (SELECT *, {crs.TM_SQL[2]} FROM
+(SELECT frame_id, q AS k, oz + q AS z, lon + 0.001::DOUBLE * (q % 2) AS lon, lat + 0.002::DOUBLE * (q // 2) AS lat FROM frames, range(4) t(q)))) GROUP BY frame_id"""
+
+
+@query(S.with_tables("frames", _RING))
+def reproject_geom(spark: SparkSession, sf: str) -> DataFrame:
+    """A polygon of four corners at each frame, projected as one geometry."""
+    corner = lambda k: F.struct((F.col("lon") + 0.001 * (k % 2)).alias("x"), (F.col("lat") + 0.002 * (k // 2)).alias("y"), (F.col("oz") + k).alias("z"))
+    ring = F.array(*[corner(k) for k in range(4)])
+    moved = S.frames(spark, sf).select("frame_id", F.struct(F.lit("Polygon").alias("type"), F.array(F.array(ring)).alias("coordinates")).alias("g")).select("frame_id", crs.reproject(F.col("g"), crs.transverse_mercator).alias("g"))
+    return moved.select("frame_id", F.expr("g.coordinates[0][0]").alias("r")).select("frame_id", F.transform("r.x", lambda v: F.round(v, 3)).alias("east"), F.transform("r.y", lambda v: F.round(v, 3)).alias("north"), F.col("r.z").alias("z"))
+
+
 _UNIT = "least(floor(log(2, b) / 10 + 1e-12), 4)"
 _SIZE = f"CASE WHEN b = 0 THEN '0 B' ELSE (CASE WHEN b / pow(1024, {_UNIT}) >= 10 OR {_UNIT} = 0 THEN printf('%.0f', round(b / pow(1024, {_UNIT}), 0)) ELSE printf('%.1f', round(b / pow(1024, {_UNIT}), 1)) END) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][{_UNIT}::INTEGER + 1] END"
 

@@ -11,14 +11,16 @@ import itertools
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from waymark.functions.crs import reproject
+
 POINT_Z = 11
 
 
@@ -118,6 +120,96 @@ def scan_layer(spark: SparkSession, root: str) -> DataFrame:
     return bundle.mapInArrow(_features, _FEATURES)
 
 
+#: Kinds of shapes (fixed values): Z and M forms are 10 and 20 more.
+SHAPES = {1: "Point", 3: "PolyLine", 5: "Polygon", 8: "MultiPoint"}
+
+
+def _inside(x: float, y: float, ring: list[tuple]) -> bool:
+    odd = False
+    for (ax, ay, _), (bx, by, _) in zip(ring, [*ring[1:], ring[0]]):
+        odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+    return odd
+
+
+def _polygons(rings: list[list[tuple]]) -> list[list[list[tuple]]]:
+    """Clockwise rings each begin a polygon; other ones are holes of the first polygon around them,
+    and without such a one polygons of their own."""
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]]))
+    rings = [r for r in rings if r]
+    out = [[r] for r in rings if area(r) <= 0]
+    for hole in (r for r in rings if area(r) > 0):
+        around = next((p for p in out if _inside(*hole[0][:2], p[0])), None)
+        if around is None:
+            out.append([hole])
+        else:
+            around.append(hole)
+    return out
+
+
+def decode_shapes(data: bytes) -> list[tuple[str, list] | None]:
+    """(type, coordinates) of every shape, with GeoJSON's type names; coordinates are polygons of
+    rings (lines, points) of (x, y, z) at every type. Null and empty shapes are None."""
+    out: list[tuple[str, list] | None] = []
+    at = 100
+    while at + 12 <= len(data):
+        (_, words), (code,) = struct.unpack_from(">2i", data, at), struct.unpack_from("<i", data, at + 8)
+        body, end = at + 12, at + 8 + 2 * words
+        at = end
+        kind, deep = SHAPES.get(code % 10), 10 < code < 20
+        if kind is None:
+            out.append(None)
+        elif kind == "Point":
+            x, y = struct.unpack_from("<2d", data, body)
+            out.append(("Point", [[[(x, y, struct.unpack_from("<d", data, body + 16)[0] if deep else 0.0)]]]))
+        else:
+            parts, count = struct.unpack_from("<2i", data, body + 32) if kind != "MultiPoint" else (1, struct.unpack_from("<i", data, body + 32)[0])
+            starts = struct.unpack_from(f"<{parts}i", data, body + 40) if kind != "MultiPoint" else (0,)
+            place = body + 40 + 4 * parts if kind != "MultiPoint" else body + 36
+            xy = struct.unpack_from(f"<{2 * count}d", data, place)
+            z = struct.unpack_from(f"<{count}d", data, place + 16 * count + 16) if deep else (0.0,) * count
+            points = list(zip(xy[::2], xy[1::2], z))
+            rings = [points[a:b] for a, b in zip(starts, [*starts[1:], count])]
+            if not count:
+                out.append(None)
+            elif kind == "Polygon":
+                found = _polygons(rings)
+                out.append(("Polygon" if len(found) == 1 else "MultiPolygon", found))
+            elif kind == "PolyLine":
+                out.append(("LineString" if len(rings) == 1 else "MultiLineString", [rings]))
+            else:
+                out.append(("MultiPoint", [rings]))
+    return out
+
+
+_OVERLAY = "stem string, id string, ordinal long, geometry struct<type: string, coordinates: array<array<array<struct<x: double, y: double, z: double>>>>>, properties map<string,string>"
+
+
+def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    point = pa.struct([(a, pa.float64()) for a in "xyz"])
+    shape = pa.struct([("type", pa.string()), ("coordinates", pa.list_(pa.list_(pa.list_(point))))])
+    for batch in batches:
+        for stem, shp, dbf in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows = []
+            for i, (g, r) in enumerate(zip(decode_shapes(shp), decode_dbf(dbf, infer_encoding(dbf))[1])):
+                if g is not None and r is not None:
+                    nested = [[[dict(zip("xyz", p)) for p in ring] for ring in polygon] for polygon in g[1]]
+                    rows.append((stem, f"f_{i:09d}", i, {"type": g[0], "coordinates": nested}, [(k, v) for k, v in r.items() if v.lower() != "nan"]))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), shape, pa.map_(pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["stem", "id", "ordinal", "geometry", "properties"])
+
+
+def scan_overlay(spark: SparkSession, root: str, project: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """Points, lines and polygons of every bundle (.shp, .shx and .dbf) under root, projected at
+    import if `project` (such as crs.inverse_mercator) is given. NaN attributes are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{shp,shx,dbf}").load(root)
+    ends = lambda e: F.max(F.when(F.col("path").endswith(e), F.col("content")))
+    whole = F.max(F.col("path").endswith(".shx")).alias("index")
+    bundle = found.groupBy(F.regexp_replace("path", r"\.(shp|shx|dbf)$", "").alias("stem")).agg(ends(".shp").alias("shp"), ends(".dbf").alias("dbf"), whole).filter("shp IS NOT NULL AND dbf IS NOT NULL AND index")
+    features = bundle.select("stem", "shp", "dbf").mapInArrow(_overlay, _OVERLAY)
+    return features.withColumn("geometry", reproject(F.col("geometry"), project)) if project else features
+
+
 def infer_encoding(dbf: bytes) -> str:
     """The encoding of a table's texts: UTF-8 where its rows (8 MB of them at most) are that,
     else CP949; neither, or a broken header, is an error."""
@@ -335,7 +427,7 @@ def _fields(text: str) -> list[tuple[str, str, int, int, str]]:
     return [(n, k, int(w), int(d), source) for n, k, w, d, source in (line.split() for line in text.split("\n") if line)]
 
 
-def _attributes(df: DataFrame, text: str, defaults: dict[str, F.Column] | None = None) -> DataFrame:
+def _attributes(df: DataFrame, text: str, defaults: dict[str, Column] | None = None) -> DataFrame:
     """df's columns as a layer's attributes; columns that df lacks are null. Texts are cut, null
     texts empty; of files their names alone count."""
     out = []
