@@ -506,3 +506,12 @@ def test_a_cluster_needs_a_shared_folder(master):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(session)
+
+
+def test_filter_before_the_shuffle(spark):
+    """No digest of the benchmark is left out, few others pass; an empty one passes none."""
+    rng = np.random.default_rng(8)
+    w = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    bits = decontaminate._filter(spark.createDataFrame([(int(x),) for x in w], "w1 long").repartition(5))
+    assert decontaminate._may_be(bits, w).all() and decontaminate._may_be(bits, rng.integers(-(1 << 63), (1 << 63) - 1, 20000)).mean() < 0.12
+    assert not decontaminate._may_be(decontaminate._filter(spark.createDataFrame([], "w1 long")), w).any()

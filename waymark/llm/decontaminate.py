@@ -6,8 +6,9 @@ MOST_BYTES. Words of a text become numbers of the benchmark's own vocabulary (0:
 Only runs of N known words can hold a window; there a rolling hash is looked up in the set and
 each hit is verified word by word.
 
-A larger benchmark isn't broadcast: 128-bit digests of all its windows and of all windows of the
-documents meet in a shuffled join (`scan_shuffled`), with the same result.
+A larger benchmark isn't broadcast: 128-bit digests of all its windows meet those of the
+documents in a shuffled join (`scan_shuffled`), with the same result. Only windows whose bit is
+set in a broadcast filter (MOST_BITS at most) go there.
 
 Null texts have no words: such documents aren't hit and such items have no windows. Repeated
 documents are judged alike; equal texts of several items all count. Null item ids are windows
@@ -17,6 +18,7 @@ but are not listed. Extra columns are ignored; an empty benchmark leaves every d
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,6 +160,36 @@ def _digests(words: list[bytes], size: int) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
+#: Bits of the filter before the shuffle: ten a window, up to 128 MB.
+MOST_BITS = 1 << 30
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit set of the windows' digests, made in tasks and merged by a tree: a digest without its
+    bit is in no item, so only few windows of documents go through the shuffle."""
+    count = max(1, wanted.count())
+    bits = min(MOST_BITS, max(1 << 16, 1 << (10 * count - 1).bit_length()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    def merge(a: bytes, b: bytes) -> bytes:
+        both = np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)
+        return zlib.compress(both.tobytes(), 1)
+
+    parts = wanted.select("w1").coalesce(64).mapInArrow(part, "bits binary").rdd.map(lambda r: bytes(r.bits))
+    return np.frombuffer(zlib.decompress(parts.treeReduce(merge, 3)), np.uint8) if not wanted.isEmpty() else np.zeros(bits // 8, np.uint8)
+
+
+def _may_be(bits: np.ndarray, w: np.ndarray) -> np.ndarray:
+    at = w.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def scan_shuffled(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
     """What `scan` returns, for a benchmark of any size. Rows are known by 96 bits of their id
     and text until their hits come back."""
@@ -175,6 +207,7 @@ def scan_shuffled(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tupl
     wanted = benchmark.select(benchmark["item_id"].cast("string"), F.coalesce(benchmark["text"], F.lit("")).cast("binary").alias("body")).mapInArrow(items, "item string, size int, w1 long, w2 long")
     wanted = kept(wanted.distinct(), "benchmark")
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # n at most
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))  # MOST_BITS at most
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +217,9 @@ def scan_shuffled(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tupl
                     for size in sizes:
                         if len(words) >= size:
                             w = _digests(words, size)
-                            yield pa.RecordBatch.from_arrays([pa.array([e] * len(w), pa.int64()), pa.array([f] * len(w), pa.int32()), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.full(len(w), size, np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["e", "f", "at", "size", "w1", "w2"])
+                            at = np.flatnonzero(_may_be(shared.value, np.ascontiguousarray(w[:, 0])))
+                            w = w[at]
+                            yield pa.RecordBatch.from_arrays([pa.array([e] * len(w), pa.int64()), pa.array([f] * len(w), pa.int32()), pa.array(at.astype(np.int32)), pa.array(np.full(len(w), size, np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["e", "f", "at", "size", "w1", "w2"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
