@@ -5,7 +5,6 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
