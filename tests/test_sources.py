@@ -422,3 +422,11 @@ def test_projection_round_trip(spark):
     e2, n2 = crs.transverse_mercator(F.col("lon2"), F.col("lat2"))
     d = grid.select(e.alias("e"), n.alias("n")).select("e", "n", lon.alias("lon2"), lat.alias("lat2")).select(F.max(F.abs(e2 - F.col("e"))).alias("e"), F.max(F.abs(n2 - F.col("n"))).alias("n")).first()
     assert d.e < 1e-3 and d.n < 1e-3
+
+
+def test_inverse_far_from_the_meridian(spark):
+    """Within a ten-millionth of a degree; nulls stay."""
+    grid = spark.createDataFrame([(127 + 3.0 * i, 33 + 2.0 * j) for i in range(-12, 13) for j in range(4)] + [(None, 38.0)], "lon double, lat double")
+    at = grid.select("lon", "lat", crs.inverse_mercator_far(*crs.transverse_mercator(F.col("lon"), F.col("lat"))).alias("at"))
+    d = at.select(F.max(F.abs(F.col("at.lon") - F.col("lon"))).alias("x"), F.max(F.abs(F.col("at.lat") - F.col("lat"))).alias("y"), F.count("at.lon").alias("n")).first()
+    assert d.x < 1e-9 and d.y < 1e-9 and d.n == 100

@@ -63,9 +63,10 @@ def transverse_mercator(spark: SparkSession, sf: str) -> DataFrame:
 @query(S.with_tables("frames", "SELECT frame_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM frames"))
 def inverse_mercator(spark: SparkSession, sf: str) -> DataFrame:
     """Longitude and latitude to metres and back."""
-    lon, lat = crs.inverse_mercator(F.col("e"), F.col("n"))
     e, n = crs.transverse_mercator(F.col("lon"), F.col("lat"))
-    return S.frames(spark, sf).select("frame_id", e.alias("e"), n.alias("n")).select("frame_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    placed = S.frames(spark, sf).select("frame_id", e.alias("e"), n.alias("n"))
+    at = placed.select("frame_id", crs.inverse_mercator_far(F.col("e"), F.col("n")).alias("at"))
+    return at.select("frame_id", F.round("at.lon", 7).alias("lon"), F.round("at.lat", 7).alias("lat"))
 
 
 _RING = f"""SELECT frame_id, list(round(e, 3) ORDER BY k) AS east, list(round(n, 3) ORDER BY k) AS north, list(z ORDER BY k) AS z FROM (SELECT frame_id, k, z, {crs.TM_SQL[0]} AS e, {crs.TM_SQL[1]} AS n FROM (SELECT *, {crs.TM_SQL[2]} FROM
