@@ -335,3 +335,17 @@ def test_nearest_boxes_of_few_boxes_shuffles_no_rows(spark):
         key = lambda r: (r.id, r.box, round(r.distance, 9))
         assert sorted(map(key, few.collect())) == sorted(map(key, grid.collect())) and few.count() == 600
     assert nearest_boxes(left, boxes.limit(0), "id", "box", 2).count() == 0
+
+
+def test_linked_components_list_no_pairs_of_a_crowd(spark):
+    """Like components of all near pairs, in two and three dimensions; 3000 points of one spot,
+    4.5 million pairs, are one component."""
+    rng = np.random.default_rng(7)
+    xyz = np.r_[rng.normal(0, 4, (500, 3)), rng.normal(0, 0.3, (100, 3)) + 30]
+    rows = [(i, *map(float, p)) for i, p in enumerate(xyz)] + [(900, float("nan"), 0.0, 0.0), (901, None, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    for dims in (("x", "y"), ("x", "y", "z")):
+        want = C.components(p, C.near_pairs(p, 0.8, "id", dims), "id")
+        assert sorted(map(tuple, C.linked_components(p, 0.8, "id", dims).collect())) == sorted(map(tuple, want.collect()))
+    crowd = spark.range(3000).select("id", F.lit(1.0).alias("x"), (F.col("id") * 1e-5).alias("y"))
+    assert {r.component for r in C.linked_components(crowd, 0.8, "id", ("x", "y")).collect()} == {0}

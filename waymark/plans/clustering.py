@@ -43,8 +43,7 @@ SELECT a AS point_id, min(l) AS component FROM r GROUP BY a"""
 
 @query(_COMPONENTS)
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.points(spark, sf)
-    return C.components(p, C.near_pairs(p, 0.8, "point_id", ("x", "y")), "point_id")
+    return C.linked_components(S.points(spark, sf), 0.8, "point_id", ("x", "y"))
 
 
 @query()
