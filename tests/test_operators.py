@@ -349,3 +349,12 @@ def test_linked_components_list_no_pairs_of_a_crowd(spark):
         assert sorted(map(tuple, C.linked_components(p, 0.8, "id", dims).collect())) == sorted(map(tuple, want.collect()))
     crowd = spark.range(3000).select("id", F.lit(1.0).alias("x"), (F.col("id") * 1e-5).alias("y"))
     assert {r.component for r in C.linked_components(crowd, 0.8, "id", ("x", "y")).collect()} == {0}
+
+
+def test_geometric_medians_of_many_groups_at_once():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 12, 400)
+    xyz, w = rng.integers(0, 4, (sizes.sum(), 3)).astype(float), rng.integers(1, 5, sizes.sum()).astype(float)
+    cut = np.cumsum(sizes)[:-1]
+    want = [C.geometric_median(p, v) for p, v in zip(np.split(xyz, cut), np.split(w, cut))]
+    assert np.abs(C.geometric_median_many(xyz, w, sizes) - want).max() < 1e-6

@@ -149,10 +149,21 @@ def find_poles(spark: SparkSession, sf: str) -> DataFrame:
     return P.find_poles(both).select("detection_id", *[(F.round(f"base_{c}", 1) + 0.0).alias(c) for c in "xyz"], "state")
 
 
+#: Members up to which groups are solved many at once; larger ones go singly.
+SMALL_GROUP = 32
+
+
 def _medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
-        found = [C.geometric_median(np.c_[x, y, z].astype(float), np.asarray(w, float)) for _, x, y, z, w in p.itertuples(index=False)]
-        m = np.array(found).reshape(-1, 3)
+        sizes = p["x"].str.len().to_numpy()
+        m = np.empty((len(p), 3))
+        small = sizes <= SMALL_GROUP
+        if small.any():
+            x, y, z, w = (np.concatenate(p.loc[small, c].to_list()).astype(float) for c in ("x", "y", "z", "point_count"))
+            m[small] = C.geometric_median_many(np.c_[x, y, z], w, sizes[small])
+        for i in np.flatnonzero(~small):
+            _, x, y, z, w = p.iloc[i]
+            m[i] = C.geometric_median(np.c_[x, y, z].astype(float), np.asarray(w, float))
         yield pd.DataFrame({"image_name": p["image_name"], "x": m[:, 0], "y": m[:, 1], "z": m[:, 2]})
 
 
