@@ -418,3 +418,23 @@ def test_classified_search(scene):
     for x in scene["signs"].itertuples():
         assert (x.sign_id in got.index) == (x.kind not in (2, 3, 6))
     assert (got.main_class == 6).all() and (got.main_share == 1).all() and set(got.ground_source) == {"classified"}
+
+
+@SF
+def test_points_move_once_a_stage(scene):
+    """Voxels, fits, arms and grounds each shuffle their points once: what follows groups by the
+    keys that brought points together."""
+    f, group = scene["frames"], (*Q.KEY, P.PROFILE)
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert moves(P.shaft_cells(f["points"], group, S)) == 1
+    assert moves(P.axis_fits(f["points"], f["cells"], f["chosen"], group, S, False)) == 2  # cells and seeds
+    assert moves(P.grounds(f["tested"].filter("reason IS NULL"), f["near"], Q.KEY, S, False)) == 2  # points and feet
+    assert moves(P.shaft_points(f["near"], Q.KEY, S, False)) <= 4  # points twice, cells twice
+
+
+def test_terrain(spark):
+    rng = np.random.default_rng(4)
+    cells = {(int(i), int(j)): float(rng.normal()) for i, j in rng.integers(-9, 9, (120, 2))}
+    low = spark.createDataFrame([(1, i, j, v) for (i, j), v in cells.items()], "sign_id long, cx long, cy long, low double")
+    for r in P.terrain(low, Q.KEY, S).collect():
+        assert r.terrain == pytest.approx(np.quantile([v for (i, j), v in cells.items() if (i - r.cx) ** 2 + (j - r.cy) ** 2 <= 9], 0.1))

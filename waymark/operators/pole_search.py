@@ -34,36 +34,44 @@ from waymark.operators.sequences import islands
 Keys = tuple[str, ...]
 PROFILE = "profile"
 MOST_HYPOTHESES, HYPOTHESIS_M = 64, 0.15
+#: Signs (counted) that are sent to every task, some 100 bytes each; with more, points are
+#: shuffled to their cells.
+FEW_SIGNS = 500_000
 
 
 def _kinds(df: DataFrame, names: Keys) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _grouped(df: DataFrame, keys: Keys, columns: Keys, schema: str, solve: Callable[..., list[tuple]]) -> DataFrame:
-    """solve gets a group's columns as float arrays and returns its rows without the keys."""
+def _grouped(df: DataFrame, keys: Keys, columns: Keys, schema: str, solve: Callable[..., list[tuple]], fixed: Keys = ()) -> DataFrame:
+    """solve gets a group's columns as float arrays, then those that are the same in all its rows
+    (fixed) as numbers, and returns its rows without the keys."""
     names = [*keys, *[c.split()[0] for c in schema.split(", ")]]
+    first = len(keys) + len(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                own = [np.array([np.nan if v is None else v for v in c], float) for c in row[len(keys) :]]
-                rows += [(*row[: len(keys)], *r) for r in solve(*own)]
+                own = [np.asarray(c, float) for c in row[len(keys) : first]]  # nulls are NaN
+                rows += [(*row[: len(keys)], *r) for r in solve(*own, *row[first:])]
             yield pd.DataFrame(rows, columns=names)
 
-    return group_arrays(df, keys, columns).mapInPandas(run, f"{_kinds(df, keys)}, {schema}")
+    return group_arrays(df, keys, columns, fixed).mapInPandas(run, f"{_kinds(df, keys)}, {schema}")
 
 
 def neighbourhoods(signs: DataFrame, points: DataFrame, keys: Keys, s: Search, strict: Column, expanded: Column | None = None) -> DataFrame:
     """near: points within reach of each sign in the plane and in height. strict and expanded are
     expressions over sx, sy, sz, x, y, z and other columns of signs; expanded defaults to strict
     or farther than a direct support."""
-    at = lambda c: F.floor(F.col(c) / s.reach)
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    spread = signs.withColumn("__dx", step).withColumn("__dy", step).withColumns({"__cx": at("sx") + F.col("__dx"), "__cy": at("sy") + F.col("__dy")}).drop("__dx", "__dy")
-    placed = points.select("x", "y", "z", "cls", "rn", "nr").withColumns({"__cx": at("x"), "__cy": at("y")})
-    met = spread.join(placed, ["__cx", "__cy"])
+    # cells as wide as a circle: a point reaches four at most, a sign stays in its own
+    at = lambda c: F.floor(c / (2 * s.reach))
+    reached = lambda c: F.explode(F.sequence(at(F.col(c) - s.reach), at(F.col(c) + s.reach)))
+    cell = F.shiftleft(F.col("__cx"), 32).bitwiseXOR(F.col("__cy")).alias("__cell")
+    placed = signs.withColumns({"__cx": at(F.col("sx")), "__cy": at(F.col("sy"))}).select(*signs.columns, cell)
+    spread = points.select("x", "y", "z", "cls", "rn", "nr").withColumn("__cx", reached("x")).withColumn("__cy", reached("y")).select("x", "y", "z", "cls", "rn", "nr", cell)
+    few = signs.limit(FEW_SIGNS + 1).count() <= FEW_SIGNS
+    met = spread.join(F.broadcast(placed) if few else placed, "__cell")
     far = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
     met = met.filter((far <= s.reach) & (F.col("z") >= F.col("sz") - s.drop) & (F.col("z") <= F.col("sz") + s.above))
     wide = strict | (far > s.direct) if expanded is None else expanded
@@ -74,6 +82,25 @@ def _of_class(classes: tuple[int, ...]) -> Column:
     return F.coalesce(F.col("cls").isin(*classes), F.lit(False)) if classes else F.lit(False)
 
 
+def terrain(low: DataFrame, keys: Keys, s: Search) -> DataFrame:
+    """keys, cx, cy, terrain of each cell: a quantile of `low` over the cells within ground_core.
+    A sign has as many cells as its circle holds, whatever the number of its points."""
+    k = math.floor(s.ground_core / s.ground_cell + 1e-9)
+    around = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if (i * i + j * j) * s.ground_cell**2 <= s.ground_core**2 + 1e-9]
+
+    def solve(cx, cy, low) -> list[tuple]:
+        i, j = (c.astype(np.int64) - int(c.min()) + k for c in (cx, cy))
+        grid = np.full((i.max() + k + 1, j.max() + k + 1), np.nan)
+        grid[i, j] = low
+        near = np.sort(np.stack([grid[i + a, j + b] for a, b in around], 1), axis=1)  # no cell: NaN, last
+        place = s.ground_quantile * ((~np.isnan(near)).sum(1) - 1)
+        one, rows = np.floor(place).astype(np.int64), np.arange(len(near))
+        part, two = place - one, np.ceil(place).astype(np.int64)
+        return list(zip(cx.astype(np.int64).tolist(), cy.astype(np.int64).tolist(), ((1 - part) * near[rows, one] + part * near[rows, two]).tolist()))
+
+    return _grouped(low, keys, ("cx", "cy", "low"), "cx long, cy long, terrain double", solve)
+
+
 def shaft_points(near: DataFrame, keys: Keys, s: Search, classified: bool) -> DataFrame:
     """Points that may belong to a shaft, a row a profile: those of shaft classes or, without
     classes, those clear of the terrain (a low quantile of the low points of the cells around)."""
@@ -84,14 +111,12 @@ def shaft_points(near: DataFrame, keys: Keys, s: Search, classified: bool) -> Da
         own = own.filter(_of_class(s.pole_classes)) if s.pole_classes else own.filter(~_of_class(s.excluded_classes))
     elif s.clearance > 0:
         cell = lambda c: F.floor((F.col(c) - F.col(f"s{c}")) / s.ground_cell)
-        own = own.withColumns({"cx": cell("x"), "cy": cell("y")})
-        low = own.groupBy(*keys, "cx", "cy").agg(F.sort_array(F.collect_list("z")).alias("all"))
-        low = low.select(*keys, "cx", "cy", F.element_at("all", (F.floor(s.ground_quantile * (F.size("all") - 1)) + 1).cast("int")).alias("low"))
-        k = math.floor(s.ground_core / s.ground_cell + 1e-9)
-        around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1) if (i * i + j * j) * s.ground_cell**2 <= s.ground_core**2 + 1e-9]
-        spread = low.withColumn("d", F.explode(F.array(*around))).select(*keys, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "low")
-        terrain = spread.groupBy(*keys, "cx", "cy").agg(F.percentile("low", F.lit(s.ground_quantile)).alias("terrain"))
-        own = own.join(terrain, [*keys, "cx", "cy"]).filter(F.col("z") > F.col("terrain") + s.clearance)
+        point = ("x", "y", "z", "cls", "rn", "nr", "strict", "expanded")
+        # the points of a cell travel as one array, which gives the cell's low point, too
+        cells = own.groupBy(*keys, cell("x").alias("cx"), cell("y").alias("cy")).agg(*[F.first(f"s{c}").alias(f"s{c}") for c in "xyz"], F.collect_list(F.struct(*point)).alias("all"))
+        low = cells.select(*keys, "cx", "cy", F.element_at(F.sort_array("all.z"), (F.floor(s.ground_quantile * (F.size("all") - 1)) + 1).cast("int")).alias("low"))
+        own = cells.join(terrain(low, keys, s), [*keys, "cx", "cy"]).select(*keys, "sx", "sy", "sz", "terrain", F.explode("all").alias("p"))
+        own = own.filter(F.col("p.z") > F.col("terrain") + s.clearance).select(*keys, "sx", "sy", "sz", *[f"p.{c}" for c in point])
     profiles = F.array_compact(F.array(F.when(F.col("strict"), F.lit("strict")), F.when(F.col("expanded"), F.lit("expanded"))))
     voxel = lambda c: F.floor((F.col(c) - F.col(f"s{c}")) / s.voxel)
     return own.select(*keys, F.explode(profiles).alias(PROFILE), "sx", "sy", "sz", "x", "y", "z", "cls", "rn", "nr", voxel("x").alias("px"), voxel("y").alias("py"))
@@ -99,16 +124,22 @@ def shaft_points(near: DataFrame, keys: Keys, s: Search, classified: bool) -> Da
 
 def shaft_cells(points: DataFrame, keys: Keys, s: Search) -> DataFrame:
     """Cells (px, py) with points, height and height bins enough: n, median mx and my, quality by
-    longest run, occupancy, height and number, and distance to the sign."""
+    longest run, occupancy, height and number, and distance to the sign; sz and all (the points)
+    go along, so that a fit needn't fetch them again."""
     cell = [*keys, "px", "py"]
-    g = points.groupBy(*cell).agg(F.count("*").alias("n"), F.min("z").alias("low"), (F.max("z") - F.min("z")).alias("span"), F.median("x").alias("mx"), F.median("y").alias("my"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
+    g = points.groupBy(*cell).agg(F.first("sx").alias("sx"), F.first("sy").alias("sy"), F.first("sz").alias("sz"), F.count("*").alias("n"), F.min("z").alias("low"), (F.max("z") - F.min("z")).alias("span"), F.collect_list(F.struct("x", "y", "z", "cls", "rn", "nr")).alias("all"))
     g = g.filter((F.col("n") >= max(3, s.points // 5)) & (F.col("span") >= 0.6 * s.span))
-    bins = points.select(*cell, "z").join(g.select(*cell, "low"), cell).select(*cell, F.floor((F.col("z") - F.col("low")) / s.bin_m).alias("bin")).distinct()
-    runs = islands(bins, tuple(cell), "bin").groupBy(*cell, "island").agg(F.count("*").alias("run"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    runs = runs.groupBy(*cell).agg(F.max("run").alias("longest"), F.sum("run").alias("bins"), (F.max("hi") - F.min("lo") + 1).alias("expected"))
+    g = g.withColumns({f"a{c}": F.sort_array(f"all.{c}") for c in "xyz"})
+    middle = lambda a: (F.element_at(a, F.floor((F.col("n") + 1) / 2).cast("int")) + F.element_at(a, F.floor(F.col("n") / 2).cast("int") + 1)) / 2
+    g = g.withColumns({"mx": middle("ax"), "my": middle("ay"), "at": F.array_distinct(F.transform("az", lambda z: F.floor((z - F.col("low")) / s.bin_m)))})
+    # longest run of the bins, which come in order
+    step = lambda r, b: F.struct(b.alias("b"), F.when(b == r["b"] + 1, r["run"] + 1).otherwise(1).alias("run"), F.greatest(r["most"], F.when(b == r["b"] + 1, r["run"] + 1).otherwise(1)).alias("most"))
+    none = F.struct(F.lit(-2).cast("long").alias("b"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    g = g.withColumns({"bins": F.size("at").cast("long"), "expected": F.element_at("at", -1) - F.element_at("at", 1) + 1}).filter(F.col("bins") >= max(3, s.bins // 2))
+    g = g.withColumn("longest", F.aggregate("at", none, step, lambda r: r["most"]).cast("long"))
     quality = F.col("longest") + F.col("bins") / F.col("expected") + F.least(F.col("span"), F.lit(s.drop)) / s.bin_m + 0.05 * F.sqrt("n")
     far = F.sqrt((F.col("mx") - F.col("sx")) ** 2 + (F.col("my") - F.col("sy")) ** 2)
-    return g.join(runs, cell).filter(F.col("bins") >= max(3, s.bins // 2)).select(*cell, "n", "mx", "my", "longest", "bins", quality.alias("quality"), far.alias("distance"))
+    return g.select(*cell, "n", "mx", "my", "longest", "bins", quality.alias("quality"), far.alias("distance"), "sz", "all")
 
 
 def seeds(cells: DataFrame, keys: Keys, s: Search) -> DataFrame:
@@ -134,10 +165,12 @@ def axis_fits(points: DataFrame, cells: DataFrame, chosen: DataFrame, keys: Keys
     """An axis for each seed whose cylinder holds one: x = bx + kx (z - z0), y alike. rmse counts
     the shaft below the sign's arms, too; heights are those of the points on it."""
     k = math.ceil(s.cluster / s.voxel - 1e-9)
-    step = F.explode(F.sequence(F.lit(-k), F.lit(k)))
-    wide = chosen.withColumn("i", step).withColumn("j", step).select(*keys, "seed", "mx", "my", (F.col("px") + F.col("i")).alias("px"), (F.col("py") + F.col("j")).alias("py"))
-    own = points if classified else points.join(cells.select(*keys, "px", "py"), [*keys, "px", "py"], "left_semi")
-    met = own.join(wide, [*keys, "px", "py"]).filter(F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2) <= s.cluster)
+    own = cells if not classified else points.groupBy(*keys, "px", "py").agg(F.first("sz").alias("sz"), F.collect_list(F.struct("x", "y", "z", "cls", "rn", "nr")).alias("all"))
+    # a place's few cells and few seeds meet by its keys alone: what follows groups by these, too
+    wide = chosen.select(*keys, "seed", "mx", "my", F.col("px").alias("qx"), F.col("py").alias("qy"))
+    met = own.select(*keys, "px", "py", "sz", "all").join(wide, list(keys)).filter((F.abs(F.col("px") - F.col("qx")) <= k) & (F.abs(F.col("py") - F.col("qy")) <= k))
+    met = met.select(*keys, "seed", "mx", "my", "sz", F.explode("all").alias("p")).select(*keys, "seed", "mx", "my", "sz", "p.*")
+    met = met.filter(F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2) <= s.cluster)
 
     def fit(x, y, z, cls, rn, nr, sz) -> list[tuple]:
         xyz = np.c_[x, y, z]
@@ -145,7 +178,7 @@ def axis_fits(points: DataFrame, cells: DataFrame, chosen: DataFrame, keys: Keys
         if f is None:
             return []
         on, line, h = f["on"], f["line"], z[f["on"]]
-        shaft = on & (z < sz[0] - s.arm_below)
+        shaft = on & (z < sz - s.arm_below)
         rmse = max(f["rmse"], float(np.sqrt(np.mean(f["off"][shaft] ** 2)))) if shaft.sum() >= s.points else f["rmse"]
         told = on & (nr > 0) & (rn > 0) & (rn <= nr)
         multi = float((nr[told] > 1).mean()) if told.any() else None
@@ -154,7 +187,7 @@ def axis_fits(points: DataFrame, cells: DataFrame, chosen: DataFrame, keys: Keys
         main = (int(names[counts.argmax()]), float(counts.max() / len(known))) if len(known) else (None, None)
         return [(f["z0"], *line[0], *line[1], int(on.sum()), rmse, float(np.ptp(h)), float(h.min()), float(h.max()), f["bins"], f["longest"], f["max_gap"], f["occupancy"], f["end_tilt"], float(np.quantile(h, 0.02)), multi, *main, sorted(h.tolist()))]
 
-    return _grouped(met, (*keys, "seed"), ("x", "y", "z", "cls", "rn", "nr", "sz"), _FIT, fit)
+    return _grouped(met, (*keys, "seed"), ("x", "y", "z", "cls", "rn", "nr"), _FIT, fit, ("sz",))
 
 
 def distinct_fits(fits: DataFrame, keys: Keys, s: Search) -> DataFrame:
@@ -182,18 +215,24 @@ _ARM = "expected int, occupied int, coverage double, arm_points int, ridge_point
 def arm_lines(arms: DataFrame, points: DataFrame, keys: Keys, s: Search, meet: Keys = (), cell: float = 2.0) -> DataFrame:
     """arms: keys, sx, sy, sz, ax, ay. points: x, y, z and the columns of `meet`, which must be
     equal. Returns keys and how far points cover the way from sign to axis, in all and along its
-    best straight line (axes.arm_line). Points meet arms by grid cells of the arm's box."""
+    best straight line (axes.arm_line). Points meet arms by grid cells of the arm's box; where
+    `meet` is given, a place's points meet its few arms by that alone, and what follows groups by
+    it without another shuffle."""
     length = F.sqrt((F.col("ax") - F.col("sx")) ** 2 + (F.col("ay") - F.col("sy")) ** 2)
     arms = arms.select(*keys, *[c for c in meet if c not in keys], "sx", "sy", "sz", "ax", "ay", length.alias("length"))
     at = lambda c: F.floor(c / cell)
     span = lambda a, b: F.explode(F.sequence(at(F.least(a, b) - s.arm_radius), at(F.greatest(a, b) + s.arm_radius)))
-    long_ = arms.filter("length > 1e-9").withColumn("__i", span(F.col("sx"), F.col("ax"))).withColumn("__j", span(F.col("sy"), F.col("ay")))
-    met = long_.join(points.select(*meet, "x", "y", "z", at(F.col("x")).alias("__i"), at(F.col("y")).alias("__j")), [*meet, "__i", "__j"])
+    long_ = arms.filter("length > 1e-9")
+    if meet:
+        met = points.select(*meet, "x", "y", "z").join(long_, list(meet))
+    else:
+        long_ = long_.withColumn("__i", span(F.col("sx"), F.col("ax"))).withColumn("__j", span(F.col("sy"), F.col("ay")))
+        met = long_.join(points.select("x", "y", "z", at(F.col("x")).alias("__i"), at(F.col("y")).alias("__j")), ["__i", "__j"])
     ux, uy = (F.col("ax") - F.col("sx")) / F.col("length"), (F.col("ay") - F.col("sy")) / F.col("length")
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
     met = met.select(*keys, "length", (dx * ux + dy * uy).alias("along"), (dx * uy - dy * ux).alias("side"), (F.col("z") - F.col("sz")).alias("up"))
     met = met.filter((F.col("along") >= 0) & (F.col("along") <= F.col("length")) & (F.abs("side") <= s.arm_radius) & (F.col("up") >= -s.arm_below) & (F.col("up") <= s.arm_above))
-    found = _grouped(met, keys, ("along", "side", "up", "length"), _ARM, lambda along, side, up, length: [tuple(A.arm_line(along, side, up, float(length[0]), s).values())])
+    found = _grouped(met, keys, ("along", "side", "up"), _ARM, lambda along, side, up, length: [tuple(A.arm_line(along, side, up, float(length), s).values())], ("length",))
     out = arms.select(*keys, "length").join(found, list(keys), "left")
     none = F.col("length") <= 1e-9  # an arm of no length is covered
     blank = {c.split()[0]: c.split()[1] for c in _ARM.split(", ")}
@@ -216,7 +255,8 @@ def attached(fits: DataFrame, signs: DataFrame, keys: Keys, s: Search, classifie
 def gated(own: DataFrame, near: DataFrame, keys: Keys, s: Search, classified: bool) -> DataFrame:
     """attached fits with their arms (null for direct ones) and `reason`, why one is rejected."""
     one = (*keys, PROFILE, "seed")
-    points = near.filter(~_of_class(s.ground_classes)) if classified else near
+    points = near.filter((F.col("z") >= F.col("sz") - s.arm_below) & (F.col("z") <= F.col("sz") + s.arm_above))  # arm_lines asks again
+    points = points.filter(~_of_class(s.ground_classes)) if classified else points
     arms = arm_lines(own.filter("remote"), points.select(*keys, "x", "y", "z"), one, s, keys)
     both = own.join(arms, list(one), "left")
     needed = X.arm_threshold(F.col("distance"), F.least("coverage", "line_coverage"), F.col("line_ratio"), F.col("ridge_density"), F.col("anchored"), s.arm_share)
@@ -238,20 +278,18 @@ def grounds(own: DataFrame, near: DataFrame, keys: Keys, s: Search, classified:
     meets it, and how far its nearest cell is from there."""
     one = (*keys, PROFILE, "seed")
     foot = own.select(*one, "z0", "kx", "ky", "bx", "by", (F.col("bx") + F.col("kx") * (F.col("low") - F.col("z0"))).alias("cx"), (F.col("by") + F.col("ky") * (F.col("low") - F.col("z0"))).alias("cy"))
-    at = lambda c: F.floor(F.col(c) / s.ground_radius)
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    spread = foot.withColumn("i", step).withColumn("j", step).withColumns({"i": at("cx") + F.col("i"), "j": at("cy") + F.col("j")})
-    met = spread.join(near.select(*keys, "sz", "x", "y", "z", "cls", at("x").alias("i"), at("y").alias("j")), [*keys, "i", "j"])
+    below = near.filter(F.col("z") <= F.col("sz") - (0.0 if classified else s.ground_drop))  # local_ground asks again
+    met = below.select(*keys, "sz", "x", "y", "z", "cls").join(foot, list(keys))  # a place's few feet
     met = met.filter(F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2) <= s.ground_radius)
 
     def fit(x, y, z, cls, sz, z0, kx, ky, bx, by, cx, cy) -> list[tuple]:
-        g = A.local_ground(np.c_[x, y, z], np.nan_to_num(cls, nan=-1) if classified else None, np.r_[cx[0], cy[0]], float(sz[0]), s)
+        g = A.local_ground(np.c_[x, y, z], np.nan_to_num(cls, nan=-1) if classified else None, np.r_[cx, cy], float(sz), s)
         if g is None:
             return []
-        base = A.foot(np.array([[kx[0], ky[0]], [bx[0], by[0]]]), float(z0[0]), g)
+        base = A.foot(np.array([[kx, ky], [bx, by]]), float(z0), g)
         return [(float(g["plane"][2]), *base.tolist(), g["rmse"], len(g["cells"]), g["source"], float(np.hypot(*(g["cells"][:, :2] - base[:2]).T).min()))]
 
-    return _grouped(met, one, ("x", "y", "z", "cls", "sz", "z0", "kx", "ky", "bx", "by", "cx", "cy"), _GROUND, fit)
+    return _grouped(met, one, ("x", "y", "z", "cls"), _GROUND, fit, ("sz", "z0", "kx", "ky", "bx", "by", "cx", "cy"))
 
 
 def candidates(tested: DataFrame, ground: DataFrame, keys: Keys, s: Search, classified: bool) -> DataFrame:
@@ -297,10 +335,11 @@ def candidates(tested: DataFrame, ground: DataFrame, keys: Keys, s: Search, clas
 def _ranked(found: DataFrame, s: Search, cross: bool = False) -> DataFrame:
     cover = F.coalesce("line_coverage", "coverage", F.lit(0.0))
     complete, multi = F.coalesce("complete", F.lit(0.0)), F.coalesce("multi", F.lit(0.0))
+    near = lambda c: F.round(c, 9)  # noqa: E731  # sums over points depend on their order in the last digits
     if cross:
-        rank = X.cross_profile_key(F.col("distance"), complete, F.col("plane_z").isNotNull(), F.col("status") == "AUTO", cover, F.col("rmse"), F.col("ground_rmse"), multi, F.col("n"), s.preferred)
+        rank = X.cross_profile_key(near("distance"), near(complete), F.col("plane_z").isNotNull(), F.col("status") == "AUTO", near(cover), near("rmse"), near("ground_rmse"), near(multi), F.col("n"), s.preferred)
     else:
-        rank = X.rank_key(F.col("distance"), complete, cover, F.col("rmse"), multi, F.col("score"), F.col("n"), s.preferred)
+        rank = X.rank_key(near("distance"), near(complete), near(cover), near("rmse"), near(multi), near("score"), F.col("n"), s.preferred)
     return found.select("*", rank.alias("rank")).withColumns({"__cover": cover, "__complete": complete})
 
 
@@ -365,7 +404,7 @@ def extract(signs: DataFrame, points: DataFrame, keys: Keys, corridor: Column, s
     first, rejected = find_supports(signs, neighbourhoods(signs, points, keys, s, corridor), keys, s, classified)
     first = shared_checkpoint(first.withColumn("attempt", F.lit("strict")))
     rejected = shared_checkpoint(rejected.withColumn("attempt", F.lit("strict")))
-    again = signs.join(first.filter("status = 'AUTO'").select(*keys), list(keys), "left_anti")
+    again = shared_checkpoint(signs.join(first.filter("status = 'AUTO'").select(*keys), list(keys), "left_anti"))
     second, more = find_supports(again, neighbourhoods(again, points, keys, wider, corridor), keys, wider, classified)
     # its own status ranks it; what is returned of it is REVIEW
     second = shared_checkpoint(second.withColumn("attempt", F.lit("fallback")))
