@@ -94,3 +94,14 @@ def test_fit_overview_query(spark):
             assert max(abs(a - b) for a, b in zip(f, (r.fx, r.fy, r.fz))) < 1e-8
             assert all(math.degrees(2 * max(abs(x) for x in a)) <= fov + 1e-6 for a, fov in ((h, r.hfov), (v, r.vfov)))
     assert fits > 50
+
+
+def test_box_views_are_code_that_compiles(spark):
+    """Nine pixels a row were one method of over 8000 bytes, which the JVM interprets."""
+    from waymark import registry
+
+    for name in ("pano_to_persp", "rect_fov"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        told = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+        sizes = [int(x.split(";")[0]) for x in told.split("maxMethodCodeSize:")[1:]]
+        assert all(x < 8000 for x in sizes), (name, sizes)

@@ -6,9 +6,10 @@ inside one row and nothing is exploded or regrouped."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,27 +119,59 @@ def rect_fov(points: Column, pano: G.Axes, pano_size: tuple[float, float], view:
     return widest(lambda v: v[0]), widest(lambda v: v[1])
 
 
-def rect_fov_box(df: DataFrame, box: tuple, pano_size: tuple[float, float], view: G.Axes, margin: float, least: float, most: float, name: str = "__fov") -> tuple[DataFrame, tuple[Column, Column]]:
-    """As `rect_fov` for the nine pixels of a box in a panorama of `forward_axes`: sines and
-    cosines of its three columns and rows are shared, and all stays in code generation."""
-    x0, y0, x1, y1 = box
-    width, height = pano_size
-    trig = {}
-    for i, (x, y) in enumerate(((x0, y0), ((x0 + x1) * 0.5, (y0 + y1) * 0.5), (x1, y1))):
-        lon, lat = (x / width - 0.5) * TAU, (0.5 - y / height) * math.pi
-        trig |= {f"{name}_sx{i}": F.sin(lon), f"{name}_cx{i}": F.cos(lon), f"{name}_sy{i}": F.sin(lat), f"{name}_cy{i}": F.cos(lat)}
-    df = df.withColumns(trig)
-    at = lambda k: F.col(f"{name}_{k}")
-    seen = {}
-    for i in range(3):
-        for j in range(3):
-            ray = at(f"cy{j}") * at(f"sx{i}"), at(f"cy{j}") * at(f"cx{i}"), at(f"sy{j}")
-            seen |= {f"{name}_{c}{i}{j}": v for c, v in zip("rua", local(ray, view))}
-    df = df.withColumns(seen)
-    cells = [f"{i}{j}" for i in range(3) for j in range(3)]
-    widest = lambda c: F.greatest(*[F.when(at(f"a{k}") > 1e-6, F.abs(F.atan2(at(f"{c}{k}"), at(f"a{k}")))).otherwise(0.0) for k in cells])
-    field = lambda c: F.least(F.greatest(F.degrees(widest(c) * 2) + 2 * margin, F.lit(max(least, 1.0))), F.lit(most))
-    return df, (field("r"), field("u"))
+def nine_rays(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, size: tuple[float, float]) -> np.ndarray:
+    """boxes x 9 x 3: rays (right, forward, up) of the corners, edge middles and centres of boxes
+    in a panorama of `forward_axes`."""
+    lon = (np.stack([x0, (x0 + x1) * 0.5, x1], 1) / size[0] - 0.5) * TAU
+    lat = (0.5 - np.stack([y0, (y0 + y1) * 0.5, y1], 1) / size[1]) * math.pi
+    flat = np.cos(lat)[:, None, :]
+    rays = [flat * np.sin(lon)[:, :, None], flat * np.cos(lon)[:, :, None], np.broadcast_to(np.sin(lat)[:, None, :], (len(x0), 3, 3))]
+    return np.stack([r.reshape(-1, 9) for r in rays], 2)
+
+
+def _by_batches(df: DataFrame, keep: tuple[str, ...], given: list[Column], schema: str, solve: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """keep and what solve makes of the given numbers (nulls are NaN), an Arrow batch at a time.
+    Nine pixels a row make code of over 8000 bytes, which the JVM leaves uncompiled."""
+    rows = df.select(*keep, *[c.cast("double").alias(f"__{i}") for i, c in enumerate(given)])
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
+    names = [*keep, *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = solve(*[c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keep) :]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(m) for m in made]], names=names)
+
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
+
+
+def pano_to_persp_box(df: DataFrame, keep: tuple[str, ...], box: tuple, pano_size: tuple[float, float], size: tuple[float, float], hfov: float, vfov: float, ahead: float) -> DataFrame:
+    """keep, n, u0, v0, u1, v1: how many of a box's nine pixels a forward view sees (the ray's part
+    along it over `ahead`) and their box, as `pano_to_persp` and `box_of` give them; n is 0 for none."""
+    fx, fy = size[0] * 0.5 / math.tan(math.radians(hfov) / 2), size[1] * 0.5 / math.tan(math.radians(vfov) / 2)
+
+    def solve(*edges: np.ndarray) -> list[np.ndarray]:
+        right, forward, up = np.moveaxis(nine_rays(*edges, pano_size), 2, 0)
+        seen = forward > ahead
+        depth = np.where(seen, forward, 1.0)
+        u, v = size[0] * 0.5 + fx * (right / depth), size[1] * 0.5 - fy * (up / depth)
+        return [seen.sum(1).astype(np.int32), *[np.where(seen, c, np.inf).min(1) for c in (u, v)], *[np.where(seen, c, -np.inf).max(1) for c in (u, v)]]
+
+    return _by_batches(df, keep, list(box), "n int, u0 double, v0 double, u1 double, v1 double", solve)
+
+
+def rect_fov_box(df: DataFrame, keep: tuple[str, ...], box: tuple, pano_size: tuple[float, float], view: G.Axes, margin: float, least: float, most: float) -> DataFrame:
+    """keep, hfov, vfov: as `rect_fov` for the nine pixels of a box in a panorama of `forward_axes`.
+    The widest angle is that of the greatest tangent."""
+
+    def solve(x0, y0, x1, y1, *axes: np.ndarray) -> list[np.ndarray]:
+        rays = nine_rays(x0, y0, x1, y1, pano_size)
+        ahead, right, up = (np.einsum("nkd,dn->nk", rays, np.stack(axes[i : i + 3])) for i in (0, 3, 6))
+        front = ahead > 1e-6
+        depth = np.where(front, ahead, 1.0)
+        widest = [np.arctan(np.where(front, np.abs(c) / depth, 0.0).max(1)) for c in (right, up)]
+        return [np.minimum(np.maximum(np.degrees(w * 2) + 2 * margin, max(least, 1.0)), most) for w in widest]
+
+    return _by_batches(df, keep, [*box, *[c for axis in view for c in axis]], "hfov double, vfov double", solve)
 
 
 def corridor_box(x0: Column, y0: Column, x1: Column, y1: Column, width: int, height: int, side: float, top: float) -> tuple[Column, Column, Column, Column]:

@@ -46,10 +46,8 @@ def ray_persp(spark: SparkSession, sf: str) -> DataFrame:
 SELECT image_name, detection_index, count(*)::INTEGER AS n, round(min(u), 3) + 0.0 AS u0, round(min(v), 3) + 0.0 AS v0, round(max(u), 3) + 0.0 AS u1, round(max(v), 3) + 0.0 AS v1 FROM c GROUP BY row, image_name, detection_index"""))
 def pano_to_persp(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes of the pixels of each box that a forward view sees (more than 0.6 degrees ahead)."""
-    front = F.filter(V.support_pixels(*box()), lambda p: G.pixel_ray(p["x"], p["y"], V.forward_axes(), *PANO)[1] > 0.01)
-    seen_ = V.pano_to_persp(front, V.forward_axes(), PANO, V.forward_axes(), (1024.0, 512.0), F.lit(90.0), F.lit(60.0))
-    d = S.detections(spark, sf).select(*KEYS, seen_.alias("p")).filter(F.size("p") > 0)
-    return d.select(*KEYS, F.size("p").alias("n"), *[r(c, 3).alias(n) for c, n in zip(V.box_of(F.col("p")), ("u0", "v0", "u1", "v1"))])
+    d = V.pano_to_persp_box(S.detections(spark, sf), KEYS, box(), PANO, (1024.0, 512.0), 90.0, 60.0, 0.01).filter("n > 0")
+    return d.select(*KEYS, "n", *[r(F.col(c), 3).alias(c) for c in ("u0", "v0", "u1", "v1")])
 
 
 @query(S.with_tables("detections", ", n AS (SELECT *, 3 + 4 * point_count AS n FROM detections) SELECT image_name, detection_index, (9 + ceil(n / greatest(1, n // 64)))::INTEGER AS pixels, round(4.5::DOUBLE * (x0 + x1) + list_sum(list_transform(range(0, n, greatest(1, n // 64)), lambda i: x0 + i)), 4) AS sum_x FROM n"))
@@ -74,8 +72,8 @@ def rect_fov(spark: SparkSession, sf: str) -> DataFrame:
     """Each detection's own rectified view: axes towards its centre and fields that hold it."""
     x0, y0, x1, y1 = box()
     d, axes = G.roll_stable_axes(S.detections(spark, sf), G.pixel_ray((x0 + x1) / 2, (y0 + y1) / 2, V.forward_axes(), *PANO), const(0, 0, 1), const(1, 0, 0))
-    d, (h, v) = V.rect_fov_box(d, box(), PANO, axes, 2.0, 8.0, 120.0)
-    return d.select(*KEYS, F.round(h, 4).alias("hfov"), F.round(v, 4).alias("vfov"))
+    d = V.rect_fov_box(d, KEYS, box(), PANO, axes, 2.0, 8.0, 120.0)
+    return d.select(*KEYS, F.round("hfov", 4).alias("hfov"), F.round("vfov", 4).alias("vfov"))
 
 
 _TO_PANO = """, c AS (SELECT row, image_name, detection_index, unnest([x0 / 4, x0 / 4, x1 / 4, x1 / 4]) AS px, unnest([y0 / 4, y1 / 4, y0 / 4, y1 / 4]) AS py FROM (SELECT *, row_number() OVER () AS row FROM detections)),
