@@ -105,3 +105,11 @@ def test_box_views_are_code_that_compiles(spark):
         told = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
         sizes = [int(x.split(";")[0]) for x in told.split("maxMethodCodeSize:")[1:]]
         assert all(x < 8000 for x in sizes), (name, sizes)
+
+
+def test_support_pixels_of_an_empty_polygon(spark):
+    lit = F.lit
+    shape = "array<struct<x:double,y:double>>"
+    for polygon, want in ((F.array().cast(shape), 9), (lit(None).cast(shape), 9), (F.transform(F.sequence(lit(0), lit(202)), lambda i: F.struct(i.cast("double").alias("x"), lit(0.0).alias("y"))), 9 + 68)):
+        df = spark.range(1).select(polygon.alias("q"))
+        assert df.select(F.size(V.support_pixels(lit(0.0), lit(0.0), lit(1.0), lit(1.0), F.col("q")))).first()[0] == want

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from waymark.operators.axes import parts_quantile
+
 
 def theil_sen(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
     """Median pairwise slope and the median intercept."""
@@ -26,7 +28,8 @@ def fit_axis(xyz: np.ndarray, bin_m: float = 0.10, rounds: int = 5, floor: float
         return None
     z = xyz[:, 2]
     bins = np.floor((z - z.min()) / bin_m + 1e-9).astype(int)
-    mid = np.array([np.median(xyz[bins == b], axis=0) for b in np.unique(bins)])
+    which = np.unique(bins, return_inverse=True)[1].ravel()
+    mid = np.stack([parts_quantile(c, which, 0.5) for c in xyz.T], 1)
     if len(mid) < 3:
         return None
     (ax, bx), (ay, by) = theil_sen(mid[:, 2], mid[:, 0]), theil_sen(mid[:, 2], mid[:, 1])
@@ -58,7 +61,7 @@ def fit_ground(xyz: np.ndarray, cell_m: float = 0.20, quantile: float = 0.10, ba
         return None
     cells = np.floor(xyz[:, :2] / cell_m).astype(np.int64)
     _, which = np.unique(cells, axis=0, return_inverse=True)
-    low = np.array([[*np.median(xyz[which == c, :2], axis=0), np.quantile(xyz[which == c, 2], quantile)] for c in range(which.max() + 1)])
+    low = np.stack([parts_quantile(c, which.ravel(), q) for c, q in zip(xyz.T, (0.5, 0.5, quantile))], 1)
     low = low[np.abs(low[:, 2] - np.median(low[:, 2])) <= band]
     keep = np.ones(len(low), bool)
     plane = None

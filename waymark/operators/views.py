@@ -32,7 +32,9 @@ def support_pixels(x0: Column, y0: Column, x1: Column, y1: Column, polygon: Colu
     if polygon is None:
         return box
     step = F.greatest(F.lit(1), F.floor(F.size(polygon) / POLYGON_STEPS))
-    return F.concat(box, F.filter(F.coalesce(polygon, F.array().cast("array<struct<x:double,y:double>>")), lambda _, i: i % step == 0))
+    # only the pixels that stay are looked at
+    some = F.transform(F.sequence(F.lit(0), F.size(polygon) - 1, step.cast("int")), lambda i: F.get(polygon, i))
+    return F.concat(box, F.when(F.size(polygon) > 0, some).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
 
 
 def box_of(points: Column) -> tuple[Column, Column, Column, Column]:
