@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import random
 from collections import Counter
 
 import numpy as np
@@ -181,3 +182,21 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()] == [0.0, 0.0]
     assert {r.lang_pred for r in language_id.identify(docs, language_id.learn(docs)).collect()} == {"und"}
+
+
+def test_toxic_fit_is_bounded(monkeypatch):
+    """The fit takes little more than its words' numbers, and runs of any size give one field."""
+    import tracemalloc
+
+    rng, names = random.Random(5), ["".join(p) for p in itertools.product("bdfgklmn", "aeiou", "prstvxyz")]
+    texts = [" ".join(rng.choices(names, k=6000)) + (" vile" * 3 if i % 3 == 0 else "") for i in range(60)]
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    monkeypatch.setattr(toxicity, "FEATURES", 1 << 12)
+    whole = toxicity.fit(texts, [int(i % 3 == 0) for i in range(60)])
+    monkeypatch.setattr(toxicity, "RUN", 1 << 13, raising=False)
+    tracemalloc.start()
+    field = toxicity.fit(texts, [int(i % 3 == 0) for i in range(60)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 360_000  # it took about 100 bytes a word
+    assert np.allclose(field.weights, whole.weights, atol=1e-5) and np.allclose(field.outer, whole.outer, atol=1e-6)

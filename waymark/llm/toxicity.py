@@ -51,6 +51,8 @@ FAINT = 0.2
 SKETCH, ALIKE = 16, 0.25
 #: Words remembered in a worker, and characters scored at a time.
 MEMORY, CHUNK = 150_000, 1 << 20
+#: Words of the sample that the fit looks at together.
+RUN = 1 << 18
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -223,7 +225,20 @@ def distinct(texts: Iterable[tuple[list[bytes], int]]) -> Iterator[tuple[list[by
             yield words, label
 
 
-def fit(texts: list[str], toxic: list[int]) -> Field | None:
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of neighbours with about `most` words; a larger one goes alone."""
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most, prepend=-2)).tolist()
+    return list(zip(first, [*first[1:], len(sizes)]))
+
+
+def _sums(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sum of each row's weights, some rows at a time."""
+    return np.concatenate([weights[places[i : i + RUN // 8]].sum(1) for i in range(0, len(places), RUN // 8)])
+
+
+def fit(texts: Iterable[str], toxic: Iterable[int]) -> Field | None:
+    """All that has a number for each word of the sample is `ids` and `gold`: the rest is made
+    and dropped RUN words at a time."""
     index: dict[bytes, int] = {}
     coded, y = [], []  # a text's words are numbers as soon as it is read: they take far less room
     for words, label in distinct((words_of(t), x) for t, x in zip(texts, toxic)):
@@ -233,55 +248,68 @@ def fit(texts: list[str], toxic: list[int]) -> Field | None:
     if not y.any() or y.all():
         return None
     lengths = np.array([len(c) for c in coded], np.int64)
-    ids = np.concatenate(coded)
-    own = np.repeat(np.arange(len(coded), dtype=np.int64), lengths)
-    del coded
     vocabulary = list(index)
     del index
     hashes = features(vocabulary)
     slots_ = slots(hashes).astype(np.int32)
+    total = len(vocabulary)
+    del vocabulary
     # token labels from document frequencies of the features
-    pairs = np.unique(own * len(vocabulary) + ids)
-    doc, word = pairs // len(vocabulary), pairs % len(vocabulary)
-    del pairs
+    words = [np.unique(c) for c in coded]
+    ids = np.concatenate(coded)
+    del coded
+    parts = _runs(np.array([len(w) for w in words], np.int64), RUN)
     counts = []
     for k in range(hashes.shape[1]):  # features themselves, not their slots, which some share
         _, which = np.unique(hashes[:, k], return_inverse=True)
         n = int(which.max()) + 1
-        per_doc = np.unique(doc * n + which[word])
-        label = y[per_doc // n]
-        counts.append((which, np.bincount(per_doc[label] % n, minlength=n), np.bincount(per_doc[~label] % n, minlength=n)))
+        bad, good = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for a, b in parts:
+            doc = np.repeat(np.arange(a, b), [len(w) for w in words[a:b]])
+            per_doc = np.unique(doc * n + which[np.concatenate(words[a:b])])
+            label = y[per_doc // n]
+            bad += np.bincount(per_doc[label] % n, minlength=n).astype(np.int32)
+            good += np.bincount(per_doc[~label] % n, minlength=n).astype(np.int32)
+        counts.append((which.astype(np.int32), bad, good))
     support = math.log(sum(len(bad) for _, bad, _ in counts) / CHANCE) / -math.log(min(0.7, TILT * y.mean()))
-    sign = np.zeros(len(vocabulary), bool)
+    sign = np.zeros(total, bool)
     for which, bad, good in counts:
         sign |= ((bad >= support) & (bad >= SHARE * (bad + good * (y.sum() / (~y).sum()))))[which]
-    gold = (sign[ids] & y[own]).astype(np.float64)
-    del doc, word, counts, hashes, own
-    # the field
-    layout = _layout(lengths)
-    begin, size, _ = layout
-    first = np.zeros(len(ids), bool)
-    first[begin] = True
-    inner = np.flatnonzero(~first)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[inner - 1].astype(int), gold[inner].astype(int)), 1)
+    gold = sign[ids] & np.repeat(y, lengths)
+    del words, counts, hashes, which, bad, good
+    # the field; sequences don't meet, so those of a run go side by side and runs one by one
+    begin, size, _ = _layout(lengths)
+    size, inner = size[np.argsort(begin)], np.ones(len(ids), bool)
+    inner[begin] = False
+    seen = np.array([[np.count_nonzero(inner[1:] & (gold[:-1] == i) & (gold[1:] == j)) for j in (False, True)] for i in (False, True)], np.float64)
+    del begin, inner
+    ends = np.r_[0, np.cumsum(size)]
+    runs = [(int(ends[a]), int(ends[b]), _layout(size[a:b])) for a, b in _runs(size, RUN)]
     weights, bias, trans = np.zeros(FEATURES), -3.0, np.zeros((2, 2))
     gw, gb, gt = np.full(FEATURES, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(STEPS):
-        emission = weights[slots_].sum(1) + bias
-        p, moves, _ = marginals(emission[ids], layout, trans)
-        by_word = np.bincount(ids, gold - p, len(vocabulary))
-        d = sum(np.bincount(slots_[:, k], by_word, FEATURES) for k in range(slots_.shape[1])) - 0.1 * weights
-        db, dt = float((gold - p).sum()), seen - moves - 0.1 * trans
+        emission = _sums(weights, slots_) + bias
+        by_word, moves = np.zeros(total), np.zeros((2, 2))
+        for a, b, layout in runs:
+            p, moved, _ = marginals(emission[ids[a:b]], layout, trans)
+            by_word += np.bincount(ids[a:b], gold[a:b] - p, total)
+            moves += moved
+        d = -0.1 * weights
+        for k in range(slots_.shape[1]):
+            d += np.bincount(slots_[:, k], by_word, FEATURES)
+        db, dt = float(by_word.sum()), seen - moves - 0.1 * trans
         gw += d * d
         gb += db * db
         gt += dt * dt
-        weights += 0.4 * d / np.sqrt(gw)
+        d /= np.sqrt(gw)
+        weights += 0.4 * d
         bias += 0.4 * db / np.sqrt(gb)
         trans += 0.2 * dt / np.sqrt(gt)
     field = Field(weights.astype(np.float32), bias, trans, np.zeros(4))
-    p = marginals(field.emissions(vocabulary)[ids], layout, trans)[0]
-    x, t, outer = _summary(p, lengths), y.astype(float), np.zeros(4)
+    del weights, gw, d
+    emission, ends = (_sums(field.weights, slots_) + bias).astype(np.float64), np.r_[0, np.cumsum(lengths)]
+    x = np.concatenate([_summary(marginals(emission[ids[ends[a] : ends[b]]], _layout(lengths[a:b]), trans)[0], lengths[a:b]) for a, b in _runs(lengths, RUN)])
+    t, outer = y.astype(float), np.zeros(4)
     for _ in range(50):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x @ outer, -30, 30)))
         h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(4)
@@ -326,9 +354,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fits the field on the whole sample, which is bounded, in one task."""
     rows = sorted(r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3))))
-    texts, toxic = [t for _, t, _ in rows], [y for _, _, y in rows]
-    del rows
-    field = fit(texts, toxic)
+    toxic = [y for _, _, y in rows]
+    rows.reverse()
+    field = fit((rows.pop()[1] for _ in toxic), toxic)  # a text goes as soon as it is read
     if field:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
 
