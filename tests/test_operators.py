@@ -14,6 +14,7 @@ from waymark.operators.components import shared_checkpoint
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
 from waymark.operators.splits import validate_splits
+from waymark.plans import supports
 
 DATA = "/root/testdata/sf0.001"
 
@@ -377,3 +378,11 @@ def test_many_small_groups_at_once():
     for n in (1, 2, 5, 16):
         score = np.where(rng.random((200, n, n)) < 0.6, rng.integers(1, 9, (200, n, n)) / 8, np.inf)
         assert (C.agglomerate_many(score) == np.array([C.agglomerate(s) for s in score])).all()
+
+
+def test_picks_move_rows_once(spark):
+    """Candidates are shuffled by their keys once, whatever is compared of them."""
+    if os.path.isdir(DATA):
+        for name in ("pick_pole", "pick_cross_profile"):
+            plan = supports.__dict__[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -129,18 +129,27 @@ def pick_pole(candidates: DataFrame, keys: tuple[str, ...], preferred: float = 0
     A remote winner at one side of the road gives way to the strongest arm of the other side if
     that is a near tie (0.75 m from the nearest, 0.10 in completeness and coverage) and far
     denser: 2.5 times in its ridge, twice in all its arm, 1.5 times the points of the shaft."""
+    return _pick(candidates, keys, preferred, F.lit(True))
+
+
+def _pick(candidates: DataFrame, keys: tuple[str, ...], preferred: float, tier: Column) -> DataFrame:
+    """The rule of pick_pole among candidates for which `tier` holds (it may use b, the best of
+    the key). Rows move once, by their keys; both windows and the sums use that order."""
+    w = W.partitionBy(*keys)
     row = F.struct("rank", "id", "distance", "complete", "coverage", "side", "ridge", "arm_points", "n")
-    best = candidates.groupBy(*keys).agg(F.min_by(row, F.struct("rank", "id")).alias("b"))
-    c = candidates.join(best, list(keys))
-    tier = (F.col("distance") > DIRECT_M) & ((F.col("complete") >= preferred) == (F.col("b.complete") >= preferred))
-    nearest = candidates.join(best, list(keys)).filter(tier).groupBy(*keys).agg(F.min("distance").alias("nearest"))
-    near = c.join(nearest, list(keys)).filter(tier & F.col("ridge").isNotNull() & (F.col("distance") <= F.col("nearest") + 0.75))
-    near = near.filter((F.abs(F.col("complete") - F.col("b.complete")) <= 0.10 + 1e-9) & (F.abs(F.col("coverage") - F.col("b.coverage")) <= 0.10 + 1e-9))
-    other = F.when(F.col("b.side") == "LEFT_OF_TRAVEL", "RIGHT_OF_TRAVEL").when(F.col("b.side") == "RIGHT_OF_TRAVEL", "LEFT_OF_TRAVEL")
+    c = candidates.select(*keys, row.alias("c")).withColumn("b", F.min("c").over(w))
     may = (F.col("b.distance") > DIRECT_M) & F.col("b.ridge").isNotNull() & F.col("b.arm_points").isNotNull()
-    opposite = F.when(may & (F.col("side") == other) & F.col("arm_points").isNotNull(), F.struct((-F.col("ridge")).alias("r"), "rank", "id"))
-    ties = near.groupBy(*keys).agg(F.count("*").alias("ties"), F.min_by(row, opposite).alias("o"))
-    joined = best.join(ties, list(keys), "left")
+    for k in keys:
+        may = may & F.col(k).isNotNull()
+    remote = tier & (F.col("c.distance") > DIRECT_M) & ((F.col("c.complete") >= preferred) == (F.col("b.complete") >= preferred))
+    # where nothing can flip the best row is enough
+    c = c.withColumn("remote", F.coalesce(may & remote, F.lit(False))).filter("remote OR c <=> b")
+    c = c.withColumn("nearest", F.min(F.when(F.col("remote"), F.col("c.distance"))).over(w))
+    near = F.col("remote") & F.col("c.ridge").isNotNull() & (F.col("c.distance") <= F.col("nearest") + 0.75)
+    near = near & (F.abs(F.col("c.complete") - F.col("b.complete")) <= 0.10 + 1e-9) & (F.abs(F.col("c.coverage") - F.col("b.coverage")) <= 0.10 + 1e-9)
+    other = F.when(F.col("b.side") == "LEFT_OF_TRAVEL", "RIGHT_OF_TRAVEL").when(F.col("b.side") == "RIGHT_OF_TRAVEL", "LEFT_OF_TRAVEL")
+    opposite = F.when(near & (F.col("c.side") == other) & F.col("c.arm_points").isNotNull(), F.struct((-F.col("c.ridge")).alias("r"), "c"))
+    joined = c.groupBy(*keys).agg(F.min("b").alias("b"), F.count(F.when(near, 1)).alias("ties"), F.min(opposite)["c"].alias("o"))
     dense = lambda s: F.col(f"{s}.arm_points") / F.greatest(F.lit(0.25), F.col(f"{s}.distance"))
     flips = (F.col("ties") >= 2) & (F.col("o.ridge") >= 2.5 * F.greatest(F.col("b.ridge"), F.lit(1e-9))) & (dense("o") >= 2.0 * F.greatest(dense("b"), F.lit(1e-9))) & (F.col("o.n") / F.greatest(F.lit(1.0), F.col("b.n")) >= 1.5)
     flips = F.coalesce(flips, F.lit(False))
@@ -148,10 +157,12 @@ def pick_pole(candidates: DataFrame, keys: tuple[str, ...], preferred: float = 0
 
 
 def pick_cross_profile(candidates: DataFrame, keys: tuple[str, ...], preferred: float = 0.75) -> DataFrame:
-    """pick_pole among the candidates of the best tier (rank is a cross_profile_key)."""
-    tier = F.struct(*[F.col(f"rank.k{i}") for i in range(4)])
-    best = candidates.groupBy(*keys).agg(F.min(tier).alias("__tier"))
-    return pick_pole(candidates.join(best, list(keys)).filter(tier == F.col("__tier")).drop("__tier"), keys, preferred)
+    """pick_pole among the candidates of the best tier (rank is a cross_profile_key; the best row
+    is of the best tier, as its rank begins with it)."""
+    tier = F.lit(True)
+    for i in range(4):
+        tier = tier & F.col(f"c.rank.k{i}").eqNullSafe(F.col(f"b.rank.k{i}"))
+    return _pick(candidates, keys, preferred, tier)
 
 
 def arm_coverage(arms: DataFrame, points: DataFrame, key: str, radius: float = 0.25, below: float = 0.30, above: float = 0.30, bin_m: float = 0.25, least: int = 2, cell: float = 4.0) -> DataFrame:
