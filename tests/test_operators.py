@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from waymark.operators import clustering as C
 from waymark.operators import poles as P
+from waymark.operators import spatial
 from waymark.operators.components import shared_checkpoint
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
 from waymark.operators.splits import validate_splits
-from waymark.plans import supports
+from waymark.plans import supports, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -386,3 +387,27 @@ def test_picks_move_rows_once(spark):
         for name in ("pick_pole", "pick_cross_profile"):
             plan = supports.__dict__[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_points_in_ellipses(spark, monkeypatch):
+    """Counts are exact across cells and batches, and no pair of a box and a point becomes a row."""
+    rng = np.random.default_rng(3)
+    xy, low, size = rng.uniform(-60, 60, (300, 2)), rng.uniform(-60, 60, (90, 2)), rng.uniform(1, 40, (90, 2))
+    points = spark.createDataFrame([(i, i % 2, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(999, 0, None, 1.0)], "point_id long, kind int, x double, y double")
+    rows = [(i // 3 if i else None, i % 3, i % 2, float(a), float(b), float(a + w), float(b + h)) for i, ((a, b), (w, h)) in enumerate(zip(low, size))]
+    boxes = spark.createDataFrame(rows, "image long, j long, kind long, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for image, j, kind, x0, y0, x1, y1 in rows:
+        ins = [i for i, (x, y) in enumerate(xy) if i % 2 == kind and ((x - (x0 + x1) / 2) / ((x1 - x0) / 2)) ** 2 + ((y - (y0 + y1) / 2) / ((y1 - y0) / 2)) ** 2 <= 1]
+        if ins:
+            want[image, j] = (len(ins), min(ins))
+    monkeypatch.setattr(spatial, "ELLIPSE_PAIRS", 7)
+    out = spatial.points_in_ellipses(boxes, points, ("image", "j"))
+    assert {(r.image, r.j): (r.n, r.first_point) for r in out.collect()} == want and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {(r.image, r.j): (r.n, r.first_point) for r in spatial.points_in_ellipses(boxes, points, ("image", "j")).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if os.path.isdir(DATA):
+        assert "Join" not in tables.mask_join(spark, DATA)._jdf.queryExecution().executedPlan().toString()
