@@ -6,11 +6,13 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline as P
-from waymark.llm import queries
+from waymark.llm import common, decontaminate, queries, simhash_dedup, substring_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -108,3 +110,57 @@ def test_nulls_and_repeats(spark, tmp_path):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         assert docs.count() >= least and docs.filter("doc_id = 1").count() == min(2, len(data))  # different texts of one id both stay
         P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def resident() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+def test_workers_take_small_batches(spark):
+    """Of each stage with Python on texts, however many rows of a table are alike in size."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 6000) AS text")
+    spark.conf.unset(BOUND)
+    found = common.arrow_map(docs, sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < common.BATCH_BYTES + 20_000
+    for made in (lambda: toxicity.score(docs, None), lambda: simhash_dedup.fingerprints(docs), lambda: substring_dedup.remove_repeats(docs), lambda: decontaminate.scan(docs, None)):
+        spark.conf.unset(BOUND)
+        made()
+        assert spark.conf.get(BOUND) == f"{common.BATCH_BYTES}b"
+    for own, stays in (("64k", True), ("2m", True), ("64m", False), ("4097k", False)):
+        spark.conf.set(BOUND, own)
+        common.arrow_map(docs, sizes, "n long, size long")
+        assert (spark.conf.get(BOUND) != f"{common.BATCH_BYTES}b") == stays
+    spark.conf.unset(BOUND)
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/statm"), reason="memory is read from /proc")
+def test_workers_give_memory_back(spark):
+    """A task that frees 150 MB below what it keeps leaves its worker about as small as it was."""
+
+    def task(held):
+        def run(batches):
+            for _ in batches:
+                before = resident()
+                arrays = [np.ones(100_000, np.uint8) for _ in range(1500)]
+                held.append(np.ones(100_000, np.uint8))  # keeps the heap's end in place
+                del arrays
+                yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([resident()])], names=["before", "after"])
+
+        return run
+
+    held: list = []
+    before = resident()
+    for _ in task(held)([None]):
+        pass
+    assert resident() - before > 100e6  # kept by the allocator
+    common.give_back()
+    assert resident() - before < 50e6

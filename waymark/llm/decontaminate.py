@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, kept
+from .common import arrow_map, by_bytes, kept
 
 N = 13
 #: About 40 bytes of memory a byte in the driver and each worker.
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, found: Windows, carry: tuple[str, ...] = ("doc_id",),
                 yield _judged(part.select(range(part.num_columns - 1)), texts, list(map(own.find, texts)), keep_text)
 
     rows = docs.select(*[docs[c] for c in carry], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("__body"))
-    return rows.mapInArrow(run, _kinds(rows, carry, keep_text))
+    return arrow_map(rows, run, _kinds(rows, carry, keep_text))
 
 
 def _digests(words: list[bytes], size: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         both = np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)
         return zlib.compress(both.tobytes(), 1)
 
-    parts = wanted.select("w1").coalesce(64).mapInArrow(part, "bits binary").rdd.map(lambda r: bytes(r.bits))
+    parts = arrow_map(wanted.select("w1").coalesce(64), part, "bits binary").rdd.map(lambda r: bytes(r.bits))
     return np.frombuffer(zlib.decompress(parts.treeReduce(merge, 3)), np.uint8) if not wanted.isEmpty() else np.zeros(bits // 8, np.uint8)
 
 
@@ -204,8 +204,8 @@ def scan_shuffled(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tupl
                         w = _digests(words, size)
                         yield pa.RecordBatch.from_arrays([pa.array([item] * len(w), pa.string()), pa.array(np.full(len(w), size, np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["item", "size", "w1", "w2"])
 
-    wanted = benchmark.select(benchmark["item_id"].cast("string"), F.coalesce(benchmark["text"], F.lit("")).cast("binary").alias("body")).mapInArrow(items, "item string, size int, w1 long, w2 long")
-    wanted = kept(wanted.distinct(), "benchmark")
+    wanted = benchmark.select(benchmark["item_id"].cast("string"), F.coalesce(benchmark["text"], F.lit("")).cast("binary").alias("body"))
+    wanted = kept(arrow_map(wanted, items, "item string, size int, w1 long, w2 long").distinct(), "benchmark")
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # n at most
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))  # MOST_BITS at most
 
@@ -237,10 +237,10 @@ def scan_shuffled(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tupl
     text = F.coalesce(docs["text"], F.lit(""))
     e, f = F.xxhash64(F.lit(3), docs["doc_id"], text), F.hash(F.lit(13), text, docs["doc_id"])
     own = docs.select(*[docs[c] for c in carry], text.cast("binary").alias("__body"), e.alias("__e"), f.alias("__f"))
-    seen = own.select("__e", "__f", "__body").mapInArrow(places, "e long, f int, at int, size int, w1 long, w2 long")
+    seen = arrow_map(own.select("__e", "__f", "__body"), places, "e long, f int, at int, size int, w1 long, w2 long")
     met = seen.join(wanted, ["size", "w1", "w2"]).groupBy("e", "f").agg(F.collect_set(F.struct("at", "size")).alias("__hits"), F.collect_set("item").alias("__items"))
     rows = own.join(met, (F.col("__e") == F.col("e")) & (F.col("__f") == F.col("f")), "left").select(*carry, "__body", "__hits", "__items")
-    return rows.mapInArrow(judge, _kinds(rows, carry, keep_text))
+    return arrow_map(rows, judge, _kinds(rows, carry, keep_text))
 
 
 def _without(text: bytes, hit: np.ndarray) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.components import components
 
-from .common import by_bytes, kept
+from .common import arrow_map, by_bytes, kept
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 HOT = 1 << 16
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle:
     """carry and fp, the fingerprint as a signed long."""
     rows = docs.select(*[docs[c] for c in carry], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("__body"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(_print_batches(shingle), kinds + "fp long")
+    return arrow_map(rows, _print_batches(shingle), kinds + "fp long")
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +239,14 @@ def near_prints(prints: DataFrame, bits: int = MAX_BITS, hot: int = HOT) -> Data
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys cover up to {MAX_BITS} differing bits")
     schema = "a long, b long, k long"
-    rows = prints.select("fp").mapInArrow(_emit_keys, "k long, fp long").repartition("k").sortWithinPartitions("k")
-    first = kept(rows.mapInArrow(_compare(bits, hot), schema), "links")
+    rows = arrow_map(prints.select("fp"), _emit_keys, "k long, fp long").repartition("k").sortWithinPartitions("k")
+    first = kept(arrow_map(rows, _compare(bits, hot), schema), "links")
     late = first.filter("k IS NOT NULL").select("k", F.col("a").alias("fp"))
     blocks = late.groupBy("k").agg(F.ceil(F.count("*") / (hot / 2)).alias("blocks"))
     late = late.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     late = late.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp").repartition("k").sortWithinPartitions("k")
     # a pair of blocks has about `hot` rows and goes whole
-    second = late.mapInArrow(_compare(bits, 1 << 62), schema)
+    second = arrow_map(late, _compare(bits, 1 << 62), schema)
     return first.filter("k IS NULL").unionByName(second).select("a", "b").distinct()
 
 

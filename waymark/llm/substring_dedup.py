@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
-from .common import by_bytes, kept
+from .common import arrow_map, by_bytes, kept
 from .suffix import repeated_windows
 
 SHARD_BYTES = 2 << 20
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
     text = F.coalesce(docs["text"], F.lit(""))
     e, f = F.xxhash64(F.lit(7), docs["doc_id"], text), F.hash(F.lit(11), text, docs["doc_id"])
     own = docs.select(*[docs[c] for c in carry], text.cast("binary").alias("body"), e.alias("e"), f.alias("f"))
-    sketch = kept(own.filter(F.length("body") >= width).select("e", "f", "body").mapInArrow(_sketch(width), _RUNS), "runs")
+    sketch = kept(arrow_map(own.filter(F.length("body") >= width).select("e", "f", "body"), _sketch(width), _RUNS), "runs")
 
     itself = F.max(F.col("p").bitwiseAND(F.lit(1))).alias("itself")
     repeated = sketch.groupBy("v").agg(F.count("*").alias("count"), itself).filter("count > 1 or itself = 1").select("v")
@@ -189,10 +189,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
 
     def wanted(which: DataFrame) -> DataFrame:
         per_doc = which.groupBy("e", "f").agg(F.collect_list(F.struct("v", "p")).alias("wanted"))
-        return once.join(per_doc, ["e", "f"]).select("e", "f", "body", "wanted").mapInArrow(_pieces(width), _PIECES)
+        return arrow_map(once.join(per_doc, ["e", "f"]).select("e", "f", "body", "wanted"), _pieces(width), _PIECES)
 
-    found = wanted(open_.filter("NOT hot")).repartition("v").sortWithinPartitions("v").mapInArrow(_shards(width), _SPANS)
-    strings = wanted(open_.filter("hot")).mapInArrow(_strings(width), "e long, f int, s int, w1 long, w2 long")
+    found = arrow_map(wanted(open_.filter("NOT hot")).repartition("v").sortWithinPartitions("v"), _shards(width), _SPANS)
+    strings = arrow_map(wanted(open_.filter("hot")), _strings(width), "e long, f int, s int, w1 long, w2 long")
     twice = strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     hot = strings.join(twice, ["w1", "w2"]).select("e", "f", F.col("s").alias("start"), (F.col("s") + width).alias("stop"))
 
@@ -200,4 +200,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_runs: int = HOT_RUNS,
     out = own.join(spans, ["e", "f"], "left").select(*carry, "body", "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
     schema = ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * keep_text])
-    return out.mapInArrow(_cut(keep_text), schema)
+    return arrow_map(out, _cut(keep_text), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _power
-from .common import by_bytes, kept, thin
+from .common import arrow_map, by_bytes, kept, thin
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, PASSAGE = 800, 2400, 4_000, 4_000
 SEQUENCE = 128
@@ -347,7 +347,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Fits the field on the sample, in one task."""
-    made = sample(docs, labels).coalesce(1).mapInArrow(_fitted, "field binary").collect()
+    made = arrow_map(sample(docs, labels).coalesce(1), _fitted, "field binary").collect()
     return pickle.loads(made[0]["field"]) if made else None
 
 
@@ -391,4 +391,4 @@ def score(docs: DataFrame, field: Field | None, carry: tuple[str, ...] = ("doc_i
 
     rows = docs.select(*[docs[c] for c in carry], docs["text"].alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "score double", *["spans array<struct<start:int,stop:int>>"] * spans]))
+    return arrow_map(rows, run, ", ".join([*kinds, "score double", *["spans array<struct<start:int,stop:int>>"] * spans]))
