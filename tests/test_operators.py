@@ -15,7 +15,7 @@ from waymark.operators.components import shared_checkpoint
 from waymark.operators.sequences import even_sample, water_fill
 from waymark.operators.spatial import radius_join
 from waymark.operators.splits import validate_splits
-from waymark.plans import supports, tables
+from waymark.plans import clustering, supports, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -107,6 +107,18 @@ def test_nms_merge_by_bands(spark):
     assert C.nms_merge(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_nms_merge_ties_go_by_the_table(spark, tmp_path):
+    """Two boxes of one index and confidence: the first of the table stays, though the file it is in is read last."""
+    row = lambda key, line, price, quantity, discount: (key, 1, 5, line, quantity, price, discount, 0.0, "R", "F")
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    first, second, third = row(1, 1, 100.0, 20.0, 0.1), row(1, 1, 115.0, 20.0, 0.1), row(1, 2, 130.0, 20.0, 0.2)
+    others = [row(k, 1, 7.0 * k, 1.0, 0.0) for k in range(2, 2000)]
+    for k, rows in enumerate(([first], [second, third, *others])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"lineitem.parquet/k={k}"))
+    got = clustering.nms_merge(spark, str(tmp_path)).filter("image_name = 'img1'").collect()
+    assert sorted((r.detection_index, r.confidence, r.sources) for r in got) == [(1, 0.9, "1,1"), (2, 0.8, "2")]
+
+
 def test_remap_relations(spark):
     """Relations follow their signs; one of each sign stays; those without a sign stay all."""
     merged = [(1, 1), (2, 1), (3, 1), (5, 5), (6, 7), (7, 7)]

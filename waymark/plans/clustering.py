@@ -22,7 +22,9 @@ SELECT image_name, class_id, q.i AS detection_index, q.c AS confidence, array_to
 
 @query(_NMS)
 def nms_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return C.nms_merge(S.detections(spark, sf), by_index=True)  # as the SQL tells kept boxes apart
+    """Ties of confidence and index, which the SQL leaves open, go by the order of the table."""
+    place = {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    return C.nms_merge(S.detections(spark, sf).withColumns(place), by_index=True, place=tuple(place))  # by_index: as the SQL tells kept boxes apart
 
 
 _EDGES = """, n AS (SELECT point_id, x, y, z FROM points), p AS (SELECT a.point_id AS a, b.point_id AS b FROM n a JOIN n b ON a.point_id <> b.point_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4 AND abs(a.x - b.x) <= 2)"""
