@@ -4,10 +4,12 @@ import os
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import registry
 from waymark.operators import clustering as C
 from waymark.operators import poles as P
 from waymark.operators import spatial
@@ -64,6 +66,22 @@ def test_route_sample(spark):
     assert got == [("a", 0), ("a", 2), ("a", 5), ("b", 0), ("b", 1)]
 
 
+def test_route_sample_is_its_sql(spark, tmp_path):
+    """More tracks than the budget, one of them over 2000 frames; and tracks whose even places are halves."""
+    halves = [(n, q) for n in range(2, 120) for q in range(2, n) if any(round(k * (n - 1) / (q - 1)) != round(k * ((n - 1) / (q - 1))) for k in range(q))]
+    n, q = next((n, q) for n, q in halves if 500 // q * n < 20000)
+    for name, tracks in (("many", [2100] + 500 * [2]), ("halves", 500 // q * [n])):
+        rows = [(i, t, i) for i, t in enumerate(t for t, size in enumerate(tracks) for _ in range(size))]
+        sf = str(tmp_path / name)
+        events = spark.createDataFrame(rows, "event_id long, user_id long, s long")
+        events.selectExpr("event_id", "user_id", "timestamp_seconds(s)::timestamp_ntz AS ts", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props").write.parquet(f"{sf}/events.parquet")
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+        want = Counter(duck.sql(f"SELECT track_id, ordinal, frame_id FROM ({registry.ORACLE['route_sample']})").fetchall())
+        assert Counter(tuple(r) for r in registry.QUERIES["route_sample"](spark, sf).collect()) == want
+        assert sum(want.values()) == (3000 if name == "many" else 500)
+
+
 def plain_nms(rows, threshold, width):
     """rows: index, confidence, x0, y0, x1, y1. One pair at a time."""
     kept = []
